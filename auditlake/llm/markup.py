@@ -65,6 +65,7 @@ WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^=\s][^\n]*?)[ \t]*\1[ \t]*$", re.M)
 WIKI_TABLE = re.compile(r"^[ \t:]*\{\|[^\n]*$|^[ \t]*\|\}[ \t]*$|^[ \t]*\|-+[ \t]*$", re.M)
 WIKI_URL = re.compile(r"(?<![\]\[\w!])\[((?:https?|ftp|mailto):(?://)?[^\s\[\]]+)(?:[ \t]+([^\[\]\n]+))?\](?!\()")
 WIKI_TAG = re.compile(r"</?(?:ref|references|nowiki|gallery|syntaxhighlight|includeonly|noinclude)\b[^<>]*>", re.I)
+WIKI_LIST = re.compile(r"^(?:\*{2,}|\*+[#:;]+|#+[*:;]+)[ \t]+(?=[^\s*])", re.M)
 WIKI_MAGIC = re.compile(r"__(?:NO)?(?:TOC|FORCETOC|EDITSECTION|INDEX)__")
 
 TEX_ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*")
@@ -158,6 +159,8 @@ def _has_wiki(s: str) -> bool:
         return True
     if "==" in s and any(len(m[1]) >= 2 for m in WIKI_HEAD.finditer(s)):
         return True
+    if "**" in s and WIKI_LIST.search(s):
+        return True
     return "[" in s and bool(WIKI_URL.search(s)) or "<" in s and bool(WIKI_TAG.search(s)) or "__" in s and bool(WIKI_MAGIC.search(s))
 
 
@@ -285,6 +288,8 @@ def _clean_wiki(s: str) -> str:
     if "{|" in s:
         s = WIKI_TABLE.sub("", s)
         s = re.sub(r"^[ \t]*!\s*", "", s, flags=re.M)
+    if "**" in s:
+        s = WIKI_LIST.sub(lambda m: "  " * (len(m.group().strip()) - 1) + "- ", s)
     return WIKI_MAGIC.sub("", s)
 
 
