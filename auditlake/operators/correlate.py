@@ -9,9 +9,12 @@ from ..functions.vectors import severity_rank
 from . import ledger as coverage_ledger
 
 
-def candidates(findings: DataFrame) -> DataFrame:
-    """Findings with a digest id and ``coverage``: incomplete where a gap names their path, or a gap of the package names none."""
-    gap = findings.where((F.coalesce("vector", F.lit("")) == "") & coverage_ledger.is_gap(F.col("rule"), F.col("severity")))
+def candidates(findings: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
+    """Findings with a digest id and ``coverage``: incomplete where a gap names their path, or a gap of the package names none.
+
+    ``gaps`` are the findings without a vector, where they are known apart.
+    """
+    gap = (findings if gaps is None else gaps).where((F.coalesce("vector", F.lit("")) == "") & coverage_ledger.is_gap(F.col("rule"), F.col("severity")))
     paths = gap.where("path <> ''").select("pkg_id", "path").distinct().withColumn("_p", F.lit(True))
     whole = gap.where("path is null or path = ''").select("pkg_id").distinct().withColumn("_w", F.lit(True))
     out = findings.join(paths, ["pkg_id", "path"], "left").join(whole, "pkg_id", "left")

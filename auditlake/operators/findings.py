@@ -28,27 +28,28 @@ def dedupe(findings: DataFrame) -> DataFrame:
     return findings.groupBy(*key).agg(F.min_by("severity", severity_rank()).alias("severity")).select(*COLUMNS)
 
 
-def cap(findings: DataFrame, most: int = CAP) -> DataFrame:
+def cap(findings: DataFrame, most: int = CAP, slices: int = 32) -> DataFrame:
     """First ``most`` findings of each (path, vector or rule), and one low ``findings-capped`` row with the overflow of each group.
 
-    Group sizes are summed before any sort, and only rows of groups over the
-    limit go through the ranking window, hashed into slices of a group first so
-    that no task ranks a whole hot group: the first ``most`` of a group are
-    among the first ``most`` of its slices.
+    Ranking and counting happen in hashed slices of a group first, so no task
+    ranks a whole hot group: the first ``most`` of a group are among the first
+    ``most`` of its slices, and the group's size is the sum of its slices'.
     """
     group = ["pkg_id", "path", "group_key"]
-    keyed = findings.withColumn("group_key", F.coalesce(F.nullif("vector", F.lit("")), "rule"))
-    sizes = keyed.groupBy(*group).agg(F.count("*").alias("n"))
-    over = sizes.where(F.col("n") > most)
-    small = keyed.join(over, group, "left_anti")
-    large = keyed.join(over.select(*group), group, "left_semi").withColumn("_slice", F.pmod(F.xxhash64("line_no", "col_no", "message"), F.lit(32)))
-    first = large.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order_columns()))).where(F.col("_r") <= most)
-    kept = first.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order_columns()))).where(F.col("_r") <= most)
-    note = over.select(
-        "pkg_id", "path", F.lit("").alias("vector"), F.lit("findings-capped").alias("rule"), F.lit("low").alias("severity"),
-        F.concat(F.col("group_key"), F.lit(": "), (F.col("n") - most).cast("string"), F.lit(" more")).alias("message"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"),
-    )
-    return small.select(*COLUMNS).unionByName(kept.select(*COLUMNS)).unionByName(note)
+    keyed = findings.withColumn("group_key", F.coalesce(F.nullif("vector", F.lit("")), "rule")).withColumn("_slice", F.pmod(F.xxhash64("line_no", "col_no", "message"), F.lit(slices)))
+    part = Window.partitionBy(*group, "_slice")
+    first = keyed.withColumn("_r", F.row_number().over(part.orderBy(*order_columns()))).withColumn("_n", F.count("*").over(part)).where(F.col("_r") <= most)
+    whole = Window.partitionBy(*group)
+    kept = (
+        first.withColumn("_total", F.sum(F.when(F.col("_r") == 1, F.col("_n"))).over(whole))
+        .withColumn("_r", F.row_number().over(whole.orderBy(*order_columns())))
+        .where(F.col("_r") <= most)
+    )
+    own = F.struct("vector", "rule", "severity", "message", "line_no", "col_no")
+    none = F.lit(None).cast("int")
+    note = F.struct(F.lit("").alias("vector"), F.lit("findings-capped").alias("rule"), F.lit("low").alias("severity"), F.concat(F.col("group_key"), F.lit(": "), (F.col("_total") - most).cast("string"), F.lit(" more")).alias("message"), none.alias("line_no"), none.alias("col_no"))
+    both = F.when((F.col("_r") == 1) & (F.col("_total") > most), F.array(own, note)).otherwise(F.array(own))
+    return kept.select("pkg_id", "path", F.explode(both).alias("f")).select("pkg_id", "path", "f.*").select(*COLUMNS)
 
 
 def occurrences(findings: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def reach(edges: DataFrame, roots: DataFrame, rounds: int = 32) -> DataFrame:
     reached = roots.select("pkg_id", "rel").distinct().checkpoint()
     front = reached
     for _ in range(rounds):
-        step = front.join(edges, (front["pkg_id"] == edges["pkg_id"]) & (front["rel"] == edges["source"])).select(edges["pkg_id"], edges["target"].alias("rel")).distinct()
+        step = front.select("pkg_id", F.col("rel").alias("source")).join(edges, ["pkg_id", "source"]).select("pkg_id", F.col("target").alias("rel")).distinct()
         front = step.join(reached, ["pkg_id", "rel"], "left_anti").checkpoint()
         if front.isEmpty():
             return reached

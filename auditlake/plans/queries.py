@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import VECTORS, severity_rank
 from ..operators import classify, correlate, detect, findings, graph, inspect, ledger, lines, scoring
+from ..operators.scale import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,12 +39,16 @@ def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "artifacts")
 
 
+def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.coverage_findings(files(spark, sf_dir), table(spark, sf_dir, "ledger"))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.files(artifacts(spark, sf_dir))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.line_findings(artifacts(spark, sf_dir))
+    return detect.line_findings(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text")))
 
 
 # -- SQL pieces --------------------------------------------------------------------------------------
@@ -356,43 +361,43 @@ def w17_unique_comments(spark, sf_dir):
 
 @query()
 def sxv014_hidden_characters(spark, sf_dir):
-    return inspect.hidden_characters(artifacts(spark, sf_dir)).distinct()
+    return inspect.hidden_characters(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
 
 @query()
 def sxv015_look_alikes(spark, sf_dir):
-    return inspect.look_alike_tokens(artifacts(spark, sf_dir)).distinct()
+    return inspect.look_alike_tokens(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
 
 @query()
 def sxv035_byte_forensics(spark, sf_dir):
-    return inspect.forensics(artifacts(spark, sf_dir)).distinct()
+    return inspect.forensics(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "raw"))).distinct()
 
 
 @query()
 def m14_python_calls(spark, sf_dir):
-    return inspect.calls(artifacts(spark, sf_dir)).distinct().groupBy("callee").agg(F.count("*").alias("n"), F.countDistinct("pkg_id", "rel").alias("n_files"))
+    return inspect.calls(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct().groupBy("callee").agg(F.count("*").alias("n"), F.countDistinct("pkg_id", "rel").alias("n_files"))
 
 
 @query()
 def m15_shell_commands(spark, sf_dir):
-    return inspect.commands(artifacts(spark, sf_dir)).distinct().groupBy("command").agg(F.count("*").alias("n"), F.max("pipe_no").alias("longest_pipe"))
+    return inspect.commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct().groupBy("command").agg(F.count("*").alias("n"), F.max("pipe_no").alias("longest_pipe"))
 
 
 @query()
 def sxv016_dependencies(spark, sf_dir):
-    return inspect.deps(artifacts(spark, sf_dir)).distinct()
+    return inspect.deps(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
 
 @query()
 def sxv004_grants(spark, sf_dir):
-    return inspect.grants(artifacts(spark, sf_dir)).distinct()
+    return inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
 
 @query()
 def j6_effective_grants(spark, sf_dir):
     """Grants that no denial of the same tool covers: a blanket denial, an equal pattern, or a prefix pattern."""
-    g = inspect.grants(artifacts(spark, sf_dir)).distinct()
+    g = inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
     deny = g.where("not allowed and parsed").select("pkg_id", "rel", "tool", F.col("pattern").alias("denied"))
     covers = F.col("denied").isNull() | F.col("denied").eqNullSafe(F.col("pattern")) | F.col("denied").endswith(":*") & F.expr("startswith(pattern, substring(denied, 1, length(denied) - 2))")
     hit = g.where("allowed").join(deny, ["pkg_id", "rel", "tool"]).where(covers).select("pkg_id", "rel", "tool", "pattern").distinct()
@@ -403,13 +408,13 @@ def j6_effective_grants(spark, sf_dir):
 
 @query()
 def sxv013_server_packages(spark, sf_dir):
-    return inspect.server_packages(artifacts(spark, sf_dir)).distinct()
+    return inspect.server_packages(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
 
 @query()
 def sxv012_hook_commands(spark, sf_dir):
     """Hook commands, and whether they run a file of their own package."""
-    hooks = inspect.hook_commands(artifacts(spark, sf_dir)).distinct()
+    hooks = inspect.hook_commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
     word = F.regexp_replace(F.regexp_extract("command", r"^\s*(?:(?:ba|z)?sh\s+|python3?\s+|node\s+)?[\"']?([^\s\"']+)", 1), r"^\$\{?[A-Z_]+\}?/", "")
     known = files(spark, sf_dir).select("pkg_id", F.col("rel").alias("target")).distinct().withColumn("is_local", F.lit(True))
     return hooks.withColumn("target", F.regexp_replace(word, r"^\./", "")).join(known, ["pkg_id", "target"], "left").withColumn("is_local", F.coalesce("is_local", F.lit(False)))
@@ -586,7 +591,7 @@ def j17_false_positive_vectors(spark, sf_dir):
 
 
 def _all_findings(spark, sf_dir) -> DataFrame:
-    return found(spark, sf_dir).unionByName(ledger.coverage_findings(files(spark, sf_dir), table(spark, sf_dir, "ledger")))
+    return found(spark, sf_dir).unionByName(gaps(spark, sf_dir))
 
 
 def _cover_sql() -> str:
@@ -598,7 +603,7 @@ def _cover_sql() -> str:
 
 @query(f"WITH {_cover_sql()} SELECT pkg_id, coverage, count(*) AS n, count(*) FILTER (vector <> '') AS n_vectored FROM cand GROUP BY ALL")
 def j4_candidate_coverage(spark, sf_dir):
-    return correlate.candidates(_all_findings(spark, sf_dir)).groupBy("pkg_id", "coverage").agg(F.count("*").alias("n"), F.count_if(F.col("vector") != "").alias("n_vectored"))
+    return correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir)).groupBy("pkg_id", "coverage").agg(F.count("*").alias("n"), F.count_if(F.col("vector") != "").alias("n_vectored"))
 
 
 @query(
@@ -606,7 +611,7 @@ def j4_candidate_coverage(spark, sf_dir):
     FROM cand GROUP BY pkg_id, path, vector, coalesce(line_no, -1), CASE WHEN vector <> '' AND line_no IS NOT NULL THEN '' ELSE message END"""
 )
 def x2_results(spark, sf_dir):
-    return correlate.results(correlate.candidates(_all_findings(spark, sf_dir))).select("pkg_id", "path", "vector", "rule", "severity", "line_no", "n_candidates", "coverage")
+    return correlate.results(correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir))).select("pkg_id", "path", "vector", "rule", "severity", "line_no", "n_candidates", "coverage")
 
 
 @query(
@@ -656,7 +661,7 @@ def x10_triads(spark, sf_dir):
     f = files(spark, sf_dir)
     governed = graph.governing_manifest(f).where("manifest is not null")
     manifests = f.where("kind = 'skill_manifest'").select("pkg_id", F.col("rel").alias("manifest")).distinct()
-    g = inspect.grants(artifacts(spark, sf_dir)).distinct().where("allowed")
+    g = inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct().where("allowed")
     tool = F.lower("tool")
     by = g.groupBy("pkg_id", F.col("rel").alias("manifest")).agg(F.bool_or(tool.isin("bash", "shell", "execute", "*")).alias("execution"), F.bool_or(tool.isin("webfetch", "websearch", "fetch", "*", "bash")).alias("network"))
     claims = by.select("pkg_id", "manifest", F.lit("declared").alias("side"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.when(F.col(a), "present").otherwise("denied").alias("state")) for a in correlate.AXES])).alias("x")).select("pkg_id", "manifest", "side", "x.axis", "x.state")

@@ -15,9 +15,7 @@ def late_deduplicated(files: DataFrame, delay: str = "30 days") -> DataFrame:
 
 def stream_findings(files: DataFrame, rules: list[detect.Rule] = detect.RULES) -> DataFrame:
     """Line findings of a stream of files; stateless, so files need no order."""
-    lines = detect.explode_lines(files.where("text is not null").select("pkg_id", F.col("rel").alias("path"), "kind", "text", "ingested_at"))
-    hits = F.filter(F.array(*[F.when(detect._applies(r), F.struct(F.lit(r.vector).alias("vector"), F.lit(r.rule).alias("rule"), F.lit(r.severity).alias("severity"))) for r in rules]), lambda x: x.isNotNull())
-    return lines.withColumn("h", F.explode(hits)).select("ingested_at", "pkg_id", "path", "h.*", "line_no")
+    return detect.hit_lines(files.select("ingested_at", "pkg_id", F.col("rel").alias("path"), "kind", "text"), rules).drop("kind")
 
 
 def windowed_counts(findings: DataFrame, size: str = "1 day", delay: str = "30 days") -> DataFrame:
