@@ -1,0 +1,175 @@
+"""Flows inside one file: values through Python assignments, downloads that a shell script runs later."""
+
+from __future__ import annotations
+
+import ast
+import warnings
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .inspect import FINDING, _map, commands
+
+_LOCAL = {"input", "sys.stdin.read", "sys.stdin.readline", "os.getenv", "os.environ.get"}
+_REMOTE = {"requests.get", "requests.post", "requests.request", "urllib.request.urlopen", "httpx.get", "httpx.post"}
+_DECODE = {"base64.b64decode", "base64.urlsafe_b64decode", "binascii.unhexlify", "bytes.fromhex", "zlib.decompress", "codecs.decode", "marshal.loads"}
+_RUN = {"exec", "eval", "compile"}
+_SHELL = {"os.system", "os.popen", "subprocess.getoutput", "subprocess.getstatusoutput"}
+_PROCESS = {"subprocess.run", "subprocess.call", "subprocess.Popen", "subprocess.check_output", "subprocess.check_call"}
+_CLEAN = {"shlex.quote", "int", "float", "bool", "len"}
+
+
+class _Flow(ast.NodeVisitor):
+    """Marks of values (local, remote, decoded) carried through names of one scope, in statement order."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, str] = {}
+        self.marks: dict[str, set[str]] = {}
+        self.found: list[tuple[str, str, str, int]] = []
+
+    def dotted(self, node: ast.AST) -> str:
+        parts: list[str] = []
+        while isinstance(node, ast.Attribute):
+            parts.append(node.attr)
+            node = node.value
+        if isinstance(node, ast.Name):
+            parts.append(self.names.get(node.id, node.id))
+        return ".".join(reversed(parts))
+
+    def of(self, node: ast.AST | None) -> set[str]:
+        if node is None or isinstance(node, ast.Constant):
+            return set()
+        if isinstance(node, ast.Name):
+            return self.marks.get(node.id, set())
+        name = self.dotted(node) if isinstance(node, ast.Attribute) else ""
+        if name == "sys.argv" or name == "os.environ":
+            return {"local"}
+        if isinstance(node, ast.Call):
+            called = self.dotted(node.func)
+            if called in _CLEAN:
+                return set()
+            inner = set().union(*(self.of(a) for a in node.args), *(self.of(k.value) for k in node.keywords), self.of(node.func))
+            if called in _LOCAL:
+                inner = inner | {"local"}
+            if called in _REMOTE:
+                inner = inner | {"remote"}
+            if called in _DECODE:
+                inner = inner | {"decoded"}
+            return inner
+        if isinstance(node, (ast.Lambda, ast.FunctionDef, ast.AsyncFunctionDef)):
+            return set()
+        return set().union(*(self.of(x) for x in ast.iter_child_nodes(node)), set())
+
+    def visit_Import(self, node: ast.Import) -> None:
+        for a in node.names:
+            self.names[a.asname or a.name.split(".")[0]] = a.name if a.asname else a.name.split(".")[0]
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        for a in node.names:
+            self.names[a.asname or a.name] = f"{node.module}.{a.name}"
+
+    def _bind(self, target: ast.AST, marks: set[str]) -> None:
+        for x in ast.walk(target):
+            if isinstance(x, ast.Name):
+                self.marks[x.id] = marks
+                self.names.pop(x.id, None)
+
+    def visit_Assign(self, node: ast.Assign) -> None:
+        self.generic_visit(node.value) if not isinstance(node.value, ast.Call) else self.visit(node.value)
+        for t in node.targets:
+            self._bind(t, self.of(node.value))
+
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        if node.value:
+            self.visit(node.value)
+            self._bind(node.target, self.of(node.value))
+
+    def visit_AugAssign(self, node: ast.AugAssign) -> None:
+        self.visit(node.value)
+        self._bind(node.target, self.of(node.target) | self.of(node.value))
+
+    def visit_For(self, node: ast.For) -> None:
+        self._bind(node.target, self.of(node.iter))
+        self.generic_visit(node)
+
+    def visit_With(self, node: ast.With) -> None:
+        for item in node.items:
+            self.visit(item.context_expr)
+            if item.optional_vars:
+                self._bind(item.optional_vars, self.of(item.context_expr))
+        for s in node.body:
+            self.visit(s)
+
+    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
+        kept = dict(self.marks)
+        for a in [*node.args.args, *node.args.kwonlyargs]:
+            self.marks.pop(a.arg, None)
+        for s in node.body:
+            self.visit(s)
+        self.marks = kept
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_Call(self, node: ast.Call) -> None:
+        called = self.dotted(node.func)
+        given = set().union(*(self.of(a) for a in node.args), set())
+        shell = any(k.arg == "shell" and isinstance(k.value, ast.Constant) and k.value.value is True for k in node.keywords)
+        runs = called in _RUN or called in _SHELL or called in _PROCESS
+        if runs and "remote" in given:
+            self.found.append(("SXV-018", "E03-python-remote-payload-execution", "critical", node.lineno))
+        if called in _RUN and "decoded" in given:
+            self.found.append(("SXV-019", "E22-python-decoded-payload-execution", "high", node.lineno))
+        if "local" in given and (called in _SHELL or called in _PROCESS and shell or called in _RUN):
+            self.found.append(("SXV-008", "E01-python-local-command-injection", "critical", node.lineno))
+        self.generic_visit(node)
+
+
+def python_flows(text: str) -> list[tuple[str, str, str, int]]:
+    """``(vector, rule, severity, line)`` of marked values that reach an execution call; a name bound anew loses its mark."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return []
+    f = _Flow()
+    try:
+        f.visit(tree)
+    except RecursionError:
+        return []
+    return sorted(set(f.found), key=lambda x: (x[3], x[1]))
+
+
+def flows(df: DataFrame) -> DataFrame:
+    return _map(
+        df.where("text is not null and kind = 'script_python'"),
+        ["pkg_id", "rel", "text"],
+        lambda p, r, t: [(p, r, v, rule, s, f"{rule} reaches an execution call", n, None) for v, rule, s, n in python_flows(t)],
+        FINDING,
+    )
+
+
+def staged_downloads(df: DataFrame) -> DataFrame:
+    """Files a shell script downloads and runs in a later statement.
+
+    Commands become rows; the download's target meets the later command by
+    equality on (package, file, target), so the join is as large as the number
+    of downloads.
+    """
+    cmd = commands(df).distinct().withColumn("args", F.expr("filter(argv, (x, i) -> i > 0)"))
+    after = lambda flag: F.expr(f"get(filter(transform(args, (x, i) -> CASE WHEN x IN ({flag}) THEN get(args, i + 1) END), y -> y IS NOT NULL), 0)")
+    remote = F.expr("get(filter(args, x -> x RLIKE '^(https?|ftp)://'), 0)")
+    named = F.coalesce(
+        F.when(F.col("command") == "curl", after("'-o', '--output'")), F.when(F.col("command") == "wget", after("'-O', '--output-document'")),
+        F.when((F.col("command") == "wget") | F.array_contains("args", "-O") | F.array_contains("args", "--remote-name"), F.regexp_extract(remote, "([^/?#]+)(?:[?#].*)?$", 1)),
+    )
+    got = cmd.where(F.col("command").isin("curl", "wget") & remote.isNotNull()).select("pkg_id", "rel", F.col("statement").alias("from_statement"), F.regexp_replace(named, r"^\./", "").alias("target")).where("target is not null and target <> ''")
+    direct = F.when(F.get("argv", F.lit(0)).contains("/"), F.get("argv", F.lit(0)))
+    runs = cmd.select("pkg_id", "rel", "statement", "line_no", F.explode(F.array_distinct(F.when(F.col("command").isin("sh", "bash", "zsh", "dash", "python", "python3", "node", "source", "."), F.col("args")).otherwise(F.array(direct)))).alias("target"))
+    runs = runs.where("target is not null").withColumn("target", F.regexp_replace("target", r"^\./", ""))
+    return (
+        got.join(runs, ["pkg_id", "rel", "target"])
+        .where("statement > from_statement")
+        .select("pkg_id", F.col("rel").alias("path"), F.lit("SXV-010").alias("vector"), F.lit("staged-download-exec").alias("rule"), F.lit("high").alias("severity"), F.concat(F.lit("runs downloaded "), "target").alias("message"), "line_no", F.lit(None).cast("int").alias("col_no"))
+        .distinct()
+    )

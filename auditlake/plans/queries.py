@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as texts
 from ..functions.vectors import VECTORS, severity_rank
-from ..operators import classify, correlate, detect, findings, graph, inspect, ledger, lines, scoring
+from ..operators import classify, correlate, detect, findings, flow, graph, inspect, ledger, lines, markdown, report, scoring
 from ..operators.scale import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -649,7 +650,11 @@ def x6_dispositions(spark, sf_dir):
     return correlate.dispositions(scoped, _policy(scoped)).select("pkg_id", "path", "rule", "line_no", "disposition", "effective_severity")
 
 
-@query("SELECT 'none' AS path, 'suppress' AS action")
+@query(
+    f"""WITH {_SCOPED_SQL}, pol AS (SELECT rule, path, base, occurrence, CASE WHEN path LIKE '%.env' THEN 'suppress' ELSE 'demote' END AS action FROM o WHERE occurrence = 0 AND (path LIKE '%.env' OR path LIKE '%.json')
+      UNION ALL SELECT 'none', 'none', 'none', 0, 'suppress')
+    SELECT path, action FROM pol p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.rule = p.rule AND o.path = p.path AND o.base = p.base AND o.occurrence = p.occurrence)"""
+)
 def j11_unmatched_decisions(spark, sf_dir):
     scoped = _scoped(spark, sf_dir)
     return correlate.unmatched_decisions(scoped, _policy(scoped)).select("path", "action")
@@ -692,3 +697,134 @@ def daily_events(spark, sf_dir):
     return e.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
+
+
+# -- text functions ----------------------------------------------------------------------------------
+
+
+@query(r"SELECT doc_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_replace(regexp_replace(url, '(?i)([a-z][a-z0-9+.-]*://)[^/@\s]+@', '\1'), '[?#].*$', '') AS source_url FROM documents")
+def f7_url_parts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", texts.url_host(F.col("url")).alias("host"), texts.clean_source(F.col("url")).alias("source_url"))
+
+
+@query("SELECT DISTINCT artifact_id, sha256(text) AS sha256, sha1(text) AS sha1, substr(sha256(text), 1, 12) AS short FROM artifacts WHERE text IS NOT NULL")
+def f10_digests(spark, sf_dir):
+    a = artifacts(spark, sf_dir).where("text is not null")
+    return a.select("artifact_id", F.sha2("text", 256).alias("sha256"), F.sha1("text").alias("sha1"), F.substring(F.sha2("text", 256), 1, 12).alias("short")).distinct()
+
+
+@query(f"SELECT DISTINCT artifact_id, sha256({texts.PRIVACY_SQL}) AS digest, length({texts.PRIVACY_SQL}) AS n_chars FROM artifacts WHERE text IS NOT NULL AND kind IN ('secret_material', 'agent_config', 'mcp_config')")
+def f13_privacy_redacted(spark, sf_dir):
+    a = artifacts(spark, sf_dir).where(F.col("text").isNotNull() & F.col("kind").isin("secret_material", "agent_config", "mcp_config"))
+    return a.select("artifact_id", texts.privacy(F.col("text")).alias("t")).select("artifact_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("n_chars")).distinct()
+
+
+@query(r"SELECT DISTINCT artifact_id, trim(regexp_replace(text, '[ \t]*\n[ \t]*', ' ', 'g')) AS flat FROM artifacts WHERE kind = 'agent_identity' AND text IS NOT NULL")
+def f17_flattened(spark, sf_dir):
+    return artifacts(spark, sf_dir).where("kind = 'agent_identity' and text is not null").select("artifact_id", texts.flatten(F.col("text")).alias("flat")).distinct()
+
+
+@query("SELECT DISTINCT rel, regexp_extract(regexp_extract(rel, '([^/]*)$', 1), '^\\.*[^.].*?(\\.[^.]*)$', 1) AS ext FROM artifacts")
+def f3_extensions(spark, sf_dir):
+    return artifacts(spark, sf_dir).select("rel", texts.split_extension(F.col("rel")).alias("ext")).distinct()
+
+
+@query()
+def f9_canonical_configs(spark, sf_dir):
+    """Configurations with the same content whatever their layout: digest of the canonical form and files that share it."""
+    a = artifacts(spark, sf_dir).where(F.col("rel").endswith(".json") & F.col("text").isNotNull()).select("artifact_id", texts.canonical_json("text").alias("c")).where("c is not null")
+    return a.select("artifact_id", F.sha2("c", 256).alias("digest")).distinct().groupBy("digest").agg(F.count("*").alias("n_files"), F.min("artifact_id").alias("first_file"))
+
+
+@query()
+def proj_p20_prompt_fields(spark, sf_dir):
+    a = artifacts(spark, sf_dir).where(F.col("rel").endswith(".json") & F.col("text").isNotNull())
+    return a.select("artifact_id", F.explode(texts.prompt_fields("text")).alias("f")).select("artifact_id", "f.path", "f.text").distinct()
+
+
+@query()
+def f2_casefolded_names(spark, sf_dir):
+    """File names of a package that differ only by case or composition."""
+    f = files(spark, sf_dir).select("pkg_id", "rel").distinct().withColumn("key", texts.casefold(texts.nfc("rel")))
+    return f.groupBy("pkg_id", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+# -- documents ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_TEXTS}, {_LINES}, d AS (SELECT * FROM lines WHERE kind IN ('skill_manifest', 'instruction', 'agent_identity', 'doc')), o AS (SELECT pkg_id, rel FROM d WHERE line_no = 1 AND rtrim(line) = '---')
+    SELECT d.pkg_id, d.rel, min(d.line_no)::INT AS end_line FROM d JOIN o ON d.pkg_id = o.pkg_id AND d.rel = o.rel WHERE d.line_no > 1 AND rtrim(d.line) IN ('---', '...') GROUP BY 1, 2""")
+def m2_front_matter_bounds(spark, sf_dir):
+    """Last line of the front matter, from the array of lines where the text is read."""
+    a = artifacts(spark, sf_dir).where(F.col("kind").isin(*markdown.KINDS) & F.col("text").startswith("---")).select("pkg_id", "rel", F.split("text", "\n", -1).alias("ls"))
+    marks = F.filter(F.transform("ls", lambda x, i: F.when((i > 0) & F.rtrim(x).isin("---", "..."), i + 1)), lambda k: k.isNotNull())
+    return a.where(F.rtrim(F.get("ls", F.lit(0))) == "---").select("pkg_id", "rel", F.get(marks, F.lit(0)).alias("end_line")).where("end_line is not null").distinct()
+
+
+@query()
+def m3_front_matter_keys(spark, sf_dir):
+    return markdown.document_keys(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct().groupBy("key", "code").agg(F.count("*").alias("n"), F.countDistinct("pkg_id").alias("n_packages"))
+
+
+@query()
+def m5_blocks(spark, sf_dir):
+    return markdown.document_blocks(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
+
+
+@query()
+def m5_links(spark, sf_dir):
+    return markdown.document_links(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
+
+
+@query("SELECT DISTINCT artifact_id, body, line_no, col_no FROM html_comments")
+def m6_comments(spark, sf_dir):
+    return markdown.document_comments(spread(artifacts(spark, sf_dir).select("artifact_id", "kind", "text"))).distinct()
+
+
+@query()
+def sxv001_load_time_commands(spark, sf_dir):
+    return markdown.load_time_commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
+
+
+@query()
+def m16_code_units(spark, sf_dir):
+    return markdown.fenced_code(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
+
+
+@query(f"""WITH {_TEXTS}, {_LINES}, m AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^#{{1,6}} ') THEN line_no END IGNORE NULLS) OVER (PARTITION BY pkg_id, rel ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) AS section
+      FROM lines WHERE kind IN ('instruction', 'doc', 'skill_manifest'))
+    SELECT a.pkg_id, a.rel, a.line_no AS cue_line, b.line_no AS mention_line FROM m a JOIN m b ON a.pkg_id = b.pkg_id AND a.rel = b.rel AND a.section = b.section
+    WHERE regexp_matches(a.line, '(?i)(run|execute|use|call)s?[^A-Za-z]') AND regexp_matches(b.line, 'scripts/[A-Za-z0-9_./-]+[.](py|sh|js|ts)')""")
+def j9_cues_by_section(spark, sf_dir):
+    """Run cues and mentions of bundled scripts under one heading."""
+    filled = lines.fill_down(_script_lines(spark, sf_dir).where("kind in ('instruction', 'doc', 'skill_manifest')"), F.when(F.col("line").rlike("^#{1,6} "), F.col("line_no")), "section").withColumn("section", F.coalesce("section", F.lit(0)))
+    cues = filled.where(F.col("line").rlike("(?i)(run|execute|use|call)s?[^A-Za-z]")).select("pkg_id", "rel", "section", F.col("line_no").alias("cue_line"))
+    mentions = filled.where(F.col("line").rlike("scripts/[A-Za-z0-9_./-]+[.](py|sh|js|ts)")).select("pkg_id", "rel", "section", F.col("line_no").alias("mention_line"))
+    return cues.join(mentions, ["pkg_id", "rel", "section"]).select("pkg_id", "rel", "cue_line", "mention_line")
+
+
+# -- flows and reports -------------------------------------------------------------------------------
+
+
+@query()
+def sxv008_python_flows(spark, sf_dir):
+    return flow.flows(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
+
+
+@query()
+def sxv010_staged_downloads(spark, sf_dir):
+    return flow.staged_downloads(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text")))
+
+
+@query()
+def k1_package_reports(spark, sf_dir):
+    return report.package_reports(findings.cap(_all_findings(spark, sf_dir)))
+
+
+@query()
+def k3_dangling_links(spark, sf_dir):
+    """Links of results to candidates that point nowhere: none."""
+    c = correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir))
+    r = correlate.results(c)
+    links = r.select(F.col("result_key").alias("result_id"), F.col("first_candidate").alias("candidate_id"))
+    return report.dangling(links, r.select(F.col("result_key").alias("result_id")).distinct(), c.select("candidate_id").distinct())
