@@ -19,7 +19,7 @@ _FENCE = re.compile(r"^( {0,3})(`{3,}|~{3,})[ \t]*([^\n]*)$")
 _LIST = re.compile(r"^[ \t]*(?:[-*+]|\d{1,9}[.)])[ \t]+\S")
 _DEF = re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]*\S")
 _LINK = re.compile(r"!?\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]\(\s*(<[^<>\n]*>|(?:[^()\s]|\([^()\s]*\))*)")
-_TABLE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$")
+_TABLE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-+:?[ \t]*\|[ \t]*$")
 
 
 def front_matter(text: str) -> tuple[dict, dict[str, int], int, list[str]]:
