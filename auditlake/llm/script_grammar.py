@@ -1,8 +1,11 @@
 """Grammar check for JavaScript modules and TypeScript.
 
-The lexer keeps its state (code, template text at some depth, comment) and the
-brackets that are open; only a text that ends in code with every bracket
-matched reaches the grammar, which parses one statement after the other.
+The lexer runs over chunks.  A chunk is a map from the state the lexer can be in
+at its start to a summary: the tokens, the state at its end, the brackets it
+closes without having opened and those it leaves open.  Summaries of
+neighbouring chunks are combined associatively, in a tree; only a text that
+ends in code with every bracket matched reaches the grammar, which parses one
+statement after the other.
 """
 
 from __future__ import annotations
@@ -32,92 +35,210 @@ _OPERAND_WORDS = {"this", "super", "null", "true", "false"}
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
 
-def lex(text: str) -> list[tuple[str, str, bool]]:
-    """Tokens ``(kind, value, newline before)`` of a balanced text; raises Invalid otherwise."""
-    at, end = 0, len(text)
-    if text.startswith("#!"):
-        at = text.find("\n")
-        if at < 0:
-            return []
-    tokens: list[tuple[str, str, bool]] = []
-    stack: list[str] = []
-    nl = False
-    match, add = _TOKEN.match, tokens.append
+#: Characters of a chunk; a longer text is lexed chunk by chunk and the summaries are reduced in a tree.
+CHUNK = 1 << 16
+#: State between two tokens: where the lexer stands, whether an operand came last (a slash divides then), newline seen.
+START = ("code", False, False)
+
+
+class Summary:
+    """What a stretch of text does to the lexer from one start state.
+
+    ``close`` are closing brackets without an opener in the stretch, as
+    (bracket, tokens before it, chunk, offset after it); ``open`` are openers
+    left, "`" standing for a template expression.  A "}" without an opener is
+    taken to close a block; should it turn out to close a template expression,
+    the stretch is lexed again from there, as template text.
+    """
+
+    __slots__ = ("tokens", "close", "open", "state", "error")
+
+    def __init__(self, state: tuple) -> None:
+        self.tokens: list = []
+        self.close: list = []
+        self.open: list = []
+        self.state, self.error = state, None
+
+
+class Stretch:
+    """Consecutive chunks as a map from start state to summary, filled on demand."""
+
+    def __init__(self, chunks: list[str], first: int = 0, halves: tuple | None = None) -> None:
+        self.chunks, self.first, self.halves = chunks, first, halves
+        self.map: dict[tuple, Summary] = {}
+
+    def summary(self, state: tuple) -> Summary:
+        if state not in self.map:
+            if self.halves:
+                left = self.halves[0].summary(state)
+                self.map[state] = left if left.error else join(left, self.halves[1].summary(left.state), self.halves[1])
+            else:
+                self.map[state] = scan(self.chunks[0], 0, state, self.first)
+        return self.map[state]
+
+    def resume(self, chunk: int, at: int) -> Summary:
+        """Summary from inside a chunk on, as the rest of a template."""
+        out = scan(self.chunks[chunk - self.first], at, ("rest", False, False), chunk)
+        for k in range(chunk + 1, self.first + len(self.chunks)):
+            if out.error:
+                break
+            one = Stretch([self.chunks[k - self.first]], k)
+            out = join(out, one.summary(out.state), one)
+        return out
+
+    def __add__(self, other: Stretch) -> Stretch:
+        return Stretch(self.chunks + other.chunks, self.first, (self, other))
+
+
+def join(a: Summary, b: Summary, right: Stretch) -> Summary:
+    """Summary of two neighbouring stretches; brackets that meet must be of one kind."""
+    left, k = list(a.open), 0
+    while k < len(b.close) and left:
+        bracket, n, chunk, at = b.close[k]
+        if bracket == "}" and left[-1] == "`":
+            left.pop()
+            rest = right.resume(chunk, at)
+            fixed = Summary(rest.state)
+            fixed.tokens = b.tokens[:n] + rest.tokens
+            fixed.close = b.close[:k] + [(x, m + n, c, o) for x, m, c, o in rest.close]
+            fixed.open, fixed.error = rest.open, rest.error
+            b = fixed
+            continue
+        if _PAIR[bracket] != left.pop():
+            b.error = b.error or "brackets do not match"
+            break
+        k += 1
+    out = Summary(b.state)
+    out.tokens = a.tokens + b.tokens
+    out.close = a.close + [(x, m + len(a.tokens), c, o) for x, m, c, o in b.close[k:]]
+    out.open, out.error = left + b.open, b.error
+    return out
+
+
+def scan(text: str, at: int, state: tuple, chunk: int) -> Summary:
+    """Lex one chunk from ``at`` on."""
+    out = Summary(state)
+    mode, operand, nl = state
+    tokens, stack = out.tokens, out.open
+    match, add, end = _TOKEN.match, tokens.append, len(text)
     while at < end:
+        if mode != "code":
+            if mode == "comment":
+                close = text.find("*/", at)
+                if close < 0:
+                    nl = nl or "\n" in text[at:]
+                    break
+                nl = nl or "\n" in text[at:close]
+                at, mode = close + 2, "code"
+                continue
+            at = _TEMPLATE.match(text, at).end()
+            if text.startswith("`", at):
+                at += 1
+                add(("tpl" if mode == "head" else "tt", "`", nl))
+                operand = True
+            elif text.startswith("${", at):
+                at += 2
+                add(("th" if mode == "head" else "tm", "${", nl))
+                stack.append("`")
+                operand = False
+            elif at < end:
+                out.error = "template does not end"
+                return out
+            else:
+                break
+            mode, nl = "code", False
+            continue
         m = match(text, at)
         if not m:
-            raise Invalid(f"character {text[at]!r}")
+            out.error = f"character {text[at]!r}"
+            return out
         kind = m.lastgroup
-        at = m.end()
+        begin, at = at, m.end()
         if kind == "ws" or kind == "lc":
             continue
         if kind == "nl":
             nl = True
             continue
-        value = m.group()
         if kind == "bc":
-            close = text.find("*/", at)
-            if close < 0:
-                raise Invalid("comment does not end")
-            nl = nl or "\n" in text[at:close]
-            at = close + 2
+            mode = "comment"
+            continue
+        if kind == "tpl":
+            mode = "head"
             continue
+        value = m.group()
         if kind == "id":
             if value in _KEYWORDS:
                 kind = "kw"
+            operand = kind == "id" or value in _OPERAND_WORDS
         elif kind == "num":
             if at < end and (text[at].isalnum() or text[at] in "_$"):
-                raise Invalid("number runs into a name")
-        elif kind == "tpl":
-            at = _TEMPLATE.match(text, at).end()
-            if text.startswith("`", at):
-                at += 1
-                kind = "tpl"
-            elif text.startswith("${", at):
-                at += 2
-                kind = "th"
-                stack.append("`")
-            else:
-                raise Invalid("template does not end")
-        elif kind == "p":
+                out.error = "number runs into a name"
+                return out
+            operand = True
+        elif kind == "str":
+            operand = True
+        else:
             if value in "([{":
                 stack.append(value)
             elif value in ")]}":
                 if not stack:
-                    raise Invalid(f"{value} closes nothing")
-                top = stack.pop()
-                if value == "}" and top == "`":
-                    at = _TEMPLATE.match(text, at).end()
-                    if text.startswith("`", at):
-                        at += 1
-                        kind = "tt"
-                    elif text.startswith("${", at):
-                        at += 2
-                        kind = "tm"
-                        stack.append("`")
-                    else:
-                        raise Invalid("template does not end")
-                elif _PAIR[value] != top:
-                    raise Invalid("brackets do not match")
-            elif value in ("/", "/=") and not _operand_before(tokens):
-                r = _REGEX.match(text, m.start())
+                    out.close.append((value, len(tokens), chunk, at))
+                else:
+                    top = stack.pop()
+                    if value == "}" and top == "`":
+                        mode, nl = "rest", False
+                        continue
+                    if _PAIR[value] != top:
+                        out.error = "brackets do not match"
+                        return out
+            elif value in ("/", "/=") and not operand:
+                r = _REGEX.match(text, begin)
                 if not r:
-                    raise Invalid("regular expression does not end")
+                    out.error = "regular expression does not end"
+                    return out
                 at, kind, value = r.end(), "re", r.group()
+            operand = kind == "re" or value in (")", "]", "}", "++", "--")
         add((kind, value, nl))
         nl = False
-    if stack:
-        raise Invalid(f"{stack[-1]} stays open")
-    return tokens
+    out.state = (mode, operand, nl)
+    return out
+
+
+def chunks(text: str, size: int) -> list[str]:
+    """Pieces of about ``size`` characters cut after a line break that is not escaped: no string, pattern or line comment is cut."""
+    out, start = [], 0
+    while len(text) - start > size:
+        cut = text.rfind("\n", start, start + size) + 1
+        while cut > start + 1 and text[cut - 2] in "\\\r":
+            cut = text.rfind("\n", start, cut - 1) + 1
+        if cut <= start:
+            cut = text.find("\n", start + size) + 1
+            while cut and text[cut - 2] in "\\\r":
+                cut = text.find("\n", cut) + 1
+            if not cut:
+                break
+        out.append(text[start:cut])
+        start = cut
+    return [*out, text[start:]]
 
 
-def _operand_before(tokens: list) -> bool:
-    if not tokens:
-        return False
-    kind, value, _ = tokens[-1]
-    if kind == "p":
-        return value in (")", "]", "}", "++", "--")
-    return kind != "kw" or value in _OPERAND_WORDS
+def lex(text: str, size: int = CHUNK) -> list[tuple[str, str, bool]]:
+    """Tokens ``(kind, value, newline before)`` of a balanced text; raises Invalid otherwise."""
+    if text.startswith("#!"):
+        text = text[text.find("\n") :] if "\n" in text else ""
+    level = [Stretch([c], k) for k, c in enumerate(chunks(text, size))]
+    while len(level) > 1:
+        level = [level[i] + level[i + 1] if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    whole = level[0].summary(START)
+    if whole.close:
+        raise Invalid(f"{whole.close[0][0]} closes nothing")
+    if whole.error:
+        raise Invalid(whole.error)
+    if whole.state[0] != "code":
+        raise Invalid("comment does not end" if whole.state[0] == "comment" else "template does not end")
+    if whole.open:
+        raise Invalid(f"{whole.open[-1]} stays open")
+    return whole.tokens
 
 
 _BINARY = {

@@ -117,6 +117,23 @@ def test_invalid(ext, text):
     assert syntax_check.CHECKS[ext](text) is not None
 
 
+def test_chunks_of_any_size_lex_alike():
+    """Summaries reduced over small chunks give the tokens, or the refusal, of the whole text at once."""
+
+    def lexed(text, size):
+        try:
+            return script_grammar.lex(text, size)
+        except script_grammar.Invalid:
+            return "invalid"
+
+    templates = ["a = `x\n${ {b: `y\n${c\n}` } \n}z\n` / 2\n/re\n/g", "`a\n${ f(function(){\n return `q${1\n}` }\n) }b\n`\n}", "/*\n`\n*/ a\n`\n${\n}\n`", "x = {\n a: {\n b\n}\n}\n`${\n{\n}\n}`", "a = 'x\\\ny'\n`${\n1\n}`", "{\n(\n]\n}"]
+    rng = random.Random(6)
+    lines = [x for t in VALID[".js"] + VALID[".ts"] + INVALID[".js"] + templates for x in t.split("\n")]
+    for text in templates + ["\n".join(rng.choice(lines) for _ in range(12)) for _ in range(300)]:
+        for size in (1, 9, 40):
+            assert lexed(text, size) == lexed(text, 1 << 30), text
+
+
 def test_grammars_end_on_any_cut():
     rng = random.Random(2)
     for text in VALID[".js"] + VALID[".ts"]:
