@@ -19,15 +19,14 @@ repeated document ids are packed as often as they come.
 from __future__ import annotations
 
 import base64
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpoint_dir, slices
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern published with the vocabulary; read from the package beside the file where there is one.
@@ -141,14 +140,6 @@ def count_tokens(encode, text: str | None) -> int:
     return len(encode(text)) if text else 0
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a folder of our own only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint_"))
-
-
 def pack(df: DataFrame, limits: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``limit_id, container_id, id, piece_no, first_token, n_tokens`` for every piece of every document and each ``(limit_id, capacity)``.
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpoint_dir, slices
 
 # Letters drawn like a basic Latin letter in common fonts, by script.
 LOOKALIKES = {
@@ -278,6 +278,12 @@ def visual_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col)).filter(F.col(text_col).isNotNull()).mapInArrow(run, "id long, k1 long, k2 long, raw long")
 
 
+def _kept_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Distinct keys, written to the checkpoint folder: 32 bytes a row are read again where texts would be, and a lost executor costs no new pass."""
+    checkpoint_dir(df.sparkSession)
+    return visual_keys(df, id_col, text_col).distinct().checkpoint()
+
+
 def visual_twins(df: DataFrame, id_col: str = "artifact_id", text_col: str = "text") -> DataFrame:
     """Pairs ``id_a < id_b`` whose texts look the same but differ in characters.
 
@@ -286,7 +292,7 @@ def visual_twins(df: DataFrame, id_col: str = "artifact_id", text_col: str = "te
     text repeated a million times costs no join at all.  The join is between
     the texts of one form, and its output is the result itself.
     """
-    keys = visual_keys(df, id_col, text_col).distinct()
+    keys = _kept_keys(df, id_col, text_col)
     mixed = keys.groupBy("k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo <> hi").select("k1", "k2")
     some = keys.join(mixed, ["k1", "k2"], "left_semi")
     other = some.select("k1", "k2", F.col("raw").alias("raw_b"), F.col("id").alias(f"{id_col}_b"))
@@ -299,6 +305,6 @@ def visual_twins(df: DataFrame, id_col: str = "artifact_id", text_col: str = "te
 
 def visual_classes(df: DataFrame, id_col: str = "artifact_id", text_col: str = "text") -> DataFrame:
     """One row per document: its class (the least id with the same visual form), the class's rows and different texts."""
-    keys = visual_keys(df, id_col, text_col).distinct()
+    keys = _kept_keys(df, id_col, text_col)
     per = keys.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("rows_in_class"), F.countDistinct("raw").alias("texts_in_class"))
     return keys.join(per, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "rows_in_class", "texts_in_class")
