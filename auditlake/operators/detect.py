@@ -177,8 +177,8 @@ def _may_hold(r: Rule) -> str:
     return f"{kinds}{_hinted(r)} AND text RLIKE {_text('(?m)' + r.pattern)}"
 
 
-def hit_lines(texts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Rows of ``texts`` (with kind and text) by line and rule that holds on it: the other columns, line_no, vector, rule, severity.
+def hit_lines(texts: DataFrame, rules: list[Rule], shown: bool = False) -> DataFrame:
+    """Rows of ``texts`` (with kind and text) by line and rule that holds on it: the other columns, line_no, vector, rule, severity (and line and pattern if ``shown``).
 
     A file is cut into lines once for each rule that hit its text, so that one
     compiled pattern serves all lines of a file in turn.
@@ -188,7 +188,7 @@ def hit_lines(texts: DataFrame, rules: list[Rule]) -> DataFrame:
     known = F.expr("array(" + ", ".join(f"named_struct('vector', '{r.vector}', 'rule', '{r.rule}', 'severity', '{r.severity}', 'pattern', {_text(r.pattern)})" for r in rules) + ")")
     some = texts.where("text IS NOT NULL").withColumn("low", F.lower("text")).withColumn("which", F.expr(f"filter(array({which}), x -> x IS NOT NULL)")).where(F.size("which") > 0)
     by_rule = some.select(*keep, "text", F.explode("which").alias("i")).select(*keep, "text", F.get(known, F.col("i")).alias("h"))
-    return explode_lines(by_rule).where(F.expr("line RLIKE h.pattern")).select(*keep, F.col("line_no").cast("int").alias("line_no"), "h.vector", "h.rule", "h.severity")
+    return explode_lines(by_rule).where(F.expr("line RLIKE h.pattern")).select(*keep, F.col("line_no").cast("int").alias("line_no"), "h.vector", "h.rule", "h.severity", *(["line", "h.pattern"] if shown else []))
 
 
 def line_findings(artifacts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -203,6 +203,31 @@ def line_findings(artifacts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return got.select("pkg_id", "path", "vector", "rule", "severity", F.col("rule").alias("message"), "line_no", F.lit(None).cast("int").alias("col_no")).distinct()
 
 
+def guarded(line: str = "line", pattern: str = "pattern") -> Column:
+    """Whether a phrase stands in quotation marks, or behind words of defence or example, on its line."""
+    core = f"regexp_replace({pattern}, r'^\\(\\?i\\)', '')"
+    quoted = f"{line} RLIKE concat(r'(?i)[\"“`][^\"”`]{{0,80}}(?:', {core}, r')[^\"”`]{{0,80}}[\"”`]')"
+    defence = f"{line} RLIKE concat(r'(?i)(^|[^A-Za-z])(detect|prevent|block|flag|reject|refuse|guard|defend|resist|watch for|look for|such as|like|e[.]g[.]|for example|phrases|attempts to)[a-z]*[^.\\n]{{0,80}}(?:', {core}, ')')"
+    return F.expr(f"({quoted}) OR ({defence})")
+
+
+def prose_findings(artifacts: DataFrame, rules: list[Rule] = PROSE) -> DataFrame:
+    """Directive phrases of instruction files, without those that are quoted, given as examples or defended against."""
+    texts = artifacts.select("pkg_id", F.col("rel").alias("path"), "kind", "text")
+    hits = hit_lines(texts, rules, True).where(~guarded())
+    return hits.select("pkg_id", "path", "vector", "rule", "severity", F.col("rule").alias("message"), "line_no", F.lit(None).cast("int").alias("col_no")).distinct()
+
+
+def secret_findings(artifacts: DataFrame) -> DataFrame:
+    """Credential shapes; inside a fenced block of a document they are medium."""
+    texts = artifacts.select("pkg_id", F.col("rel").alias("path"), "kind", "text")
+    fences = F.expr("size(filter(slice(split(text, '\\n', -1), 1, line_no - 1), x -> x RLIKE '^ {0,3}(```|~~~)')) % 2 = 1")
+    with_text = texts.withColumn("body", F.col("text"))
+    hits = hit_lines(with_text, SECRET_SHAPES).withColumnRenamed("body", "text")
+    severity = F.when(F.col("kind").isin(*INSTRUCTION) & fences, "medium").otherwise(F.col("severity"))
+    return hits.select("pkg_id", "path", "vector", "rule", severity.alias("severity"), F.col("rule").alias("message"), "line_no", F.lit(None).cast("int").alias("col_no")).distinct()
+
+
 def rule_sql(r: Rule, lines: str = "lines") -> str:
     """DuckDB counterpart of one rule over a relation of lines."""
     kinds = f" AND kind IN ({', '.join(repr(k) for k in r.kinds)})" if r.kinds else ""

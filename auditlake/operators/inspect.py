@@ -22,16 +22,32 @@ _JOINERS = set("‌‍")
 _MARKS = set("‎‏؜")
 
 
+FINDING = "pkg_id string, path string, vector string, rule string, severity string, message string, line_no int, col_no int"
+
+
 def _map(df: DataFrame, columns: list[str], fn: Callable, schema: str) -> DataFrame:
-    """``fn(*values of a row) -> tuples`` over Arrow batches; a row that raises gives its ``check-error`` row instead of failing the job."""
+    """``fn(*values of a row) -> tuples`` over Arrow batches.
+
+    A check (schema ``FINDING``, columns starting with package and path) never
+    fails the job: a file it cannot get through gives one high ``check-error`` row.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
+    check = schema == FINDING
+
+    def each(args: tuple) -> list[tuple]:
+        try:
+            return fn(*args)
+        except Exception as e:
+            if not check:
+                raise
+            return [(args[0], args[1], "", "check-error", "high", f"a check failed: {type(e).__name__}", None, None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for args in zip(*(c.to_pylist() for c in batch.columns)) for r in fn(*args)]
+            rows = [r for args in zip(*(c.to_pylist() for c in batch.columns)) for r in each(args)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
@@ -75,7 +91,6 @@ def hidden_characters(df: DataFrame) -> DataFrame:
     return _map(df.where("text is not null and text rlike '[^\\\\x00-\\\\x7F]'"), ["pkg_id", "rel", "text"], one, FINDING)
 
 
-FINDING = "pkg_id string, path string, vector string, rule string, severity string, message string, line_no int, col_no int"
 # Letters of other scripts drawn like an ASCII letter.
 _ASCII_LIKE = dict(zip("аеорсухѕіјһԁԛԝοναցօսА В Е К М Н О Р С Т У Х".replace(" ", ""), "aeopcyxsijhdqwovagouABEKMHOPCTYX"))
 _TOKEN = re.compile(r"[^\W_]{3,}")

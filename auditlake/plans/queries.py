@@ -828,3 +828,29 @@ def k3_dangling_links(spark, sf_dir):
     r = correlate.results(c)
     links = r.select(F.col("result_key").alias("result_id"), F.col("first_candidate").alias("candidate_id"))
     return report.dangling(links, r.select(F.col("result_key").alias("result_id")).distinct(), c.select("candidate_id").distinct())
+
+
+# -- the whole scan ----------------------------------------------------------------------------------
+
+
+def _scan(spark, sf_dir) -> DataFrame:
+    from . import scan
+
+    return scan.scan(spread(artifacts(spark, sf_dir).select("artifact_id", "pkg_id", "rel", "kind", "role", "exception", "text", "raw")), table(spark, sf_dir, "ledger"), table(spark, sf_dir, "html_comments"))
+
+
+@query()
+def u1_scan_findings(spark, sf_dir):
+    return _scan(spark, sf_dir)
+
+
+@query()
+def scan_by_vector(spark, sf_dir):
+    return _scan(spark, sf_dir).groupBy("check_order", "vector", "rule", "severity").agg(F.count("*").alias("n"), F.countDistinct("pkg_id").alias("n_packages"))
+
+
+@query()
+def scan_verdicts(spark, sf_dir):
+    from . import scan
+
+    return scan.verdicts(_scan(spark, sf_dir), table(spark, sf_dir, "packages"))
