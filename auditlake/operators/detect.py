@@ -211,21 +211,32 @@ def guarded(line: str = "line", pattern: str = "pattern") -> Column:
     return F.expr(f"({quoted}) OR ({defence})")
 
 
+#: Line numbers of fence marks, computed once a file; a line lies in a block when an odd number of them stands before it.
+_FENCES = "filter(transform(split(text, '\\n', -1), (x, i) -> CASE WHEN x RLIKE '^ {0,3}(```|~~~)' THEN i + 1 END), y -> y IS NOT NULL)"
+
+
+def guarded_findings(artifacts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Findings of all rules in one pass, as a reader would take them.
+
+    Directive phrases that are quoted, given as examples or defended against
+    are left out; credential shapes inside a fenced block of a document are medium.
+    """
+    document = F.col("kind").isin(*INSTRUCTION)
+    texts = artifacts.select("pkg_id", F.col("rel").alias("path"), "kind", F.when(document & F.col("text").rlike("(?m)^ {0,3}(```|~~~)"), F.expr(_FENCES)).alias("fences"), "text")
+    hits = hit_lines(texts, rules, True)
+    prose = F.col("rule").isin(*[r.rule for r in PROSE])
+    inside = F.coalesce(F.expr("size(filter(fences, f -> f < line_no)) % 2 = 1"), F.lit(False))
+    severity = F.when((F.col("vector") == "SXV-017") & document & inside, "medium").otherwise(F.col("severity"))
+    out = hits.where(~prose | ~guarded())
+    return out.select("pkg_id", "path", "vector", "rule", severity.alias("severity"), F.col("rule").alias("message"), "line_no", F.lit(None).cast("int").alias("col_no")).distinct()
+
+
 def prose_findings(artifacts: DataFrame, rules: list[Rule] = PROSE) -> DataFrame:
-    """Directive phrases of instruction files, without those that are quoted, given as examples or defended against."""
-    texts = artifacts.select("pkg_id", F.col("rel").alias("path"), "kind", "text")
-    hits = hit_lines(texts, rules, True).where(~guarded())
-    return hits.select("pkg_id", "path", "vector", "rule", "severity", F.col("rule").alias("message"), "line_no", F.lit(None).cast("int").alias("col_no")).distinct()
+    return guarded_findings(artifacts, rules)
 
 
 def secret_findings(artifacts: DataFrame) -> DataFrame:
-    """Credential shapes; inside a fenced block of a document they are medium."""
-    texts = artifacts.select("pkg_id", F.col("rel").alias("path"), "kind", "text")
-    fences = F.expr("size(filter(slice(split(text, '\\n', -1), 1, line_no - 1), x -> x RLIKE '^ {0,3}(```|~~~)')) % 2 = 1")
-    with_text = texts.withColumn("body", F.col("text"))
-    hits = hit_lines(with_text, SECRET_SHAPES).withColumnRenamed("body", "text")
-    severity = F.when(F.col("kind").isin(*INSTRUCTION) & fences, "medium").otherwise(F.col("severity"))
-    return hits.select("pkg_id", "path", "vector", "rule", severity.alias("severity"), F.col("rule").alias("message"), "line_no", F.lit(None).cast("int").alias("col_no")).distinct()
+    return guarded_findings(artifacts, SECRET_SHAPES)
 
 
 def rule_sql(r: Rule, lines: str = "lines") -> str:

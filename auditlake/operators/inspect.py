@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 import re
 import shlex
 import struct
@@ -82,13 +83,30 @@ def _joins(line: str, i: int) -> bool:
     return any(unicodedata.category(x) == "So" for x in (a, b)) or any(0x600 <= ord(x) <= 0xDFF for x in (a, b))
 
 
+def character_findings(text: str) -> list[tuple[str, str, str, str, int, int]]:
+    """``(vector, rule, severity, message, line, column)`` of hidden and look-alike characters."""
+    out = []
+    for n, line in enumerate(text.split("\n"), 1):
+        if line.isascii():
+            continue
+        out += [("SXV-014", rule, sev, f"hidden characters: {rule}", n, col) for rule, sev, col in invisible_class(line)]
+        for m in _TOKEN.finditer(line):
+            if word := mixed_script(m.group()):
+                out.append(("SXV-015", "mixed_script_token", "high", f"imitates {word}", n, m.start() + 1))
+    return out
+
+
 def hidden_characters(df: DataFrame) -> DataFrame:
     """Findings of hidden characters; only lines with characters outside ASCII are looked at."""
+    return _characters(df, "SXV-014")
+
 
-    def one(pkg: str, rel: str, text: str) -> list[tuple]:
-        return [(pkg, rel, "SXV-014", rule, sev, f"hidden characters: {rule}", n, col) for n, line in enumerate(text.split("\n"), 1) if not line.isascii() for rule, sev, col in invisible_class(line)]
+def look_alike_tokens(df: DataFrame) -> DataFrame:
+    return _characters(df, "SXV-015")
 
-    return _map(df.where("text is not null and text rlike '[^\\\\x00-\\\\x7F]'"), ["pkg_id", "rel", "text"], one, FINDING)
+
+def _characters(df: DataFrame, vector: str) -> DataFrame:
+    return _map(df.where("text is not null and text rlike '[^\\\\x00-\\\\x7F]'"), ["pkg_id", "rel", "text"], lambda pkg, rel, text: [(pkg, rel, *x) for x in character_findings(text) if x[0] == vector], FINDING)
 
 
 # Letters of other scripts drawn like an ASCII letter.
@@ -107,20 +125,6 @@ def mixed_script(token: str) -> str | None:
     return folded if folded.isascii() and sum(c.isalpha() for c in folded) >= 2 else None
 
 
-def look_alike_tokens(df: DataFrame) -> DataFrame:
-    def one(pkg: str, rel: str, text: str) -> list[tuple]:
-        out = []
-        for n, line in enumerate(text.split("\n"), 1):
-            if line.isascii():
-                continue
-            for m in _TOKEN.finditer(line):
-                if word := mixed_script(m.group()):
-                    out.append((pkg, rel, "SXV-015", "mixed_script_token", "high", f"imitates {word}", n, m.start() + 1))
-        return out
-
-    return _map(df.where("text is not null and text rlike '[^\\\\x00-\\\\x7F]'"), ["pkg_id", "rel", "text"], one, FINDING)
-
-
 # -- bytes -------------------------------------------------------------------------------------------
 
 
@@ -315,8 +319,6 @@ _REQUIREMENT = re.compile(r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(\[[^\]]*\])?\s*(.*)
 
 def dependencies(rel: str, text: str) -> list[tuple[str, str, bool]]:
     """``(name, specifier, pinned)`` from requirements files, pyproject.toml and package.json."""
-    import json
-
     base = rel.rsplit("/", 1)[-1].lower()
     out: list[tuple[str, str, bool]] = []
     if base == "pyproject.toml":
@@ -448,49 +450,49 @@ def grants(df: DataFrame) -> DataFrame:
     )
 
 
-def server_packages(df: DataFrame) -> DataFrame:
-    """``pkg_id, rel, server, command, package, pinned`` of auto-start servers run through a package runner."""
-    import json
+SERVER_KINDS = ("mcp_config", "agent_config", "plugin_manifest")
+HOOK_KINDS = ("hooks_config", "agent_config", "plugin_manifest")
+_RUNNERS = {"npx", "uvx", "pipx", "bunx", "pnpx", "pnpm", "yarn"}
 
-    runners = {"npx", "uvx", "pipx", "bunx", "pnpx", "pnpm", "yarn"}
 
-    def one(pkg: str, rel: str, text: str) -> list[tuple]:
-        try:
-            doc = json.loads(text)
-        except (ValueError, RecursionError):
-            return []
-        servers = doc.get("mcpServers") if isinstance(doc, dict) else None
-        out = []
-        for name, server in (servers or {}).items() if isinstance(servers, dict) else ():
-            if not isinstance(server, dict) or not isinstance(server.get("command"), str):
-                continue
-            command = server["command"].rsplit("/", 1)[-1]
-            args = _strings(server.get("args"))
-            if command in runners:
-                package = next((a for a in args if not a.startswith("-") and a not in ("run", "exec", "dlx")), None)
-                if package:
-                    out.append((pkg, rel, name, command, package, bool(re.search(r"(?:@|==)v?\d+\.\d+\.\d+(?:[-+.\w]*)?$", package))))
-        return out
+def _json(text: str) -> dict:
+    try:
+        doc = json.loads(text)
+    except (ValueError, RecursionError):
+        return {}
+    return doc if isinstance(doc, dict) else {}
 
-    return _map(df.where("text is not null and kind in ('mcp_config', 'agent_config', 'plugin_manifest')"), ["pkg_id", "rel", "text"], one, "pkg_id string, rel string, server string, command string, package string, pinned boolean")
 
+def servers_of(text: str) -> list[tuple[str, str, str, bool]]:
+    """``(server, command, package, pinned)`` of auto-start servers run through a package runner."""
+    out = []
+    servers = _json(text).get("mcpServers")
+    for name, server in servers.items() if isinstance(servers, dict) else ():
+        if not isinstance(server, dict) or not isinstance(server.get("command"), str):
+            continue
+        command = server["command"].rsplit("/", 1)[-1]
+        if command in _RUNNERS:
+            package = next((a for a in _strings(server.get("args")) if not a.startswith("-") and a not in ("run", "exec", "dlx")), None)
+            if package:
+                out.append((name, command, package, bool(re.search(r"(?:@|==)v?\d+\.\d+\.\d+(?:[-+.\w]*)?$", package))))
+    return out
 
-def hook_commands(df: DataFrame) -> DataFrame:
-    """``pkg_id, rel, event, hook_type, command`` of hook configurations."""
-    import json
 
-    def one(pkg: str, rel: str, text: str) -> list[tuple]:
-        try:
-            doc = json.loads(text)
-        except (ValueError, RecursionError):
-            return []
-        out = []
-        hooks = doc.get("hooks") if isinstance(doc, dict) else None
-        for event, entries in hooks.items() if isinstance(hooks, dict) else ():
-            for entry in entries if isinstance(entries, list) else ():
-                for h in (entry.get("hooks") or []) if isinstance(entry, dict) and isinstance(entry.get("hooks"), list) else ():
-                    if isinstance(h, dict):
-                        out.append((pkg, rel, event, str(h.get("type")), h.get("command") if isinstance(h.get("command"), str) else None))
-        return out
-
-    return _map(df.where("text is not null and kind in ('hooks_config', 'agent_config', 'plugin_manifest')"), ["pkg_id", "rel", "text"], one, "pkg_id string, rel string, event string, hook_type string, command string")
+def hooks_of(text: str) -> list[tuple[str, str, str | None]]:
+    """``(event, type, command)`` of a hook configuration."""
+    out = []
+    hooks = _json(text).get("hooks")
+    for event, entries in hooks.items() if isinstance(hooks, dict) else ():
+        for entry in entries if isinstance(entries, list) else ():
+            for h in entry["hooks"] if isinstance(entry, dict) and isinstance(entry.get("hooks"), list) else ():
+                if isinstance(h, dict):
+                    out.append((event, str(h.get("type")), h.get("command") if isinstance(h.get("command"), str) else None))
+    return out
+
+
+def server_packages(df: DataFrame) -> DataFrame:
+    return _map(df.where(f"text is not null and kind in {SERVER_KINDS}"), ["pkg_id", "rel", "text"], lambda p, r, t: [(p, r, *x) for x in servers_of(t)], "pkg_id string, rel string, server string, command string, package string, pinned boolean")
+
+
+def hook_commands(df: DataFrame) -> DataFrame:
+    return _map(df.where(f"text is not null and kind in {HOOK_KINDS}"), ["pkg_id", "rel", "text"], lambda p, r, t: [(p, r, *x) for x in hooks_of(t)], "pkg_id string, rel string, event string, hook_type string, command string")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import shlex
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import severity_rank
 from ..operators import detect, findings, flow, inspect, ledger, markdown
 from ..operators.findings import COLUMNS
 from ..operators.inspect import FINDING
@@ -54,92 +56,132 @@ def resolve_hook(command: str | None) -> tuple[str | None, str | None]:
     return path, None
 
 
-def _rows(df: DataFrame, vector: str, rule, severity, message, line=None) -> DataFrame:
-    lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return df.select("pkg_id", F.col("rel").alias("path"), F.lit(vector).alias("vector"), lit(rule).alias("rule"), lit(severity).alias("severity"), lit(message).alias("message"), (line if line is not None else F.lit(None).cast("int")).alias("line_no"), F.lit(None).cast("int").alias("col_no"))
+def _row(path: str, vector: str, rule: str, severity: str, message: str, line: int | None = None, column: int | None = None) -> tuple:
+    return path, vector, rule, severity, message, line, column
 
 
-def grant_findings(a: DataFrame) -> DataFrame:
-    g = inspect.grants(a).distinct().where("allowed and breadth is not null and parsed")
-    dynamic = _rows(g.where("breadth = 'variable_substitution'"), "SXV-003", "grant-variable-substitution", "high", F.concat_ws(" ", "tool", "pattern"))
-    worst = F.when(F.col("breadth").isin("wildcard_all_commands", "privilege_escalation"), "critical").otherwise("high")
-    return dynamic.unionByName(_rows(g.where("breadth <> 'variable_substitution'"), "SXV-004", "grant-over-broad", worst, F.concat_ws(" ", "breadth", "tool", "pattern")))
+def _forensics(rel, kind, text, raw):
+    return [_row(rel, v, r, s, m) for v, r, s, m in inspect.byte_findings(rel, bytes(raw))] if raw is not None else []
 
 
-def hook_findings(a: DataFrame, files: DataFrame) -> DataFrame:
-    """Hook commands that run no file of their package, with the reason; servers started from packages without an exact version."""
+def _grants(rel, kind, text, raw):
+    out = []
+    for tool, pattern, parsed, breadth, allowed in inspect.front_matter_grants(text) if kind == "skill_manifest" and text else ():
+        shown = f"{tool}({pattern})" if pattern is not None else tool
+        if allowed and parsed and breadth == "variable_substitution":
+            out.append(_row(rel, "SXV-003", "grant-variable-substitution", "high", shown))
+        elif allowed and parsed and breadth:
+            out.append(_row(rel, "SXV-004", "grant-over-broad", "critical" if breadth in ("wildcard_all_commands", "privilege_escalation") else "high", f"{breadth} {shown}"))
+    return out
 
-    def named(pkg: str, rel: str, event: str, command: str | None) -> list[tuple]:
-        path, reason = resolve_hook(command)
-        return [(pkg, rel, event, path, reason)]
 
-    hooks = inspect.hook_commands(a).distinct()
-    resolved = inspect._map(hooks.where("hook_type = 'command'"), ["pkg_id", "rel", "event", "command"], named, "pkg_id string, rel string, event string, target string, reason string")
-    known = files.select("pkg_id", F.col("rel").alias("target")).distinct().withColumn("there", F.lit(True))
-    outside = resolved.join(known, ["pkg_id", "target"], "left").where("there is null")
-    scripts = _rows(outside, "SXV-012", "root-hook-autoexec", "medium", F.concat_ws(": ", "event", F.coalesce("reason", F.lit("unresolved_external"))))
-    other = _rows(hooks.where("hook_type in ('http', 'mcp_tool')"), "SXV-012", "root-hook-autoexec", "medium", F.concat_ws(": ", "event", "hook_type"))
-    floating = _rows(inspect.server_packages(a).distinct().where("not pinned"), "SXV-013", "floating-mcp-package", "low", F.concat_ws(" ", "command", "package"))
-    return scripts.unionByName(other).unionByName(floating)
+def _hooks(rel, kind, text, raw):
+    """Hooks that name no file are findings at once; those that name one are looked up in the package (rule ``hook-target``)."""
+    out = []
+    for event, hook_type, command in inspect.hooks_of(text) if text and kind in inspect.HOOK_KINDS else ():
+        if hook_type in ("http", "mcp_tool"):
+            out.append(_row(rel, "SXV-012", "root-hook-autoexec", "medium", f"{event}: {hook_type}"))
+        elif hook_type == "command":
+            path, reason = resolve_hook(command)
+            out.append(_row(rel, "SXV-012", "root-hook-autoexec", "medium", f"{event}: {reason}") if reason else _row(rel, "", "hook-target", "medium", f"{event}: {path}"))
+    for _, command, package, pinned in inspect.servers_of(text) if text and kind in inspect.SERVER_KINDS else ():
+        if not pinned:
+            out.append(_row(rel, "SXV-013", "floating-mcp-package", "low", f"{command} {package}"))
+    return out
 
 
-def instruction_findings(a: DataFrame, comments: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
-    out = detect.prose_findings(a, [r for r in detect.PROSE if r.vector not in ("SXV-001", "SXV-002", "SXV-005", "SXV-006", "SXV-034")])
-    if comments is None or files is None:
-        return out
-    hidden = detect.hidden_comments(comments).join(files.select("artifact_id", "pkg_id", "rel").distinct(), "artifact_id")
-    return out.unionByName(_rows(hidden, "SXV-027", "hidden-html-comment", "high", F.col("shape"), F.col("line_no").cast("int")))
+def _metadata(rel, kind, text, raw):
+    return [_row(rel, "SXV-034", "unsafe-yaml-tag", "critical", tag, n, c) for tag, n, c in markdown.unsafe_tags(text)] if kind == "skill_manifest" and text else []
 
 
-def metadata_findings(a: DataFrame) -> DataFrame:
-    def one(pkg: str, rel: str, text: str) -> list[tuple]:
-        return [(pkg, rel, "SXV-034", "unsafe-yaml-tag", "critical", tag, n, c) for tag, n, c in markdown.unsafe_tags(text)]
+def _characters(rel, kind, text, raw):
+    return [_row(rel, *x) for x in inspect.character_findings(text)] if text and not text.isascii() else []
 
-    return inspect._map(a.where("text is not null and kind = 'skill_manifest'"), ["pkg_id", "rel", "text"], one, FINDING)
 
+def _preproc(rel, kind, text, raw):
+    out = []
+    for token, code, n, c, runs in markdown.bang_tokens(text) if text and kind in markdown.KINDS and ("!`" in text or "```!" in text) else ():
+        if runs:
+            digest = hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()
+            out.append(_row(rel, "SXV-002" if token == "fenced" else "SXV-001", f"preproc-{token}-bang", "critical", digest, n, c))
+    return out
 
-def obfuscation_findings(a: DataFrame) -> DataFrame:
-    scripts = detect.obfuscated_scripts(a).where("rule is not null").withColumnRenamed("path", "rel")
-    large = _rows(scripts, "SXV-044", F.col("rule"), F.when(F.col("rule") == "obfuscated-script", "high").otherwise("medium"), F.concat_ws(" ", F.lit("longest line"), F.col("longest_line").cast("string")))
-    return large.unionByName(inspect.hidden_characters(a)).unionByName(inspect.look_alike_tokens(a))
 
+_FROM_URL = re.compile(r"(?i)^(?:@\s*)?(?:git\+|https?:|git:|ssh:|file:)|github:")
 
-def preproc_findings(a: DataFrame) -> DataFrame:
-    t = markdown.load_time_commands(a).where("runs")
-    fenced = F.col("token") == "fenced"
-    return t.select(
-        "pkg_id", F.col("rel").alias("path"), F.when(fenced, "SXV-002").otherwise("SXV-001").alias("vector"), F.when(fenced, "preproc-fenced-bang").otherwise("preproc-inline-bang").alias("rule"), F.lit("critical").alias("severity"),
-        F.sha2("code", 256).alias("message"), "line_no", "col_no",
-    )
 
+def _dependencies(rel, kind, text, raw):
+    out = []
+    for name, spec, pinned in inspect.dependencies(rel, text) if kind == "dep_manifest" and text else ():
+        if not pinned:
+            url = bool(_FROM_URL.search(spec))
+            out.append(_row(rel, "SXV-016", "install-from-url" if url else "unpinned-dependency", "medium" if url else "low", f"{name} {spec}"))
+    return out
 
-def supply_chain_findings(a: DataFrame) -> DataFrame:
-    d = inspect.deps(a).distinct().where("not pinned")
-    url = F.col("specifier").rlike(r"(?i)(^@\s*|^)(git\+|https?:|git:|ssh:|file:)|github:")
-    return detect.secret_findings(a).unionByName(_rows(d, "SXV-016", F.when(url, "install-from-url").otherwise("unpinned-dependency"), F.when(url, "medium").otherwise("low"), F.concat_ws(" ", "name", "specifier")))
 
+def _flows(rel, kind, text, raw):
+    return [_row(rel, v, rule, s, f"{rule} reaches an execution call", n) for v, rule, s, n in flow.python_flows(text)] if kind == "script_python" and text else []
 
-def code_findings(a: DataFrame) -> DataFrame:
-    """Rules over scripts, and over fenced code of documents as scripts at the same lines; flows and staged downloads."""
-    units = markdown.fenced_code(a).select("pkg_id", "rel", F.concat(F.lit("script_"), "language").alias("kind"), F.col("code").alias("text"))
-    scripts = a.where(F.col("kind").startswith("script_")).select("pkg_id", "rel", "kind", "text").unionByName(units)
-    return detect.line_findings(scripts, [r for r in detect.CODE if r.vector != "SXV-033"]).unionByName(flow.flows(scripts)).unionByName(flow.staged_downloads(scripts))
+
+_PASS = (("forensics", _forensics), ("grants", _grants), ("hooks", _hooks), ("metadata", _metadata), ("obfuscation", _characters), ("preproc", _preproc), ("supply_chain", _dependencies), ("code", _flows))
+
+
+def one_file(pkg: str, rel: str, kind: str, text: str | None, raw: bytes | None) -> list[tuple]:
+    """Findings of all parsing checks of one file; each check is isolated from the others."""
+    out = []
+    for name, check in _PASS:
+        order = CHECKS.index(name) + 1
+        try:
+            out += [(pkg, *r, order) for r in check(rel or "", kind, text, raw)]
+        except Exception as e:
+            out.append((pkg, rel, "", "check-error", "high", f"{name} failed: {type(e).__name__}", None, None, order))
+    return out
 
 
 def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | None = None) -> DataFrame:
-    """All findings with ``check_order``: the union of the checks, de-duplicated (the most severe stays)."""
+    """All findings with ``check_order``, de-duplicated (the most severe stays).
+
+    The texts are read four times whatever the number of checks: once by all
+    parsing checks together, once by all line rules, once for fenced code and
+    once for the commands of shell scripts; joins and exchanges carry findings,
+    paths and ledger rows only.
+    """
     a = artifacts.select("pkg_id", "rel", "kind", "text")
     files = ledger.files(artifacts)
-    persistence = detect.prose_findings(a, [r for r in detect.PROSE if r.vector in ("SXV-005", "SXV-006")])
-    lanes = {
-        "forensics": inspect.forensics(artifacts), "coverage": ledger.coverage_findings(files, ledger_table), "grants": grant_findings(a), "hooks": hook_findings(a, files), "instruction": instruction_findings(a, comments, files),
-        "metadata": metadata_findings(a), "obfuscation": obfuscation_findings(a), "persistence": persistence, "preproc": preproc_findings(a), "supply_chain": supply_chain_findings(a), "code": code_findings(a),
-    }
-    out = None
-    for k, name in enumerate(CHECKS):
-        part = findings.dedupe(lanes[name].select(*COLUMNS)).withColumn("check_order", F.lit(k + 1))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parsed = inspect._map(artifacts, ["pkg_id", "rel", "kind", "text", "raw"], one_file, FINDING + ", check_order int").distinct()
+
+    target = F.regexp_extract("message", r"^[^:]*: ([\s\S]*)$", 1)
+    known = files.select("pkg_id", F.col("rel").alias("target")).distinct()
+    outside = parsed.where("rule = 'hook-target'").withColumn("target", target).join(known, ["pkg_id", "target"], "left_anti").drop("target")
+    outside = outside.withColumn("vector", F.lit("SXV-012")).withColumn("rule", F.lit("root-hook-autoexec")).withColumn("message", F.regexp_replace("message", r"^([^:]*): [\s\S]*$", "$1: unresolved_external"))
+    parsed = parsed.where("rule <> 'hook-target'")
+
+    skip = {r.rule for r in detect.PROSE if r.vector in ("SXV-001", "SXV-002", "SXV-034")} | {r.rule for r in detect.CODE if r.vector == "SXV-033"}
+    rules = [r for r in detect.RULES if r.rule not in skip]
+    by_vector = F.when(F.col("vector") == "SXV-017", CHECKS.index("supply_chain") + 1).when(F.col("vector").isin("SXV-005", "SXV-006") & ~F.col("rule").startswith("E"), CHECKS.index("persistence") + 1).when(F.col("rule").rlike("^E[0-9]"), CHECKS.index("code") + 1)
+    lines = detect.guarded_findings(a, rules).withColumn("check_order", by_vector.otherwise(F.when(F.col("vector") == "SXV-007", CHECKS.index("obfuscation") + 1).otherwise(CHECKS.index("instruction") + 1)))
+
+    units = markdown.fenced_code(a).select("pkg_id", "rel", F.concat(F.lit("script_"), "language").alias("kind"), F.col("code").alias("text"))
+    shown = detect.line_findings(units, [r for r in detect.CODE if r.vector != "SXV-033"]).unionByName(flow.flows(units))
+    code = shown.unionByName(flow.staged_downloads(a.where("kind = 'script_shell'").unionByName(units))).withColumn("check_order", F.lit(CHECKS.index("code") + 1))
+
+    large = detect.obfuscated_scripts(a).where("rule is not null")
+    large = large.select(
+        "pkg_id", "path", F.lit("SXV-044").alias("vector"), "rule", F.when(F.col("rule") == "obfuscated-script", "high").otherwise("medium").alias("severity"), F.concat_ws(" ", F.lit("longest line"), F.col("longest_line").cast("string")).alias("message"),
+        F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"), F.lit(CHECKS.index("obfuscation") + 1).alias("check_order"),
+    )
+    out = parsed.unionByName(outside).unionByName(lines).unionByName(code).unionByName(large)
+    out = out.unionByName(ledger.coverage_findings(files, ledger_table).withColumn("check_order", F.lit(CHECKS.index("coverage") + 1)))
+    if comments is not None:
+        hidden = detect.hidden_comments(comments).join(files.select("artifact_id", "pkg_id", "rel").distinct(), "artifact_id")
+        out = out.unionByName(
+            hidden.select(
+                "pkg_id", F.col("rel").alias("path"), F.lit("SXV-027").alias("vector"), F.lit("hidden-html-comment").alias("rule"), F.lit("high").alias("severity"), F.col("shape").alias("message"),
+                F.col("line_no").cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"), F.lit(CHECKS.index("instruction") + 1).alias("check_order"),
+            )
+        )
+    key = ["pkg_id", "vector", "path", "rule", "message", "line_no", "col_no"]
+    return out.groupBy(*key).agg(F.min_by("severity", severity_rank()).alias("severity"), F.min("check_order").alias("check_order")).select(*COLUMNS, "check_order")
 
 
 def verdicts(found: DataFrame, packages: DataFrame) -> DataFrame:
