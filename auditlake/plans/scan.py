@@ -120,7 +120,10 @@ def _dependencies(rel, kind, text, raw):
 
 
 def _flows(rel, kind, text, raw):
-    return [_row(rel, v, rule, s, f"{rule} reaches an execution call", n) for v, rule, s, n in flow.python_flows(text)] if kind == "script_python" and text else []
+    if not text or kind != "script_python" and not (kind in markdown.KINDS and ("```" in text or "~~~" in text)):
+        return []
+    code = [text] if kind == "script_python" else [c for language, _, c in markdown.code_units(rel, text) if language == "python"]
+    return [_row(rel, v, rule, s, f"{rule} reaches an execution call", n) for c in code for v, rule, s, n in flow.python_flows(c)]
 
 
 _PASS = (("forensics", _forensics), ("grants", _grants), ("hooks", _hooks), ("metadata", _metadata), ("obfuscation", _characters), ("preproc", _preproc), ("supply_chain", _dependencies), ("code", _flows))
@@ -150,11 +153,13 @@ def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | No
     files = ledger.files(artifacts)
     parsed = inspect._map(artifacts, ["pkg_id", "rel", "kind", "text", "raw"], one_file, FINDING + ", check_order int").distinct()
 
-    target = F.regexp_extract("message", r"^[^:]*: ([\s\S]*)$", 1)
-    known = files.select("pkg_id", F.col("rel").alias("target")).distinct()
-    outside = parsed.where("rule = 'hook-target'").withColumn("target", target).join(known, ["pkg_id", "target"], "left_anti").drop("target")
-    outside = outside.withColumn("vector", F.lit("SXV-012")).withColumn("rule", F.lit("root-hook-autoexec")).withColumn("message", F.regexp_replace("message", r"^([^:]*): [\s\S]*$", "$1: unresolved_external"))
-    parsed = parsed.where("rule <> 'hook-target'")
+    # hook targets meet the files of their package in the stream of all findings, so the pass over the texts is not repeated
+    hook = F.col("rule") == "hook-target"
+    known = files.select("pkg_id", F.col("rel").alias("target")).distinct().withColumn("there", F.lit(True))
+    parsed = parsed.withColumn("target", F.when(hook, F.regexp_extract("message", r"^[^:]*: ([\s\S]*)$", 1))).join(known, ["pkg_id", "target"], "left").where(~hook | F.col("there").isNull()).drop("target", "there")
+    parsed = parsed.withColumns({
+        "vector": F.when(hook, "SXV-012").otherwise(F.col("vector")), "message": F.when(hook, F.regexp_replace("message", r"^([^:]*): [\s\S]*$", "$1: unresolved_external")).otherwise(F.col("message")),
+    }).withColumn("rule", F.when(hook, "root-hook-autoexec").otherwise(F.col("rule")))
 
     skip = {r.rule for r in detect.PROSE if r.vector in ("SXV-001", "SXV-002", "SXV-034")} | {r.rule for r in detect.CODE if r.vector == "SXV-033"}
     rules = [r for r in detect.RULES if r.rule not in skip]
@@ -162,7 +167,7 @@ def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | No
     lines = detect.guarded_findings(a, rules).withColumn("check_order", by_vector.otherwise(F.when(F.col("vector") == "SXV-007", CHECKS.index("obfuscation") + 1).otherwise(CHECKS.index("instruction") + 1)))
 
     units = markdown.fenced_code(a).select("pkg_id", "rel", F.concat(F.lit("script_"), "language").alias("kind"), F.col("code").alias("text"))
-    shown = detect.line_findings(units, [r for r in detect.CODE if r.vector != "SXV-033"]).unionByName(flow.flows(units))
+    shown = detect.line_findings(units, [r for r in detect.CODE if r.vector != "SXV-033"])
     code = shown.unionByName(flow.staged_downloads(a.where("kind = 'script_shell'").unionByName(units))).withColumn("check_order", F.lit(CHECKS.index("code") + 1))
 
     large = detect.obfuscated_scripts(a).where("rule is not null")
@@ -170,7 +175,7 @@ def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | No
         "pkg_id", "path", F.lit("SXV-044").alias("vector"), "rule", F.when(F.col("rule") == "obfuscated-script", "high").otherwise("medium").alias("severity"), F.concat_ws(" ", F.lit("longest line"), F.col("longest_line").cast("string")).alias("message"),
         F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"), F.lit(CHECKS.index("obfuscation") + 1).alias("check_order"),
     )
-    out = parsed.unionByName(outside).unionByName(lines).unionByName(code).unionByName(large)
+    out = parsed.unionByName(lines).unionByName(code).unionByName(large)
     out = out.unionByName(ledger.coverage_findings(files, ledger_table).withColumn("check_order", F.lit(CHECKS.index("coverage") + 1)))
     if comments is not None:
         hidden = detect.hidden_comments(comments).join(files.select("artifact_id", "pkg_id", "rel").distinct(), "artifact_id")
