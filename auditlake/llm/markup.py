@@ -32,6 +32,8 @@ ELEMENTS = set(
 VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
 LOOSE_END = set("p li dt dd td th tr tbody thead tfoot option optgroup body html head colgroup caption rp rt".split())
 
+BARE_ATTRIBUTES = set("async autofocus autoplay checked compact controls default defer disabled hidden ismap loop multiple muted noshade novalidate nowrap open readonly required reversed selected".split())
+
 FRONT = re.compile(r"\A﻿?---[ \t]*\n(?:[\s\S]*?\n)?(?:---|\.\.\.)[ \t]*(?:\n|\Z)")
 FENCE = re.compile(r"^([ \t]*(?:>[ \t]?)*)(`{3,}(?=[^`\n]*$)|~{3,})([^\n]*)\n([\s\S]*?)(?:^[ \t]*(?:>[ \t]?)*\2[`~]*[ \t]*$|\Z)", re.M)
 INLINE = re.compile(r"(?<![`\\])(`+)(?!`)((?:(?!\n[ \t]*\n)[^`]|(?!\1(?!`))`)+?)(?<!`)\1(?!`)")
@@ -121,12 +123,18 @@ def _has_html(s: str) -> bool:
 
 
 def _is_tag(m: re.Match, s: str) -> bool:
-    """An element and not a placeholder, a type in angle brackets or a comparison."""
-    name = m[2].lower()
+    """An element and not a placeholder, a type in angle brackets or a comparison.
+
+    Words after the name must be attributes with values or known bare ones; an
+    element without attributes counts if it needs no end tag or has one.
+    """
+    name, rest = m[2].lower(), m[3].strip().rstrip("/").strip()
     if name not in ELEMENTS:
         return False
-    if m[1] or name in VOID or name in LOOSE_END or m[3].strip(" /\n\t") or m[3].endswith("/"):
-        return not (m[3] and "=" not in m[3] and not m[3].strip().endswith("/") and m[3].strip() and not m[1] and not re.fullmatch(r"[\w\s-]*/?", m[3]))
+    if rest:
+        return "=" in rest or set(rest.lower().split()) <= BARE_ATTRIBUTES
+    if m[1] or name in VOID or name in LOOSE_END or m[3].endswith("/"):
+        return True
     return bool(re.search(rf"</{name}\s*>", s, re.I))
 
 
