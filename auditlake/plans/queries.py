@@ -330,7 +330,12 @@ def a4_script_metrics(spark, sf_dir):
     return m.select("pkg_id", "path", *[F.col(c).cast("long").alias(c) for c in ("chars", "hex_names", "hex_escapes", "n_lines", "longest_line")])
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT DISTINCT pkg_id, rel AS path, text, string_split(text, chr(10)) AS ls FROM artifacts WHERE text IS NOT NULL AND kind IN ('script_javascript', 'script_typescript')),
+    m AS (SELECT pkg_id, path, len(list_filter(ls, lambda x: len(list_distinct(regexp_extract_all(x, '_0x[0-9a-fA-F]{4,}'))) >= 20 OR len(regexp_extract_all(x, '\\x[0-9a-fA-F]{2}')) >= 200)) > 0 AS generated,
+      length(text) >= 32768 AND list_max(list_transform(ls, lambda x: length(x))) >= 16384 AND NOT regexp_matches(lower(path), '\.min\.[a-z]+$') AS minified FROM t)
+    SELECT pkg_id, path, CASE WHEN generated THEN 'obfuscated-script' ELSE 'minified-script' END AS rule FROM m WHERE generated OR minified"""
+)
 def sxv044_obfuscated(spark, sf_dir):
     return detect.obfuscated_scripts(artifacts(spark, sf_dir)).where("rule is not null").select("pkg_id", "path", "rule")
 
@@ -350,7 +355,14 @@ def m6_comment_shapes(spark, sf_dir):
     return table(spark, sf_dir, "html_comments").select("comment_id", F.length("body").cast("long").alias("n_chars"), F.col("body").rlike("(?i)(^|[^A-Za-z])(assistant|agent|claude|model|llm|you must|you should)($|[^A-Za-z])").alias("addresses_agent"))
 
 
-@query()
+_OVERRIDE = next(r.pattern for r in detect.PROSE if r.rule == "instruction-override").replace("'", "''")
+
+
+@query(
+    f"""SELECT comment_id, artifact_id, line_no, col_no, CASE WHEN regexp_matches(body, '{_OVERRIDE}') THEN 'override' ELSE 'address' END AS shape FROM html_comments
+    WHERE regexp_matches(body, '{_OVERRIDE}') OR (regexp_matches(body, '(?i)(^|[^A-Za-z])(assistant|agent|claude|model|llm|you must|you should)($|[^A-Za-z])')
+      AND regexp_matches(body, '(?i)(^|[^A-Za-z])(run|execute|send|upload|delete|ignore|read|write|install|fetch|download)($|[^A-Za-z])'))"""
+)
 def sxv027_hidden_comments(spark, sf_dir):
     return detect.hidden_comments(table(spark, sf_dir, "html_comments"))
 
@@ -580,7 +592,11 @@ def a16_compare_runs(spark, sf_dir):
     return scoring.compare(before, scoring.flags(*_scanned(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""WITH {_SCORED}, strong AS (SELECT DISTINCT h.benchmark_id, h.vector FROM hits h JOIN flagged f ON h.benchmark_id = f.benchmark_id WHERE f.label = 0 AND h.vector <> '' AND h.severity IN ('critical', 'high') AND h.tier IN ('T1', 'T2')),
+    a AS (SELECT vector, count(*) AS n FROM strong GROUP BY 1), b AS (SELECT vector, count(*) AS n FROM strong WHERE vector <> 'SXV-017' GROUP BY 1)
+    SELECT coalesce(a.vector, b.vector) AS vector, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after FROM a FULL JOIN b ON a.vector = b.vector"""
+)
 def j17_false_positive_vectors(spark, sf_dir):
     rows, hits = _scanned(spark, sf_dir, _PROSE_ONLY)
     before = scoring.false_positives(scoring.flags(rows, hits), hits)
