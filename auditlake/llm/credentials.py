@@ -45,6 +45,7 @@ _NAME = re.compile(
 _NOT_NAME = re.compile(r"(?i)(?:^|[_.-])(?:count|counts|len|length|limit|max|min|ttl|expir\w*|type|kind|file|path|dir|url|uri|endpoint|ids?|idx|index|size|hash|digest|public|pub|tokenizer|budget|usage|regex|pattern|field|header|prompt|name|env)(?:$|[_.-])")
 _QUOTED = re.compile(r"""(?P<q>"|'|`)(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)""")
 _MORE = re.compile(r"""\s*(?:\+|\\)?\s*(?P<q>"|'|`)(?P<v>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)""")
+_OPEN = re.compile(r"\(\s*")
 _BARE = re.compile(r"""[^\s"'`,;<>(){}\[\]|\\]+""")
 _PLACE = re.compile(
     r"""(?i)^(?:\$|<|%\(|%\w+%$|\{|\[|vault:|env[:.]|ref[:+]|secret[s]?[:.]|op://|ssm:|arn:|file:|\?|your[_\- ]|my[_-]?(?:secret|token|password)|(?:replace|change|insert|todo|tbd|example|sample|dummy|fake|placeholder|redacted|missing|set[_ -]?me)(?![a-z])|replace[_-]?me|change[_-]?(?:me|this|it)|none$|null$|true$|false$|undefined$|x{4,}|\*{3,}|\.{3}|-{3,}|_{3,}|process\.env|os\.(?:environ|getenv)|getenv|import\.meta|sha\d+[:-])|example$|EXAMPLE|x{8,}|\*{4,}"""
@@ -191,7 +192,7 @@ def _named(text: str, code: bool) -> Iterator[Hit]:
                 continue
         q = _QUOTED.match(text, at)
         if not q and text[at : at + 1] == "(":
-            q = _QUOTED.match(text, len(text[:at]) + 1 + len(text[at + 1 :]) - len(text[at + 1 :].lstrip()))
+            q = _QUOTED.match(text, _OPEN.match(text, at).end())
         if q:
             parts = [(q.start("v"), q.end("v"))]
             value, end = q["v"], q.end()
