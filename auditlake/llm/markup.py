@@ -4,9 +4,11 @@ A text is first split at its code (fenced, inline, preformatted, verbatim):
 what stands inside is content, the marks around it belong to their family.
 The rest is scanned for marks of HTML, Markdown, wiki text and LaTeX.  Clean
 text keeps headings, lists, code blocks and formulas in one plain notation.
-Of a whole HTML page only the best content region is kept: over its tokens,
-words score positive and tags negative, and one linear scan finds the
-contiguous stretch with the highest sum.
+Of a whole HTML page the best content region is kept: over its tokens, words
+score positive and tags negative (those of headings and lists nothing), and one
+linear scan finds the contiguous stretch with the highest sum.  Headings, lists,
+code and formulas outside it are kept too, unless they stand in a ``nav``,
+``footer`` or ``aside`` element, where the scan alone decides.
 
 Null and empty texts hold no markup and give themselves as clean text.
 Texts are processed whole at any length.
@@ -211,23 +213,100 @@ def families(text: str | None, front_matter: bool) -> list[str]:
 # -- clean text ------------------------------------------------------------------------------------
 
 _BLOCK_TAGS = set("address article aside blockquote body center details dd dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td th thead title tr ul br".split())
-_TOKEN = re.compile(r"<[^<>]*>|[^\W_]+")
+_TOKEN = re.compile(r"<[^<>]*>|\x00\d+\x00|[^\W_]+")
 _HIDDEN = re.compile(r"<(script|style|head|noscript|template|svg|iframe)\b[^>]*>[\s\S]*?</\1\s*>", re.I)
+_LISTS = {"ul", "ol", "dl"}
+_ITEMS = {"li", "dt", "dd"}
+_FREE = re.compile(r"</?(?:h[1-6]|ul|ol|dl|li|dt|dd)\b", re.I)
+_FURNITURE = {"nav", "footer", "aside"}
+# Headings and list items of the other families, and code or formulas set aside with the text around them.
+_MARKED_LINE = re.compile(r"^[ \t]*(?:#{1,6}[ \t]|[-*+][ \t]|\d{1,9}[.)][ \t]|[*#:;]{2,}[ \t]|={2,6}[^=\n]+={2,6}[ \t]*$|\\(?:part|chapter|(?:sub)*section|paragraph|item)\b)[^\n<]*|^[^\n<]*\S[^\n<]*\n {0,3}(?:={2,}|-{2,})[ \t]*$", re.M)
+_SET_ASIDE = re.compile(r"[^<>\x00]*(?:\x00\d+\x00[^<>\x00]*)+")
+_EDGE = re.compile(r"(?:[^<>\w\x00]|_|</[A-Za-z][^<>]*>)*")
 
 
 def content_region(text: str) -> tuple[int, int]:
-    """Stretch of an HTML page with the highest sum of word and tag scores; one pass, first of equals."""
-    best, best_span, total, begin = 0.0, (0, 0), 0.0, None
+    """Stretch of an HTML page with the highest sum of word and tag scores; one pass, first of equals.
+
+    Tags of headings and lists cost nothing and stay with the words they lead.
+    """
+    best, best_span, total, begin, leading = 0.0, (0, 0), 0.0, None, False
     for m in _TOKEN.finditer(text):
-        score = TAG_SCORE if m.group()[0] == "<" else WORD_SCORE
-        if begin is None or total <= 0:
-            begin, total = m.start(), 0.0
-        total += score
+        tag = m.group()[0] == "<"
+        free = tag and bool(_FREE.match(m.group()))
+        if begin is None or total < 0 or total == 0 and not leading:
+            begin, total, leading = m.start(), 0.0, True
+        leading = leading and free
+        total += 0.0 if free else TAG_SCORE if tag else WORD_SCORE
         if total > best:
             best, best_span = total, (begin, m.end())
     return best_span
 
 
+def _structure(s: str) -> list[tuple[int, int]]:
+    """Spans of headings, lists, code and formulas of a page, without those in elements of page furniture."""
+    spans: list[tuple[int, int]] = []
+    closed: list[tuple[int, int]] = []
+    furniture = lists = 0
+    outer = list_at = 0
+    open_at: int | None = None  # a heading, or an item without a list
+    open_name = ""
+    for m in TAG.finditer(s):
+        name, end = m[2].lower(), bool(m[1])
+        if open_at is not None and (name == open_name or name in _BLOCK_TAGS and name != "br"):
+            spans.append((open_at, m.end() if end and name == open_name else m.start()))
+            open_at = None
+        if name in _FURNITURE:
+            if not end:
+                outer = outer if furniture else m.start()
+                furniture += 1
+            elif furniture:
+                furniture -= 1
+                if not furniture:
+                    closed.append((outer, m.end()))
+        elif name in _LISTS:
+            if not end:
+                list_at = list_at if lists else m.start()
+                lists += 1
+            elif lists:
+                lists -= 1
+                if not lists:
+                    spans.append((list_at, m.end()))
+        elif not end and not lists and (name in _ITEMS or re.fullmatch(r"h[1-6]", name)):
+            open_at, open_name = m.start(), name
+    if lists:
+        spans.append((list_at, len(s)))
+    if open_at is not None:
+        spans.append((open_at, len(s)))
+    spans += [m.span() for p in (_MARKED_LINE, _SET_ASIDE) for m in p.finditer(s)]
+    spans.sort()
+    out, k = [], 0
+    for a, b in spans:
+        while k < len(closed) and closed[k][1] <= a:
+            k += 1
+        if k == len(closed) or a < closed[k][0]:
+            out.append((a, b))
+    return out
+
+
+def _content(s: str) -> str:
+    """Content region of a page together with the structure outside it, in order; a page without words stays whole."""
+    a, b = content_region(s)
+    if b <= a:
+        return s
+    # only signs and closing tags stand between the last word and what the scan left out, only signs before the first
+    b = _EDGE.match(s, b).end()
+    while a and s[a - 1] not in "<>\x00" and not s[a - 1].isalnum():
+        a -= 1
+    merged: list[list[int]] = []
+    for x, y in sorted([(a, b), *_structure(s)]):
+        if merged and x <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], y)
+        else:
+            merged.append([x, y])
+    return "\n".join(s[x:y] for x, y in merged)
+
+
 def clean(text: str | None, front_matter: bool = False) -> str | None:
     """Clean text: headings as ``# ``, list items as ``- ``, code between fences or backquotes, formulas as written."""
     if not text:
@@ -236,17 +315,18 @@ def clean(text: str | None, front_matter: bool = False) -> str | None:
         text = FRONT.sub("", text, count=1)
     if not _ANY.search(text):
         return text
-    if re.search(r"<html\b", text, re.I) and re.search(r"<body\b", text, re.I):
-        page = _HIDDEN.sub(" ", text)
-        a, b = content_region(page)
-        text = page[a:b] if b > a else page
+    rest, code = split_code(text)
+    page = bool(re.search(r"<html\b", rest, re.I) and re.search(r"<body\b", rest, re.I))
+    if page:
+        starts = {a for a, _, _, _ in code}
+        text = _HIDDEN.sub(lambda m: " " if rest[m.start()] == "<" or m.start() in starts else m.group(), text)
+        _, code = split_code(text)
     kept: list[str] = []
 
     def keep(piece: str) -> str:
         kept.append(piece)
         return f"\x00{len(kept) - 1}\x00"
 
-    _, code = split_code(text)
     parts, at = [], 0
     for a, b, _, inner in code:
         if a < at:
@@ -258,6 +338,7 @@ def clean(text: str | None, front_matter: bool = False) -> str | None:
     s = "".join([*parts, text[at:]])
     s = TEX_MATH.sub(lambda m: keep(m.group()), s)
     s = TEX_DOLLAR.sub(lambda m: keep(m.group()) if _is_formula(m) else m.group(), s)
+    s = _content(s) if page else s
     s = _clean_tex(s)
     s = _clean_wiki(s)
     s = _clean_markdown(s)

@@ -91,6 +91,27 @@ def test_region_is_the_best_by_brute_force():
         assert (score(text[a:b]) if b > a else 0) == pytest.approx(best)
 
 
+@pytest.mark.parametrize(
+    "block, want",
+    [
+        ("<h2>Short</h2>", "## Short"), ("<h1>Short</h1><p>by me</p>", "# Short"), ("<ul><li>one</li><li>two</li></ul>", "- one\n\n- two"), ("<ol>\n<li><a href='x'>one</a></li>\n</ol>", "- one"), ("<pre>x = 1</pre>", "`x = 1`"), ("<pre>x = 1\ny = '<style>a</style>'</pre>", "```\nx = 1\ny = '<style>a</style>'\n```"),
+        ("<p>$x^2$</p>", "$x^2$"), ("<p>\\(y_1\\)</p>", "\\(y_1\\)"), ("<p></p>\n## Mark\n<p></p>", "## Mark"), ("<dl><dt>a</dt><dd>b</dd></dl>", "a"),
+    ],
+)
+def test_page_keeps_structure_at_and_beyond_its_edges(block, want):
+    prose = "<p>" + "many plain words of an article " * 6 + "end (here).</p>"
+    far = "<div><p></p></div>" * 3
+    nav = "<nav><ul><li><a href='/'>Home</a></li></ul></nav>"
+    for page in (f"{block}{prose}", f"{prose}{block}", f"{block}{far}{prose}", f"{prose}{far}{block}"):
+        got = markup.clean(f"<html><head><title>T</title><style>p {{}}</style></head><body>{nav}{page}</body></html>")
+        assert want in got and "end (here)." in got and "Home" not in got and "p {}" not in got and "\0" not in got
+
+
+def test_a_page_inside_code_does_not_make_a_page():
+    got = markup.clean("Intro **one**.\n\n<p>two</p>\n\n```html\n<html><body><p>x</p></body></html>\n```\n")
+    assert "Intro one." in got and "two" in got and "<html><body><p>x</p></body></html>" in got
+
+
 # -- 3 ------------------------------------------------------------------------------------------------
 
 VALID = {
