@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import severity_rank
@@ -62,6 +62,18 @@ def unmatched_decisions(res: DataFrame, policy: DataFrame) -> DataFrame:
 AXES = ("execution", "network")
 
 
+def axis_of(rule: str = "rule") -> Column:
+    """Axis of a capability rule."""
+    return F.when(F.col(rule).contains("network"), "network").otherwise("execution")
+
+
+def declarations(grants: DataFrame) -> DataFrame:
+    """Declared state of each axis for the manifests that allow any tool: ``pkg_id, manifest, side, axis, state``."""
+    tool = F.lower("tool")
+    by = grants.where("allowed").groupBy("pkg_id", F.col("rel").alias("manifest")).agg(F.bool_or(tool.isin("bash", "shell", "execute", "*")).alias("execution"), F.bool_or(tool.isin("webfetch", "websearch", "fetch", "*", "bash")).alias("network"))
+    return by.select("pkg_id", "manifest", F.lit("declared").alias("side"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.when(F.col(a), "present").otherwise("denied").alias("state")) for a in AXES])).alias("x")).select("pkg_id", "manifest", "side", "x.axis", "x.state")
+
+
 def triads(manifests: DataFrame, claims: DataFrame, observed: DataFrame, gaps: DataFrame) -> DataFrame:
     """Claimed, declared and observed state of each axis for every manifest.
 

@@ -682,12 +682,9 @@ def x10_triads(spark, sf_dir):
     f = files(spark, sf_dir)
     governed = graph.governing_manifest(f).where("manifest is not null")
     manifests = f.where("kind = 'skill_manifest'").select("pkg_id", F.col("rel").alias("manifest")).distinct()
-    g = inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct().where("allowed")
-    tool = F.lower("tool")
-    by = g.groupBy("pkg_id", F.col("rel").alias("manifest")).agg(F.bool_or(tool.isin("bash", "shell", "execute", "*")).alias("execution"), F.bool_or(tool.isin("webfetch", "websearch", "fetch", "*", "bash")).alias("network"))
-    claims = by.select("pkg_id", "manifest", F.lit("declared").alias("side"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.when(F.col(a), "present").otherwise("denied").alias("state")) for a in correlate.AXES])).alias("x")).select("pkg_id", "manifest", "side", "x.axis", "x.state")
+    claims = correlate.declarations(inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct())
     caps = detect.line_findings(artifacts(spark, sf_dir), [r for r in detect.CODE if r.vector == "SXV-033"])
-    seen = caps.select("pkg_id", F.col("path").alias("rel"), F.when(F.col("rule").contains("network"), "network").otherwise("execution").alias("axis")).distinct().join(governed, ["pkg_id", "rel"])
+    seen = caps.select("pkg_id", F.col("path").alias("rel"), correlate.axis_of().alias("axis")).distinct().join(governed, ["pkg_id", "rel"])
     gaps = ledger.coverage_findings(f, table(spark, sf_dir, "ledger")).where("rule = 'analysis-incomplete'").select("pkg_id", F.col("path").alias("rel")).distinct().join(governed, ["pkg_id", "rel"]).select("pkg_id", "manifest")
     return correlate.triads(manifests, claims, seen.select("pkg_id", "manifest", "axis"), gaps)
 

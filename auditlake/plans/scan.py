@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import severity_rank
-from ..operators import detect, findings, flow, inspect, ledger, markdown
+from ..operators import correlate, detect, findings, flow, graph, inspect, ledger, markdown
 from ..operators.findings import COLUMNS
 from ..operators.inspect import FINDING
 
@@ -141,13 +141,22 @@ def one_file(pkg: str, rel: str, kind: str, text: str | None, raw: bytes | None)
     return out
 
 
+def _understated(found: DataFrame, texts: DataFrame, files: DataFrame) -> DataFrame:
+    """``found`` with only those capabilities (SXV-033) that the governing manifest, which allows tools, does not declare."""
+    capability = F.col("vector") == "SXV-033"
+    governed = graph.governing_manifest(files).where("manifest is not null").withColumnRenamed("rel", "path")
+    denied = correlate.declarations(inspect.grants(texts).distinct()).where("state = 'denied'").select("pkg_id", "manifest", "axis", F.lit(True).alias("undeclared"))
+    out = found.withColumn("axis", F.when(capability, correlate.axis_of())).join(governed, ["pkg_id", "path"], "left").join(denied, ["pkg_id", "manifest", "axis"], "left").where(~capability | F.col("undeclared"))
+    return out.withColumn("message", F.when(capability, F.concat("axis", F.lit(" is not declared by "), "manifest")).otherwise(F.col("message"))).select(*found.columns)
+
+
 def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """All findings with ``check_order``, de-duplicated (the most severe stays).
 
     The texts are read four times whatever the number of checks: once by all
     parsing checks together, once by all line rules, once for fenced code and
-    once for the commands of shell scripts; joins and exchanges carry findings,
-    paths and ledger rows only.
+    once for the commands of shell scripts; manifests are read once more for
+    their grants.  Joins and exchanges carry findings, paths and ledger rows only.
     """
     a = artifacts.select("pkg_id", "rel", "kind", "text")
     files = ledger.files(artifacts)
@@ -161,13 +170,13 @@ def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | No
         "vector": F.when(hook, "SXV-012").otherwise(F.col("vector")), "message": F.when(hook, F.regexp_replace("message", r"^([^:]*): [\s\S]*$", "$1: unresolved_external")).otherwise(F.col("message")),
     }).withColumn("rule", F.when(hook, "root-hook-autoexec").otherwise(F.col("rule")))
 
-    skip = {r.rule for r in detect.PROSE if r.vector in ("SXV-001", "SXV-002", "SXV-034")} | {r.rule for r in detect.CODE if r.vector == "SXV-033"}
+    skip = {r.rule for r in detect.PROSE if r.vector in ("SXV-001", "SXV-002", "SXV-034")}
     rules = [r for r in detect.RULES if r.rule not in skip]
     by_vector = F.when(F.col("vector") == "SXV-017", CHECKS.index("supply_chain") + 1).when(F.col("vector").isin("SXV-005", "SXV-006") & ~F.col("rule").startswith("E"), CHECKS.index("persistence") + 1).when(F.col("rule").rlike("^E[0-9]"), CHECKS.index("code") + 1)
     lines = detect.guarded_findings(a, rules).withColumn("check_order", by_vector.otherwise(F.when(F.col("vector") == "SXV-007", CHECKS.index("obfuscation") + 1).otherwise(CHECKS.index("instruction") + 1)))
 
     units = markdown.fenced_code(a).select("pkg_id", "rel", F.concat(F.lit("script_"), "language").alias("kind"), F.col("code").alias("text"))
-    shown = detect.line_findings(units, [r for r in detect.CODE if r.vector != "SXV-033"])
+    shown = detect.line_findings(units, detect.CODE)
     code = shown.unionByName(flow.staged_downloads(a.where("kind = 'script_shell'").unionByName(units))).withColumn("check_order", F.lit(CHECKS.index("code") + 1))
 
     large = detect.obfuscated_scripts(a).where("rule is not null")
@@ -175,7 +184,7 @@ def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | No
         "pkg_id", "path", F.lit("SXV-044").alias("vector"), "rule", F.when(F.col("rule") == "obfuscated-script", "high").otherwise("medium").alias("severity"), F.concat_ws(" ", F.lit("longest line"), F.col("longest_line").cast("string")).alias("message"),
         F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"), F.lit(CHECKS.index("obfuscation") + 1).alias("check_order"),
     )
-    out = parsed.unionByName(lines).unionByName(code).unionByName(large)
+    out = parsed.unionByName(_understated(lines.unionByName(code), a, files)).unionByName(large)
     out = out.unionByName(ledger.coverage_findings(files, ledger_table).withColumn("check_order", F.lit(CHECKS.index("coverage") + 1)))
     if comments is not None:
         hidden = detect.hidden_comments(comments).join(files.select("artifact_id", "pkg_id", "rel").distinct(), "artifact_id")

@@ -44,6 +44,22 @@ def test_scan(spark):
     assert scan.scan(arts.where("false"), led.where("false"), com.where("false")).count() == 0
 
 
+def test_understated_capabilities(spark):
+    net, run = "import requests\nrequests.get(u)\n", "import os\nos.system(c)\n"
+    head = "---\nname: x\nallowed-tools: {}\n---\n# T\n"
+    rows = [
+        ("p", "SKILL.md", "skill_manifest", head.format("Read")), ("p", "s/net.py", "script_python", net), ("p", "s/b/SKILL.md", "skill_manifest", head.format("Read, Bash")), ("p", "s/b/run.py", "script_python", run + net),
+        ("q", "SKILL.md", "skill_manifest", "# no grants"), ("q", "run.py", "script_python", run), ("r", "SKILL.md", "skill_manifest", head.format("WebFetch") + "\n```js\nrequire('child_process')\nfetch(u)\n```\n"), ("r", "net.js", "script_javascript", "fetch(u)\n"), ("s", "run.py", "script_python", run),
+    ]
+    arts = spark.createDataFrame([(i, p, rel, kind, "x", None, text, None) for i, (p, rel, kind, text) in enumerate(rows)] + [(1, "p", "s/net.py", "script_python", "x", None, net, None)], COLUMNS)
+    led = spark.createDataFrame([], "pkg_id string, phase string, reason_code string, path string")
+    found = scan.scan(arts, led).cache()
+    got = sorted((r.pkg_id, r.path, r.rule[:3], r.severity, r.line_no, r.message) for r in found.where("vector = 'SXV-033'").collect())
+    assert got == [("p", "s/net.py", "E61", "medium", 2, "network is not declared by SKILL.md"), ("r", "SKILL.md", "E72", "medium", 8, "execution is not declared by SKILL.md")]
+    v = {r.pkg_id: r.verdict for r in scan.verdicts(found, arts.select("pkg_id")).collect()}
+    assert v["p"] != "CLEAN" and v["q"] == v["s"] == "CLEAN"
+
+
 def test_a_check_that_fails_is_reported(spark):
     df = spark.createDataFrame([("p", "a", "x"), ("p", "b", None)], "pkg_id string, path string, text string")
 
