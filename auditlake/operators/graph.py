@@ -63,18 +63,18 @@ def references(artifacts: DataFrame) -> DataFrame:
     return named.join(there, ["pkg_id", "target"]).select("pkg_id", "source", "target")
 
 
-def reach(edges: DataFrame, roots: DataFrame, rounds: int = 32) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes ``pkg_id, rel`` reachable from ``roots`` over ``edges``, roots included.
 
-    Each round joins only what the last one found; the reached set is cut by a
-    checkpoint in the shared folder so that the plan does not grow.
+    Each round joins only what the last one found, until it finds nothing new,
+    so a chain of any length is followed to its end; the reached set is cut by
+    a checkpoint in the shared folder so that the plan does not grow.
     """
     reached = roots.select("pkg_id", "rel").distinct().checkpoint()
     front = reached
-    for _ in range(rounds):
+    while True:
         step = front.select("pkg_id", F.col("rel").alias("source")).join(edges, ["pkg_id", "source"]).select("pkg_id", F.col("target").alias("rel")).distinct()
         front = step.join(reached, ["pkg_id", "rel"], "left_anti").checkpoint()
         if front.isEmpty():
             return reached
         reached = reached.unionByName(front).checkpoint()
-    return reached

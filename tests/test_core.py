@@ -151,6 +151,13 @@ def test_links_and_reach(spark, tmp_path):
     assert rows(got.select("rel")) == [("SKILL.md",), ("a.md",), ("b/c.md",)]
 
 
+def test_reach_follows_a_long_chain_to_its_end(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    edges = spark.createDataFrame([("p", f"{i}.md", f"{i + 1}.md") for i in range(40)] + [("p", "40.md", "0.md"), ("q", "0.md", "1.md")], "pkg_id string, source string, target string").coalesce(1)
+    got = graph.reach(edges, spark.createDataFrame([("p", "0.md")], "pkg_id string, rel string"))
+    assert rows(got) == sorted(("p", f"{i}.md") for i in range(41))
+
+
 def test_ledger(spark):
     arts = spark.createDataFrame(
         [(1, "p", "a", "other", "other", None, "x"), (2, "p", "b.png", "asset", "asset", "binary_content", None), (3, "p", "c", "other", "other", "too_large", None), (3, "p", "c", "other", "other", "too_large", None)],
