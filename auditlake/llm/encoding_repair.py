@@ -8,6 +8,11 @@ capitals in the middle of a word, rare letters and ideographs), and the
 cheapest reachable text wins if it is clearly cheaper than the line itself.
 The steps that repaired one line of a file are tried first on its next lines.
 
+A line that costs too little for the search is still read for runs that are
+UTF-8 when encoded back and give a common sign (signs and European letters by
+cp1252 and latin-1, punctuation and symbols of three bytes by every charset of
+``_ENCODE``): one such run is evidence by itself, whatever the line costs.
+
 Bytes that were not decoded at all are read with every candidate charset and
 kept when they are text: no control bytes and a low cost a character.
 
@@ -285,32 +290,96 @@ def suspicious(line: str) -> bool:
     return c > 1.5 and c > 0.33 * len(re.findall(r"[^\x00-\x7f]", line))
 
 
+# First code points and last of punctuation and symbols that stand in prose.
+_SYMBOLS = ((0x2010, 0x2027), (0x2030, 0x203A), (0x20A0, 0x20BF), (0x2100, 0x23FF), (0x2460, 0x27BF))
+
+
+def _sequences() -> dict[str, tuple[str, str]]:
+    """Garbled form -> charset and sign, for signs whose UTF-8 bytes show that they were read with the charset."""
+    out: dict[str, tuple[str, str]] = {}
+    for codec, table in _ENCODE.items():
+        chars: dict[int, set[str]] = {}
+        for n, b in table.items():
+            chars.setdefault(b, set()).add(chr(n))
+        if codec == "cp1252":
+            for b in range(0x80, 0xA0):
+                chars[b].add(chr(b))
+        signs = [c for a, b in _SYMBOLS for c in range(a, b + 1)]
+        if codec == "cp1252":
+            signs = [*range(0xA0, 0x180), 0xFEFF, *signs]
+        for n in signs:
+            forms = [""]
+            for b in chr(n).encode():
+                forms = [f + c for f in forms for c in sorted(chars.get(b, ()))]
+            for f in forms:
+                out.setdefault(f, (codec, chr(n)))
+    return out
+
+
+_SIGN_OF = _sequences()
+_LEADS = sorted({f[0] for f in _SIGN_OF})
+_RUN = re.compile("|".join(f"{re.escape(a)}(?:{'|'.join(f'[{re.escape(chr(0).join(sorted(x))).replace(chr(0), str())}]' + '{' + str(k) + '}' for k, x in ((2, {c for f in _SIGN_OF if f[0] == a and len(f) == 3 for c in f[1:]}), (1, {f[1] for f in _SIGN_OF if f[0] == a and len(f) == 2})) if x)})" for a in _LEADS))
+
+
+def _by_itself(line: str, m: re.Match) -> bool:
+    """Whether a run of two characters is no letter of the text followed by a sign, as in names in capitals or a quoted letter."""
+    if len(m.group()) > 2:
+        return True
+    before, after = line[m.start() - 1 : m.start()], line[m.end() : m.end() + 1]
+    blank = m.group()[1] == "\xa0"
+    if before.isupper() and (blank or not after.isalpha()):
+        return False
+    return m.group()[0] in "ÂÃ" or before.islower() or after.islower() and not blank
+
+
+def restore_runs(line: str) -> tuple[str, tuple]:
+    """A line with its runs of garbled UTF-8 restored, wherever they stand, and the step to it; the rest stays as it is."""
+    used: tuple = ()
+
+    def one(m: re.Match) -> str:
+        nonlocal used
+        got = _SIGN_OF.get(m.group())
+        if got is None or not _by_itself(line, m):
+            return m.group()
+        used = used or ((got[0], "utf-8"),)
+        return got[1]
+
+    for _ in range(STEPS):
+        new = _RUN.sub(one, line)
+        if new == line:
+            break
+        line = new
+    return line, used
+
+
 def repair_text(text: str) -> tuple[str, int, str]:
     """Restored text, number of garbled lines, and the steps most used ('lost' if characters are gone for good)."""
     if text.isascii() and "&" not in text:
         return text, 0, ""
     kinds = text.translate(_KINDS)
     refs = "&" in text and _REFS.search(text)
-    if not refs and not _GATE.search(kinds):
+    run = _RUN.search(text)
+    if not refs and not run and not _GATE.search(kinds):
         return text, 0, ""
     out, bad, used = [], 0, {}
     first: tuple = ()
     for line, k in zip(text.split("\n"), kinds.split("\n")):
-        if not _GATE.search(k) and not (refs and _REFS.search(line)):
+        if not _GATE.search(k) and not (refs and _REFS.search(line)) and not (run and _RUN.search(line)):
             out.append(line)
             continue
         gone = bool(_LOST.search(line))
         new = []
         hit = gone
         for piece in re.findall(rf"[\s\S]{{1,{PIECE}}}(?:\s|\Z)|[\s\S]{{1,{PIECE}}}", line) if len(line) > PIECE else [line]:
-            if suspicious(piece):
-                fixed, steps = repair(piece, first)
-                if steps:
-                    hit, first = True, steps
-                    used[steps] = used.get(steps, 0) + 1
-                new.append(fixed)
-            else:
-                new.append(piece)
+            fixed, steps = repair(piece, first) if suspicious(piece) else (piece, ())
+            if steps:
+                first = steps
+            elif run:
+                fixed, steps = restore_runs(piece)
+            if steps:
+                hit = True
+                used[steps] = used.get(steps, 0) + 1
+            new.append(fixed)
         bad += hit
         out.append("".join(new))
     if not bad:

@@ -203,6 +203,18 @@ def test_right_text_stays(text):
     assert encoding_repair.repair_text(text) == (text, 0, "")
 
 
+@pytest.mark.parametrize("text", ["I don’t know", "it – was", "wait… what", "cost £5 now", "at 20 °C", "© 2020", "→ next", "✓ done", "5 € here"])
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1"])
+def test_one_garbled_sign_on_a_line(text, wrong):
+    bad = "".join(bytes([b]).decode(wrong) if wrong == "latin-1" or b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in text.encode())
+    assert encoding_repair.repair_text(f"first\n{bad}\nlast ü") == (f"first\n{text}\nlast ü", 1, "cp1252/utf-8")
+
+
+@pytest.mark.parametrize("text", ["«IRMÃ» disse", "A MANHÃ” e", "MANHÃ\xa0CLARA", "der Buchstabe „Ä“ zuerst", "Å\xa0gå", "voilà\xa0», dit", "CAFÉ™ Maß“", "В\xa0этом «доме»", "the pâté – 5 °C"])
+def test_letters_before_signs_stay(text):
+    assert encoding_repair.repair_text(text) == (text, 0, "")
+
+
 def test_lost_characters_and_bytes():
     assert encoding_repair.repair_text("Fr��h L��schung")[1:] == (1, "lost")
     assert encoding_repair.one_file(1, None, "binary_content", "Größe über alles\n".encode("utf-16-le")) == [(1, 2, "utf-16-le", "Größe über alles\n")]
