@@ -233,14 +233,17 @@ def chain(doc: np.ndarray, rec: np.ndarray, word: np.ndarray, place: np.ndarray)
     got = np.add.reduceat(step, head)
     runs = sorted(zip(doc[head].tolist(), rec[head].tolist(), word[head].tolist(), (word[tail - 1] + SEED).tolist(), place[head].tolist(), (place[tail - 1] + SEED).tolist(), got.tolist()))
     out: list[list[int]] = []
+    near: list[list[int]] = []  # runs of this text and record whose end can still be reached
     for d, r, w0, w1, p0, p1, g in runs:
-        for x in reversed(out[-8:]):
-            if x[0] == d and x[1] == r and -SEED < w0 - x[3] <= 1 and -SEED < p0 - x[5] <= 1 and w1 > x[3] and p1 > x[5]:
+        near = [x for x in near if x[0] == d and x[1] == r and w0 - x[3] <= 1]
+        for x in reversed(near):
+            if -SEED < w0 - x[3] <= 1 and -SEED < p0 - x[5] <= 1 and w1 > x[3] and p1 > x[5]:
                 x[6] += g - max(0, x[3] - w0, x[5] - p0)
                 x[3], x[5] = w1, p1
                 break
         else:
-            out.append([d, r, w0, w1, p0, p1, g])
+            near.append([d, r, w0, w1, p0, p1, g])
+            out.append(near[-1])
     return [(d, r, w0, w1, g) for d, r, w0, w1, p0, p1, g in out if max(w1 - w0, p1 - p0) >= LEAST and g >= LEAST - 2]
 
 

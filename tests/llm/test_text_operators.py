@@ -8,6 +8,7 @@ import tomllib
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -354,6 +355,14 @@ def test_passages(spark):
     assert leakage.passages(d.where("false"), r).count() == 0 and leakage.passages(d, r.where("false")).count() == 0
 
 
+def test_a_run_is_continued_past_many_others():
+    # two stretches with one word added between, and twelve places of the record that repeat its first phrase
+    n = leakage.SEED
+    hits = [(0, 0, w, w + 40) for w in (0, 1)] + [(0, 0, w, w + 39) for w in (n + 2, n + 3)] + [(0, 0, 1, 200 + 50 * i) for i in range(12)]
+    got = leakage.chain(*(np.array(x) for x in zip(*hits)))
+    assert (0, 0, 0, 2 * n + 3, 2 * n + 2) in got
+
+
 def test_passages_against_window_search():
     rng = random.Random(9)
     words = [f"w{k}" for k in range(300)]
