@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a folder of our own only where none is set, as in tests."""
+    """Use the shared folder the cluster names; a folder of our own only in a local session without one, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint_"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint_"))
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -45,7 +49,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         yield batch
         return
     start = size = 0
-    for i, k in enumerate(pa.compute.binary_length(col).to_pylist()):
+    for i, k in enumerate(pc.binary_length(col).to_pylist()):
         k = k or 0
         if size and size + k > most:
             yield batch.slice(start, i - start)

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,12 +235,12 @@ def visual_array(col: pa.Array) -> tuple[pa.Array, np.ndarray]:
     texts = col.to_numpy(zero_copy_only=False) if len(rows) < n else None
     forms = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(np.r_[0, new_ends].astype(np.int64)), pa.py_buffer(new.tobytes()))
     old = col.take(pa.array(rows))
-    changed[rows] = pa.compute.not_equal(old, forms).to_numpy(zero_copy_only=False)
+    changed[rows] = pc.not_equal(old, forms).to_numpy(zero_copy_only=False)
     if texts is None:
         return forms, changed
     mask = np.zeros(n, bool)
     mask[rows] = True
-    return pa.compute.replace_with_mask(col, pa.array(mask), forms), changed
+    return pc.replace_with_mask(col, pa.array(mask), forms), changed
 
 
 def _digests(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

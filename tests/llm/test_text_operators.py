@@ -4,15 +4,18 @@ import ast
 import base64
 import json
 import random
+import subprocess
+import sys
 import tomllib
 import unicodedata
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from auditlake.llm import credentials, encoding_repair, leakage, markup, packing, script_grammar, shell_grammar, spam_pages, syntax_check, visual_form
+from auditlake.llm import common, credentials, encoding_repair, leakage, markup, packing, script_grammar, shell_grammar, spam_pages, syntax_check, visual_form
 from auditlake.llm import queries as text_queries
 
 ARTIFACTS = "artifact_id long, pkg_id string, ord int, rel string, role string, kind string, exception string, text string, raw binary, ingested_at timestamp"
@@ -23,6 +26,41 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
+# -- shared -------------------------------------------------------------------------------------------
+
+
+def test_first_batch_of_a_fresh_worker_may_be_large(tmp_path):
+    """A new Python process whose first Arrow batch exceeds the slice size: read from a stream, as a worker gets it."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["x" * 300_000 + "é"] * 39 + [None])], ["id", "text"])
+    with pa.OSFile(str(tmp_path / "batch"), "wb") as f, pa.ipc.new_stream(f, batch.schema) as out:
+        out.write_batch(batch)
+    for call in (
+        "sum(p.num_rows for p in slices(batch, 'text')) == 40 and len(list(slices(batch, 'text'))) > 2",
+        "visual_array(batch.column(1))[1].sum() == 0",
+        "visual_array(batch.column(1).slice(30))[0].null_count == 1",
+    ):
+        code = f"import pyarrow as pa; from auditlake.llm.common import slices; from auditlake.llm.visual_form import visual_array; batch = pa.ipc.open_stream(pa.memory_map({str(tmp_path / 'batch')!r})).read_next_batch(); assert {call}"
+        subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[2])
+
+
+def test_checkpoint_folder_is_shared_or_local():
+    class Context:
+        master, folder = "spark://host:7077", None
+        getCheckpointDir = lambda self: self.folder
+
+        def setCheckpointDir(self, folder):
+            self.folder = folder
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError):
+        common.checkpoint_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://shared/folder"}
+    common.checkpoint_dir(Session())
+    assert Session.sparkContext.folder == "hdfs://shared/folder"
+
+
 # -- 1 ------------------------------------------------------------------------------------------------
 
 
