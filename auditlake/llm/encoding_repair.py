@@ -17,7 +17,7 @@ Bytes that were not decoded at all are read with every candidate charset and
 kept when they are text: no control bytes and a low cost a character.
 
 Null text without readable bytes, empty texts and correct texts give nothing.
-Files of any length are read whole, long lines in pieces of ``PIECE`` characters cut at blanks.
+Files of any length are read whole, long lines in pieces of about ``PIECE`` characters cut at blanks, or else where a run of foreign characters ends.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 PIECE = 2000
-STEPS = 3
 #: A repaired line must cost at most this share of the line as it stands, and this much less.
 SHARE, GAIN = 0.62, 1.6
 
@@ -179,7 +178,7 @@ _ENCODE = {c: _bytes_of(c) for c in ("cp1252", "cp1250", "cp1251", "cp437", "cp8
 _SINGLE = ("cp1251", "koi8_r", "iso8859_5", "cp866", "mac_cyrillic", "cp1250", "iso8859_2", "cp850", "cp437", "mac_roman", "mac_latin2", "cp852", "cp1253", "cp1254", "cp1257", "cp1258")
 _DOUBLE = ("big5", "gbk", "shift_jis", "euc_jp", "euc_kr")
 MOVES = (
-    [(e, "utf-8") for e in _ENCODE]
+    [(e, "utf-8") for e in (*_ENCODE, *_DOUBLE)]
     + [("cp1252", d) for d in (*_SINGLE, *_DOUBLE)]
     + [(e, d) for e in ("cp1251", "koi8_r", "cp866", "iso8859_5") for d in ("cp1251", "koi8_r", "cp866", "iso8859_5") if e != d]
     + [("mac_roman", d) for d in ("cp1252", "cp1251", "gbk", "big5", "shift_jis")]
@@ -189,12 +188,26 @@ MOVES = (
 )
 
 
+_WIDE_RUN = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+def _rewritten(run: str, codec: str) -> str:
+    """UTF-8 that was read with a charset of two bytes; the run itself if its bytes are none."""
+    try:
+        return run.encode(codec).decode()
+    except UnicodeError:
+        return run
+
+
 def move(text: str, step: tuple[str, str]) -> str | None:
     """One step, or None when it cannot be taken.  A lost character stays lost; what the charset does not have stays as it is."""
     how, into = step
     if how == "unescape":
         out = html.unescape(text)
         return out if out != text else None
+    if how in _DOUBLE:
+        new = _WIDE_RUN.sub(lambda m: _rewritten(m.group(), how), text)
+        return new if new != text else None
     table = _ENCODE[how]
     lost = "�" in text and into == "utf-8"
     parts, start = [], 0
@@ -237,7 +250,13 @@ def move(text: str, step: tuple[str, str]) -> str | None:
 
 
 def repair(text: str, first: tuple = ()) -> tuple[str, tuple]:
-    """Cheapest reachable text and the steps to it; ``first`` are steps worth trying before the search."""
+    """Cheapest reachable text and the steps to it; ``first`` are steps worth trying before the search.
+
+    A path takes at most one step into a table of one or two bytes a character
+    (``_table``) and any number of steps to UTF-8 or of unescaping: those only
+    succeed on texts that hold such sequences and make the text shorter, so the
+    search ends by itself, when no state is left that was not seen.
+    """
     before = cost(text)
     if first:
         new: str | None = text
@@ -248,37 +267,39 @@ def repair(text: str, first: tuple = ()) -> tuple[str, tuple]:
     seen = {hash(text)}
     queue: list = [(before, 0, 0, text, ())]
     best, best_cost, best_steps = text, before, ()
-    serial = taken = 0
-    while queue and taken < 20:
+    serial = 0
+    while queue:
         _, _, _, here, steps = heapq.heappop(queue)
         c = cost(here) if steps else before
-        taken += 1
         if steps and c <= best_cost + 0.2 * len(steps) and c < 0.25 * before and c < 0.25 * sum(x > "\x7f" for x in here):
             break
-        if len(steps) == STEPS:
-            continue
+        turned = any(_table(s) for s in steps)
         for step in MOVES:
+            if turned and _table(step):
+                continue
             new = move(here, step)
             if new is None or hash(new) in seen:
                 continue
             seen.add(hash(new))
+            if any(x < " " and x not in "\t\r\n" for x in new):
+                continue  # control characters: no text at all
             k = cost(new) + 0.2 * (len(steps) + 1)
             if steps and steps[-1][1] == "utf-8" != step[1]:
                 k += 2  # what came out as UTF-8 seldom needs another table
-            if any(x < " " and x not in "\t\r\n" for x in new):
-                continue
             if k < best_cost:
                 best, best_cost, best_steps = new, k, (*steps, step)
-            # the text between two wrong decodings may look worse than the start
-            if k < 1.3 * before:
-                serial += 1
-                # bytes that happen to be UTF-8 are strong evidence, so such a state is looked at early
-                heapq.heappush(queue, (k * (0.4 if step[1] == "utf-8" else 1), len(steps) + 1, serial, new, (*steps, step)))
+            serial += 1
+            # bytes that happen to be UTF-8 are strong evidence, so such a state is looked at early
+            heapq.heappush(queue, (k * (0.4 if step[1] == "utf-8" else 1), len(steps) + 1, serial, new, (*steps, step)))
     if best_steps and best_cost <= SHARE * before and before - best_cost >= GAIN:
         return best, best_steps
     return text, ()
 
 
+def _table(step: tuple[str, str]) -> bool:
+    return step[1] not in ("utf-8", "")
+
+
 _LOST = re.compile(r"[^\W\d_]�|�[^\W\d_]|�{2,}")
 _REFS = re.compile(r"(?:&(?:[AEIOUaeiou](?:grave|acute|circ|tilde|uml|ring)|Atilde|Acirc|copy|euro|trade);\S{0,3}){2,}")
 
@@ -344,10 +365,7 @@ def restore_runs(line: str) -> tuple[str, tuple]:
         used = used or ((got[0], "utf-8"),)
         return got[1]
 
-    for _ in range(STEPS):
-        new = _RUN.sub(one, line)
-        if new == line:
-            break
+    while (new := _RUN.sub(one, line)) != line:  # each round makes the line shorter
         line = new
     return line, used
 
@@ -370,7 +388,7 @@ def repair_text(text: str) -> tuple[str, int, str]:
         gone = bool(_LOST.search(line))
         new = []
         hit = gone
-        for piece in re.findall(rf"[\s\S]{{1,{PIECE}}}(?:\s|\Z)|[\s\S]{{1,{PIECE}}}", line) if len(line) > PIECE else [line]:
+        for piece in re.findall(rf"[\s\S]{{1,{PIECE}}}(?:\s|\Z)|[\s\S]{{1,{PIECE}}}[^\x00-\x7f]*", line) if len(line) > PIECE else [line]:
             fixed, steps = repair(piece, first) if suspicious(piece) else (piece, ())
             if steps:
                 first = steps
