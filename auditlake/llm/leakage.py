@@ -10,8 +10,11 @@ or added words, and merged to spans.  Every document of the shard is indexed
 whole; nothing but the matches leaves the task, and no shuffle is needed.
 
 Word comparison ignores case, punctuation, layout and markup (HTML elements
-and references, link targets).  Phrases found in more than ``MANY`` records
-are shared wording and start no match.
+and references, link targets).  Phrases found in more than a share ``MANY`` of all
+records (held out or not, at least ``MANY_LEAST`` of them) are shared wording
+and start no match; how many records hold a phrase is counted by an aggregate
+over all records before the search, so the answer depends neither on the order
+nor on the blocks in which records are read.
 
 Null and empty texts match nothing; records without text are passed over;
 repeated records count once; identical documents each get their row.
@@ -23,20 +26,24 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 SEED = 5
 LEAST = 12
-MANY = 10
+#: Share of the records in which a phrase is wording of the collection and not of a record, and the least number of records for it.
+MANY, MANY_LEAST = 1 / 60, 10
 SHARD_WORDS = 600_000
 #: Held-out text searched in one pass; a larger test set is searched block by block.
 BLOCK_BYTES = 32 << 20
 SAMPLE = 16
 
 _WORD = re.compile(r"[^\W_぀-ヿ㐀-鿿]+|[぀-ヿ㐀-鿿]")
-_MARKUP = re.compile(r"<!--|-->|</?[A-Za-z][^<>\n]{0,300}>|&(?:[A-Za-z]{2,8}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});|(?<=\])\([^()\s]*\)")
+_MARKUP = re.compile(r"<!--|-->|</?[A-Za-z][^<>\n]*>|&(?:[A-Za-z]{2,8}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});|(?<=\])\([^()\s]*\)")
 
 
 def _blank(m: re.Match) -> str:
@@ -59,36 +66,31 @@ def word_places(text: str) -> list[tuple[int, int]]:
 
 
 class Phrases:
-    """Test phrases of a block of records: vocabulary, distinct seeds and where each occurs."""
+    """Test phrases of a block of records ``(name, text, places of shared phrases)``: vocabulary, distinct seeds and where each occurs."""
 
-    def __init__(self, records: list[tuple[str, str]], others: list[str] = ()) -> None:
-        self.names = [r for r, _ in records]
+    def __init__(self, records: list[tuple[str, str, list[int]]]) -> None:
+        self.names = [r for r, _, _ in records]
         self.vocabulary: dict[str, int] = {}
         number = self.vocabulary.setdefault
-        rows = [np.array([number(w, len(self.vocabulary) + 3) for w in words(t)], np.int64) for _, t in records]
-        # wording shared with records that are not held out counts as shared too
-        beside = [np.array([self.vocabulary.get(w, 2) for w in words(t)], np.int64) for t in others]
+        rows = [np.array([number(w, len(self.vocabulary) + 3) for w in words(t)], np.int64) for _, t, _ in records]
         self.symbols = len(self.vocabulary) + 3
         windows, owner, place = [], [], []
-        for i, r in enumerate(rows + beside):
+        for i, (r, (_, _, shared)) in enumerate(zip(rows, records)):
             if len(r) >= SEED:
-                windows.append(np.lib.stride_tricks.sliding_window_view(r, SEED))
-                owner.append(np.full(len(r) - SEED + 1, i))
-                place.append(np.arange(len(r) - SEED + 1))
-        if not windows:
+                own = np.ones(len(r) - SEED + 1, bool)
+                own[np.array(shared, np.int64)] = False
+                at = np.flatnonzero(own)
+                windows.append(np.lib.stride_tricks.sliding_window_view(r, SEED)[at])
+                owner.append(np.full(len(at), i))
+                place.append(at)
+        if not sum(map(len, windows)):
             self.seeds = np.zeros((0, SEED), np.int64)
             return
-        owner, place = np.concatenate(owner), np.concatenate(place)
-        seeds, at = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
-        at = at.reshape(-1)
-        pairs = np.unique(at * (len(rows) + len(beside)) + owner) // (len(rows) + len(beside))
-        rare = np.bincount(pairs, minlength=len(seeds)) <= MANY
-        keep = rare[at] & (owner < len(rows)) & (seeds[at] > 2).all(1)
-        new = np.cumsum(np.bincount(at[keep], minlength=len(seeds)) > 0) - 1
-        order = np.argsort(at[keep], kind="stable")
-        self.seed_of = new[at[keep]][order]
-        self.owner, self.place = owner[keep][order], place[keep][order]
-        self.seeds = seeds[np.unique(at[keep])]
+        self.seeds, seed_of = np.unique(np.concatenate(windows), axis=0, return_inverse=True)
+        seed_of = seed_of.reshape(-1)
+        order = np.argsort(seed_of, kind="stable")
+        self.seed_of = seed_of[order]
+        self.owner, self.place = np.concatenate(owner)[order], np.concatenate(place)[order]
         self.first = np.searchsorted(self.seed_of, np.arange(len(self.seeds) + 1))
 
 
@@ -208,7 +210,7 @@ def find(texts: list[str], phrases: Phrases) -> list[tuple[int, int, int, int, i
     inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     at = index.locate(np.repeat(lo[hit], n) + inside)
     seed = np.repeat(hit, n)
-    # each occurrence meets the record places of its phrase, at most MANY records
+    # each occurrence meets the record places of its phrase; those of shared wording are not among them
     k = phrases.first[seed + 1] - phrases.first[seed]
     which = np.repeat(phrases.first[seed], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
     at = np.repeat(at, k)
@@ -247,42 +249,85 @@ def chain(doc: np.ndarray, rec: np.ndarray, word: np.ndarray, place: np.ndarray)
     return [(d, r, w0, w1, g) for d, r, w0, w1, p0, p1, g in out if max(w1 - w0, p1 - p0) >= LEAST and g >= LEAST - 2]
 
 
+def phrase_places(records: DataFrame, name_col: str, text_col: str) -> DataFrame:
+    """``name, text_key, phrase, place`` of every run of ``SEED`` words of every record; phrases are 64-bit keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words(text)
+                if len(w) < SEED:
+                    continue
+                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+                phrases = np.array([xxhash.xxh3_64_intdigest("\x1f".join(w[i : i + SEED])) for i in range(len(w) - SEED + 1)], np.uint64).view(np.int64)
+                n = len(phrases)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.full(n, key, np.uint64).view(np.int64)), pa.array(phrases), pa.array(np.arange(n, dtype=np.int32))], ["name", "text_key", "phrase", "place"])
+
+    return records.select(name_col, text_col).mapInArrow(run, "name string, text_key long, phrase long, place int")
+
+
+def shared_places(records: DataFrame, name_col: str, text_col: str) -> DataFrame:
+    """``name, text_key, shared``: places of the phrases of each record that more than the allowed share of all records hold.
+
+    The phrases are counted by distinct record; a hot phrase is one row a record, partly counted before the exchange.
+    """
+    n = records.select(name_col).distinct().count()
+    every = phrase_places(records, name_col, text_col)
+    many = every.select("phrase", "name").distinct().groupBy("phrase").count().where(F.col("count") > max(MANY_LEAST, MANY * n)).select("phrase")
+    return every.join(many, "phrase", "left_semi").groupBy("name", "text_key").agg(F.sort_array(F.collect_set("place")).alias("shared"))
+
+
 def passages(docs: DataFrame, records: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str = "benchmark_id", record_text: str = "text", others: DataFrame | None = None) -> DataFrame:
     """``id, name, start_char, end_char, matched_words``: one row for each passage of a record found in a document.
 
-    ``records`` (the held-out texts) and ``others`` (texts that only tell what
-    wording is shared) are read to the driver block by block; a block never
-    exceeds ``BLOCK_BYTES`` and each gives one pass over the documents.
+    ``records`` are the held-out texts; ``others`` are texts that only tell what
+    wording is shared, and all of both are counted for it.  The held-out texts are
+    read to the driver block by block; a block never exceeds ``BLOCK_BYTES`` of
+    text (or one record) and each gives one pass over the documents.
     """
-    beside = []
-    size = 0
-    if others is not None:
-        for (t,) in others.select(record_text).where(F.col(record_text).isNotNull()).distinct().toLocalIterator():
-            size += len(t)
-            if size > BLOCK_BYTES:
-                break  # shared wording is known from the first block; the records themselves are all searched
-            beside.append(t)
-    blocks: list[list[tuple[str, str]]] = [[]]
+    usable = F.col(record_text).isNotNull() & F.col(name_col).isNotNull()
+    held = records.select(name_col, record_text).where(usable).distinct()
+    known = held if others is None else held.unionByName(others.select(name_col, record_text).where(usable)).distinct()
+    shared = shared_places(known, name_col, record_text).select(F.col("name").alias("_name"), "text_key", "shared")
+    keyed = held.withColumn("text_key", _text_key(record_text))
+    marked = keyed.join(shared, (F.col(name_col) == F.col("_name")) & (keyed["text_key"] == shared["text_key"]), "left").select(name_col, record_text, F.coalesce("shared", F.array().cast("array<int>")))
+    blocks: list[list[tuple[str, str, list[int]]]] = [[]]
     size = 0
-    for name, t in records.select(name_col, record_text).where(F.col(record_text).isNotNull() & F.col(name_col).isNotNull()).distinct().toLocalIterator():
+    for name, t, at in marked.toLocalIterator():
         if size and size + len(t) > BLOCK_BYTES:
             blocks.append([])
             size = 0
-        blocks[-1].append((name, t))
+        blocks[-1].append((name, t, at))
         size += len(t)
     schema = f"{id_col} long, {name_col} string, start_char int, end_char int, matched_words int"
     source = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).where(F.col(text_col).isNotNull())
     out = None
     for block in blocks:
         shared = source.sparkSession.sparkContext.broadcast(sorted(block))
-        part = source.mapInArrow(_search(shared, beside, id_col, name_col), schema)
+        part = source.mapInArrow(_search(shared, id_col, name_col), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _search(shared, beside: list[str], id_col: str, name_col: str):
+@F.pandas_udf(LongType())
+def _text_key(s: pd.Series) -> pd.Series:
+    return pd.Series([xxhash.xxh3_64_intdigest(v.encode("utf-8", "surrogatepass")) for v in s], dtype="uint64").astype("int64")
+
+
+_built: tuple = (None, None)
+
+
+def _phrases(shared) -> Phrases:
+    """Phrases of a broadcast block, built once in each Python worker; only the last block is kept."""
+    global _built
+    if _built[0] is not shared.value:
+        _built = (shared.value, Phrases(shared.value))
+    return _built[1]
+
+
+def _search(shared, id_col: str, name_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(shared.value, beside)
+        phrases = _phrases(shared)
         texts: dict[str, list[int]] = {}
         held = 0
         for batch in batches:

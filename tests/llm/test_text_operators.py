@@ -393,6 +393,22 @@ def test_passages(spark):
     assert leakage.passages(d.where("false"), r).count() == 0 and leakage.passages(d, r.where("false")).count() == 0
 
 
+def test_shared_wording_is_counted_over_all_records(spark, monkeypatch):
+    """However the records are cut into blocks and whichever side they are on, wording of many records is no passage and that of eleven of a thousand is."""
+    w = RECORD.split()
+    opening = "every one of these records begins with just the same fourteen plain words here"
+    filler = lambda k: " ".join(f"f{k}x{j}" for j in range(20))
+    held = [(f"r{k}", f"{opening} {filler(k)}") for k in range(6)] + [("copy", f"{RECORD} end")]
+    others = [(f"t{k}", f"{opening} {filler(100 + k)}") for k in range(40)] + [(f"u{k}", f"{RECORD} u{k}") for k in range(10)] + [(f"v{k}", filler(500 + k)) for k in range(620)]
+    docs = spark.createDataFrame([(1, f"so {opening} then"), (2, "x " + " ".join(w[2:16])), (3, filler(3))], "doc_id long, text string")
+    a, b = (spark.createDataFrame(x, "benchmark_id string, text string") for x in (held, others))
+    want = [(2, "copy"), (3, "r3")]
+    pick = lambda: rows(leakage.passages(docs, a, others=b).select("doc_id", "benchmark_id").distinct())
+    assert pick() == want
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 300)
+    assert pick() == want
+
+
 def test_a_run_is_continued_past_many_others():
     # two stretches with one word added between, and twelve places of the record that repeat its first phrase
     n = leakage.SEED
@@ -413,7 +429,7 @@ def test_passages_against_window_search():
             a, n = rng.randrange(30), rng.randrange(6, 25)
             t[10:10] = src[a : a + n]
         texts.append(" ".join(t))
-    got = {(k, r) for k, r, *_ in leakage.find(texts, leakage.Phrases(records))}
+    got = {(k, r) for k, r, *_ in leakage.find(texts, leakage.Phrases([(r, t, []) for r, t in records]))}
     grams = lambda s: {tuple(s.split()[i : i + 12]) for i in range(len(s.split()) - 11)}
     assert got == {(k, j) for k, t in enumerate(texts) for j, (_, r) in enumerate(records) if grams(t) & grams(r)}
 
