@@ -3,9 +3,10 @@
 A text is scanned for key containers, tokens of known shape, named values,
 authorisation headers, command-line passwords and addresses with a password.
 Literals that hold another layer (base64, hex, percent or backslash escapes)
-are decoded and scanned again, up to ``LAYERS`` deep; a binary layer is parsed
-as a key container (DER sequences of private keys, the OpenSSH container).  A
-hit in a decoded layer redacts the literal that encloses it, re-encoded where
+are decoded and scanned again, layer by layer, until nothing decodes any more
+(each layer is shorter than the literal that held it); a binary layer and the
+body of a PEM block are parsed to the end as a key container (PKCS#1, PKCS#8
+plain and encrypted, SEC1, DSA, PKCS#12, OpenSSH).  A hit in a decoded layer redacts the literal that encloses it, re-encoded where
 the layer can be written again, so the file stays as valid as before.
 
 Null text gives nothing; an empty text is returned as it is; a file delivered
@@ -18,6 +19,7 @@ import base64
 import bisect
 import binascii
 import re
+import struct
 import urllib.parse
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,7 +28,6 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-LAYERS = 3
 MASK = "REDACTED"
 
 
@@ -58,7 +59,7 @@ _URL = re.compile(r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s:/@"
 _USER = re.compile(r"""(?:\bcurl\b[^\n]*?\s(?:-u|--user)|\bwget\b[^\n]*?--user)[\s=]+["']?[^\s:"']+:(?P<v>[^\s"']+)""")
 _DASH_P = re.compile(r"""\b(?:mysql|mysqldump|mysqladmin|mariadb|sshpass|mongo|mongodump|psql|7z)\b[^\n|;]*?\s-p(?P<v>[^\s"'|;]{4,})""")
 _FLAG = re.compile(rf"""--(?:[a-z0-9]+-)*(?i:{_SECRET})(?:["'`]\s*,\s*["'`]|[ =]["']?)(?P<v>[^\s"'`,;|<>]+)""")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?P<body>(?:(?!-----)[\s\S]){32,20000}?)(?:-----END|$)")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _WORDS = ("pass", "pwd", "secret", "token", "key", "credential")
 _PREFIXES = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "k_live_", "k_test_", "npm_", "hf_", "AIza", "xox", "AKIA", "ASIA", "pypi-", "sk-", "SG.", "eyJ")
 _LONG = re.compile(r"[A-Za-z0-9+/_-]{20}")
@@ -79,7 +80,7 @@ _INDENT = re.compile(r"(?:(?<=\n\n)|\A)(?:(?: {4}|\t)[^\n]*(?:\n|\Z))+")
 def is_secret(value: str, named: bool = True) -> bool:
     """Whether a value can be a working credential: no placeholder or reference, long and mixed enough."""
     n = len(value)
-    if n < 6 or n > 4000 or _PLACE.search(value) or "${" in value or "{{" in value or " " in value or "\t" in value:
+    if n < 6 or _PLACE.search(value) or "${" in value or "{{" in value or " " in value or "\t" in value:
         return False
     letters = any(c.isalpha() for c in value)
     digits = any(c.isdigit() for c in value)
@@ -88,8 +89,9 @@ def is_secret(value: str, named: bool = True) -> bool:
         return False
     if digits or signs:
         return n >= 8
+    # letters only: capitals and small ones must change more often than in words joined by capitals
     mixed = sum(a.islower() != b.islower() for a, b in zip(value, value[1:]))
-    return n >= 16 and mixed >= n // 4
+    return n >= 16 and mixed >= n // 4 or n >= 8 and 3 * mixed >= n
 
 
 def _der(data: bytes, at: int, end: int) -> tuple[int, int, int]:
@@ -99,7 +101,7 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int]:
     tag, size, at = data[at], data[at + 1], at + 2
     if size & 0x80:
         k = size & 0x7F
-        if not 1 <= k <= 4 or at + k > end:
+        if not 1 <= k <= 8 or at + k > end:
             raise ValueError
         size, at = int.from_bytes(data[at : at + k]), at + k
     if at + size > end:
@@ -107,25 +109,95 @@ def _der(data: bytes, at: int, end: int) -> tuple[int, int, int]:
     return tag, at, at + size
 
 
-def is_key_container(data: bytes) -> bool:
-    """A private key by its binary grammar: OpenSSH container, PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1."""
+def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """Elements of a constructed one, which they must fill exactly; constructed ones among them are parsed too."""
+    out, todo = [], [(at, end, True)]
+    while todo:
+        at, end, top = todo.pop()
+        while at < end:
+            tag, a, b = _der(data, at, end)
+            if top:
+                out.append((tag, a, b))
+            if tag & 0x20:
+                todo.append((a, b, False))
+            at = b
+    return out
+
+
+INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
+# Prefixes of the object ids of password-based encryption (PKCS#5 and PKCS#12) and of PKCS#7 content.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+_CONTENT = bytes.fromhex("2a864886f70d0107")
+
+
+def key_container(data: bytes) -> str | None:
+    """Name of the private-key container that the bytes are by their grammar, or None: public keys and certificates are none."""
     if data.startswith(b"openssh-key-v1\0"):
-        return True
+        return "openssh" if _openssh(data) else None
     try:
         tag, at, end = _der(data, 0, len(data))
-        if tag != 0x30 or end != len(data):
+        if tag != SEQUENCE or end != len(data):
+            return None
+        parts = _children(data, at, end)
+        tags = [t for t, _, _ in parts]
+        algorithm = next((data[a:b] for t, a, b in _children(data, *parts[tags.index(SEQUENCE)][1:]) if t == OID), None) if SEQUENCE in tags[:2] else None
+    except ValueError:
+        return None
+    version = data[parts[0][1] : parts[0][2]] if tags[:1] == [INTEGER] else None
+    if version in (b"\0", b"\1"):
+        if tags[1:3] == [SEQUENCE, OCTETS] and set(tags[3:]) <= {0xA0, 0x80, 0xA1, 0x81}:
+            return "pkcs8" if algorithm else None
+        if version == b"\1" and tags[1:2] == [OCTETS] and set(tags[2:]) <= {0xA0, 0xA1}:
+            return "sec1"
+        if set(tags[:9]) == {INTEGER} and (len(tags) == 9 or len(tags) == 10 and tags[9] == SEQUENCE and version == b"\1"):
+            return "pkcs1"
+        return "dsa" if version == b"\0" and tags == [INTEGER] * 6 else None
+    if version == b"\3" and tags[1:2] == [SEQUENCE] and len(tags) <= 3:
+        return "pkcs12" if algorithm and algorithm.startswith(_CONTENT) else None
+    return "encrypted_pkcs8" if tags == [SEQUENCE, OCTETS] and algorithm and algorithm.startswith(_PBE) else None
+
+
+def _openssh(data: bytes) -> bool:
+    """The OpenSSH container to its end: cipher, derivation and its options, number of keys, public blobs, private section."""
+    at = 15
+
+    def text() -> bytes:
+        nonlocal at
+        if at + 4 > len(data):
+            raise ValueError
+        (n,) = struct.unpack_from(">I", data, at)
+        if at + 4 + n > len(data):
+            raise ValueError
+        at += 4 + n
+        return data[at - n : at]
+
+    try:
+        cipher = text()
+        text()
+        text()
+        if at + 4 > len(data):
             return False
-        kinds = []
-        while at < end and len(kinds) < 10:
-            t, a, b = _der(data, at, end)
-            kinds.append((t, data[a:b]))
-            at = b
+        (n,) = struct.unpack_from(">I", data, at)
+        at += 4
+        if not 1 <= n <= len(data) // 4:
+            return False
+        for _ in range(n):
+            text()
+        secret = text()
     except ValueError:
         return False
-    tags = [t for t, _ in kinds]
-    if tags[:1] == [0x02] and kinds[0][1] in (b"\0", b"\1"):
-        return tags[1:3] == [0x30, 0x04] or tags[1:2] == [0x04] or len(tags) >= 9 and set(tags) == {0x02}
-    return tags == [0x30, 0x04] and len(kinds[1][1]) > 64
+    return at == len(data) and len(secret) >= 8 and (cipher != b"none" or secret[:4] == secret[4:8])
+
+
+def _pem_keys(text: str) -> Iterator[tuple[int, int, int]]:
+    """Begin of the mark, of the body and end of the body of each private key in PEM; the body runs to its END mark or the end of the text."""
+    for m in _PEM.finditer(text):
+        end = text.find("-----", m.end())
+        if end >= 0 and not text.startswith("-----END", end):
+            continue
+        end = len(text) if end < 0 else end
+        if end - m.end() >= 32:
+            yield m.start(), m.end(), end
 
 
 def _layers(text: str) -> Iterator[tuple[int, int, str | bytes, str]]:
@@ -139,7 +211,7 @@ def _layers(text: str) -> Iterator[tuple[int, int, str | bytes, str]]:
             continue
         if printable(data):
             yield m.start(), m.end(), data.decode("ascii"), "base64"
-        elif data[:1] == b"\x30" or data.startswith(b"openssh"):
+        elif data[:1] == b"\x30" or data.startswith(b"openssh-key-v1\0"):
             yield m.start(), m.end(), data, "base64"
     for m in _HEX.finditer(text) if long and _LONG_HEX.search(text) else ():
         data = bytes.fromhex(m.group())
@@ -217,15 +289,23 @@ def _named(text: str, code: bool) -> Iterator[Hit]:
             yield Hit(b.start(), b.end(), "named", MASK)
 
 
-def scan(text: str, code: bool = False, depth: int = 0) -> list[Hit]:
+def _pem_container(body: str) -> str | None:
+    try:
+        return key_container(base64.b64decode(body, validate=True))
+    except ValueError:
+        return None
+
+
+def scan(text: str, code: bool = False) -> list[Hit]:
     """All credentials of one text as spans, outermost layer first, without overlaps."""
     low = text.lower()
     hits: list[Hit] = []
-    for m in _PEM.finditer(text) if "-----BEGIN" in text else ():
-        body = m["body"]
-        if sum(c.isalnum() or c in "+/=" for c in body) >= 0.8 * len(body.replace("\\n", "").split() and "".join(body.replace("\\n", "").split())) and not _PLACE.search(body.strip()):
+    for start, begin, end in _pem_keys(text) if "-----BEGIN" in text else ():
+        body = text[begin:end]
+        plain = "".join(body.replace("\\n", "").split())
+        if sum(c.isalnum() or c in "+/=" for c in body) >= 0.8 * len(plain) and not _PLACE.search(body.strip()):
             mask = re.sub(r"[A-Za-z0-9+/=:,-]+(?: [A-Za-z0-9+/=:,-]+)*", MASK, body.replace("\\n", "\n")).replace("\n", "\\n" if "\\n" in body else "\n")
-            hits.append(Hit(m.start(), m.end("body"), "private_key", text[m.start() : m.start("body")] + mask))
+            hits.append(Hit(start, end, f"private_key:{held}" if (held := _pem_container(plain)) else "private_key", text[start:begin] + mask))
     for m in _HEADER.finditer(text) if "authorization" in low else ():
         v = m["v"]
         if m["scheme"].lower() == "basic":
@@ -248,13 +328,12 @@ def scan(text: str, code: bool = False, depth: int = 0) -> list[Hit]:
             hits.append(Hit(m.start(), m.end(), "known_shape", MASK))
     if any(w in low for w in _WORDS):
         hits += _named(text, code)
-    if depth < LAYERS:
-        for a, b, inner, how in _layers(text):
-            if isinstance(inner, bytes):
-                if is_key_container(inner):
-                    hits.append(Hit(a, b, "private_key", _encode(MASK, how)))
-            elif found := scan(inner, depth=depth + 1):
-                hits.append(Hit(a, b, found[0].kind, _encode(apply(inner, found), how)))
+    for a, b, inner, how in _layers(text):
+        if isinstance(inner, bytes):
+            if held := key_container(inner):
+                hits.append(Hit(a, b, f"private_key:{held}", _encode(MASK, how)))
+        elif found := scan(inner):
+            hits.append(Hit(a, b, found[0].kind, _encode(apply(inner, found), how)))
     return _outermost(hits)
 
 
