@@ -2,8 +2,11 @@
 
 A text is first split at its code (fenced, inline, preformatted, verbatim):
 what stands inside is content, the marks around it belong to their family.
-The rest is scanned for marks of HTML, Markdown, wiki text and LaTeX.  Clean
-text keeps headings, lists, code blocks and formulas in one plain notation.
+The rest is scanned for marks of HTML, Markdown, wiki text and LaTeX.  Of each
+family the region with the highest sum of scores is reported: marks score
+positive, the words between them negative, and one linear scan over the marks
+finds the best contiguous stretch, so a family comes with the place where it is
+densest.  Clean text keeps headings, lists, code blocks and formulas in one plain notation.
 Of a whole HTML page the best content region is kept: over its tokens, words
 score positive and tags negative (those of headings and lists nothing), and one
 linear scan finds the contiguous stretch with the highest sum.  Headings, lists,
@@ -19,6 +22,8 @@ from __future__ import annotations
 import html
 import html.entities
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -26,6 +31,8 @@ from .common import map_rows
 
 #: Scores of the region scan: a word, and a tag (the ratio published for news pages, words 1 to tags -3.25).
 WORD_SCORE, TAG_SCORE = 1.0, -3.25
+#: Scores of the scan for residue, with the same ratio: there marks count for a region and words against it.
+MARK_SCORE, PLAIN_SCORE = 3.25, -1.0
 
 # Element names of HTML, those without an end tag, and those whose end tag may be left out.
 ELEMENTS = set(
@@ -73,7 +80,6 @@ WIKI_LIST = re.compile(r"^(?:\*{2,}|\*+[#:;]+|#+[*:;]+)[ \t]+(?=[^\s*])", re.M)
 WIKI_MAGIC = re.compile(r"__(?:NO)?(?:TOC|FORCETOC|EDITSECTION|INDEX)__")
 
 TEX_ENV = re.compile(r"\\(begin|end)\{([A-Za-z]+\*?)\}(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})*")
-TEX_MATH = re.compile(r"\\\((?=\S| )[\s\S]{1,2000}?\\\)|\\\[[\s\S]{1,4000}?\\\]|(?<![\\$])\$\$(?!\$)[\s\S]{1,4000}?(?<!\\)\$\$")
 TEX_DOLLAR = re.compile(r"(?<![\\$\w])\$(?![\s$])((?:[^$\n\\]|\\.)+?)(?<![\s\\])\$(?![\d$])")
 TEX_COMMAND = re.compile(r"(?<![\w\\])\\([A-Za-z]{2,}|[a-zA-Z](?=\{))\*?(?:\[[^\[\]\n]*\])*\{")
 TEX_BARE = re.compile(r"(?<![\w\\:/.])\\(?:item|par|noindent|newline|newpage|clearpage|maketitle|tableofcontents|LaTeX|TeX|ldots|dots|centering|hline|quad|qquad|smallskip|medskip|bigskip|today|appendix)(?![A-Za-z\\])")
@@ -113,18 +119,50 @@ def split_code(text: str) -> tuple[str, list[tuple[int, int, str, str]]]:
     return out, sorted(pieces)
 
 
-def _has_html(s: str) -> bool:
-    if "<!--" in s or "<!" in s and COMMENT.search(s):
-        return True
+Marks = Iterator[tuple[int, int]]
+_MATH_OPEN = re.compile(r"\\\(|\\\[|(?<![\\$])\$\$(?!\$)")
+_MATH_CLOSE = {"\\(": re.compile(r"\\\)"), "\\[": re.compile(r"\\\]"), "$$": re.compile(r"(?<!\\)\$\$")}
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
+
+
+def formulas(s: str) -> Marks:
+    """Formulas between \\( \\), \\[ \\] or $$ $$ of any length; like in TeX, none goes past a blank line.  Linear in the text."""
+    at, blank = 0, -1
+    none: dict[str, int] = {}  # for each opener, up to where no closer was found
+    while m := _MATH_OPEN.search(s, at):
+        kind, at = m.group(), m.end()
+        if blank < at:
+            stop = _PARAGRAPH.search(s, at)
+            blank = stop.start() if stop else len(s)
+        if at < none.get(kind, 0):
+            continue
+        close = _MATH_CLOSE[kind].search(s, min(at + 1, blank), blank)
+        if close is None:
+            none[kind] = blank
+        else:
+            yield m.start(), close.end()
+            at = close.end()
+
+
+def _closed(s: str) -> set[str]:
+    """Names of the elements that have an end tag."""
+    return {x.lower() for x in re.findall(r"</([A-Za-z][A-Za-z0-9]*)\s*>", s)}
+
+
+def _html_marks(s: str) -> Marks:
+    if "<!" in s:
+        yield from (m.span() for m in COMMENT.finditer(s))
     if "&" in s:
         for m in REFERENCE.finditer(s):
             name = m.group()[1:]
             if name[0] == "#" or name in html.entities.html5:
-                return True
-    return "<" in s and any(_is_tag(m, s) for m in TAG.finditer(s))
+                yield m.span()
+    if "<" in s:
+        closed = _closed(s)
+        yield from (m.span() for m in TAG.finditer(s) if _is_tag(m, closed))
 
 
-def _is_tag(m: re.Match, s: str) -> bool:
+def _is_tag(m: re.Match, closed: set[str]) -> bool:
     """An element and not a placeholder, a type in angle brackets or a comparison.
 
     Words after the name must be attributes with values or known bare ones; an
@@ -135,43 +173,40 @@ def _is_tag(m: re.Match, s: str) -> bool:
         return False
     if rest:
         return "=" in rest or set(rest.lower().split()) <= BARE_ATTRIBUTES
-    if m[1] or name in VOID or name in LOOSE_END or m[3].endswith("/"):
-        return True
-    return bool(re.search(rf"</{name}\s*>", s, re.I))
-
-
-def _has_markdown(s: str) -> bool:
-    if "](" in s and MD_LINK.search(s) or "[^" in s and MD_NOTE.search(s) or "][" in s and MD_REF.search(s):
-        return True
-    if "*" in s and (MD_STRONG.search(s) or MD_EM.search(s)) or "_" in s and (_underscored(s)):
-        return True
-    if "#" in s and MD_HEAD.search(s) or ">" in s and MD_QUOTE.search(s) or "~~" in s and MD_STRIKE.search(s):
-        return True
-    if "--" in s and (MD_TABLE.search(s) or MD_RULE.search(s)) or ("==" in s or "--" in s) and MD_SETEXT.search(s):
-        return True
-    if "***" in s and MD_RULE.search(s) or "<" in s and MD_AUTO.search(s):
-        return True
-    return "]: " in s and bool(MD_DEF.search(s)) or "[" in s and bool(MD_TASK.search(s))
-
-
-def _underscored(s: str) -> bool:
-    for p in (MD_STRONG, MD_EM):
-        for m in p.finditer(s):
-            if not re.fullmatch(r"__[a-z]+(?:_[a-z]+)*__", m.group()) or not re.match(r"__(?:init|main|name|file|all|doc|dict|call|repr|str|len|iter|next|enter|exit|new|del|slots|version|author|future|import|getattr|setattr|post_init|getitem|setitem|class|module|path|builtins)__$", m.group()):
-                return True
-    return False
-
-
-def _has_wiki(s: str) -> bool:
-    if "[[" in s and WIKI_LINK.search(s) or "''" in s and WIKI_BOLD.search(s) or "{|" in s and WIKI_TABLE.search(s):
-        return True
-    if "{{" in s and any(_is_template(m) for m in WIKI_TEMPLATE.finditer(s)):
-        return True
-    if "==" in s and any(len(m[1]) >= 2 for m in WIKI_HEAD.finditer(s)):
-        return True
-    if "**" in s and WIKI_LIST.search(s):
-        return True
-    return "[" in s and bool(WIKI_URL.search(s)) or "<" in s and bool(WIKI_TAG.search(s)) or "__" in s and bool(WIKI_MAGIC.search(s))
+    return bool(m[1]) or name in VOID or name in LOOSE_END or m[3].endswith("/") or name in closed
+
+
+# Signs without which a pattern cannot match, and the patterns, by family.
+_MARKDOWN = (("](", MD_LINK), ("[^", MD_NOTE), ("][", MD_REF), ("#", MD_HEAD), (">", MD_QUOTE), ("~~", MD_STRIKE), ("--", MD_TABLE), ("--", MD_RULE), ("***", MD_RULE), ("__", MD_RULE), ("==", MD_SETEXT), ("--", MD_SETEXT), ("<", MD_AUTO), ("]: ", MD_DEF), ("[", MD_TASK))
+_WIKI = (("[[", WIKI_LINK), ("''", WIKI_BOLD), ("{|", WIKI_TABLE), ("|}", WIKI_TABLE), ("**", WIKI_LIST), ("[", WIKI_URL), ("<", WIKI_TAG), ("__", WIKI_MAGIC))
+_LATEX = (("\\", TEX_ENV), ("\\", TEX_COMMAND), ("\\", TEX_BARE))
+
+
+def _matches(s: str, table: tuple) -> Marks:
+    for sign, pattern in table:
+        if sign in s:
+            yield from (m.span() for m in pattern.finditer(s))
+
+
+def _markdown_marks(s: str) -> Marks:
+    yield from _matches(s, _MARKDOWN)
+    if "*" in s or "_" in s:
+        for p in (MD_STRONG, MD_EM):
+            for m in p.finditer(s):
+                if m.group()[0] == "*" or not _DUNDER.match(m.group()):
+                    yield m.span()
+
+
+# Names of Python between double underscores are no emphasis.
+_DUNDER = re.compile(r"__(?:init|main|name|file|all|doc|dict|call|repr|str|len|iter|next|enter|exit|new|del|slots|version|author|future|import|getattr|setattr|post_init|getitem|setitem|class|module|path|builtins)__$")
+
+
+def _wiki_marks(s: str) -> Marks:
+    yield from _matches(s, _WIKI)
+    if "{{" in s:
+        yield from (m.span() for m in WIKI_TEMPLATE.finditer(s) if _is_template(m))
+    if "==" in s:
+        yield from (m.span() for m in WIKI_HEAD.finditer(s) if len(m[1]) >= 2)
 
 
 def _is_template(m: re.Match) -> bool:
@@ -179,35 +214,75 @@ def _is_template(m: re.Match) -> bool:
     return bool(m[2]) or ":" in m[1] or m[1].strip() != m[1].strip().lower() and " " in m[1].strip()
 
 
-def _has_latex(s: str) -> bool:
-    if "\\" in s and (TEX_ENV.search(s) or TEX_COMMAND.search(s) or TEX_BARE.search(s)):
-        return True
-    if ("\\(" in s or "\\[" in s or "$$" in s) and TEX_MATH.search(s):
-        return True
-    return "$" in s and any(_is_formula(m) for m in TEX_DOLLAR.finditer(s))
+def _latex_marks(s: str) -> Marks:
+    yield from _matches(s, _LATEX)
+    if "\\(" in s or "\\[" in s or "$$" in s:
+        yield from formulas(s)
+    if "$" in s:
+        yield from (m.span() for m in TEX_DOLLAR.finditer(s) if _is_formula(m))
 
 
 def _is_formula(m: re.Match) -> bool:
     return bool(_MATH_SIGN.search(m[1])) and not re.fullmatch(r"\{?[A-Z_][A-Z0-9_]*\}?.*", m[1]) or bool(re.fullmatch(r"[A-Za-z]", m[1]))
 
 
-CHECKS = (("html", _has_html), ("markdown", _has_markdown), ("wiki", _has_wiki), ("latex", _has_latex))
+MARKS = {"html": _html_marks, "markdown": _markdown_marks, "wiki": _wiki_marks, "latex": _latex_marks}
 _ANY = re.compile(r"[<>&*_`#~\[\]{}|$\\=]|''|--")
 
 
-def families(text: str | None, front_matter: bool) -> list[str]:
-    """Families of markup in a text; ``front_matter`` leaves out a leading block between --- lines."""
+class Region(NamedTuple):
+    family: str
+    start: int
+    end: int
+    n_marks: int
+    score: float
+
+
+def best_region(text: str, marks: list[tuple[int, int]]) -> tuple[int, int, int, float]:
+    """Start, end, marks and score of the stretch with the highest sum: ``MARK_SCORE`` a mark, ``PLAIN_SCORE`` a word between marks; the first of equals.
+
+    Any best stretch begins and ends with a mark, so one pass over the sorted marks finds it.
+    """
+    best, total, begin, n, last = (0, 0, 0, 0.0), 0.0, 0, 0, 0
+    for a, b in sorted(marks):
+        if n:
+            total += PLAIN_SCORE * len(text[last:a].split()) if a > last else 0.0
+        if not n or total <= 0:
+            begin, total, n = a, 0.0, 0
+        total += MARK_SCORE
+        n += 1
+        last = max(last, b)
+        if total > best[3]:
+            best = (begin, last, n, total)
+    return best
+
+
+def residue(text: str | None, front_matter: bool = False) -> list[Region]:
+    """The best region of each family of markup in a text; ``front_matter`` leaves out a leading block between --- lines."""
     if not text:
         return []
-    if front_matter and text.startswith(("---", "﻿---")):
-        text = FRONT.sub("", text, count=1)
+    skipped = 0
+    if front_matter and text.startswith(("---", "\ufeff---")) and (m := FRONT.match(text)):
+        skipped = m.end()
+        text = text[skipped:]
     if not _ANY.search(text):
         return []
     rest, code = split_code(text)
-    found = {f for _, _, f, _ in code}
-    # comment marks go, what they hold is read like the text around them
-    shown = rest.replace("<!--", "\n").replace("-->", "\n") if "<!--" in rest else rest
-    return [f for f, has in CHECKS if f in found or has(rest if f == "html" else shown)]
+    # comment marks go, what they hold is read like the text around them; positions stay
+    shown = rest.replace("<!--", "   \n").replace("-->", "  \n") if "<!--" in rest else rest
+    out = []
+    for family, find in MARKS.items():
+        marks = [(a, b) for a, b, f, _ in code if f == family]
+        marks += find(rest if family == "html" else shown)
+        a, b, n, score = best_region(text, marks)
+        if score > 0:
+            out.append(Region(family, skipped + a, skipped + b, n, score))
+    return out
+
+
+def families(text: str | None, front_matter: bool) -> list[str]:
+    """Families of markup whose best region scores above nothing."""
+    return [r.family for r in residue(text, front_matter)]
 
 
 # -- clean text ------------------------------------------------------------------------------------
@@ -336,7 +411,11 @@ def clean(text: str | None, front_matter: bool = False) -> str | None:
         parts += [text[at:a], keep(f"\n```\n{inner.strip(chr(10))}\n```\n" if block else f"`{inner.strip()}`")]
         at = b
     s = "".join([*parts, text[at:]])
-    s = TEX_MATH.sub(lambda m: keep(m.group()), s)
+    pieces, at = [], 0
+    for a, b in formulas(s):
+        pieces += [s[at:a], keep(s[a:b])]
+        at = b
+    s = "".join([*pieces, s[at:]])
     s = TEX_DOLLAR.sub(lambda m: keep(m.group()) if _is_formula(m) else m.group(), s)
     s = _content(s) if page else s
     s = _clean_tex(s)
@@ -356,11 +435,55 @@ def _clean_tex(s: str) -> str:
     s = re.sub(r"\\href\{[^{}]*\}\{([^{}]*)\}", r"\1", s)
     s = re.sub(r"\\(?:cite[a-z]*|ref|eqref|pageref|label|index|bibliography\w*|usepackage|documentclass|input|include\w*|vspace|hspace)\*?(?:\[[^\]]*\])*\{[^{}]*\}", "", s)
     s = TEX_ENV.sub("", s)
-    for _ in range(4):
-        s, n = re.subn(r"(?<![\w\\])\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])*\{([^{}]*)\}~?", r"\1 ", s)
-        if not n:
-            break
-    return TEX_BARE.sub("", s)
+    return TEX_BARE.sub("", _unwrapped(s))
+
+
+_TEX_BRACE = re.compile(r"(?<![\w\\])\\[A-Za-z]{2,}\*?(?:\[[^\[\]\n]*\])*\{|\\[{}]|\{|\}~?")
+_MD_BRACKET = re.compile(r"!?\[|\]|\n")
+_MD_TAIL = re.compile(r"\]\(\s*(?:<[^<>\n]*>|(?:[^()\s]|\([^()\s]*\))*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
+
+
+def _unwrapped(s: str) -> str:
+    """Commands with an argument give their argument, at any depth; one pass with a stack of open braces."""
+    opened: list[tuple[int, int] | None] = []
+    cuts: list[tuple[int, int, str]] = []
+    for m in _TEX_BRACE.finditer(s):
+        t = m.group()
+        if t[0] == "}":
+            if opened and (o := opened.pop()):
+                cuts += [(*o, ""), (*m.span(), " ")]
+        elif t == "{":
+            opened.append(None)
+        elif len(t) > 2:
+            opened.append(m.span())
+    return _cut(s, cuts)
+
+
+def _unlinked(s: str) -> str:
+    """Inline links and images give their label, nested ones too; one pass with a stack of open brackets."""
+    opened: list[tuple[int, int]] = []
+    cuts: list[tuple[int, int, str]] = []
+    at = 0
+    while m := _MD_BRACKET.search(s, at):
+        at = m.end()
+        if m.group() == "\n":
+            opened.clear()
+        elif m.group() != "]":
+            opened.append(m.span())
+        elif opened:
+            o = opened.pop()
+            if tail := _MD_TAIL.match(s, m.start()):
+                cuts += [(*o, ""), (*tail.span(), "")]
+                at = tail.end()
+    return _cut(s, cuts)
+
+
+def _cut(s: str, cuts: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, b, instead in sorted(cuts):
+        out += [s[at:a], instead]
+        at = b
+    return "".join([*out, s[at:]])
 
 
 def _clean_wiki(s: str) -> str:
@@ -386,8 +509,7 @@ def _clean_markdown(s: str) -> str:
     s = MD_SETEXT.sub(lambda m: ("# " if m[2][0] == "=" else "## ") + m[1].strip(), s)
     s = MD_HEAD.sub(lambda m: m[1] + " " + m[2], s)
     s = MD_DEF.sub("", s)
-    for _ in range(2):
-        s = MD_LINK.sub(lambda m: m[2], s)
+    s = _unlinked(s) if "](" in s else s
     s = MD_REF.sub(lambda m: m[1], s)
     s = MD_AUTO.sub(lambda m: m[1], s)
     s = MD_STRONG.sub(lambda m: m[1] or m[2], s)
@@ -405,8 +527,10 @@ def _clean_html(s: str) -> str:
         s = re.sub(r"<!--|-->", "", s)
         s = COMMENT.sub("", s)
 
+        closed = _closed(s)
+
         def tag(m: re.Match) -> str:
-            if not _is_tag(m, s):
+            if not _is_tag(m, closed):
                 return m.group()
             name = m[2].lower()
             if not m[1]:
@@ -420,16 +544,21 @@ def _clean_html(s: str) -> str:
     return html.unescape(s) if "&" in s else s
 
 
-def markup_families(df: DataFrame, id_col: str, text_col: str, kind: str, front_matter: bool = False) -> DataFrame:
-    """``record_kind, record_id, markup``: a row for each family in each row of ``df``."""
+def markup_regions(df: DataFrame, id_col: str, text_col: str, kind: str, front_matter: bool = False) -> DataFrame:
+    """``record_kind, record_id, markup, start_char, end_char, n_marks, score``: the best region of each family in each row of ``df``."""
     return map_rows(
         df.where(f"`{text_col}` is not null"),
-        lambda i, text: [(kind, i, f) for f in families(text, front_matter)],
-        "record_kind string, record_id long, markup string",
+        lambda i, text: [(kind, i, *r) for r in residue(text, front_matter)],
+        "record_kind string, record_id long, markup string, start_char int, end_char int, n_marks int, score double",
         [id_col, text_col],
     )
 
 
+def markup_families(df: DataFrame, id_col: str, text_col: str, kind: str, front_matter: bool = False) -> DataFrame:
+    """``record_kind, record_id, markup``: a row for each family in each row of ``df``."""
+    return markup_regions(df, id_col, text_col, kind, front_matter).select("record_kind", "record_id", "markup")
+
+
 def clean_texts(df: DataFrame, id_col: str, text_col: str, kind: str, front_matter: bool = False) -> DataFrame:
     """``record_kind, record_id, text_clean`` of every row with text."""
     return map_rows(

@@ -51,6 +51,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _markup(spark, sf_dir, markup.markup_families).distinct()
 
 
+def p2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each family of markup is densest in each record."""
+    return _markup(spark, sf_dir, markup.markup_regions).distinct()
+
+
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean text of every record; a file delivered again gives one row."""
     return _markup(spark, sf_dir, markup.clean_texts).dropDuplicates(["record_kind", "record_id"])
@@ -165,7 +170,7 @@ def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p1_forms, p2_found, p2_clean, p3_found, p3_flags, p3_rates, p4_found, p4_restored, p5_found, p5_places, p5_redacted,
+        p1_found, p1_classes, p1_forms, p2_found, p2_regions, p2_clean, p3_found, p3_flags, p3_rates, p4_found, p4_restored, p5_found, p5_places, p5_redacted,
         p6_containers, p6_fill, p7_found, p7_leaked_records, p7_removal_spans, p8_found, p8_labels,
     )
 }

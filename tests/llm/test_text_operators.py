@@ -111,6 +111,46 @@ def test_families(text, want):
     assert markup.families(text, True) == want
 
 
+def test_best_stretch_of_marks_by_brute_force():
+    rng = random.Random(11)
+    for _ in range(300):
+        parts = [rng.choice(["w ", "word word ", "a b c d e ", "[m]", "[m]"]) for _ in range(rng.randrange(0, 14))]
+        text, marks = "", []
+        for p in parts:
+            if p == "[m]":
+                marks.append((len(text), len(text) + 3))
+            text += p
+        best = 0.0
+        for i in range(len(marks)):
+            for j in range(i, len(marks)):
+                words = sum(len(text[b:a].split()) for (_, b), (a, _) in zip(marks[i:j], marks[i + 1 : j + 1]))
+                best = max(best, markup.MARK_SCORE * (j - i + 1) - words)
+        assert markup.best_region(text, marks)[3] == pytest.approx(best)
+
+
+def test_regions_give_the_place():
+    text = "---\na: 1\n---\nplain words here and many more of them in one line\n\n<b>x</b> <i>y</i> text\n" + "plain " * 50 + "<br>\n"
+    (r,) = markup.residue(text, True)
+    assert (r.family, text[r.start : r.end], r.n_marks) == ("html", "<b>x</b> <i>y</i>", 4)
+
+
+def test_long_and_deep_markup_takes_linear_time():
+    import time
+
+    n = 60_000
+    long = "x+y" * n
+    began = time.time()
+    assert markup.families(f"so \\({long}\\) is", False) == ["latex"] and long in markup.clean(f"so \\({long}\\) is <b>x</b>")
+    assert markup.families("a \\( b\n\nc \\) d", False) == []
+    assert markup.clean("\\textbf{" * n + "deep" + "}" * n).split() == ["deep"]
+    assert markup.clean("[" * 3000 + "deep" + "](x)" * 3000) == "deep"
+    assert markup.clean("![[a](b)](c) [![i](u)](v)") == "[a](b) i".replace("[a](b)", "a")
+    for bad in ("\\(" * n, "$$ x " * n, "[" * n, "<b " * n, "<b>" * n, "**a" * n):
+        markup.families(bad, False)
+        markup.clean(bad)
+    assert time.time() - began < 30
+
+
 def test_clean_keeps_structure():
     got = markup.clean("---\na: b\n---\n<h2>Head</h2>\n<ul><li>one</li><li>two</li></ul>\n**bold** [l](u) &amp; `a<b`\n\n```py\nx = '**'\n```\n\n$\\sqrt{x}$ \\emph{y}\n== W ==\n[[p|q]]", True)
     for piece in ("## Head", "- one", "- two", "bold l & `a<b`", "```\nx = '**'\n```", "$\\sqrt{x}$", "y", "## W", "q"):
