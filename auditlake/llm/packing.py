@@ -11,9 +11,9 @@ ever sees more than its share of them.
 
 A document larger than the capacity fills whole containers with its first
 pieces; its rest is an item like any other.  Null and empty texts have no
-tokens and go into no container.  Ties (equal sizes) are ordered by bucket and
-document id, so the result does not depend on how the input is partitioned;
-repeated document ids are packed as often as they come.
+tokens and go into no container.  Ties (equal sizes) are ordered by document
+id, so the result depends neither on how the input is partitioned nor on how
+much of it there is; repeated document ids are packed as often as they come.
 """
 
 from __future__ import annotations
@@ -31,10 +31,8 @@ from .common import checkpoint_dir, slices
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern published with the vocabulary; read from the package beside the file where there is one.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Items of one size ranked in one task.
-BUCKET_ITEMS = 200_000
-#: Plan rows up to which the plan is sent to every executor; beyond it the plan is joined by exchange.
-BROADCAST_ROWS = 300_000
+#: Slices that the items of one size are cut into where they meet their plan, so that a size of a third of all items is no hot key.
+SLICES = 16
 
 
 class Tightest:
@@ -140,6 +138,21 @@ def count_tokens(encode, text: str | None) -> int:
     return len(encode(text)) if text else 0
 
 
+def ranked(items: DataFrame) -> DataFrame:
+    """``items`` (limit_id, size, id) with ``rank``: place by id among the items of one limit and size, from 0.
+
+    Items are cut into ranges of (limit, size, id), so the items of one hot size
+    spread over many tasks; each range ranks its own, and the counts of the
+    ranges before it (a row a range and size) are added.  The ranges are written
+    to the checkpoint folder, so counting and ranking see the same ones.
+    """
+    cut = items.repartitionByRange("limit_id", "size", "id").withColumn("part", F.spark_partition_id()).checkpoint()
+    before = Window.partitionBy("limit_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy("limit_id", "size", "part").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    inside = Window.partitionBy("limit_id", "size", "part").orderBy("id")
+    return cut.withColumn("rank", F.row_number().over(inside) - 1).join(offsets, ["limit_id", "size", "part"]).withColumn("rank", F.col("rank") + F.col("offset")).drop("part", "offset")
+
+
 def pack(df: DataFrame, limits: list[tuple[int, int]], id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """``limit_id, container_id, id, piece_no, first_token, n_tokens`` for every piece of every document and each ``(limit_id, capacity)``.
 
@@ -157,26 +170,17 @@ def pack(df: DataFrame, limits: list[tuple[int, int]], id_col: str = "doc_id", t
     rest = items.where("size > 0")
 
     histogram = {(r[0], r[1]): r[2] for r in rest.groupBy("limit_id", "size").count().collect()}  # at most the sum of the capacities
-    most = max(histogram.values(), default=1)
-    buckets = max(1, -(-most // BUCKET_ITEMS))
     rows = []
     for limit, capacity in limits:
         got, _ = plan({s: n for (i, s), n in histogram.items() if i == limit}, capacity)
         rows += [(limit, *r) for r in got]
+    # a run of the plan is looked up by its last rank among those of its size, in an array sorted by it
     plans = spark.createDataFrame(rows, "limit_id int, size long, lo long, hi long, first long, each long")
-    plans = plans.groupBy("limit_id", "size").agg(F.collect_list(F.struct("lo", "hi", "first", "each")).alias("runs"))
-    if len(rows) <= BROADCAST_ROWS:
-        plans = F.broadcast(plans)
-
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    inside = Window.partitionBy("limit_id", "size", "bucket").orderBy("id")
-    rest = rest.withColumn("rank", F.row_number().over(inside) - 1)
-    if buckets > 1:
-        before = Window.partitionBy("limit_id", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = rest.groupBy("limit_id", "size", "bucket").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-        rest = rest.join(offsets, ["limit_id", "size", "bucket"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    plans = plans.groupBy("limit_id", "size").agg(F.sort_array(F.collect_list(F.struct("hi", "lo", "first", "each"))).alias("runs"))
+    plans = plans.select("*", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+    rest = ranked(rest).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)).cast("int"))
     placed = (
-        rest.join(plans, ["limit_id", "size"])
+        rest.join(plans, ["limit_id", "size", "slice"])
         .withColumn("run", F.filter("runs", lambda r: (r["lo"] <= F.col("rank")) & (F.col("rank") < r["hi"]))[0])
         .select(
             "limit_id",

@@ -26,6 +26,11 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visual_form.visual_classes(_artifacts(spark, sf_dir, "text"))
 
 
+def p1_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs between the first files of different texts that look the same."""
+    return visual_form.visual_links(_artifacts(spark, sf_dir, "text"))
+
+
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file's text in the consistent form; a file delivered again gives one row."""
     out = visual_form.visual_form(_artifacts(spark, sf_dir, "text"), "artifact_id", "text")
@@ -170,7 +175,7 @@ def p8_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_classes, p1_forms, p2_found, p2_regions, p2_clean, p3_found, p3_flags, p3_rates, p4_found, p4_restored, p5_found, p5_places, p5_redacted,
+        p1_found, p1_classes, p1_links, p1_forms, p2_found, p2_regions, p2_clean, p3_found, p3_flags, p3_rates, p4_found, p4_restored, p5_found, p5_places, p5_redacted,
         p6_containers, p6_fill, p7_found, p7_leaked_records, p7_removal_spans, p8_found, p8_labels,
     )
 }

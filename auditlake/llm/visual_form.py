@@ -47,6 +47,8 @@ LOOKALIKES = {
 # Signs that are drawn the same.
 SAME_SIGNS = {"‐": "-", "‑": "-", "µ": "μ", "ʹ": "'", "ʼ": "’", "⁄": "/", "∕": "/", "∶": ":", "⁃": "-"}
 
+#: Rows of one text that meet its pairs in one task.
+SALT_ROWS = 20_000
 _ZWNJ, _ZWJ = 0x200C, 0x200D
 _MARK = 0x110000  # bit for "kept joiner": not a character
 
@@ -285,27 +287,63 @@ def _kept_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return visual_keys(df, id_col, text_col).distinct().checkpoint()
 
 
+def _mixed_texts(keys: DataFrame) -> DataFrame:
+    """``k1, k2, raw, first, n``: each different text once (its least id and its rows), of the forms that have several."""
+    texts = keys.groupBy("k1", "k2", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    mixed = texts.groupBy("k1", "k2").agg(F.count("*").alias("texts")).where("texts > 1").select("k1", "k2")
+    return texts.join(mixed, ["k1", "k2"], "left_semi")
+
+
+def text_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs of different texts of one form, each pair once: ``raw_a, first_a, n_a, raw_b, first_b, n_b``.
+
+    Both sides are single texts, so the rows of a hot text play no part.
+    """
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("raw", "first", "n")]
+    return texts.select("k1", "k2", *side("a")).join(texts.select("k1", "k2", *side("b")), ["k1", "k2"]).where("raw_a < raw_b").drop("k1", "k2")
+
+
+def visual_links(df: DataFrame, id_col: str = "artifact_id", text_col: str = "text") -> DataFrame:
+    """Pairs between the representatives (least id) of different texts that look the same; ``visual_classes`` has the members."""
+    pairs = text_pairs(_mixed_texts(_kept_keys(df, id_col, text_col)))
+    a, b = F.struct("first_a", "n_a"), F.struct(F.col("first_b").alias("first_a"), F.col("n_b").alias("n_a"))
+    ordered = pairs.where("first_a <> first_b").select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return ordered.select(F.col("a.first_a").alias(f"{id_col}_a"), F.col("b.first_a").alias(f"{id_col}_b"), F.col("a.n_a").alias("rows_a"), F.col("b.n_a").alias("rows_b"))
+
+
 def visual_twins(df: DataFrame, id_col: str = "artifact_id", text_col: str = "text") -> DataFrame:
-    """Pairs ``id_a < id_b`` whose texts look the same but differ in characters.
+    """All pairs ``id_a < id_b`` whose texts look the same but differ in characters.
 
-    Rows that share one exact text are first folded into one list-free group
-    row each; only forms with at least two different texts are joined, so a hot
-    text repeated a million times costs no join at all.  The join is between
-    the texts of one form, and its output is the result itself.
+    Different texts are paired first, each text once; pairs of texts then meet
+    the rows of either text by equality on the text.  The rows of a hot text are
+    cut into salts of ``SALT_ROWS``, and the pairs that name it are offered to each
+    salt, so no task holds more than one salt of it.  Without a text that differs
+    from all its copies nothing is joined, however often a text is repeated.
     """
     keys = _kept_keys(df, id_col, text_col)
-    mixed = keys.groupBy("k1", "k2").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    some = keys.join(mixed, ["k1", "k2"], "left_semi")
-    other = some.select("k1", "k2", F.col("raw").alias("raw_b"), F.col("id").alias(f"{id_col}_b"))
-    return (
-        some.join(other, ["k1", "k2"])
-        .filter((F.col("raw") != F.col("raw_b")) & (F.col("id") < F.col(f"{id_col}_b")))
-        .select(F.col("id").alias(f"{id_col}_a"), f"{id_col}_b")
-    )
+    texts = _mixed_texts(keys)
+    pairs = text_pairs(texts)
+    salts = texts.select("raw", F.ceil(F.col("n") / SALT_ROWS).alias("salts"))
+    rows = keys.join(salts, "raw").select("raw", "id", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
+
+    def spread_over(side: str) -> DataFrame:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(f"n_{side}") / SALT_ROWS) - 1)).alias("salt")
+
+    left = rows.select(F.col("raw").alias("raw_a"), F.col("id").alias("x"), "salt")
+    right = rows.select(F.col("raw").alias("raw_b"), F.col("id").alias("y"), "salt")
+    half = pairs.select("raw_a", "raw_b", "n_b", spread_over("a")).join(left, ["raw_a", "salt"]).select("x", "raw_b", "n_b")
+    both = half.select("x", "raw_b", spread_over("b")).join(right, ["raw_b", "salt"])
+    return both.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).distinct()
 
 
 def visual_classes(df: DataFrame, id_col: str = "artifact_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its class (the least id with the same visual form), the class's rows and different texts."""
+    """One row per document and text: its class (the least id with the same visual form), the class's rows and different texts.
+
+    Counts are summed by text and then by form; the rows meet their class by
+    text key, salted, so the members of a hot form spread over tasks.
+    """
     keys = _kept_keys(df, id_col, text_col)
-    per = keys.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("rows_in_class"), F.countDistinct("raw").alias("texts_in_class"))
-    return keys.join(per, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "rows_in_class", "texts_in_class")
+    texts = keys.groupBy("k1", "k2", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    per = texts.groupBy("k1", "k2").agg(F.min("first").alias("class_id"), F.sum("n").alias("rows_in_class"), F.count("*").alias("texts_in_class"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
+    return keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(per.select("*", salts), ["k1", "k2", "salt"]).select(F.col("id").alias(id_col), "class_id", "rows_in_class", "texts_in_class")

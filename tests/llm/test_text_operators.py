@@ -94,6 +94,31 @@ def test_twins(spark):
     assert classes == {1: (1, 3), 2: (1, 3), 3: (1, 3), 5: (5, 1), 6: (1, 3)}
 
 
+def test_twins_of_hot_texts(spark, monkeypatch):
+    """A text of many rows, cut into salts of a few, against brute force; links name each different text once."""
+    monkeypatch.setattr(visual_form, "SALT_ROWS", 3)
+    rng = random.Random(4)
+    data = [(i, rng.choice(["abc", "abc", "abc", "a\u0431c", "аbc", "abс", "ab\u200bc", "xyz", "хyz", None])) for i in range(60)] + [(7, "аbс")]
+    df = spark.createDataFrame(data, "artifact_id long, text string")
+    form = {t: visual_form.visual_array(pa.array([t]))[0][0].as_py() for _, t in data}
+    want = sorted({(min(i, j), max(i, j)) for i, s in data for j, t in data if i != j and s != t and s is not None and t is not None and form[s] == form[t]})
+    assert rows(visual_form.visual_twins(df)) == want
+    first = {}
+    for i, t in sorted(data, key=lambda x: x[0]):
+        first.setdefault(t, i)
+    links = {(r.artifact_id_a, r.artifact_id_b) for r in visual_form.visual_links(df).collect()}
+    assert links == {(min(a, b), max(a, b)) for s, a in first.items() for t, b in first.items() if a != b and s is not None and t is not None and form[s] == form[t]}
+
+
+def test_rank_does_not_depend_on_partitions(spark):
+    items = [(1, k % 3, i) for k, i in enumerate(random.Random(2).sample(range(1000), 200))] + [(1, 0, 5000)] * 2
+    one, many = (rows(packing.ranked(spark.createDataFrame(items, "limit_id int, size int, id long").repartition(p))) for p in (1, 7))
+    assert one == many
+    for size in range(3):
+        got = [(i, r) for _, s, i, r in one if s == size]
+        assert sorted(r for _, r in got) == list(range(len(got))) and [i for i, _ in sorted(got, key=lambda x: x[1])] == sorted(i for i, _ in got)
+
+
 # -- 2 ------------------------------------------------------------------------------------------------
 
 
@@ -400,9 +425,9 @@ def test_plan_is_best_fit_decreasing():
     assert packing.plan({}, 5) == ([], 0)
 
 
-@pytest.mark.parametrize("bucket", [packing.BUCKET_ITEMS, 5])
-def test_pack_whole_table(spark, tmp_path, monkeypatch, bucket):
-    monkeypatch.setattr(packing, "BUCKET_ITEMS", bucket)
+@pytest.mark.parametrize("slices", [packing.SLICES, 1])
+def test_pack_whole_table(spark, tmp_path, monkeypatch, slices):
+    monkeypatch.setattr(packing, "SLICES", slices)
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     rng = random.Random(4)
     data = [(i, " word" * rng.choice([1, 3, 3, 7, 10, 25])) for i in range(60)] + [(100, None), (101, ""), (102, " word" * 1000)]
