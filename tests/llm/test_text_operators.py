@@ -546,6 +546,45 @@ def test_pages(spark):
     assert spam_pages.page_labels(df.where("false")).count() == 0
 
 
+def test_expected_counts_match_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    seen = [rng.integers(0, 14, n) for n in (4, 1, 3, 0)]
+    sizes = [rng.integers(0, 60, len(o)) for o in seen]
+    m = spam_pages.PRIOR_MODEL
+    emissions, moves, first, log = np.zeros((5, 14)), np.zeros((5, 5)), np.zeros(5), 0.0
+    for o, s in zip(seen, sizes):
+        w = 1 + np.minimum(s / 15, 7)
+        paths = list(itertools.product(range(5), repeat=len(o))) if len(o) else []
+        p = np.array([np.exp(m.start[x[0]] + sum(m.emit[a, b] * k for a, b, k in zip(x, o, w)) + sum(m.move[a, b] for a, b in zip(x, x[1:]))) for x in paths])
+        log += np.log(p.sum()) if len(o) else 0
+        for x, q in zip(paths, p / p.sum() if len(o) else []):
+            first[x[0]] += q
+            for a, b, k in zip(x, o, w):
+                emissions[a, b] += q * k
+            for a, b in zip(x, x[1:]):
+                moves[a, b] += q
+    got = spam_pages.expected(seen, sizes, m)
+    assert np.allclose(got[0], emissions) and np.allclose(got[1], moves) and np.allclose(got[2], first) and got[3] == pytest.approx(log)
+
+
+def test_fitting_raises_the_likelihood_and_ends():
+    texts = [t for t, _ in PAGES] * 3
+    both = [spam_pages.page_symbols(t) for t in texts if t]
+    seen, sizes = [np.array(a, np.int64) for a, _ in both], [np.array(b, np.int64) for _, b in both]
+    model = spam_pages.fit(seen, sizes, weight=0.01)
+    assert spam_pages.expected(seen, sizes, model)[3] > spam_pages.expected(seen, sizes, spam_pages.PRIOR_MODEL)[3]
+    assert all(np.allclose(np.exp(x).sum(-1), 1) for x in model)
+    assert spam_pages.fit([], []) is spam_pages.PRIOR_MODEL
+
+
+def test_sample_is_the_same_however_the_table_is_stored(spark):
+    data = [(k, PAGES[k % len(PAGES)][0]) for k in range(60)] + [(None, "x"), (7, None)]
+    models = [spam_pages.fit_model(spark.createDataFrame(data, "doc_id long, text string").repartition(p), pages=20) for p in (1, 5)]
+    assert all(np.array_equal(a, b) for a, b in zip(*models))
+
+
 def test_viterbi_matches_brute_force():
     import itertools
 
