@@ -1,11 +1,13 @@
 """Source and configuration files that are not valid in the language their name promises.
 
 Language by extension, in every directory and kind: Python 3, shell (bash
-syntax), JavaScript modules, TypeScript, strict JSON and TOML.  Python, JSON
-and TOML are parsed by their own parsers; the other three by the lexers and
-local grammars of this package: the lexer carries its state and the open
-brackets over the text, and only a balanced text goes on to be parsed
-statement by statement.
+syntax), JavaScript modules, TypeScript, strict JSON and TOML.  JavaScript,
+TypeScript, Python and JSON are lexed in chunks whose state maps and bracket
+summaries are reduced associatively; only a balanced text goes on to be parsed
+statement by statement (``script_grammar``, ``statement_grammar``).  Shell texts
+are read in one pass, as here-documents and nested substitutions make the state
+between two chunks unbounded; TOML by its own parser, as a key or table given
+twice anywhere in the document makes it invalid.
 
 Null text is not judged.  An empty JSON file is invalid, an empty file of any
 other language is valid.  A file nested too deeply for its parser counts as
@@ -14,48 +16,17 @@ invalid with the reason ``too complex``.
 
 from __future__ import annotations
 
-import ast
-import json
 import tomllib
-import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import script_grammar, shell_grammar
+from . import script_grammar, shell_grammar, statement_grammar
 from .common import extension, map_rows
 
 LANGUAGES = {".py": "python", ".sh": "shell", ".js": "javascript", ".ts": "typescript", ".json": "json", ".toml": "toml"}
 
 
-def _constant(name: str):
-    raise ValueError(f"{name} is no JSON")
-
-
-def python_error(text: str) -> str | None:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except SyntaxError as e:
-        return f"line {e.lineno}: {e.msg}"
-    except ValueError as e:
-        return str(e)
-    except (RecursionError, MemoryError):
-        return "too complex"
-    return None
-
-
-def json_error(text: str) -> str | None:
-    try:
-        json.loads(text, parse_constant=_constant)
-    except ValueError as e:
-        return str(e)
-    except RecursionError:
-        return "too complex"
-    return None
-
-
 def toml_error(text: str) -> str | None:
     try:
         tomllib.loads(text)
@@ -67,11 +38,11 @@ def toml_error(text: str) -> str | None:
 
 
 CHECKS = {
-    ".py": python_error,
+    ".py": statement_grammar.python_error,
     ".sh": shell_grammar.check,
     ".js": lambda text: script_grammar.check(text, False),
     ".ts": lambda text: script_grammar.check(text, True),
-    ".json": json_error,
+    ".json": statement_grammar.json_error,
     ".toml": toml_error,
 }
 

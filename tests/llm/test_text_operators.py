@@ -266,7 +266,7 @@ def test_grammars_end_on_any_cut():
             cut = text[: rng.randrange(len(text) + 1)]
             script_grammar.check(cut, True)
             shell_grammar.check(cut)
-    assert script_grammar.check("(" * 100_000, False) and syntax_check.python_error("(" * 100_000) and syntax_check.json_error("[" * 100_000)
+    assert script_grammar.check("(" * 100_000, False) and statement_grammar.python_error("(" * 100_000) and statement_grammar.json_error("[" * 100_000)
 
 
 def test_flags_and_rates(spark):
