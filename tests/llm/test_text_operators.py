@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from auditlake.llm import common, credentials, encoding_repair, leakage, markup, packing, script_grammar, shell_grammar, spam_pages, syntax_check, visual_form
+from auditlake.llm import common, credentials, encoding_repair, leakage, markup, packing, script_grammar, shell_grammar, spam_pages, statement_grammar, syntax_check, visual_form
 from auditlake.llm import queries as text_queries
 
 ARTIFACTS = "artifact_id long, pkg_id string, ord int, rel string, role string, kind string, exception string, text string, raw binary, ingested_at timestamp"
