@@ -255,7 +255,9 @@ def repair(text: str, first: tuple = ()) -> tuple[str, tuple]:
     A path takes at most one step into a table of one or two bytes a character
     (``_table``) and any number of steps to UTF-8 or of unescaping: those only
     succeed on texts that hold such sequences and make the text shorter, so the
-    search ends by itself, when no state is left that was not seen.
+    search ends by itself, when no state is left that was not seen.  Once a repair
+    is known, states that look worse than the line itself are not followed any
+    more: they are detours for lines that nothing else repairs.
     """
     before = cost(text)
     if first:
@@ -265,12 +267,13 @@ def repair(text: str, first: tuple = ()) -> tuple[str, tuple]:
         if new is not None and cost(new) <= min(SHARE * before, before - GAIN):
             return new, first
     seen = {hash(text)}
-    queue: list = [(before, 0, 0, text, ())]
+    queue: list = [(before, 0, 0, text, (), before)]
     best, best_cost, best_steps = text, before, ()
     serial = 0
     while queue:
-        _, _, _, here, steps = heapq.heappop(queue)
-        c = cost(here) if steps else before
+        _, _, _, here, steps, c = heapq.heappop(queue)
+        if steps and c >= before and best_cost <= SHARE * before and before - best_cost >= GAIN:
+            continue
         if steps and c <= best_cost + 0.2 * len(steps) and c < 0.25 * before and c < 0.25 * sum(x > "\x7f" for x in here):
             break
         turned = any(_table(s) for s in steps)
@@ -283,14 +286,15 @@ def repair(text: str, first: tuple = ()) -> tuple[str, tuple]:
             seen.add(hash(new))
             if any(x < " " and x not in "\t\r\n" for x in new):
                 continue  # control characters: no text at all
-            k = cost(new) + 0.2 * (len(steps) + 1)
+            plain = cost(new)
+            k = plain + 0.2 * (len(steps) + 1)
             if steps and steps[-1][1] == "utf-8" != step[1]:
                 k += 2  # what came out as UTF-8 seldom needs another table
             if k < best_cost:
                 best, best_cost, best_steps = new, k, (*steps, step)
             serial += 1
             # bytes that happen to be UTF-8 are strong evidence, so such a state is looked at early
-            heapq.heappush(queue, (k * (0.4 if step[1] == "utf-8" else 1), len(steps) + 1, serial, new, (*steps, step)))
+            heapq.heappush(queue, (k * (0.4 if step[1] == "utf-8" else 1), len(steps) + 1, serial, new, (*steps, step), plain))
     if best_steps and best_cost <= SHARE * before and before - best_cost >= GAIN:
         return best, best_steps
     return text, ()
