@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions.vectors import VECTORS, severity_rank
-from ..operators import classify, correlate, detect, findings, flow, graph, inspect, ledger, lines, markdown, report, scoring
+from ..operators import classify, correlate, detect, engine, findings, graph, inspect, ledger, lines, markdown, report, scoring
 from ..operators.scale import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,10 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.line_findings(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text")))
 
 
+def code_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.code_findings(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text")))
+
+
 # -- SQL pieces --------------------------------------------------------------------------------------
 
 _FILES = "files AS (SELECT DISTINCT artifact_id, pkg_id, rel, kind, role, coalesce(exception, '') AS exception FROM artifacts)"
@@ -683,7 +687,7 @@ def x10_triads(spark, sf_dir):
     governed = graph.governing_manifest(f).where("manifest is not null")
     manifests = f.where("kind = 'skill_manifest'").select("pkg_id", F.col("rel").alias("manifest")).distinct()
     claims = correlate.declarations(inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct())
-    caps = detect.line_findings(artifacts(spark, sf_dir), [r for r in detect.CODE if r.vector == "SXV-033"])
+    caps = code_found(spark, sf_dir).where("vector = 'SXV-033'")
     seen = caps.select("pkg_id", F.col("path").alias("rel"), correlate.axis_of().alias("axis")).distinct().join(governed, ["pkg_id", "rel"])
     gaps = ledger.coverage_findings(f, table(spark, sf_dir, "ledger")).where("rule = 'analysis-incomplete'").select("pkg_id", F.col("path").alias("rel")).distinct().join(governed, ["pkg_id", "rel"]).select("pkg_id", "manifest")
     return correlate.triads(manifests, claims, seen.select("pkg_id", "manifest", "axis"), gaps)
@@ -820,13 +824,9 @@ def j9_cues_by_section(spark, sf_dir):
 
 
 @query()
-def sxv008_python_flows(spark, sf_dir):
-    return flow.flows(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
-
-
-@query()
-def sxv010_staged_downloads(spark, sf_dir):
-    return flow.staged_downloads(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text")))
+def e_code_findings(spark, sf_dir):
+    """Hits of the code rules by rule, and the scripts that could not be read."""
+    return code_found(spark, sf_dir).groupBy("rule", "vector", "severity").agg(F.count("*").alias("n"), F.countDistinct("pkg_id", "path").alias("n_files"))
 
 
 @query()

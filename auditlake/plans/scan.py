@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import severity_rank
-from ..operators import correlate, detect, findings, flow, graph, inspect, ledger, markdown
+from ..operators import correlate, detect, engine, findings, graph, inspect, instruction, ledger, markdown
 from ..operators.findings import COLUMNS
 from ..operators.inspect import FINDING
 
@@ -90,6 +90,22 @@ def _hooks(rel, kind, text, raw):
     return out
 
 
+def _reaches(text: str) -> bool | None:
+    """Whether the grants of a manifest reach the network; None where it declares none."""
+    allowed = [(t.lower(), p) for t, p, parsed, _, ok in inspect.front_matter_grants(text) if ok and parsed]
+    if not allowed:
+        return None
+    return any(t in ("*", "webfetch", "websearch", "fetch") or t in ("bash", "shell", "execute") and (p is None or p.strip() in ("", "*", ":*") or inspect.grant(f"{t}({p})")[3] == "interpreter_or_downloader") for t, p in allowed)
+
+
+def _directives(rel, kind, text, raw):
+    if not text or kind not in markdown.KINDS:
+        return []
+    out = [x for x in instruction.directives(text) if x[0] != "SXV-011"]
+    out += instruction.credential_egress(text, _reaches(text) if kind == "skill_manifest" else None)
+    return [_row(rel, *x) for x in out]
+
+
 def _metadata(rel, kind, text, raw):
     return [_row(rel, "SXV-034", "unsafe-yaml-tag", "critical", tag, n, c) for tag, n, c in markdown.unsafe_tags(text)] if kind == "skill_manifest" and text else []
 
@@ -119,14 +135,22 @@ def _dependencies(rel, kind, text, raw):
     return out
 
 
-def _flows(rel, kind, text, raw):
-    if not text or kind != "script_python" and not (kind in markdown.KINDS and ("```" in text or "~~~" in text)):
+def _code(rel, kind, text, raw):
+    """Code rules over a script, or over the fenced code of a document (at the lines it stands on)."""
+    if not text:
         return []
-    code = [text] if kind == "script_python" else [c for language, _, c in markdown.code_units(rel, text) if language == "python"]
-    return [_row(rel, v, rule, s, f"{rule} reaches an execution call", n) for c in code for v, rule, s, n in flow.python_flows(c)]
+    if kind in engine.LANGUAGES:
+        return [r[1:] for r in engine.code_rows("", rel, engine.LANGUAGES[kind], text)]
+    if kind not in markdown.KINDS or "```" not in text and "~~~" not in text:
+        return []
+    return [r[1:] for language, _, code in markdown.code_units(rel, text) for r in engine.code_rows("", rel, language, code)]
+
+
+_PASS = (("forensics", _forensics), ("grants", _grants), ("hooks", _hooks), ("instruction", _directives), ("metadata", _metadata), ("obfuscation", _characters), ("preproc", _preproc), ("supply_chain", _dependencies), ("code", _code))
 
 
-_PASS = (("forensics", _forensics), ("grants", _grants), ("hooks", _hooks), ("metadata", _metadata), ("obfuscation", _characters), ("preproc", _preproc), ("supply_chain", _dependencies), ("code", _flows))
+# Checks whose findings stand elsewhere in the registry order than the pass that makes them.
+_ORDER = {"SXV-005": CHECKS.index("persistence") + 1, "SXV-006": CHECKS.index("hooks") + 1, "SXV-007": CHECKS.index("obfuscation") + 1}
 
 
 def one_file(pkg: str, rel: str, kind: str, text: str | None, raw: bytes | None) -> list[tuple]:
@@ -135,7 +159,7 @@ def one_file(pkg: str, rel: str, kind: str, text: str | None, raw: bytes | None)
     for name, check in _PASS:
         order = CHECKS.index(name) + 1
         try:
-            out += [(pkg, *r, order) for r in check(rel or "", kind, text, raw)]
+            out += [(pkg, *r, _ORDER.get(r[1], order)) for r in check(rel or "", kind, text, raw)]
         except Exception as e:
             out.append((pkg, rel, "", "check-error", "high", f"{name} failed: {type(e).__name__}", None, None, order))
     return out
@@ -153,10 +177,10 @@ def _understated(found: DataFrame, texts: DataFrame, files: DataFrame) -> DataFr
 def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """All findings with ``check_order``, de-duplicated (the most severe stays).
 
-    The texts are read four times whatever the number of checks: once by all
-    parsing checks together, once by all line rules, once for fenced code and
-    once for the commands of shell scripts; manifests are read once more for
-    their grants.  Joins and exchanges carry findings, paths and ledger rows only.
+    The texts are read twice whatever the number of checks: once by all parsing
+    checks together, code rules included, and once for credential shapes; scripts are
+    read once more for their line lengths and manifests for their grants.  Joins
+    and exchanges carry findings, paths and ledger rows only.
     """
     a = artifacts.select("pkg_id", "rel", "kind", "text")
     files = ledger.files(artifacts)
@@ -170,21 +194,13 @@ def scan(artifacts: DataFrame, ledger_table: DataFrame, comments: DataFrame | No
         "vector": F.when(hook, "SXV-012").otherwise(F.col("vector")), "message": F.when(hook, F.regexp_replace("message", r"^([^:]*): [\s\S]*$", "$1: unresolved_external")).otherwise(F.col("message")),
     }).withColumn("rule", F.when(hook, "root-hook-autoexec").otherwise(F.col("rule")))
 
-    skip = {r.rule for r in detect.PROSE if r.vector in ("SXV-001", "SXV-002", "SXV-034")}
-    rules = [r for r in detect.RULES if r.rule not in skip]
-    by_vector = F.when(F.col("vector") == "SXV-017", CHECKS.index("supply_chain") + 1).when(F.col("vector").isin("SXV-005", "SXV-006") & ~F.col("rule").startswith("E"), CHECKS.index("persistence") + 1).when(F.col("rule").rlike("^E[0-9]"), CHECKS.index("code") + 1)
-    lines = detect.guarded_findings(a, rules).withColumn("check_order", by_vector.otherwise(F.when(F.col("vector") == "SXV-007", CHECKS.index("obfuscation") + 1).otherwise(CHECKS.index("instruction") + 1)))
-
-    units = markdown.fenced_code(a).select("pkg_id", "rel", F.concat(F.lit("script_"), "language").alias("kind"), F.col("code").alias("text"))
-    shown = detect.line_findings(units, detect.CODE)
-    code = shown.unionByName(flow.staged_downloads(a.where("kind = 'script_shell'").unionByName(units))).withColumn("check_order", F.lit(CHECKS.index("code") + 1))
-
+    lines = detect.secret_findings(a).withColumn("check_order", F.lit(CHECKS.index("supply_chain") + 1))
     large = detect.obfuscated_scripts(a).where("rule is not null")
     large = large.select(
         "pkg_id", "path", F.lit("SXV-044").alias("vector"), "rule", F.when(F.col("rule") == "obfuscated-script", "high").otherwise("medium").alias("severity"), F.concat_ws(" ", F.lit("longest line"), F.col("longest_line").cast("string")).alias("message"),
         F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"), F.lit(CHECKS.index("obfuscation") + 1).alias("check_order"),
     )
-    out = parsed.unionByName(_understated(lines.unionByName(code), a, files)).unionByName(large)
+    out = _understated(lines.unionByName(parsed), a, files).unionByName(large)
     out = out.unionByName(ledger.coverage_findings(files, ledger_table).withColumn("check_order", F.lit(CHECKS.index("coverage") + 1)))
     if comments is not None:
         hidden = detect.hidden_comments(comments).join(files.select("artifact_id", "pkg_id", "rel").distinct(), "artifact_id")

