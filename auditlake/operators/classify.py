@@ -108,3 +108,10 @@ def decode_bytes(raw: pd.Series) -> pd.DataFrame:
                 return None, "undecodable_text"
 
     return pd.DataFrame([one(b) for b in raw], columns=["text", "exception"])
+
+
+def manifest_kind(text: str = "text") -> Column:
+    """Kind of a JSON configuration by its content: servers, hooks, lock file, plugin or generic; null if it is no JSON object."""
+    there = lambda key: F.expr(f"array_contains(json_object_keys({text}), '{key}')")
+    ok = F.expr(f"try_parse_json({text}) IS NOT NULL AND schema_of_variant(try_parse_json({text})) LIKE 'OBJECT%'")
+    return F.when(ok, F.when(there("mcpServers"), "mcp_servers").when(there("hooks"), "hooks").when(there("lockfileVersion") | there("packages") & there("version") & ~there("description"), "lockfile").when(there("name") & there("version"), "plugin").otherwise("generic"))

@@ -99,7 +99,8 @@ def understated(triad: DataFrame) -> DataFrame:
     return triad.where((F.col("observed") == "present") & (F.col("declared") == "denied"))
 
 
-def reused(cands: DataFrame, order: str = "candidate_id") -> DataFrame:
-    """Earlier candidate of the same evidence whose outcome a later one takes over."""
-    w = Window.partitionBy("pkg_id", "vector", "rule", "message").orderBy(order)
-    return cands.withColumn("outcome_of", F.first(order).over(w))
+def reused(cands: DataFrame, order: Column | str = "candidate_id") -> DataFrame:
+    """Earliest candidate (by ``order``) of the same evidence, whose outcome the later ones take over: an aggregate, so no window holds a hot group."""
+    key = ["pkg_id", "vector", "rule", "message"]
+    first = cands.groupBy(*key).agg(F.min(order).alias("outcome_of"))
+    return cands.join(first, key)

@@ -14,16 +14,37 @@ MAX_REASON = 1024
 _DIGEST = re.compile(r"[0-9a-f]{64}")
 
 
-def package_reports(res: DataFrame) -> DataFrame:
-    """One JSON document a package: results in finding order and the sorted distinct rule ids.
+#: Results of a package that go into one document; a package with more gives an error row, and its results stay rows.
+MAX_RESULTS = 50_000
 
-    Results are capped per group before they come here, so a package's list is
-    bounded by its files.
+
+def package_reports(res: DataFrame, most: int = MAX_RESULTS) -> DataFrame:
+    """One JSON document a package: results in finding order and the sorted distinct rule ids; ``error`` where there are too many for one.
+
+    The results are counted before they are gathered, so no row grows beyond the bound.
     """
+    n = res.groupBy("pkg_id").agg(F.count("*").alias("n_results"))
+    large = n.where(F.col("n_results") > most).select("pkg_id", F.col("n_results").cast("int").alias("n_results"), F.lit(None).cast("string").alias("report"), F.lit("too many results for one document").alias("error"))
     item = F.struct(severity_rank().alias("rank"), "path", F.coalesce("line_no", F.lit(-1)).alias("at"), "vector", "rule", "severity")
-    grouped = res.groupBy("pkg_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.array_sort(F.collect_set("rule")).alias("rules"))
+    some = res.join(n.where(F.col("n_results") <= most).select("pkg_id"), "pkg_id", "left_semi")
+    grouped = some.groupBy("pkg_id").agg(F.array_sort(F.collect_list(item)).alias("items"), F.array_sort(F.collect_set("rule")).alias("rules"))
     results = F.transform("items", lambda x: F.struct(x["rule"].alias("ruleId"), x["severity"].alias("level"), x["path"].alias("uri"), F.when(x["at"] >= 0, x["at"]).alias("startLine")))
-    return grouped.select("pkg_id", F.size("items").alias("n_results"), F.to_json(F.struct(F.col("rules"), results.alias("results"))).alias("report"))
+    ok = grouped.select("pkg_id", F.size("items").alias("n_results"), F.to_json(F.struct(F.col("rules"), results.alias("results"))).alias("report"), F.lit(None).cast("string").alias("error"))
+    return ok.unionByName(large)
+
+
+def reported_headline(dispositions: DataFrame) -> DataFrame:
+    """Verdict of each package after review: suppressed results do not count, demoted ones count with their effective severity."""
+    left = dispositions.where("disposition <> 'suppressed'")
+    strong = (F.col("vector") != "") & F.col("effective_severity").isin("critical", "high")
+    any_ = (F.col("vector") != "") | (F.col("effective_severity") != "low")
+    by = left.groupBy("pkg_id").agg(F.when(F.bool_or(strong), "BLOCKING").when(F.bool_or(any_), "FINDINGS").otherwise("CLEAN").alias("verdict"))
+    return dispositions.select("pkg_id").distinct().join(by, "pkg_id", "left").select("pkg_id", F.coalesce("verdict", F.lit("CLEAN")).alias("verdict"))
+
+
+def policy_summary(dispositions: DataFrame, unmatched: DataFrame) -> DataFrame:
+    """Decisions of a policy by effect: suppressed, demoted and unmatched."""
+    return dispositions.agg(F.count_if(F.col("disposition") == "suppressed").alias("suppressed"), F.count_if(F.col("disposition") == "demoted").alias("demoted")).withColumn("unmatched", F.lit(unmatched.count()))
 
 
 def dangling(links: DataFrame, results: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -63,6 +84,41 @@ _CLAIM = re.compile(r"(?i)^(?:this skill|it)?\s*(?P<neg>does not|doesn't|never|w
 _AXIS = {"execution": ("command", "script", "code", "process", "program", "shell"), "network": ("network", "internet", "request", "remote")}
 
 
+def read_policy(path: str, outside: str | None = None) -> list[dict]:
+    """Decisions of a policy file: a regular JSON file of at most 512 KiB that does not lie in the package."""
+    import json
+    from pathlib import Path
+
+    p = Path(path)
+    if p.is_symlink() or not p.is_file():
+        raise ValueError("a policy is a regular file")
+    if outside and p.resolve().is_relative_to(Path(outside).resolve()):
+        raise ValueError("a policy must not lie in the package")
+    if p.stat().st_size > 512 << 10:
+        raise ValueError("a policy has at most 512 KiB")
+    return check_policy(json.loads(p.read_text("utf-8")))
+
+
+def manifest_claims(texts: DataFrame) -> DataFrame:
+    """Claims of the manifests ``(pkg_id, rel, kind, text)``: ``pkg_id, manifest, side, axis, state`` from the description and a leading "This skill" paragraph, and the limits as rows without an axis."""
+    from .inspect import _map
+    from .markdown import front_matter
+
+    def one(pkg: str, rel: str, text: str) -> list[tuple]:
+        values, _, end, _ = front_matter(text)
+        description = values.get("description")
+        states, limits = claims(description if isinstance(description, str) else None)
+        lead = next((p for p in re.split(r"\n[ \t]*\n", "\n".join(text.split("\n")[end:])) if p.strip() and not p.lstrip().startswith("#")), "")
+        more, others = claims(" ".join(lead.split())) if lead.strip().startswith("This skill ") else ({}, [])
+        for axis, state in more.items():
+            if states.get(axis, state) != state:
+                others.append(f"claim_conflict:{axis}")
+            states.setdefault(axis, state)
+        return [(pkg, rel, "claimed", a, s) for a, s in states.items()] + [(pkg, rel, "limit", None, x) for x in limits + others]
+
+    return _map(texts.where("text is not null and kind = 'skill_manifest'"), ["pkg_id", "rel", "text"], one, "pkg_id string, manifest string, side string, axis string, state string").distinct()
+
+
 def claims(description: str | None) -> tuple[dict[str, str], list[str]]:
     """Capability states a description claims; one statement outside the grammar voids the whole source, two that differ are a conflict."""
     if not description:

@@ -8,6 +8,10 @@ they meet the records, so the join has one row a record on either side.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +108,57 @@ def false_positive_vectors(before: DataFrame, after: DataFrame) -> DataFrame:
     return pick(before, "n_before").join(pick(after, "n_after"), "vector", "full").na.fill(0, ["n_before", "n_after"])
 
 
-def split_digest(records: DataFrame) -> DataFrame:
-    """sha256 of the sorted distinct ids of each split, joined by newlines: pins which records a split holds."""
-    return records.groupBy("split").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("benchmark_id")), "\n"), 256).alias("digest"), F.countDistinct("benchmark_id").alias("n"))
+def split_digest(records: DataFrame, pins: dict[str, str] | None = None) -> DataFrame:
+    """sha256 of the sorted distinct ids of each split, joined by newlines, and whether it is the pinned one (null without a pin).
+
+    The ids of a split stream in order through one digest; they are never gathered in a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, split, digest, n = [], None, None, 0
+        for batch in batches:
+            for s, i in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if digest is None or s != split:
+                    if digest is not None:
+                        done.append((split, digest.hexdigest(), n))
+                    split, digest, n = s, hashlib.sha256(), 0
+                digest.update(("\n" if n else "").encode() + i.encode())
+                n += 1
+        if digest is not None:
+            done.append((split, digest.hexdigest(), n))
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), (pa.string(), pa.string(), pa.int64()))], ["split", "digest", "n"])
+
+    ids = records.where("benchmark_id is not null").select("split", "benchmark_id").distinct().repartition("split").sortWithinPartitions("split", "benchmark_id")
+    out = ids.mapInArrow(run, "split string, digest string, n long")
+    pinned = F.expr("CASE split " + " ".join(f"WHEN '{k}' THEN digest = '{v}'" for k, v in pins.items()) + " END") if pins else F.lit(None).cast("boolean")
+    return out.withColumn("pinned", pinned)
+
+
+def paired(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of the run before with those of the run after in their place where there are any; an id only the second run has, or another label, is an error row (``error``)."""
+    a = after.select(*[F.col(c).alias(f"_{c}") for c in after.columns])
+    met = before.join(a, F.col("benchmark_id") == F.col("_benchmark_id"), "full")
+    why = F.when(F.col("benchmark_id").isNull(), "only in the second run").when(F.col("_label").isNotNull() & (F.col("_label") != F.col("label")), "labels differ")
+    return met.select(*[F.coalesce(f"_{c}", c).alias(c) for c in before.columns], why.alias("pair_error"))
+
+
+def unique_records(records: DataFrame) -> DataFrame:
+    """The records, refused with an error when an id stands in rows that differ; exact copies count once."""
+    each = records.distinct()
+    n = each.groupBy("benchmark_id").agg(F.count("*").alias("_n"))
+    checked = each.join(n, "benchmark_id")
+    return checked.where(F.assert_true(F.col("_n") == 1, F.concat(F.lit("benchmark_id twice: "), F.col("benchmark_id"))).isNull()).drop("_n")
+
+
+def markdown_report(views: DataFrame, header: DataFrame) -> DataFrame:
+    """Lines of the report of a run: ``section, line``; the tables are small aggregates and stay rows."""
+    r = lambda c: F.format_number(c, 4)
+    head = header.select(F.lit("header").alias("section"), F.concat_ws(" ", F.lit("records"), "records", F.lit("malicious"), "malicious", F.lit("benign"), "benign").alias("line"))
+    rows = views.select(F.lit("views").alias("section"), F.concat(F.lit("| "), F.concat_ws(" | ", "view", "tp", "fp", "fn", "tn", "unanalyzed", r("precision"), r("recall"), r("f1"), r("fpr")), F.lit(" |")).alias("line"))
+    return head.unionByName(rows)
+
+
+def without(hits: DataFrame, vectors: list[str]) -> DataFrame:
+    """Findings without those of the named vectors."""
+    return hits.where(~F.col("vector").isin(*vectors))

@@ -12,8 +12,10 @@ import os
 import stat
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Folders left out, and limits of one read.
@@ -157,3 +159,18 @@ class SkillPackage(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SkillPackage)
+
+
+def wrapped(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Single texts as packages of one file each, named like a manifest: ``pkg_id, rel, kind, text``."""
+    return texts.select(F.col(id_col).cast("string").alias("pkg_id"), F.lit("SKILL.md").alias("rel"), F.lit("skill_manifest").alias("kind"), F.col(text_col).alias("text"))
+
+
+def wrap_file(path: str) -> dict[str, bytes]:
+    """One regular file as a package of one file; anything else is refused."""
+    p = Path(path)
+    if p.is_symlink() or not p.is_file():
+        raise ValueError("only a regular file can be wrapped")
+    if p.stat().st_size > MAX_FILE_BYTES:
+        raise ValueError("the file is too large")
+    return {p.name: p.read_bytes()}
