@@ -84,6 +84,16 @@ def python_repr(s: pd.Series) -> pd.Series:
     return _each(s, repr)
 
 
+def shown(v: str) -> str:
+    """A name with control, format and line characters and backslashes escaped."""
+    return "".join(c if c.isprintable() and c != "\\" else c.encode("unicode_escape").decode() for c in v)
+
+
+@F.pandas_udf(StringType())
+def shown_name(s: pd.Series) -> pd.Series:
+    return _each(s, shown)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def split_lines(s: pd.Series) -> pd.Series:
     """Lines at every Unicode line boundary."""

@@ -584,3 +584,8 @@ def python_findings(text: str) -> list[tuple[str, int]]:
         if id(f) not in m.entered:
             m.enter(f, [], {})
     return sorted(m.found, key=lambda x: (x[1], x[0]))
+
+
+def static_text(expression: str) -> str | None:
+    """Text of a Python expression as far as it is known without running it; unknown parts are shown as braces, None where nothing is known."""
+    return _Module().value(ast.parse(expression, mode="eval").body).text

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TAGS = range(0xE0000, 0xE0080)
 _BIDI = set("‪‫‬‭‮⁦⁧⁨⁩")
@@ -362,6 +363,34 @@ def requirement(line: str) -> tuple[str, str, bool] | None:
     return m[1], spec, bool(re.fullmatch(r"===?\s*[^,*\s]+", spec))
 
 
+def canonical_specifiers(text: str) -> str:
+    """Specifiers of a set, each once by its operator and version without trailing zeros, sorted."""
+    out = set()
+    for part in text.split(","):
+        m = re.fullmatch(r"\s*(===|==|~=|!=|<=|>=|<|>)\s*(\S+)\s*", part)
+        if m:
+            op, version = m.groups()
+            if op not in ("~=", "===") and not version.endswith(".*"):
+                version = re.sub(r"(?:\.0+)+$", "", version)
+            out.add(op + version.lower())
+    return ",".join(sorted(out))
+
+
+def unseen_dependencies(by_line: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Dependencies of the parser whose name and source the line scan of the file has not reported, after those of the line scan; ``seen_by`` says which."""
+    rest = parsed.alias("a").join(by_line.alias("b"), (F.col("a.pkg_id") == F.col("b.pkg_id")) & (F.col("a.rel") == F.col("b.rel")) & (F.col("a.name") == F.col("b.name")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left_anti")
+    return by_line.withColumn("seen_by", F.lit("line")).unionByName(rest.withColumn("seen_by", F.lit("parsed")))
+
+
+def effective_grants(grants_: DataFrame) -> DataFrame:
+    """Grants that no parsed denial of the same tool covers: a blanket denial, an equal pattern, or a prefix pattern."""
+    deny = grants_.where("not allowed and parsed").select("pkg_id", "rel", "tool", F.col("pattern").alias("denied"))
+    covers = F.col("denied").isNull() | F.col("denied").eqNullSafe(F.col("pattern")) | F.col("denied").endswith(":*") & F.expr("startswith(pattern, substring(denied, 1, length(denied) - 2))")
+    hit = grants_.where("allowed").join(deny, ["pkg_id", "rel", "tool"]).where(covers).select("pkg_id", "rel", "tool", "pattern").distinct()
+    a, b = grants_.where("allowed").alias("a"), hit.alias("b")
+    return a.join(b, (F.col("a.pkg_id") == F.col("b.pkg_id")) & (F.col("a.rel") == F.col("b.rel")) & (F.col("a.tool") == F.col("b.tool")) & F.col("a.pattern").eqNullSafe(F.col("b.pattern")), "left_anti")
+
+
 def deps(df: DataFrame) -> DataFrame:
     """``pkg_id, rel, name, specifier, pinned`` of the dependency manifests of ``df``."""
     return _map(

@@ -148,6 +148,8 @@ def semantic_findings(texts: DataFrame, reviewer: Callable[[str], str | None], r
     """
     from .inspect import FINDING
 
+    names = [c.split()[0] for c in FINDING.split(", ")]
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         budget, rows = Budget(), []
         for r in pdf.sort_values("path").itertuples():
@@ -158,7 +160,7 @@ def semantic_findings(texts: DataFrame, reviewer: Callable[[str], str | None], r
                 rows.append((r.pkg_id, r.path, "SXV-038", "semantic-prompt-injection", "medium" if verdict == "malicious" else "low", quote or "", line, None))
             elif verdict != "benign":
                 rows.append((r.pkg_id, r.path, "", f"review-{verdict}", "low", verdict, None, None))
-        return pd.DataFrame(rows, columns=StructType.fromDDL(FINDING).names).astype({"line_no": "Int32", "col_no": "Int32"})
+        return pd.DataFrame(rows, columns=names).astype({"line_no": "Int32", "col_no": "Int32"})
 
     numbered = texts.where("text is not null and text <> ''").select("pkg_id", "path").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("pkg_id").orderBy("path")))
     none = F.lit(None).cast("int")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +59,13 @@ def code_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.code_findings(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text")))
 
 
+@F.pandas_udf("path string, reason string")
+def hook_target(command: pd.Series) -> pd.DataFrame:
+    from .scan import resolve_hook
+
+    return pd.DataFrame([resolve_hook(c) for c in command], columns=["path", "reason"])
+
+
 # -- SQL pieces --------------------------------------------------------------------------------------
 
 _FILES = "files AS (SELECT DISTINCT artifact_id, pkg_id, rel, kind, role, coalesce(exception, '') AS exception FROM artifacts)"
@@ -107,7 +115,8 @@ def s6_shebang_language(spark, sf_dir):
     return each.groupBy("language").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH r AS (SELECT DISTINCT artifact_id, raw, hex(raw) AS h FROM artifacts WHERE raw IS NOT NULL), d AS (SELECT artifact_id, octet_length(raw) AS n, try(decode(raw)) AS t, regexp_matches(h, '^(..)*00') AS nul, regexp_matches(h, '^(..)*(81|8D|8F|90|9D)') AS undefined_byte FROM r)
+    SELECT artifact_id, CASE WHEN nul THEN NULL WHEN t IS NOT NULL THEN length(ltrim(t, chr(65279))) WHEN undefined_byte THEN NULL ELSE n END::INT AS n_chars, CASE WHEN nul THEN 'binary_content' WHEN t IS NULL AND undefined_byte THEN 'undecodable_text' END AS exception FROM d""")
 def s4_decoded_bytes(spark, sf_dir):
     """Bytes kept of files decoded anew: text length and the reason where there is none."""
     raw = artifacts(spark, sf_dir).where("raw is not null").select("artifact_id", "raw")
@@ -632,12 +641,17 @@ def sxv004_grants(spark, sf_dir):
 def j6_effective_grants(spark, sf_dir):
     """Grants that no denial of the same tool covers: a blanket denial, an equal pattern, or a prefix pattern."""
     g = inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
-    deny = g.where("not allowed and parsed").select("pkg_id", "rel", "tool", F.col("pattern").alias("denied"))
-    covers = F.col("denied").isNull() | F.col("denied").eqNullSafe(F.col("pattern")) | F.col("denied").endswith(":*") & F.expr("startswith(pattern, substring(denied, 1, length(denied) - 2))")
-    hit = g.where("allowed").join(deny, ["pkg_id", "rel", "tool"]).where(covers).select("pkg_id", "rel", "tool", "pattern").distinct()
-    a = g.where("allowed").alias("a")
-    b = hit.alias("b")
-    return a.join(b, (F.col("a.pkg_id") == F.col("b.pkg_id")) & (F.col("a.rel") == F.col("b.rel")) & (F.col("a.tool") == F.col("b.tool")) & F.col("a.pattern").eqNullSafe(F.col("b.pattern")), "left_anti")
+    return inspect.effective_grants(g)
+
+
+@query()
+def sxv012_hooks(spark, sf_dir):
+    """Hook commands of all configurations: the file of the package they run, or why they name none."""
+    hooks = inspect.hook_commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
+    known = files(spark, sf_dir).select("pkg_id", F.col("rel").alias("target")).distinct().withColumn("is_local", F.lit(True))
+    named = hooks.withColumn("r", hook_target("command")).select("*", F.col("r.path").alias("target"), F.col("r.reason").alias("reason")).drop("r")
+    out = named.join(known, ["pkg_id", "target"], "left")
+    return out.withColumn("reason", F.when(F.col("target").isNotNull() & F.col("is_local").isNull(), "unresolved_external").otherwise(F.col("reason"))).drop("is_local")
 
 
 @query()
@@ -1001,7 +1015,7 @@ def proj_p20_prompt_fields(spark, sf_dir):
     return a.select("artifact_id", F.explode(texts.prompt_fields("text")).alias("f")).select("artifact_id", "f.path", "f.text").distinct()
 
 
-@query()
+@query(f"WITH {_FILES}, f AS (SELECT DISTINCT pkg_id, rel FROM files) SELECT pkg_id, lower(nfc_normalize(rel)) AS key, count(*) AS n FROM f GROUP BY 1, 2 HAVING count(*) > 1")
 def f2_casefolded_names(spark, sf_dir):
     """File names of a package that differ only by case or composition."""
     f = files(spark, sf_dir).select("pkg_id", "rel").distinct().withColumn("key", texts.casefold(texts.nfc("rel")))
@@ -1070,7 +1084,10 @@ def e_code_findings(spark, sf_dir):
     return code_found(spark, sf_dir).groupBy("rule", "vector", "severity").agg(F.count("*").alias("n"), F.countDistinct("pkg_id", "path").alias("n_files"))
 
 
-@query()
+@query(
+    f"""WITH {_cover_sql()}, i AS (SELECT pkg_id, rule, {_RANK} AS rank, path, coalesce(line_no, -1) AS pos, vector, '{{"ruleId":"' || rule || '","level":"' || severity || '","uri":"' || path || '"' || CASE WHEN line_no IS NULL THEN '' ELSE ',"startLine":' || line_no END || '}}' AS doc FROM cand)
+    SELECT pkg_id, count(*)::INT AS n_results, '{{"rules":[' || (SELECT string_agg('"' || r || '"', ',' ORDER BY r) FROM (SELECT DISTINCT rule AS r FROM i j WHERE j.pkg_id = i.pkg_id)) || '],"results":[' || string_agg(doc, ',' ORDER BY rank, path, pos, vector, rule) || ']}}' AS report, NULL::VARCHAR AS error FROM i GROUP BY pkg_id"""
+)
 def k1_package_reports(spark, sf_dir):
     return report.package_reports(findings.cap(_all_findings(spark, sf_dir)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import case_queries  # noqa: F401  (registers the queries over case tables)
 from .queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "a9_confusion"
