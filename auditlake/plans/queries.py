@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,13 +58,6 @@ def code_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.code_findings(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text")))
 
 
-@F.pandas_udf("path string, reason string")
-def hook_target(command: pd.Series) -> pd.DataFrame:
-    from .scan import resolve_hook
-
-    return pd.DataFrame([resolve_hook(c) for c in command], columns=["path", "reason"])
-
-
 # -- SQL pieces --------------------------------------------------------------------------------------
 
 _FILES = "files AS (SELECT DISTINCT artifact_id, pkg_id, rel, kind, role, coalesce(exception, '') AS exception FROM artifacts)"
@@ -627,34 +619,54 @@ def m15_shell_commands(spark, sf_dir):
     return inspect.commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct().groupBy("command").agg(F.count("*").alias("n"), F.max("pipe_no").alias("longest_pipe"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT DISTINCT pkg_id, rel, text, lower(regexp_extract(rel, '([^/]*)$', 1)) AS base FROM artifacts WHERE kind = 'dep_manifest' AND text IS NOT NULL),
+    l AS (SELECT pkg_id, rel, trim(regexp_replace(regexp_replace(unnest(string_split(regexp_replace(text, '\\\n', '', 'g'), chr(10))), '(^|\s)#.*$', ''), '\s--?\w.*$', '')) AS line FROM f WHERE base NOT IN ('package.json', 'pyproject.toml')),
+    r AS (SELECT pkg_id, rel, regexp_extract(line, '^([A-Za-z0-9][A-Za-z0-9._-]*)', 1) AS name, trim(split_part(regexp_replace(line, '^[A-Za-z0-9][A-Za-z0-9._-]*\s*(\[[^\]]*\])?\s*', ''), ';', 1)) AS specifier FROM l WHERE regexp_matches(line, '^[A-Za-z0-9]')),
+    j AS (SELECT pkg_id, rel, text::JSON AS j, unnest(['dependencies', 'devDependencies', 'peerDependencies', 'optionalDependencies']) AS section FROM f WHERE base = 'package.json' AND json_valid(text)),
+    k AS (SELECT pkg_id, rel, j->section AS s, unnest(json_keys(j->section)) AS name FROM j WHERE json_type(j->section) = 'OBJECT'), n AS (SELECT pkg_id, rel, name, s->>name AS specifier FROM k WHERE json_type(s->name) = 'VARCHAR')
+    SELECT DISTINCT pkg_id, rel, name, specifier, regexp_full_match(specifier, '===?\s*[^,*\s]+') AS pinned FROM r
+    UNION SELECT pkg_id, rel, name, specifier, regexp_full_match(trim(specifier), '(?:npm:(?:@[\w.-]+/)?[\w.-]+@)?v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.+-]+)?') FROM n""")
 def sxv016_dependencies(spark, sf_dir):
     return inspect.deps(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
 
-@query()
+_GRANTS = r"""heads AS (SELECT DISTINCT pkg_id, rel, regexp_extract(text, '^---\n([\s\S]*?)(?:^|\n)(?:---|\.\.\.)[ \t]*(?:\n|$)', 1) AS head FROM artifacts WHERE kind = 'skill_manifest' AND starts_with(text, '---' || chr(10))),
+ entries AS (SELECT pkg_id, rel, unnest(regexp_extract_all(head, '(?m)^(?:dis)?allowed-tools:[ \t]*[^\n]*')) AS entry FROM heads),
+ parts AS (SELECT pkg_id, rel, NOT starts_with(entry, 'dis') AS allowed, unnest(regexp_extract_all(regexp_replace(entry, '^[a-z-]+:[ \t]*', ''), '[A-Za-z_*][A-Za-z0-9_*-]*(?:\([^)]*\))?')) AS part FROM entries),
+ split AS (SELECT pkg_id, rel, allowed, regexp_extract(part, '^([A-Za-z_*][A-Za-z0-9_*-]*)', 1) AS tool, CASE WHEN contains(part, '(') THEN regexp_extract(part, '\(([^)]*)\)', 1) END AS pattern FROM parts),
+ named AS (SELECT *, lower(tool) IN ('*', 'bash', 'shell', 'execute', 'sh') AS broad, split_part(regexp_extract(split_part(regexp_replace(coalesce(pattern, ''), ':\*$', ''), ' ', 1), '([^/]*)$', 1), ':', 1) AS head FROM split),
+ grants AS (SELECT DISTINCT pkg_id, rel, tool, pattern, true AS parsed, CASE WHEN tool = '*' OR broad AND (pattern IS NULL OR trim(pattern) IN ('', '*', ':*', '*:*')) THEN 'wildcard_all_commands' WHEN broad AND head IN ('sudo', 'doas', 'su') THEN 'privilege_escalation'
+   WHEN broad AND head IN ('python', 'python3', 'node', 'bash', 'sh', 'zsh', 'perl', 'ruby', 'curl', 'wget', 'deno', 'php') THEN 'interpreter_or_downloader' WHEN broad AND head IN ('pip', 'pip3', 'npm', 'npx', 'uvx', 'apt', 'apt-get', 'brew', 'cargo', 'gem') THEN 'package_installer'
+   WHEN broad AND (starts_with(head, '$') OR contains(pattern, '$(') OR contains(pattern, '`')) THEN 'variable_substitution' WHEN lower(tool) IN ('webfetch', 'fetch') AND pattern IS NULL THEN 'unrestricted_network' END AS breadth, allowed FROM named)"""
+
+
+@query(f"WITH {_GRANTS} SELECT * FROM grants")
 def sxv004_grants(spark, sf_dir):
     return inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
 
-@query()
+@query(f"""WITH {_GRANTS} SELECT g.* FROM grants g WHERE allowed AND NOT EXISTS (SELECT 1 FROM grants d WHERE NOT d.allowed AND d.parsed AND d.pkg_id = g.pkg_id AND d.rel = g.rel AND d.tool = g.tool
+    AND (d.pattern IS NULL OR d.pattern = g.pattern OR suffix(d.pattern, ':*') AND starts_with(g.pattern, substr(d.pattern, 1, length(d.pattern) - 2))))""")
 def j6_effective_grants(spark, sf_dir):
     """Grants that no denial of the same tool covers: a blanket denial, an equal pattern, or a prefix pattern."""
     g = inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
     return inspect.effective_grants(g)
 
 
-@query()
-def sxv012_hooks(spark, sf_dir):
-    """Hook commands of all configurations: the file of the package they run, or why they name none."""
-    hooks = inspect.hook_commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
-    known = files(spark, sf_dir).select("pkg_id", F.col("rel").alias("target")).distinct().withColumn("is_local", F.lit(True))
-    named = hooks.withColumn("r", hook_target("command")).select("*", F.col("r.path").alias("target"), F.col("r.reason").alias("reason")).drop("r")
-    out = named.join(known, ["pkg_id", "target"], "left")
-    return out.withColumn("reason", F.when(F.col("target").isNotNull() & F.col("is_local").isNull(), "unresolved_external").otherwise(F.col("reason"))).drop("is_local")
+_JSON = "SELECT DISTINCT pkg_id, rel, text::JSON AS j FROM artifacts WHERE text IS NOT NULL AND kind IN ({}) AND json_valid(text) AND json_type(text) = 'OBJECT'"
 
 
-@query()
+@query(f"""WITH c AS ({_JSON.format("'hooks_config', 'agent_config', 'plugin_manifest'")}), e AS (SELECT pkg_id, rel, j->'hooks' AS h, unnest(json_keys(j, '$.hooks')) AS event FROM c WHERE json_type(j, '$.hooks') = 'OBJECT'),
+    n AS (SELECT pkg_id, rel, event, unnest(from_json(h->event, '["JSON"]')) AS entry FROM e WHERE json_type(h->event) = 'ARRAY'), k AS (SELECT pkg_id, rel, event, unnest(from_json(entry->'hooks', '["JSON"]')) AS hook FROM n WHERE json_type(entry, '$.hooks') = 'ARRAY')
+    SELECT DISTINCT pkg_id, rel, event, hook->>'type' AS hook_type, CASE WHEN json_type(hook, '$.command') = 'VARCHAR' THEN hook->>'command' END AS command FROM k""")
+def sxv012_hook_entries(spark, sf_dir):
+    """Hooks of all configurations; what their commands run is told by ``j22_hook_cases`` and, over whole packages, by the scan."""
+    return inspect.hook_commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
+
+
+@query(rf"""WITH c AS ({_JSON.format("'mcp_config', 'agent_config', 'plugin_manifest'")}), e AS (SELECT pkg_id, rel, j->'mcpServers' AS m, unnest(json_keys(j, '$.mcpServers')) AS server FROM c WHERE json_type(j, '$.mcpServers') = 'OBJECT'),
+    s AS (SELECT pkg_id, rel, server, regexp_extract((m->server)->>'command', '([^/]*)$', 1) AS command, list_filter(from_json((m->server)->'args', '["VARCHAR"]'), lambda x: NOT starts_with(x, '-') AND x NOT IN ('run', 'exec', 'dlx'))[1] AS package FROM e)
+    SELECT DISTINCT pkg_id, rel, server, command, package, regexp_matches(package, '(?:@|==)v?\d+\.\d+\.\d+(?:[-+.\w]*)?$') AS pinned FROM s WHERE command IN ('npx', 'uvx', 'pipx', 'bunx', 'pnpx', 'pnpm', 'yarn') AND package IS NOT NULL""")
 def sxv013_server_packages(spark, sf_dir):
     return inspect.server_packages(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
 
@@ -671,12 +683,19 @@ def j1_governing_manifest(spark, sf_dir):
     return graph.governing_manifest(files(spark, sf_dir))
 
 
-@query()
+_EDGES = r"""hrefs AS (SELECT DISTINCT pkg_id, rel AS source, unnest(regexp_extract_all(text, '\]\(([^()\s]+)', 1)) AS href FROM artifacts WHERE kind IN ('skill_manifest', 'instruction', 'agent_identity', 'doc') AND contains(text, '](')),
+ paths AS (SELECT pkg_id, source, nfc_normalize(url_decode(regexp_replace(href, '[?#].*$', ''))) AS path, regexp_replace(source, '/?[^/]*$', '') AS d FROM hrefs WHERE NOT regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT regexp_matches(href, '^[/\\#?]')),
+ joined AS (SELECT pkg_id, source, '/' || CASE WHEN d = '' THEN path ELSE d || '/' || path END AS p FROM paths WHERE path <> ''),
+ clean AS (SELECT pkg_id, source, ltrim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, '/(\./)+', '/', 'g'), '/[^/.][^/]*/\.\./', '/', 'g'), '/[^/.][^/]*/\.\./', '/', 'g'), '/[^/.][^/]*/\.\./', '/', 'g'), '//+', '/', 'g'), '/') AS target FROM joined),
+ there AS (SELECT DISTINCT pkg_id, rel FROM artifacts), edges AS (SELECT DISTINCT c.pkg_id, c.source, c.target FROM clean c JOIN there t ON c.pkg_id = t.pkg_id AND c.target = t.rel)"""
+
+
+@query(f"WITH {_EDGES} SELECT * FROM edges")
 def j2_references(spark, sf_dir):
     return graph.references(artifacts(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {_EDGES}, reached AS (SELECT DISTINCT pkg_id, rel FROM artifacts WHERE kind IN ('skill_manifest', 'agent_identity') UNION SELECT e.pkg_id, e.target FROM reached r JOIN edges e ON r.pkg_id = e.pkg_id AND r.rel = e.source) SELECT * FROM reached")
 def j3_reach(spark, sf_dir):
     """Files reachable over links from manifests and identity files."""
     from .checkpoints import use_shared_folder
@@ -1092,15 +1111,6 @@ def k1_package_reports(spark, sf_dir):
     return report.package_reports(findings.cap(_all_findings(spark, sf_dir)))
 
 
-@query()
-def k3_dangling_links(spark, sf_dir):
-    """Links of results to candidates that point nowhere: none."""
-    c = correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir))
-    r = correlate.results(c)
-    links = r.select(F.col("result_key").alias("result_id"), F.col("first_candidate").alias("candidate_id"))
-    return report.dangling(links, r.select(F.col("result_key").alias("result_id")).distinct(), c.select("candidate_id").distinct())
-
-
 # -- the whole scan ----------------------------------------------------------------------------------
 
 
