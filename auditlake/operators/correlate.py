@@ -14,7 +14,7 @@ def candidates(findings: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
 
     ``gaps`` are the findings without a vector, where they are known apart.
     """
-    gap = (findings if gaps is None else gaps).where((F.coalesce("vector", F.lit("")) == "") & coverage_ledger.is_gap(F.col("rule"), F.col("severity")))
+    gap = (findings if gaps is None else gaps).where((F.coalesce("vector", F.lit("")) == "") & coverage_ledger.is_gap(F.col("rule"), F.col("severity"), F.col("message")))
     paths = gap.where("path <> ''").select("pkg_id", "path").distinct().withColumn("_p", F.lit(True))
     whole = gap.where("path is null or path = ''").select("pkg_id").distinct().withColumn("_w", F.lit(True))
     out = findings.join(paths, ["pkg_id", "path"], "left").join(whole, "pkg_id", "left")

@@ -270,8 +270,14 @@ def _heredocs(text: str) -> dict[int, str]:
 LANGUAGES = {"script_shell": "shell", "script_python": "python", "script_javascript": "javascript", "script_typescript": "typescript"}
 
 
+#: Longest text that is parsed as code, as in the parse bounds of the contract; a longer one is a gap.
+MAX_CHARS = 524_288
+
+
 def findings_of(language: str, text: str) -> list[tuple[str, int]]:
     """``(rule number, line)`` of one text in its language; raises SyntaxError or ValueError where it cannot be parsed."""
+    if len(text) > MAX_CHARS:
+        raise ValueError("too long")
     if language == "shell":
         return shell_findings(text)
     return engine_python.python_findings(text) if language == "python" else engine_script.script_findings(text)

@@ -9,6 +9,13 @@ BENIGN = ("excluded_dir",)
 # Parse-phase reasons that are notes.
 LOW_PARSE = ("config_parse_error", "dep_manifest_unparsed", "frontmatter_parse_error", "grants_unparsed_shape", "markdown_parse_error", "raw_html_markup", "requirement_unparsed", "unmodeled_content", "unsupported_markup")
 
+# Languages of source files that no check reads, by extension; build and infrastructure files are none of them.
+UNREAD_SOURCE = {
+    ".go": "Go", ".rs": "Rust", ".php": "PHP", ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin", ".swift": "Swift", ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".cxx": "C++", ".hpp": "C++", ".cs": "C#", ".lua": "Lua", ".r": "R", ".scala": "Scala", ".dart": "Dart",
+    ".ex": "Elixir", ".exs": "Elixir", ".hs": "Haskell", ".m": "Objective-C or MATLAB", ".mm": "Objective-C", ".zig": "Zig", ".nim": "Nim", ".jl": "Julia", ".vb": "Visual Basic", ".vbs": "VBScript", ".fs": "F# or Forth", ".fsx": "F#", ".clj": "Clojure", ".erl": "Erlang", ".groovy": "Groovy",
+    ".ksh": "ksh", ".fish": "fish", ".csh": "csh", ".tcsh": "tcsh", ".awk": "awk", ".ahk": "AutoHotkey", ".applescript": "AppleScript", ".ml": "OCaml", ".pas": "Pascal", ".f90": "Fortran", ".cr": "Crystal", ".rkt": "Racket", ".lisp": "Lisp", ".d": "D", ".pyx": "Cython", ".psm1": "PowerShell", ".v": "V or Verilog", ".elm": "Elm",
+}
+
 
 def files(artifacts: DataFrame) -> DataFrame:
     """A file once, however often it was delivered; no text is carried."""
@@ -51,18 +58,46 @@ def static_severity(reason: Column, kind: Column, path: Column) -> Column:
     )
 
 
+def unread_language(path: Column) -> Column:
+    """Language of a source file that no check reads, by its extension; null for other files."""
+    ext = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+    return F.element_at(F.create_map(*[F.lit(x) for pair in UNREAD_SOURCE.items() for x in pair]), ext)
+
+
 def coverage_findings(artifact_files: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One finding a distinct (phase, reason, path): ``analysis-incomplete`` or the low ``coverage-note``."""
+    """One finding a distinct (phase, reason, path): ``analysis-incomplete`` (high, medium for source that no check reads) or the low ``coverage-note``."""
     gaps = ledger.select("pkg_id", "path", F.coalesce(F.nullif("phase", F.lit("")), F.lit("static")).alias("phase"), F.coalesce(F.nullif("reason_code", F.lit("")), F.lit("unknown")).alias("reason")).distinct()
     kinds = artifact_files.groupBy("pkg_id", F.col("rel").alias("path")).agg(F.min("kind").alias("kind"))
-    severity = F.when(F.col("phase") == "parse", F.when(F.col("reason").isin(*LOW_PARSE), "low").otherwise("high")).otherwise(static_severity(F.col("reason"), F.coalesce("kind", F.lit("")), F.col("path")))
-    out = gaps.join(kinds, ["pkg_id", "path"], "left").withColumn("severity", severity).where("severity is not null")
+    unread = F.when((F.col("phase") == "parse") & (F.col("reason") == "unmodeled_content"), unread_language(F.col("path")))
+    severity = (
+        F.when(F.col("unread").isNotNull(), "medium")
+        .when(F.col("phase") == "parse", F.when(F.col("reason").isin(*LOW_PARSE), "low").otherwise("high"))
+        .otherwise(static_severity(F.col("reason"), F.coalesce("kind", F.lit("")), F.col("path")))
+    )
+    out = gaps.join(kinds, ["pkg_id", "path"], "left").withColumn("unread", unread).withColumn("severity", severity).where("severity is not null")
+    plain = F.concat(F.col("phase"), F.lit(" analysis coverage is incomplete ("), F.col("reason"), F.lit(")."))
+    named = F.concat(F.col("path"), F.lit(" was read but not analyzed: no lane covers "), F.col("unread"), F.lit("."))
     return out.select(
         "pkg_id", "path", F.lit("").alias("vector"), F.when(F.col("severity") == "low", "coverage-note").otherwise("analysis-incomplete").alias("rule"), "severity",
-        F.concat(F.col("phase"), F.lit(" analysis coverage is incomplete ("), F.col("reason"), F.lit(").")).alias("message"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"),
+        F.when(F.col("unread").isNotNull(), named).otherwise(plain).alias("message"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("int").alias("col_no"),
     )
 
 
-def is_gap(rule: Column, severity: Column) -> Column:
-    """Whether a finding without a vector marks something that was not analysed (a low note of an excluded directory does not)."""
-    return ~((rule == "coverage-note") & (severity == "low"))
+def is_inventory_note(rule: Column, severity: Column, message: Column) -> Column:
+    """Whether a finding without a vector only notes a benign skip of the static phase; its message carries phase and reason."""
+    said = [F.lit(f"static analysis coverage is incomplete ({r}).") for r in BENIGN]
+    return (rule == "coverage-note") & (severity == "low") & message.isin(*said)
+
+
+def is_gap(rule: Column, severity: Column, message: Column) -> Column:
+    """Whether a finding without a vector marks something that was not analysed."""
+    return ~is_inventory_note(rule, severity, message)
+
+
+def material_gaps(artifact_files: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Entries of the ledger that may hide context: all outside the static phase, and static ones that are neither benign nor ungraded."""
+    kinds = artifact_files.groupBy("pkg_id", F.col("rel").alias("path")).agg(F.min("kind").alias("kind"))
+    phase = F.coalesce(F.nullif("phase", F.lit("")), F.lit("static"))
+    reason = F.coalesce(F.nullif("reason_code", F.lit("")), F.lit("unknown"))
+    graded = ledger.join(kinds, ["pkg_id", "path"], "left").withColumn("_s", static_severity(reason, F.coalesce("kind", F.lit("")), F.col("path")))
+    return graded.where((phase != "static") | ~reason.isin(*BENIGN) & F.col("_s").isNotNull()).select("pkg_id", "path", phase.alias("phase"), reason.alias("reason"))

@@ -191,8 +191,8 @@ def bang_tokens(text: str) -> list[tuple[str, str, int, int, bool]]:
     """``(kind, code, line, column, runs)`` of load-time commands: inline ones and fenced ones.
 
     An inline one runs only at the start of a line or after a blank, outside
-    fences, tables and longer code spans; twenty-five that run and twenty-five
-    that do not are kept of each file.
+    fences, tables and longer code spans.  All of them are given; the scan keeps
+    ``TOKENS_KEPT`` of each kind of a file and counts the rest in a note.
     """
     out: list[tuple[str, str, int, int, bool]] = []
     lines = text.split("\n")
@@ -204,15 +204,12 @@ def bang_tokens(text: str) -> list[tuple[str, str, int, int, bool]]:
                 out.append(("fenced", code, a, 1, True))
         if kind in ("fence", "code", "table"):
             skip.update(range(a, b + 1))
-    kept = {True: 0, False: 0}
     for n, line in enumerate(lines, 1):
         if n in skip or "!`" not in line:
             continue
         for m in re.finditer(r"(?<!`)!`(?!`)([^`\n]+)`(?!`)", line):
             runs = m.start() == 0 or line[m.start() - 1].isspace()
-            if kept[runs] < TOKENS_KEPT:
-                kept[runs] += 1
-                out.append(("inline", m[1], n, m.start() + 1, runs))
+            out.append(("inline", m[1], n, m.start() + 1, runs))
     return out
 
 

@@ -200,10 +200,10 @@ def proj_p6_coverage_findings(spark, sf_dir):
     return ledger.coverage_findings(files(spark, sf_dir), table(spark, sf_dir, "ledger")).select("pkg_id", "path", "rule", "severity", "message")
 
 
-@query(f"WITH {_GAPS} SELECT pkg_id, count(*) FILTER (severity <> 'low') AS n_gaps, count(*) FILTER (severity = 'low') AS n_notes, bool_or(severity <> 'low') AS incomplete FROM graded WHERE severity IS NOT NULL GROUP BY 1")
+@query(f"WITH {_GAPS} SELECT pkg_id, count(*) FILTER (NOT note) AS n_gaps, count(*) FILTER (note) AS n_notes, bool_or(NOT note) AS incomplete FROM (SELECT *, severity = 'low' AND phase = 'static' AND reason = 'excluded_dir' AS note FROM graded) WHERE severity IS NOT NULL GROUP BY 1")
 def a17_package_gaps(spark, sf_dir):
     f = ledger.coverage_findings(files(spark, sf_dir), table(spark, sf_dir, "ledger"))
-    gap = ledger.is_gap(F.col("rule"), F.col("severity"))
+    gap = ledger.is_gap(F.col("rule"), F.col("severity"), F.col("message"))
     return f.groupBy("pkg_id").agg(F.count_if(gap).alias("n_gaps"), F.count_if(~gap).alias("n_notes"), F.bool_or(gap).alias("incomplete"))
 
 
@@ -218,6 +218,12 @@ def m1_last_parse(spark, sf_dir):
     return table(spark, sf_dir, "parse_results").groupBy("artifact_id").agg(F.max("run_no").alias("run_no"), F.max_by("kind", "run_no").alias("kind"))
 
 
+@query(f"WITH {_GAPS} SELECT pkg_id, path, phase, reason, count(*) AS n FROM (SELECT l.pkg_id, l.path, coalesce(nullif(l.phase, ''), 'static') AS phase, coalesce(nullif(l.reason_code, ''), 'unknown') AS reason FROM ledger l) e JOIN graded USING (pkg_id, path, phase, reason) WHERE phase <> 'static' OR reason <> 'excluded_dir' AND severity IS NOT NULL GROUP BY ALL")
+def p7_material_gaps(spark, sf_dir):
+    """Entries of the ledger that may hide context."""
+    return ledger.material_gaps(files(spark, sf_dir), table(spark, sf_dir, "ledger")).groupBy("pkg_id", "path", "phase", "reason").agg(F.count("*").alias("n"))
+
+
 # -- lines and windows -------------------------------------------------------------------------------
 
 
@@ -888,7 +894,7 @@ def _all_findings(spark, sf_dir) -> DataFrame:
 def _cover_sql() -> str:
     return f"""{_FOUND}, {_GAPS}, allf AS (SELECT pkg_id, path, vector, rule, severity, rule AS message, line_no FROM found UNION ALL SELECT pkg_id, path, '' AS vector, CASE WHEN severity = 'low' THEN 'coverage-note' ELSE 'analysis-incomplete' END, severity,
       phase || ' analysis coverage is incomplete (' || reason || ').', NULL FROM graded WHERE severity IS NOT NULL),
-    gp AS (SELECT DISTINCT pkg_id, path FROM allf WHERE vector = '' AND NOT (rule = 'coverage-note' AND severity = 'low')),
+    gp AS (SELECT DISTINCT pkg_id, path FROM allf WHERE vector = '' AND NOT (rule = 'coverage-note' AND severity = 'low' AND message = 'static analysis coverage is incomplete (excluded_dir).')),
     cand AS (SELECT a.*, CASE WHEN gp.path IS NOT NULL THEN 'incomplete' ELSE 'complete' END AS coverage FROM allf a LEFT JOIN gp ON a.pkg_id = gp.pkg_id AND a.path = gp.path)"""
 
 

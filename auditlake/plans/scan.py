@@ -115,12 +115,14 @@ def _characters(rel, kind, text, raw):
 
 
 def _preproc(rel, kind, text, raw):
-    out = []
+    out, seen = [], {}
     for token, code, n, c, runs in markdown.bang_tokens(text) if text and kind in markdown.KINDS and ("!`" in text or "```!" in text) else ():
         if runs:
-            digest = hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()
-            out.append(_row(rel, "SXV-002" if token == "fenced" else "SXV-001", f"preproc-{token}-bang", "critical", digest, n, c))
-    return out
+            seen[token] = seen.get(token, 0) + 1
+            if seen[token] <= markdown.TOKENS_KEPT:
+                digest = hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()
+                out.append(_row(rel, "SXV-002" if token == "fenced" else "SXV-001", f"preproc-{token}-bang", "critical", digest, n, c))
+    return out + [_row(rel, "", "findings-capped", "low", f"preproc-{t}-bang: {k - markdown.TOKENS_KEPT} more") for t, k in seen.items() if k > markdown.TOKENS_KEPT]
 
 
 _FROM_URL = re.compile(r"(?i)^(?:@\s*)?(?:git\+|https?:|git:|ssh:|file:)|github:")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import stat
 import zipfile
 from collections.abc import Iterator
@@ -77,16 +78,41 @@ def walk(root: str, below: str = "") -> Iterator[tuple[str, int | None, str | No
             yield rel, *read_bounded(path)
 
 
-def package_roots(root: str) -> Iterator[str]:
-    """Folders that are packages: they hold a manifest or a marker; nothing below one is looked at."""
-    names = set(os.listdir(root)) if os.path.isdir(root) else set()
-    if any(n.lower() == "skill.md" for n in names) or names & set(MARKERS):
-        yield root
-        return
-    for n in sorted(names):
-        path = os.path.join(root, n)
-        if os.path.isdir(path) and not os.path.islink(path) and n not in EXCLUDED_DIRS and n not in BUNDLED_DIRS:
-            yield from package_roots(path)
+MAX_DIRS, MAX_ENTRIES = 20_000, 100_000
+
+
+def package_roots(root: str, max_dirs: int = MAX_DIRS, max_entries: int = MAX_ENTRIES) -> Iterator[str]:
+    """Folders that are packages: they hold a manifest or a marker; nothing below one is looked at.
+
+    Runs on the driver over names only; more folders or entries than the bounds are an error, never a part of the answer.
+    """
+    todo, dirs, entries = [root], 0, 0
+    while todo:
+        here = todo.pop()
+        names = sorted(os.listdir(here)) if os.path.isdir(here) else []
+        dirs, entries = dirs + 1, entries + len(names)
+        if dirs > max_dirs or entries > max_entries:
+            raise ValueError("too many folders or entries to look for packages in")
+        if any(n.lower() == "skill.md" for n in names) or set(names) & set(MARKERS):
+            yield here
+            continue
+        todo += [os.path.join(here, n) for n in reversed(names) if n not in EXCLUDED_DIRS and n not in BUNDLED_DIRS and os.path.isdir(os.path.join(here, n)) and not os.path.islink(os.path.join(here, n))]
+
+
+def resolve(target: str) -> tuple[str, str]:
+    """Kind of a target and its path: a folder, a zip archive, or a single file that is wrapped; addresses and other archives are refused."""
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]+://", target) or target.endswith(".git"):
+        raise ValueError("addresses are not fetched")
+    p = Path(target)
+    if p.is_symlink() or not p.exists():
+        raise ValueError("no such folder or file")
+    if p.is_dir():
+        return "directory", str(p)
+    if zipfile.is_zipfile(p):
+        return "zip", str(p)
+    if re.search(r"(?i)\.(?:tar|tgz|gz|bz2|xz|7z|rar|whl)$", p.name):
+        raise ValueError("archives other than zip are refused")
+    return "file", str(p)
 
 
 def archive_members(data: bytes) -> tuple[list[tuple[str, bytes]], str | None]:

@@ -39,9 +39,36 @@ def sarif(findings: DataFrame, tool: str = "auditlake") -> dict:
     return {"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool, "rules": rules}}, "results": results}]}
 
 
+MAX_REPORT = 64 << 20
+
+
 def encode(document: dict) -> bytes:
-    """Canonical bytes: sorted keys, ASCII, one newline at the end."""
-    return json.dumps(document, sort_keys=True, ensure_ascii=True, separators=(",", ":")).encode() + b"\n"
+    """Canonical bytes: sorted keys, ASCII, one newline at the end; a document over the bound is refused."""
+    out = json.dumps(document, sort_keys=True, ensure_ascii=True, separators=(",", ":")).encode() + b"\n"
+    if len(out) > MAX_REPORT:
+        raise ValueError("the report is larger than 64 MiB")
+    return out
+
+
+def write_merged(reports: DataFrame, path: str, tool: str = "auditlake") -> int:
+    """One document with a run a package, in the order of the packages, streamed row by row; the number of runs.
+
+    ``reports`` has ``pkg_id, report``; packages without a document are left out.
+    """
+    target = Path(path).resolve()
+    handle, name = tempfile.mkstemp(dir=target.parent)
+    n = 0
+    with os.fdopen(handle, "w", encoding="ascii") as f:
+        f.write('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[')
+        for pkg, doc in reports.where("report is not null").select("pkg_id", "report").orderBy("pkg_id").toLocalIterator():
+            run = {"automationDetails": {"id": pkg}, "results": json.loads(doc)["results"], "tool": {"driver": {"name": tool, "rules": [{"id": r} for r in json.loads(doc)["rules"]]}}}
+            f.write(("," if n else "") + json.dumps(run, sort_keys=True, ensure_ascii=True, separators=(",", ":")))
+            n += 1
+        f.write('],"version":"2.1.0"}\n')
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(name, target)
+    return n
 
 
 def write_report(document: dict, path: str, outside: str | None = None) -> None:

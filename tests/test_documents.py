@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as texts
 from auditlake.operators import markdown, report
+from auditlake.plans import scan
 
 
 def test_front_matter():
@@ -25,7 +26,9 @@ def test_blocks_and_links():
 def test_load_time_commands():
     got = markdown.bang_tokens("!`a` x!`b` y !`c`\n| t |\n|---|\n| !`d` |\n```\n!`e`\n```\n```! sh\nls\n```\n```!\n\n```\n``!`f` ``\n")
     assert [(k, c, runs) for k, c, _, _, runs in got] == [("fenced", "ls", True), ("inline", "a", True), ("inline", "b", False), ("inline", "c", True)]
-    assert len(markdown.bang_tokens("!`a` " * 60)) == 25
+    assert len(markdown.bang_tokens("!`a` " * 60)) == 60
+    kept = scan._preproc("a.md", "doc", "!`a` " * 60, None)
+    assert len(kept) == 26 and kept[-1][2:5] == ("findings-capped", "low", "preproc-inline-bang: 35 more")
 
 
 def test_code_units():
