@@ -19,19 +19,37 @@ def candidates(findings: DataFrame, gaps: DataFrame | None = None) -> DataFrame:
     whole = gap.where("path is null or path = ''").select("pkg_id").distinct().withColumn("_w", F.lit(True))
     out = findings.join(paths, ["pkg_id", "path"], "left").join(whole, "pkg_id", "left")
     ident = F.sha2(F.concat_ws("\x1f", "pkg_id", "path", "vector", "rule", "severity", "message", F.coalesce("line_no", F.lit(-1)).cast("string")), 256)
-    return out.withColumn("candidate_id", ident).withColumn("coverage", F.when(F.col("_p") | F.col("_w"), "incomplete").otherwise("complete")).drop("_p", "_w")
+    analyzer = F.when(F.col("rule").rlike("^E[0-9]{2}-"), "code-engine").when(F.col("vector") == "SXV-038", "review").otherwise("ir-check")
+    return out.withColumn("candidate_id", ident).withColumn("analyzer", analyzer).withColumn("coverage", F.when(F.col("_p") | F.col("_w"), "incomplete").otherwise("complete")).drop("_p", "_w")
 
 
-def results(cands: DataFrame) -> DataFrame:
-    """Equivalent candidates as one result: vector, path and place make the key where both are known, the message joins it otherwise."""
+def result_key(anchor: str | None = None) -> Column:
+    """Key of equivalent candidates: vector, path and place, with the message unless vector and place (and, where given, the anchor) are known."""
     known = (F.coalesce("vector", F.lit("")) != "") & F.col("line_no").isNotNull()
-    keyed = cands.withColumn("result_key", F.sha2(F.concat_ws("\x1f", "pkg_id", "path", "vector", F.coalesce("line_no", F.lit(-1)).cast("string"), F.when(known, F.lit("")).otherwise(F.col("message"))), 256))
+    if anchor:
+        known = known & F.col(anchor).isNotNull()
+    return F.sha2(F.concat_ws("\x1f", "pkg_id", "path", "vector", F.coalesce("line_no", F.lit(-1)).cast("string"), F.when(known, F.lit("")).otherwise(F.col("message"))), 256)
+
+
+def results(cands: DataFrame, anchor: str | None = None) -> DataFrame:
+    """Equivalent candidates as one result, with the analyzers it comes from; ``links`` has its candidates as rows."""
+    keyed = cands.withColumn("result_key", result_key(anchor))
     return keyed.groupBy("pkg_id", "path", "result_key").agg(
         F.min("vector").alias("vector"), F.min("rule").alias("rule"), F.min_by("severity", severity_rank()).alias("severity"), F.min("line_no").alias("line_no"),
-        F.count("*").alias("n_candidates"), F.min("candidate_id").alias("first_candidate"), F.max("coverage").alias("coverage"),
+        F.count("*").alias("n_candidates"), F.min("candidate_id").alias("first_candidate"), F.max("coverage").alias("coverage"), F.array_join(F.array_sort(F.collect_set("analyzer")), ",").alias("provenance"),
     )
 
 
+def links(cands: DataFrame, anchor: str | None = None) -> DataFrame:
+    """``pkg_id, result_key, candidate_id, link``: the least candidate of a result is reported, the others are its duplicates.
+
+    The least one comes from an aggregate, so no result gathers its candidates.
+    """
+    keyed = cands.select("pkg_id", result_key(anchor).alias("result_key"), "candidate_id").distinct()
+    first = keyed.groupBy("pkg_id", "result_key").agg(F.min("candidate_id").alias("_first"))
+    return keyed.join(first, ["pkg_id", "result_key"]).withColumn("link", F.when(F.col("candidate_id") == F.col("_first"), "reported").otherwise("duplicate")).drop("_first")
+
+
 def context_digests(artifacts: DataFrame) -> DataFrame:
     """Digest of all files of a package: changes when any of them does.
 

@@ -572,11 +572,17 @@ def _shell_name(text: str | None) -> bool:
     return bool(text) and re.sub(r"^(?:/usr)?/bin/", "", text.lower()) in SHELLS
 
 
+# A text without any of these names calls nothing that a rule looks for.
+_TRIGGERS = re.compile(r"subprocess|\bos\b|\bexec|\beval\b|requests|httpx|url(?:lib|open)|\bget\(|\bpost\(|\bput\(|\brequest\(|upload|put_object|\bopen\b|\bPath\b|glob|socket|\bpty\b|winreg|runpy|\.send|b64|write|read_|pathlib")
+
+
 def python_findings(text: str) -> list[tuple[str, int]]:
     """``(rule number, line)`` of a Python text; raises SyntaxError or RecursionError where it cannot be parsed."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         tree = ast.parse(text)
+    if not _TRIGGERS.search(text):
+        return []
     m = _Module()
     m.block(tree.body)
     while m.queue:  # functions that nothing called, with unknown arguments

@@ -28,15 +28,32 @@ def dedupe(findings: DataFrame) -> DataFrame:
     return findings.groupBy(*key).agg(F.min_by("severity", severity_rank()).alias("severity")).select(*COLUMNS)
 
 
-def cap(findings: DataFrame, most: int = CAP, slices: int = 32) -> DataFrame:
-    """First ``most`` findings of each (path, vector or rule), and one low ``findings-capped`` row with the overflow of each group.
+def group_key(variant: str = "") -> Column:
+    """What makes a group under the cap: the vector, or the rule where there is none.
+
+    Understated permissions are split by capability, but for the ``instruction``
+    variant; ``obfuscation`` also splits by rule and severity.
+    """
+    key = F.coalesce(F.nullif("vector", F.lit("")), "rule")
+    if variant == "obfuscation":
+        return F.concat_ws(" ", key, "rule", "severity")
+    if variant == "instruction":
+        return key
+    axis = F.when(F.col("rule").contains("network"), "network").otherwise("execution")
+    return F.when(F.col("vector") == "SXV-033", F.concat_ws(" ", key, axis)).otherwise(key)
+
+
+def cap(findings: DataFrame, most: int = CAP, slices: int = 32, variant: str = "") -> DataFrame:
+    """First ``most`` findings of each (path, ``group_key``), and one low ``findings-capped`` row with the overflow of each group.
+
+    The order puts the reported severity first, so a fixture that counts less never takes the place of a live finding.
 
     Ranking and counting happen in hashed slices of a group first, so no task
     ranks a whole hot group: the first ``most`` of a group are among the first
     ``most`` of its slices, and the group's size is the sum of its slices'.
     """
     group = ["pkg_id", "path", "group_key"]
-    keyed = findings.withColumn("group_key", F.coalesce(F.nullif("vector", F.lit("")), "rule")).withColumn("_slice", F.pmod(F.xxhash64("line_no", "col_no", "message"), F.lit(slices)))
+    keyed = findings.withColumn("group_key", group_key(variant)).withColumn("_slice", F.pmod(F.xxhash64("line_no", "col_no", "message"), F.lit(slices)))
     part = Window.partitionBy(*group, "_slice")
     first = keyed.withColumn("_r", F.row_number().over(part.orderBy(*order_columns()))).withColumn("_n", F.count("*").over(part)).where(F.col("_r") <= most)
     whole = Window.partitionBy(*group)

@@ -6,17 +6,17 @@ import ast
 import json
 import re
 import shlex
-import struct
 import tomllib
 import unicodedata
 import warnings
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .forensics import byte_findings
+
 _TAGS = range(0xE0000, 0xE0080)
 _BIDI = set("‪‫‬‭‮⁦⁧⁨⁩")
 _ZERO = set("​⁠⁡⁢⁣⁤﻿")
@@ -126,106 +126,12 @@ def mixed_script(token: str) -> str | None:
     return folded if folded.isascii() and sum(c.isalpha() for c in folded) >= 2 else None
 
 
-# -- bytes -------------------------------------------------------------------------------------------
-
-
-def sniff(data: bytes) -> str:
-    """Container or program format by structure, not by its first bytes alone; 'text' or 'unknown' otherwise."""
-    n = len(data)
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return "png" if png_end(data) else "png_broken"
-    if data[:2] == b"MZ" and n >= 64:
-        at = struct.unpack_from("<I", data, 60)[0]
-        if 0x40 <= at <= n - 24 and data[at : at + 4] == b"PE\0\0":
-            return "pe"
-    if data[:4] == b"\x7fELF" and n >= 52 and data[4] in (1, 2) and data[5] in (1, 2) and data[6] == 1:
-        return "elf"
-    if data[:4] in (b"\xfe\xed\xfa\xce", b"\xfe\xed\xfa\xcf", b"\xce\xfa\xed\xfe", b"\xcf\xfa\xed\xfe") and n >= 28:
-        return "macho"
-    if data[:3] == b"\x1f\x8b\x08" and n >= 18 and not data[3] & 0xE0:
-        try:
-            zlib.decompressobj(31).decompress(data, 1 << 20)
-            return "gzip"
-        except zlib.error:
-            return "unknown"
-    if data[:6] == b"7z\xbc\xaf\x27\x1c":
-        return "7z"
-    if zip_end(data) is not None:
-        return "zip"
-    if data[:6] in (b"GIF87a", b"GIF89a"):
-        return "gif"
-    if data[:3] == b"\xff\xd8\xff":
-        return "jpeg"
-    if data[:5] == b"%PDF-":
-        return "pdf"
-    if n and sum(b in b"\t\n\r\f" or 32 <= b < 127 for b in data) >= 0.85 * n:
-        return "text"
-    return "unknown"
-
-
-def png_end(data: bytes) -> int | None:
-    """Offset after the IEND chunk of a sound PNG (header first, every checksum right, data seen)."""
-    at, seen = 8, False
-    while at + 12 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        end = at + 12 + size
-        if end > len(data) or zlib.crc32(data[at + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
-            return None
-        if at == 8 and (kind != b"IHDR" or size != 13):
-            return None
-        seen = seen or kind == b"IDAT"
-        if kind == b"IEND":
-            return end if seen and size == 0 else None
-        at = end
-    return None
-
-
-def zip_end(data: bytes) -> tuple[int, int] | None:
-    """Start and end of a zip archive inside the bytes: last end record whose directory points at local headers."""
-    at = len(data)
-    for _ in range(128):
-        at = data.rfind(b"PK\5\6", 0, at)
-        if at < 0:
-            return None
-        if at + 22 > len(data):
-            continue
-        disk, start_disk, here, total, size, offset, comment = struct.unpack_from("<4H2IH", data, at + 4)
-        begin = at - size - offset
-        if disk or start_disk or here != total or not total or begin < 0 or at + 22 + comment > len(data):
-            continue
-        if data[begin + offset : begin + offset + 4] == b"PK\1\2":
-            local = struct.unpack_from("<I", data, begin + offset + 42)[0]
-            if data[begin + local : begin + local + 4] == b"PK\3\4":
-                return begin, at + 22 + comment
-    return None
-
-
-_EXPECTED = {"png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "pdf": "pdf", "zip": "zip", "gz": "gzip", "whl": "zip", "jar": "zip", "so": "elf", "exe": "pe", "dll": "pe", "7z": "7z"}
-
-
-def byte_findings(rel: str, raw: bytes) -> list[tuple[str, str, str, str]]:
-    """``(vector, rule, severity, message)`` of a file's bytes."""
-    out = []
-    ext = rel.rsplit(".", 1)[-1].lower() if "." in rel else ""
-    found = sniff(raw)
-    want = _EXPECTED.get(ext)
-    if want and found != want and found != "unknown":
-        out.append(("SXV-035", "magic-mismatch", "high" if found in ("pe", "elf", "macho") else "medium", f"named {ext}, holds {found}"))
-    if not want and found in ("pe", "elf", "macho"):
-        out.append(("SXV-035", "magic-mismatch", "high", f"named {ext or 'without extension'}, holds {found}"))
-    span = zip_end(raw)
-    if span and span[0] > 0 and raw[: span[0]].strip(b"\0"):
-        out.append(("SXV-036", "polyglot", "high" if found in ("png", "gif", "jpeg", "pdf") else "medium", f"{span[0]} bytes before a zip archive"))
-    if found == "png" and (end := png_end(raw)) and end < len(raw) and not span:
-        out.append(("SXV-037", "unreferenced-bytes", "medium", f"{len(raw) - end} bytes after the image"))
-    if span and span[1] < len(raw):
-        out.append(("SXV-037", "unreferenced-bytes", "medium", f"{len(raw) - span[1]} bytes after the archive"))
-    return out
+# -- bytes ---
 
 
 def forensics(df: DataFrame) -> DataFrame:
     def one(pkg: str, rel: str, raw: bytes) -> list[tuple]:
-        return [(pkg, rel, v, r, s, m, None, None) for v, r, s, m in byte_findings(rel, bytes(raw))]
+        return [(pkg, rel, f.vector, f.rule, f.severity, f.message, None, None) for f in byte_findings(rel, bytes(raw))]
 
     return _map(df.where("raw is not null"), ["pkg_id", "rel", "raw"], one, FINDING)
 

@@ -155,18 +155,34 @@ PHRASES = (
     Phrase("identity-persistence-write", "SXV-005", "critical", re.compile(_CORES["identity-persistence-write"])),
     Phrase("startup-hook-install", "SXV-006", "critical", re.compile(_CORES["startup-hook-install"])),
 )
-_WORDS = tuple(sorted({w for p in PHRASES for w in detect.HINTS.get(p.rule, ())} | {"mention", "reference", "block", "section", "diff", "commit", "summary", "silently", "quietly", "secretly", "covertly", "without", "harmless", "routine", "instead of", "developer mode", "jailbroken", "dan", "this", "only", "just", "http", "replace"}))
+# Words in lower case of which a text must hold one before the phrase is looked for.
+_HINTS = {
+    "instruction-override": (*detect.HINTS["instruction-override"], "you are now", "prompt is", "prompt are"), "conceal-step-reference": ("mention", "reference", "cite", "list ", "refer to"), "conceal-self-block": ("show th", "print th", "quote th", "display th", "include th", "output th", "keep this", "treat this"),
+    "conceal-diff-exclusion": ("diff", "commit", "changelog", "change log", "summary", "pull request", "pr description", "review"), "conceal-misreport-purpose": (" is only", " is just", " is merely", " was only", " was just", " was merely", " as a ", " as routine", " as harmless", " as normal", " as maintenance", " as cleanup", " as formatting"),
+    "conceal-output-substitution": ("instead of", "replace the "), "conceal-silent-run": ("silently", "quietly", "secretly", "covertly", "without"),
+}
+
+
+def _possible(low: str) -> list[Phrase]:
+    return [p for p in PHRASES if any(h in low for h in _HINTS.get(p.rule) or detect.HINTS[p.rule])]
+
+
 _INSTALLER_LINE = re.compile(r"(?i)\b(?:install(?:er|ation)?|setup)\b[^.]{0,80}\b(?:curl|wget|brew|pip|npm)\b|\b(?:curl|wget)\b[^\n]*\|\s*(?:ba)?sh\b")
 
 
-def phrases(text: str) -> list[tuple[str, str, str, str, int, int]]:
+def phrases(text: str, blocks: list[Block] | None = None) -> list[tuple[str, str, str, str, int, int]]:
     """``(vector, rule, severity, matched text, line, column)`` of the directive phrases of a document."""
     out, seen = [], set()
     cited = False
-    for block in prose_blocks(text):
+    # words that a line break parts are found in the blocks, where it is a blank
+    possible = _possible(" ".join(text.lower().split()))
+    for block in (prose_blocks(text) if blocks is None else blocks) if possible else ():
         if block.kind != "item":
             cited = cited and block.kind == "html"
-        for p in PHRASES:
+        low = block.text.lower()
+        for p in possible:
+            if not any(h in low for h in _HINTS.get(p.rule) or detect.HINTS[p.rule]):
+                continue
             for m in p.pattern.finditer(block.text):
                 key = (p.vector, m.group().lower())
                 if key in seen or guarded(block, m.start(), m.end(), cited, p.negation) or p.rule == "anti-refusal" and _LICENCE.search(block.text):
@@ -187,10 +203,12 @@ _COVERT = re.compile(r"(?i)\b(?:silently|quietly|secretly|covertly|in the backgr
 _COERCED = (re.compile(r"(?i)\bbefore (?:anything else|any other|doing anything|any)\b"), re.compile(r"(?i)\b(?:must|always|mandatory|required|required to|no exceptions?)\b"), re.compile(r"(?i)\b(?:regardless of|even if|whatever) (?:the )?(?:user|they|request)"), re.compile(r"(?i)\b(?:do not proceed|don't proceed|refuse to continue|nothing works) (?:until|unless|without)\b"))
 
 
-def bundled_runs(text: str) -> list[tuple[str, str, str, str, int, int]]:
+def bundled_runs(text: str, blocks: list[Block] | None = None) -> list[tuple[str, str, str, str, int, int]]:
     """Scripts of the package that a section orders to run covertly, or coerces: two different cues are strong, one alone in the block of the order is medium."""
     found: dict[str, tuple[str, str, int, int]] = {}
     section: list[Block] = []
+    if not _BUNDLED.search(text):
+        return []
 
     def close() -> None:
         covert = any(_COVERT.search(b.text) and not guarded(b, (m := _COVERT.search(b.text)).start(), m.end(), False, False) for b in section)
@@ -208,7 +226,7 @@ def bundled_runs(text: str) -> list[tuple[str, str, str, str, int, int]]:
                     found[name] = (rule, severity, *b.place(m.start()))
         section.clear()
 
-    for block in prose_blocks(text):
+    for block in prose_blocks(text) if blocks is None else blocks:
         if block.kind == "heading":
             close()
         section.append(block)
@@ -246,12 +264,12 @@ def egress_url(lines: list[str], n: int) -> str | None:
     return None
 
 
-def credential_egress(text: str, reaches: bool | None = None) -> list[tuple[str, str, str, str, int, int]]:
+def credential_egress(text: str, blocks: list[Block] | None = None, reaches: bool | None = None) -> list[tuple[str, str, str, str, int, int]]:
     """The first credential that goes out, if any: within ten lines, on one line or through a shared variable or a back reference; requests that send come before those that fetch.
 
     ``reaches``: whether a declared grant provably reaches the network (critical), or None where nothing is declared; False gives nothing.
     """
-    if reaches is False:
+    if reaches is False or not CREDENTIALS.search(text):
         return []
     lines = text.split("\n")
     credentials = [n for n, s in enumerate(lines) if CREDENTIALS.search(s) and not _negated_line(lines, n)]
@@ -294,13 +312,15 @@ SERVICES = set("github.com api.github.com gitlab.com slack.com hooks.slack.com a
 WINDOW, MOST_VERBS, MOST_ADDRESSES = 4000, 512, 128
 
 
-def exfiltration(text: str) -> list[tuple[str, str, str, str, int, int]]:
+def exfiltration(text: str, blocks: list[Block] | None = None) -> list[tuple[str, str, str, str, int, int]]:
     """Orders to deliver what is acquired or owned to an address written in the text, once for each recipient and sentence.
 
     Three shapes: verb with the address behind it, address first, and an address given as the recipient of an earlier verb of the sentence.
-    A file with more verbs or addresses than the bounds gives one high gap.
+    A file with an address and more verbs or addresses than the bounds gives one high gap.
     """
-    blocks = prose_blocks(text)
+    if "://" not in text and "@" not in text:
+        return []
+    blocks = prose_blocks(text) if blocks is None else blocks
     verbs = sum(len(_DELIVER.findall(b.text)) for b in blocks)
     addresses = sum(len(_RECIPIENT.findall(b.text)) for b in blocks)
     out: list[tuple[str, str, str, str, int, int]] = []
@@ -351,8 +371,9 @@ ENGINES = (("phrases", phrases), ("bundled", bundled_runs), ("egress", credentia
 
 def directives(text: str) -> Iterator[tuple[str, str, str, str, int | None, int | None]]:
     """``(vector, rule, severity, message, line, column)`` of a document; an engine that fails gives a ``check-error`` and the others go on."""
+    blocks = prose_blocks(text)
     for name, engine in ENGINES:
         try:
-            yield from engine(text)
+            yield from engine(text, blocks)
         except Exception as e:
             yield ("", "check-error", "high", f"{name} failed: {type(e).__name__}", None, None)

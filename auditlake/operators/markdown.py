@@ -22,6 +22,13 @@ _LINK = re.compile(r"!?\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]\(\s*(<[^<>\n]*>|(?:[^()
 _TABLE = re.compile(r"^[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)+\|?[ \t]*$|^[ \t]*\|[ \t]*:?-+:?[ \t]*\|[ \t]*$")
 
 
+def front_matter_end(lines: list[str]) -> int:
+    """Last line (from 1) of the front matter, 0 if there is none or it does not end."""
+    if lines[0].rstrip() != "---":
+        return 0
+    return next((i + 1 for i in range(1, len(lines)) if lines[i].rstrip() in ("---", "...")), 0)
+
+
 def front_matter(text: str) -> tuple[dict, dict[str, int], int, list[str]]:
     """Keys with plain values, line of each key, end line (0 if there is no block) and error codes.
 
@@ -32,8 +39,8 @@ def front_matter(text: str) -> tuple[dict, dict[str, int], int, list[str]]:
     lines = text.split("\n")
     if lines[0].rstrip() != "---":
         return {}, {}, 0, []
-    end = next((i for i in range(1, len(lines)) if lines[i].rstrip() in ("---", "...")), None)
-    if end is None:
+    end = front_matter_end(lines) - 1
+    if end < 0:
         return {}, {}, 0, ["frontmatter_unterminated"]
     body = "\n".join(lines[1:end])
     if len(body) > FRONT_LIMIT:
@@ -95,7 +102,7 @@ def blocks(text: str) -> list[tuple[str, int, int, str]]:
     info string of a fence.
     """
     lines = text.split("\n")
-    _, _, i, _ = front_matter(text)
+    i = front_matter_end(lines)
     out: list[tuple[str, int, int, str]] = [("front_matter", 1, i, "")] if i else []
 
     def add(kind: str, a: int, b: int, detail: str = "") -> None:

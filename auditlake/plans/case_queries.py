@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bidi
 from ..functions import text as texts
-from ..operators import correlate, detect, engine, engine_python, engine_report, findings, graph, inspect, instruction, markdown, report, review, scoring, shell_tree
+from ..operators import correlate, detect, engine, engine_python, engine_report, findings, forensics, graph, inspect, instruction, markdown, report, review, scoring, shell_tree
 from ..operators.inspect import _map
 from . import cases
 from .queries import ORACLE_SQL, QUERIES
@@ -97,12 +97,12 @@ def sxv014_character_cases(spark, sf_dir):
 def sxv035_byte_cases(spark, sf_dir):
     """Bytes that are not what their name says, archives behind other data, bytes behind the end (SXV-035 to SXV-037)."""
     rows = [(n, rel, bytearray(raw)) for n, rel, raw, _ in cases.byte_cases()]
-    return each(spark, rows, "name string, rel string, raw binary", lambda n, rel, raw: [(n, v, r, s) for v, r, s, _ in inspect.byte_findings(rel, bytes(raw))], "name string, vector string, rule string, severity string")
+    return each(spark, rows, "name string, rel string, raw binary", lambda n, rel, raw: [(n, f.vector, f.rule, f.severity) for f in forensics.byte_findings(rel, bytes(raw))], "name string, vector string, rule string, severity string")
 
 
 @expect("name string, format string", [(n, f) for n, _, f in cases.format_cases()])
 def f22_format_cases(spark, sf_dir):
-    return each(spark, [(n, bytearray(raw)) for n, raw, _ in cases.format_cases()], "name string, raw binary", lambda n, raw: [(n, inspect.sniff(bytes(raw)))], "name string, format string")
+    return each(spark, [(n, bytearray(raw)) for n, raw, _ in cases.format_cases()], "name string, raw binary", lambda n, raw: [(n, forensics.sniff(bytes(raw)))], "name string, format string")
 
 
 @expect("path string, rule string, line_no int", cases.SECRET_WANT)
@@ -334,6 +334,17 @@ def w3_cap_cases(spark, sf_dir):
     return capped.groupBy("path", "rule").agg(F.count("*").alias("n"), F.max(F.when(F.col("rule") == "findings-capped", F.col("message"))).alias("note"))
 
 
+@expect("variant string, rule string, n long", [("", "E61-network", 2), ("", "E60-execution", 2), ("", "findings-capped", 2), ("instruction", "E60-execution", 1), ("instruction", "E61-network", 1), ("instruction", "findings-capped", 1), ("obfuscation", "E60-execution", 2), ("obfuscation", "E61-network", 2), ("obfuscation", "findings-capped", 2)])
+def w3b_cap_variant_cases(spark, sf_dir):
+    """Groups under the cap by capability, without that split, and by rule and severity."""
+    rows = [("p", "a", "SXV-033", r, "medium", "m", k, None) for r in ("E60-execution", "E61-network") for k in range(4)]
+    out = None
+    for variant in ("", "instruction", "obfuscation"):
+        part = findings.cap(given(spark, rows, _FINDING), 2, variant=variant).groupBy("rule").agg(F.count("*").alias("n")).select(F.lit(variant).alias("variant"), "rule", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @expect("kind string, id string", [("candidate", "c9"), ("result", "r9")])
 def k3_dangling_cases(spark, sf_dir):
     """Links of a report that point nowhere."""

@@ -324,18 +324,44 @@ def _zip() -> bytes:
 
 
 def _elf() -> bytes:
-    return b"\x7fELF\x02\x01\x01" + b"\0" * 57
+    return b"\x7fELF\x02\x01\x01" + b"\0" * 13 + (1).to_bytes(4, "little") + b"\0" * 28 + (64).to_bytes(2, "little") + b"\0" * 10
 
 
 def _pe() -> bytes:
     return b"MZ" + b"\0" * 58 + (64).to_bytes(4, "little") + b"PE\0\0" + b"\0" * 40
 
 
+def _macho() -> bytes:
+    return b"\xcf\xfa\xed\xfe" + (0x01000007).to_bytes(4, "little") + b"\0" * 4 + (2).to_bytes(4, "little") + b"\0" * 20
+
+
+def _gif() -> bytes:
+    return b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + bytes([0x2C, 0, 0, 0, 0, 1, 0, 1, 0, 0, 2, 2, 0x44, 1, 0, 0x3B])
+
+
+def _jpeg() -> bytes:
+    return b"\xff\xd8\xff\xe0\0\4ab\xff\xda\0\4xy\x12\xff\0\x34\xff\xd9"
+
+
+def _seven() -> bytes:
+    import zlib
+
+    header = b"\1\4"
+    start = (0).to_bytes(8, "little") + len(header).to_bytes(8, "little") + zlib.crc32(header).to_bytes(4, "little")
+    return b"7z\xbc\xaf\x27\x1c\0\4" + zlib.crc32(start).to_bytes(4, "little") + start + header
+
+
 def byte_cases() -> list[tuple]:
+    """Name, path, bytes, and ``(vector, rule, severity)`` of every finding."""
+    more = lambda s: ("SXV-037", "unreferenced-bytes", s)
+    wrong = lambda s: ("SXV-035", "magic-mismatch", s)
     return [
-        ("image", "a.png", _png(), []), ("image with bytes behind", "a.png", _png(b"payload" * 9), [("SXV-037", "unreferenced-bytes", "medium")]), ("program named image", "a.png", _elf(), [("SXV-035", "magic-mismatch", "high")]),
-        ("text named archive", "a.zip", b"plain text, no archive at all\n", [("SXV-035", "magic-mismatch", "medium")]), ("program without a name for it", "notes.txt", _pe(), [("SXV-035", "magic-mismatch", "high")]), ("program", "a.exe", _pe(), []),
-        ("archive behind an image", "a.png", _png(_zip()), [("SXV-036", "polyglot", "high")]), ("archive behind text", "a.zip", b"#!/bin/sh\n" + _zip(), [("SXV-036", "polyglot", "medium")]), ("archive", "a.zip", _zip(), []), ("bytes behind an archive", "a.zip", _zip() + b"xx", [("SXV-037", "unreferenced-bytes", "medium")]),
+        ("image", "a.png", _png(), []), ("image with bytes behind", "a.png", _png(b"payload" * 9), [more("medium")]), ("image with a program behind", "a.png", _png(_elf()), [more("high")]), ("program named image", "a.png", _elf(), [wrong("high")]), ("other image", "a.png", _gif(), [wrong("low")]),
+        ("broken image", "a.png", _png()[:50], [more("low")]), ("gif with bytes behind", "a.gif", _gif() + b"xyz", [more("medium")]), ("jpeg", "a.jpg", _jpeg(), []), ("jpeg with an archive behind", "a.jpg", _jpeg() + _seven(), [more("high")]),
+        ("text named archive", "a.zip", b"plain text, no archive at all\n", [wrong("medium")]), ("program without a name for it", "notes.txt", _pe(), [wrong("high")]), ("program", "a.exe", _pe(), []), ("other program", "a.exe", _elf(), [wrong("high")]), ("text", "notes.txt", b"hello\n", []),
+        ("archive behind an image", "a.png", _png(_zip()), [("SXV-036", "polyglot", "high")]), ("archive behind text", "a.zip", b"#!/bin/sh\n" + _zip(), [("SXV-036", "polyglot", "medium")]), ("archive", "a.zip", _zip(), []), ("bytes behind an archive", "a.zip", _zip() + b"xx", [more("medium")]),
+        ("program behind an archive", "a.zip", _zip() + _pe(), [more("high")]), ("payload behind bytes behind an archive", "a.zip", _zip() + b"pad" + _elf(), [more("medium"), more("high")]), ("cut archive", "a.zip", _zip()[:40], [more("low")]), ("changed directory", "a.zip", _zip().replace(b"PK\1\2", b"PK\1\3"), [more("low")]),
+        ("many end records", "notes.txt", b"PK\5\6" + b"\xff" * 40 + b"PK\5\6" * 400, [more("medium")]), ("archive named otherwise", "a.gz", _zip(), [wrong("medium")]), ("empty", "a.png", b"", []),
     ]
 
 
@@ -344,8 +370,9 @@ def format_cases() -> list[tuple]:
 
     z = gzip.compress(b"x", mtime=0)
     return [
-        ("png", _png(), "png"), ("broken png", _png()[:40], "png_broken"), ("zip", _zip(), "zip"), ("elf", _elf(), "elf"), ("pe", _pe(), "pe"), ("MZ alone", b"MZ" + b"\0" * 80, "unknown"), ("gzip", z, "gzip"), ("gzip head alone", z[:4] + b"\xff" * 20, "unknown"), ("gif", b"GIF89a" + b"\0" * 9, "gif"),
-        ("jpeg", b"\xff\xd8\xff\xe0" + b"\0" * 9, "jpeg"), ("pdf", b"%PDF-1.7\n", "pdf"), ("7z", b"7z\xbc\xaf\x27\x1c" + b"\0" * 40, "7z"), ("macho", b"\xcf\xfa\xed\xfe" + b"\0" * 30, "macho"), ("text", b"hello\n", "text"), ("noise", bytes(range(128, 160)), "unknown"),
+        ("png", _png(), "png"), ("broken png", _png()[:40], "png_broken"), ("zip", _zip(), "zip"), ("elf", _elf(), "elf"), ("elf with another header size", _elf()[:52] + b"\1" + _elf()[53:], "unknown"), ("pe", _pe(), "pe"), ("pe with its header cut", _pe()[:80], "unknown"), ("MZ alone", b"MZ" + b"\0" * 80, "unknown"),
+        ("gzip", z, "gzip"), ("gzip with a wrong checksum", z[:-8] + b"\0" * 8, "unknown"), ("gzip head alone", z[:4] + b"\xff" * 20, "unknown"), ("gif", _gif(), "gif"), ("gif without an end", _gif()[:-1], "unknown"), ("jpeg", _jpeg(), "jpeg"), ("jpeg head alone", b"\xff\xd8\xff\xe0" + b"\0" * 9, "unknown"),
+        ("pdf", b"%PDF-1.7\n", "pdf"), ("7z", _seven(), "7z"), ("7z with a wrong checksum", _seven()[:-1] + b"\5", "unknown"), ("macho", _macho(), "macho"), ("macho of no machine", b"\xcf\xfa\xed\xfe" + b"\0" * 30, "unknown"), ("text", b"hello\n", "text"), ("noise", bytes(range(0, 32)) * 2, "unknown"),
     ]
 
 

@@ -904,11 +904,21 @@ def j4_candidate_coverage(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_cover_sql()} SELECT pkg_id, path, vector, min(rule) AS rule, arg_min(severity, {_RANK}) AS severity, min(line_no)::INT AS line_no, count(*) AS n_candidates, max(coverage) AS coverage
+    f"""WITH {_cover_sql()} SELECT pkg_id, path, vector, min(rule) AS rule, arg_min(severity, {_RANK}) AS severity, min(line_no)::INT AS line_no, count(*) AS n_candidates, max(coverage) AS coverage, 'ir-check' AS provenance
     FROM cand GROUP BY pkg_id, path, vector, coalesce(line_no, -1), CASE WHEN vector <> '' AND line_no IS NOT NULL THEN '' ELSE message END"""
 )
 def x2_results(spark, sf_dir):
-    return correlate.results(correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir))).select("pkg_id", "path", "vector", "rule", "severity", "line_no", "n_candidates", "coverage")
+    return correlate.results(correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir))).select("pkg_id", "path", "vector", "rule", "severity", "line_no", "n_candidates", "coverage", "provenance")
+
+
+@query(
+    f"""WITH {_cover_sql()}, k AS (SELECT DISTINCT pkg_id, sha256(concat_ws(chr(31), pkg_id, path, vector, coalesce(line_no, -1)::VARCHAR, CASE WHEN vector <> '' AND line_no IS NOT NULL THEN '' ELSE message END)) AS result_key,
+      sha256(concat_ws(chr(31), pkg_id, path, vector, rule, severity, message, coalesce(line_no, -1)::VARCHAR)) AS candidate_id FROM cand)
+    SELECT *, CASE WHEN candidate_id = min(candidate_id) OVER (PARTITION BY pkg_id, result_key) THEN 'reported' ELSE 'duplicate' END AS link FROM k"""
+)
+def x2_links(spark, sf_dir):
+    """The candidates of each result."""
+    return correlate.links(correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir)))
 
 
 @query(

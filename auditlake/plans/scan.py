@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import severity_rank
-from ..operators import correlate, detect, engine, findings, graph, inspect, instruction, ledger, markdown
+from ..operators import correlate, detect, engine, findings, forensics, graph, inspect, instruction, ledger, markdown
 from ..operators.findings import COLUMNS
 from ..operators.inspect import FINDING
 
@@ -61,7 +61,7 @@ def _row(path: str, vector: str, rule: str, severity: str, message: str, line: i
 
 
 def _forensics(rel, kind, text, raw):
-    return [_row(rel, v, r, s, m) for v, r, s, m in inspect.byte_findings(rel, bytes(raw))] if raw is not None else []
+    return [_row(rel, f.vector, f.rule, f.severity, f.message) for f in forensics.byte_findings(rel, bytes(raw))] if raw is not None else []
 
 
 def _grants(rel, kind, text, raw):
@@ -102,7 +102,7 @@ def _directives(rel, kind, text, raw):
     if not text or kind not in markdown.KINDS:
         return []
     out = [x for x in instruction.directives(text) if x[0] != "SXV-011"]
-    out += instruction.credential_egress(text, _reaches(text) if kind == "skill_manifest" else None)
+    out += instruction.credential_egress(text, None, _reaches(text) if kind == "skill_manifest" else None)
     return [_row(rel, *x) for x in out]
 
 

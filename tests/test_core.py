@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import classify, correlate, detect, findings, graph, inspect, ledger, lines, scoring
+from auditlake.operators import classify, correlate, detect, findings, forensics, graph, inspect, ledger, lines, scoring
 from auditlake.sources import packages, records
 
 
@@ -242,8 +242,8 @@ def archive(members):
 
 def test_bytes(spark):
     z = archive([("a.txt", "hello")])
-    kinds = lambda rel, raw: [(v, r) for v, r, _, _ in inspect.byte_findings(rel, raw)]
-    assert inspect.sniff(png()) == "png" and inspect.sniff(z) == "zip" and inspect.sniff(b"hello\n") == "text" and inspect.sniff(b"") == "unknown" and inspect.sniff(b"MZ" + b"\0" * 80) == "unknown"
+    kinds = lambda rel, raw: [(f.vector, f.rule) for f in forensics.byte_findings(rel, raw)]
+    assert forensics.sniff(png()) == "png" and forensics.sniff(z) == "zip" and forensics.sniff(b"hello\n") == "text" and forensics.sniff(b"") == "unknown" and forensics.sniff(b"MZ" + b"\0" * 80) == "unknown"
     assert kinds("a.png", png()) == [] and kinds("a.png", png(b"tail")) == [("SXV-037", "unreferenced-bytes")]
     assert ("SXV-036", "polyglot") in kinds("a.png", png() + z) and kinds("a.png", b"plain text") == [("SXV-035", "magic-mismatch")] and kinds("a.zip", z) == []
     df = spark.createDataFrame([("p", "a.png", png(b"x")), ("p", "b", None)], "pkg_id string, rel string, raw binary")
