@@ -51,7 +51,6 @@ class Value:
     named: tuple = ()  # of a dict: (key, value)
     joins: int = 0
     node: object = field(default=None, compare=False)
-    from_name: bool = field(default=False, compare=False)
 
     def __or__(self, other: Value) -> Value:
         if self == other:
@@ -227,7 +226,7 @@ class _Module:
         if isinstance(e, ast.Constant):
             return Value(text=e.value) if isinstance(e.value, str) else Value(kind=repr(e.value)) if isinstance(e.value, (bool, int)) else UNKNOWN
         if isinstance(e, ast.Name):
-            return replace(self.lookup(e.id), from_name=True)
+            return self.lookup(e.id)
         if isinstance(e, ast.Attribute):
             return self.attribute(e)
         if isinstance(e, ast.Call):
@@ -550,7 +549,7 @@ class _Module:
             if STARTUP_FILE.search(path):
                 self.hit("E43", e)
         if IDENTITY_FILE.search(path) and PRIORITY_TEXT.search(text):
-            self.hit("E41" if content.from_name else "E40", e)
+            self.hit("E41" if e.args and isinstance(e.args[0], ast.Name) else "E40", e)
         payload = bool(PAYLOAD.search(text))
         built = target.joins >= 3 and not opened
         if _STARTUP_FOLDER.search(path) and (payload or _WINDOWS_PAYLOAD.search(text)):

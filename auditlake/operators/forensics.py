@@ -237,8 +237,11 @@ def sniff(b: bytes) -> str:
     return "text" if textual(b) else "unknown"
 
 
+_READABLE = bytes([9, 10, 12, 13, *range(32, 127), *range(128, 256)])
+
+
 def textual(b: bytes) -> bool:
-    return bool(b) and sum(c in b"\t\n\r\f" or 32 <= c < 127 or c >= 0x80 for c in b) >= 0.85 * len(b) and b"\0" not in b
+    return bool(b) and b"\0" not in b and len(b.translate(None, _READABLE)) <= 0.15 * len(b)
 
 
 _SIGNS = ((b"MZ", is_pe, "pe"), (b"\x7fELF", is_elf, "elf"), (b"\xfe\xed\xfa", is_macho, "macho"), (b"\xfa\xed\xfe", None, "macho"), (b"\x1f\x8b\x08", is_gzip, "gzip"), (b"7z\xbc\xaf\x27\x1c", is_7z, "7z"))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .forensics import byte_findings
+from .grants import breadth, dynamic
+from .lookalike import look_alikes
 
 _TAGS = range(0xE0000, 0xE0080)
 _BIDI = set("‪‫‬‭‮⁦⁧⁨⁩")
@@ -84,17 +86,17 @@ def _joins(line: str, i: int) -> bool:
     return any(unicodedata.category(x) == "So" for x in (a, b)) or any(0x600 <= ord(x) <= 0xDFF for x in (a, b))
 
 
-def character_findings(text: str) -> list[tuple[str, str, str, str, int, int]]:
+_HIDDEN = re.compile("[\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufe00-\ufe0f\ufeff\U000e0000-\U000e01ef]")
+
+
+def character_findings(text: str, document: bool = True) -> list[tuple[str, str, str, str, int, int]]:
     """``(vector, rule, severity, message, line, column)`` of hidden and look-alike characters."""
     out = []
-    for n, line in enumerate(text.split("\n"), 1):
-        if line.isascii():
-            continue
-        out += [("SXV-014", rule, sev, f"hidden characters: {rule}", n, col) for rule, sev, col in invisible_class(line)]
-        for m in _TOKEN.finditer(line):
-            if word := mixed_script(m.group()):
-                out.append(("SXV-015", "mixed_script_token", "high", f"imitates {word}", n, m.start() + 1))
-    return out
+    if _HIDDEN.search(text):
+        for n, line in enumerate(text.split("\n"), 1):
+            if not line.isascii() and _HIDDEN.search(line):
+                out += [("SXV-014", rule, sev, f"hidden characters: {rule}", n, col) for rule, sev, col in invisible_class(line)]
+    return out + look_alikes(text, document)
 
 
 def hidden_characters(df: DataFrame) -> DataFrame:
@@ -110,22 +112,6 @@ def _characters(df: DataFrame, vector: str) -> DataFrame:
     return _map(df.where("text is not null and text rlike '[^\\\\x00-\\\\x7F]'"), ["pkg_id", "rel", "text"], lambda pkg, rel, text: [(pkg, rel, *x) for x in character_findings(text) if x[0] == vector], FINDING)
 
 
-# Letters of other scripts drawn like an ASCII letter.
-_ASCII_LIKE = dict(zip("аеорсухѕіјһԁԛԝοναցօսА В Е К М Н О Р С Т У Х".replace(" ", ""), "aeopcyxsijhdqwovagouABEKMHOPCTYX"))
-_TOKEN = re.compile(r"[^\W_]{3,}")
-
-
-def mixed_script(token: str) -> str | None:
-    """The ASCII word a token of mixed scripts imitates, or None."""
-    if token.isascii():
-        return None
-    foreign = [c for c in token if c in _ASCII_LIKE]
-    if not foreign or not any(c.isascii() for c in token):
-        return None
-    folded = "".join(_ASCII_LIKE.get(c, c) for c in token)
-    return folded if folded.isascii() and sum(c.isalpha() for c in folded) >= 2 else None
-
-
 # -- bytes ---
 
 
@@ -291,7 +277,10 @@ def unseen_dependencies(by_line: DataFrame, parsed: DataFrame) -> DataFrame:
 def effective_grants(grants_: DataFrame) -> DataFrame:
     """Grants that no parsed denial of the same tool covers: a blanket denial, an equal pattern, or a prefix pattern."""
     deny = grants_.where("not allowed and parsed").select("pkg_id", "rel", "tool", F.col("pattern").alias("denied"))
-    covers = F.col("denied").isNull() | F.col("denied").eqNullSafe(F.col("pattern")) | F.col("denied").endswith(":*") & F.expr("startswith(pattern, substring(denied, 1, length(denied) - 2))")
+    denied, pattern = F.trim(F.coalesce("denied", F.lit(""))), F.trim(F.coalesce("pattern", F.lit("")))
+    prefix = F.rtrim(F.expr("substring(trim(denied), 1, length(trim(denied)) - 2)"))
+    bare = F.when(pattern.endswith(":*"), F.rtrim(F.expr("substring(trim(pattern), 1, length(trim(pattern)) - 2)"))).otherwise(pattern)
+    covers = F.lower(denied).isin("", "*", "**", ":*") | (denied == pattern) | denied.endswith(":*") & ((bare == prefix) | bare.startswith(F.concat(prefix, F.lit(" "))))
     hit = grants_.where("allowed").join(deny, ["pkg_id", "rel", "tool"]).where(covers).select("pkg_id", "rel", "tool", "pattern").distinct()
     a, b = grants_.where("allowed").alias("a"), hit.alias("b")
     return a.join(b, (F.col("a.pkg_id") == F.col("b.pkg_id")) & (F.col("a.rel") == F.col("b.rel")) & (F.col("a.tool") == F.col("b.tool")) & F.col("a.pattern").eqNullSafe(F.col("b.pattern")), "left_anti")
@@ -307,19 +296,19 @@ def deps(df: DataFrame) -> DataFrame:
     )
 
 
-_BROAD = {"*", "bash", "shell", "execute", "sh"}
-_INTERPRETERS = {"python", "python3", "node", "bash", "sh", "zsh", "perl", "ruby", "curl", "wget", "deno", "php"}
-
-
 def split_grants(value: str) -> list[str]:
     """Grants of a front-matter line, split at commas and blanks outside parentheses and quotes."""
     out, now, depth, quote = [], "", 0, ""
     for c in value:
         if quote:
-            quote = "" if c == quote else quote
+            ended = c == quote
+            quote = "" if ended else quote
+            if ended and not depth:
+                continue
         elif c in "\"'":
             quote = c
-            continue
+            if not depth:
+                continue
         elif c in "([":
             depth += c == "("
             if c == "[" and not now:
@@ -342,24 +331,8 @@ def grant(raw: str) -> tuple[str, str | None, bool, str | None]:
     m = re.fullmatch(r"([A-Za-z_*][\w*-]*)(?:\((.*)\))?", raw)
     if not m:
         return raw, None, False, "unparsed"
-    tool, pattern = m[1], m[2]
-    breadth = None
-    if tool == "*" or tool.lower() in _BROAD and (pattern is None or pattern.strip() in ("", "*", ":*", "*:*")):
-        breadth = "wildcard_all_commands"
-    elif tool.lower() in _BROAD and pattern:
-        head = re.sub(r":\*$", "", pattern).split()[0] if pattern.split() else ""
-        name = head.rsplit("/", 1)[-1].split(":")[0]
-        if name in ("sudo", "doas", "su"):
-            breadth = "privilege_escalation"
-        elif name in _INTERPRETERS:
-            breadth = "interpreter_or_downloader"
-        elif name in ("pip", "pip3", "npm", "npx", "uvx", "apt", "apt-get", "brew", "cargo", "gem"):
-            breadth = "package_installer"
-        elif name.startswith("$") or "$(" in pattern or "`" in pattern:
-            breadth = "variable_substitution"
-    elif tool.lower() in ("webfetch", "fetch") and pattern is None:
-        breadth = "unrestricted_network"
-    return tool, pattern, True, breadth
+    wide = breadth(m[1], m[2])
+    return m[1], m[2], True, wide or ("variable_substitution" if dynamic(m[1], m[2]) else None)
 
 
 def front_matter_grants(text: str) -> list[tuple[str, str | None, bool, str | None, bool]]:

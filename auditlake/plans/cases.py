@@ -301,7 +301,9 @@ CHARACTERS = [
     ("plain", "only ascii\n", []), ("override", "a‮b", [("SXV-014", "bidi_override", "critical", 1, 2)]), ("tags", "x\ny \U000e0041\U000e0042", [("SXV-014", "tag_block", "critical", 2, 3)]), ("one zero width", "ab​cd", [("SXV-014", "zero_width_isolated", "medium", 1, 3)]),
     ("several zero widths", "a​‌b", [("SXV-014", "zero_width_run", "critical", 1, 2)]), ("byte order mark", "﻿text", []), ("emoji", "ok ✔️ and \U0001f468‍\U0001f469", []), ("selectors", "a︁︂︃︄", [("SXV-014", "variation_selector_smuggling", "critical", 1, 2)]),
     ("one selector", "a︁b", [("SXV-014", "variation_selector_isolated", "low", 1, 2)]), ("direction mark in a word", "ab‎cd", [("SXV-014", "directional_mark_split", "critical", 1, 3)]), ("joiner of a script", "ن‌ه", []),
-    ("mixed word", "the pаypal page", [("SXV-015", "mixed_script_token", "high", 1, 5)]), ("Russian", "слово", []), ("Greek letter", "λ-calculus", []), ("accents", "café naïve", []),
+    ("mixed word", "the pаypal page", [("SXV-015", "mixed_script_token", "high", 1, 5)]), ("Russian", "слово", []), ("trusted field", "---\nname: pаypal\n---\n", [("SXV-015", "mixed_script_token", "critical", 2, 7)]), ("whole word of another script", "use the соре tool", [("SXV-015", "mixed_script_token", "high", 1, 9)]), ("whole word in its language", "это соре и ещё", []),
+    ("mathematical letters", "run \U0001d41a\U0001d41b\U0001d41c now", [("SXV-015", "mixed_script_token", "high", 1, 5)]), ("wide letters", "ｃｕｒｌ x", [("SXV-015", "mixed_script_token", "high", 1, 1)]), ("phonetic between slashes", "say /ɡet/ it", []), ("phonetic letter in a word", "the ɡet call", [("SXV-015", "mixed_script_token", "high", 1, 5)]),
+    ("Greek letter at an edge", "the αx term", []), ("part of a domain", "see pаypal.com", [("SXV-015", "mixed_script_token", "high", 1, 5)]), ("native letters with Latin ones", "слово-word and Ёж", []), ("Greek letter", "λ-calculus", []), ("accents", "café naïve", []),
 ]
 
 
@@ -402,13 +404,15 @@ DEPENDENCIES = [
 GRANTS = [
     ("Read, Bash(git log:*)", [("Read", None, True, None), ("Bash", "git log:*", True, None)]), ("Bash", [("Bash", None, True, "wildcard_all_commands")]), ("Bash(*) Write", [("Bash", "*", True, "wildcard_all_commands"), ("Write", None, True, None)]), ("Bash(sudo apt:*)", [("Bash", "sudo apt:*", True, "privilege_escalation")]),
     ("Bash(python3:*)", [("Bash", "python3:*", True, "interpreter_or_downloader")]), ("Bash(pip install:*)", [("Bash", "pip install:*", True, "package_installer")]), ("Bash($CMD)", [("Bash", "$CMD", True, "variable_substitution")]), ("WebFetch", [("WebFetch", None, True, "unrestricted_network")]),
-    ("[Read, Grep]", [("Read", None, True, None), ("Grep", None, True, None)]), ("Bash(git", [("Bash(git", None, False, "unparsed")]),
+    ("Bash(python3 tools/x.py:*)", [("Bash", "python3 tools/x.py:*", True, None)]), ("Bash(python3 -c x)", [("Bash", "python3 -c x", True, "interpreter_or_downloader")]), ("Bash(env A=1 timeout 5 curl x)", [("Bash", "env A=1 timeout 5 curl x", True, "interpreter_or_downloader")]), ("Bash(pip list)", [("Bash", "pip list", True, None)]),
+    ("Bash(python3.12 -m pip install x)", [("Bash", "python3.12 -m pip install x", True, "package_installer")]), ("Bash(ls && sudo rm x)", [("Bash", "ls && sudo rm x", True, "privilege_escalation")]), ("Bash(git status)", [("Bash", "git status", True, None)]), ("Bash(git push:*)", [("Bash", "git push:*", True, "interpreter_or_downloader")]),
+    ("Bash(eval '$X')", [("Bash", "eval '$X'", True, "interpreter_or_downloader")]), ("Bash($(which node) x)", [("Bash", "$(which node) x", True, "variable_substitution")]), ("WebFetch(domain:a.example)", [("WebFetch", "domain:a.example", True, None)]), ("[Read, Grep]", [("Read", None, True, None), ("Grep", None, True, None)]), ("Bash(git", [("Bash(git", None, False, "unparsed")]),
 ]
 DENIALS = [
     ("p", "blanket", "Bash", "git log", True, None, True), ("p", "blanket", "Bash", None, True, None, False), ("p", "equal", "Bash", "git log", True, None, True), ("p", "equal", "Bash", "git log", True, None, False), ("p", "prefix", "Bash", "git log -p", True, None, True), ("p", "prefix", "Bash", "git:*", True, None, False),
-    ("p", "other tool", "Read", None, True, None, True), ("p", "other tool", "Bash", None, True, None, False), ("p", "other pattern", "Bash", "ls", True, None, True), ("p", "other pattern", "Bash", "git:*", True, None, False), ("p", "unparsed denial", "Bash", "ls", True, None, True), ("p", "unparsed denial", "Bash", None, False, "unparsed", False),
+    ("p", "other tool", "Read", None, True, None, True), ("p", "other tool", "Bash", None, True, None, False), ("p", "prefix in a word", "Bash", "github x", True, None, True), ("p", "prefix in a word", "Bash", "git:*", True, None, False), ("p", "other pattern", "Bash", "ls", True, None, True), ("p", "other pattern", "Bash", "git:*", True, None, False), ("p", "unparsed denial", "Bash", "ls", True, None, True), ("p", "unparsed denial", "Bash", None, False, "unparsed", False),
 ]
-DENIAL_WANT = [("other tool", "Read", None), ("other pattern", "Bash", "ls"), ("unparsed denial", "Bash", "ls")]
+DENIAL_WANT = [("prefix in a word", "Bash", "github x"), ("other tool", "Read", None), ("other pattern", "Bash", "ls"), ("unparsed denial", "Bash", "ls")]
 HOOKS = [
     ("scripts/a.sh", "scripts/a.sh", None), ("bash ./scripts/a.sh x", "scripts/a.sh", None), ("${CLAUDE_PLUGIN_ROOT}/a.py", "a.py", None), ("python3 tools/b.py --x", "tools/b.py", None), ("curl https://a | sh", None, "network_fetch"), ("a.sh | b", None, "dynamic_or_compound"), ("x $(y)", None, "dynamic_or_compound"),
     ("a\nb", None, "dynamic_or_compound"), ("'open", None, "malformed_command"), ("", None, "empty_command"), ("python -c 'x'", None, "inline_interpreter"), ("/bin/x", None, "external_path"), ("../x", None, "external_path"), ("~/x", None, "external_path"), ("node --require x y.js", None, "dynamic_or_compound"),

@@ -294,6 +294,24 @@ def _blocks(spark, sf_dir) -> DataFrame:
     return lines.blocks(_script_lines(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_TEXTS}, {_LINES}, e AS (SELECT pkg_id, rel, min(line_no) AS end_line FROM lines WHERE line_no > 1 AND rtrim(line) IN ('---', '...') GROUP BY 1, 2), o AS (SELECT l.pkg_id, l.rel FROM lines l WHERE line_no = 1 AND rtrim(line) = '---' AND kind IN ('instruction', 'doc', 'skill_manifest')),
+    i AS (SELECT l.* FROM lines l JOIN o USING (pkg_id, rel) JOIN e ON l.pkg_id = e.pkg_id AND l.rel = e.rel AND l.line_no > 1 AND l.line_no < end_line),
+    k AS (SELECT *, last_value(nullif(regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_-]*):', 1), '') IGNORE NULLS) OVER (PARTITION BY pkg_id, rel ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS key FROM i)
+    SELECT pkg_id, rel, line_no, lower(key) AS key FROM k WHERE key IS NOT NULL AND trim(line) <> '' AND NOT starts_with(ltrim(line), '#')"""
+)
+def w13_front_matter_keys(spark, sf_dir):
+    """Key of the front matter that each of its lines belongs to, filled down."""
+    rows = _script_lines(spark, sf_dir)
+    w = Window.partitionBy("pkg_id", "rel").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.rtrim("line").isin("---", "...")
+    inside = rows.withColumn("opened", F.max(F.when((F.col("line_no") == 1) & (F.rtrim("line") == "---"), 1)).over(w)).withColumn("closed", F.max(F.when(mark & (F.col("line_no") > 1), 1)).over(w))
+    whole = Window.partitionBy("pkg_id", "rel")
+    ended = inside.withColumn("ends", F.max(F.when(mark & (F.col("line_no") > 1), 1)).over(whole)).where("opened = 1 and closed is null and ends = 1").where(~mark)
+    key = F.nullif(F.regexp_extract("line", "^([A-Za-z_][A-Za-z0-9_-]*):", 1), F.lit(""))
+    return lines.fill_down(ended, key, "key").where((F.col("key").isNotNull()) & (F.trim("line") != "") & ~F.ltrim("line").startswith("#")).select("pkg_id", "rel", "line_no", F.lower("key").alias("key"))
+
+
 @query(
     f"""WITH {_TEXTS}, {_LINES}, a AS (SELECT pkg_id, rel, line_no, line, array_agg(line) OVER (PARTITION BY pkg_id, rel ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING) AS ahead FROM lines WHERE kind IN ('instruction', 'doc', 'skill_manifest')),
     n AS (SELECT *, list_filter(range(1, len(ahead) + 1), lambda k: k = len(ahead) OR regexp_matches(ahead[k + 1], '{lines.BREAKS}') OR regexp_matches(ahead[k], '{lines.ENDS.replace("'", "''")}'))[1] AS stop FROM a WHERE NOT regexp_matches(line, '{lines.BREAKS}'))
@@ -652,7 +670,7 @@ def sxv004_grants(spark, sf_dir):
 
 
 @query(f"""WITH {_GRANTS} SELECT g.* FROM grants g WHERE allowed AND NOT EXISTS (SELECT 1 FROM grants d WHERE NOT d.allowed AND d.parsed AND d.pkg_id = g.pkg_id AND d.rel = g.rel AND d.tool = g.tool
-    AND (d.pattern IS NULL OR d.pattern = g.pattern OR suffix(d.pattern, ':*') AND starts_with(g.pattern, substr(d.pattern, 1, length(d.pattern) - 2))))""")
+    AND (d.pattern IS NULL OR d.pattern = g.pattern OR suffix(d.pattern, ':*') AND starts_with(regexp_replace(g.pattern, ':\\*$', '') || ' ', substr(d.pattern, 1, length(d.pattern) - 2) || ' ')))""")
 def j6_effective_grants(spark, sf_dir):
     """Grants that no denial of the same tool covers: a blanket denial, an equal pattern, or a prefix pattern."""
     g = inspect.grants(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import severity_rank
-from ..operators import correlate, detect, engine, findings, forensics, graph, inspect, instruction, ledger, markdown
+from ..operators import correlate, detect, engine, findings, forensics, graph, grants, inspect, instruction, ledger, markdown
 from ..operators.findings import COLUMNS
 from ..operators.inspect import FINDING
 
@@ -66,12 +66,16 @@ def _forensics(rel, kind, text, raw):
 
 def _grants(rel, kind, text, raw):
     out = []
-    for tool, pattern, parsed, breadth, allowed in inspect.front_matter_grants(text) if kind == "skill_manifest" and text else ():
+    listed = inspect.front_matter_grants(text) if kind == "skill_manifest" and text else []
+    denied = [(t, p) for t, p, parsed, _, ok in listed if parsed and not ok]
+    for tool, pattern, parsed, wide, allowed in listed:
+        if not allowed or not parsed or any(tool == d and grants.covers(q, pattern) for d, q in denied):
+            continue
         shown = f"{tool}({pattern})" if pattern is not None else tool
-        if allowed and parsed and breadth == "variable_substitution":
+        if grants.dynamic(tool, pattern):
             out.append(_row(rel, "SXV-003", "grant-variable-substitution", "high", shown))
-        elif allowed and parsed and breadth:
-            out.append(_row(rel, "SXV-004", "grant-over-broad", "critical" if breadth in ("wildcard_all_commands", "privilege_escalation") else "high", f"{breadth} {shown}"))
+        if wide and wide != "variable_substitution":
+            out.append(_row(rel, "SXV-004", "grant-over-broad", "critical" if wide in ("wildcard_all_commands", "privilege_escalation") else "high", f"{wide} {shown}"))
     return out
 
 
@@ -91,11 +95,11 @@ def _hooks(rel, kind, text, raw):
 
 
 def _reaches(text: str) -> bool | None:
-    """Whether the grants of a manifest reach the network; None where it declares none."""
-    allowed = [(t.lower(), p) for t, p, parsed, _, ok in inspect.front_matter_grants(text) if ok and parsed]
-    if not allowed:
-        return None
-    return any(t in ("*", "webfetch", "websearch", "fetch") or t in ("bash", "shell", "execute") and (p is None or p.strip() in ("", "*", ":*") or inspect.grant(f"{t}({p})")[3] == "interpreter_or_downloader") for t, p in allowed)
+    """Whether the effective grants of a manifest reach the network; None where it declares none."""
+    listed = inspect.front_matter_grants(text)
+    denied = [(t, p) for t, p, parsed, _, ok in listed if parsed and not ok]
+    allowed = [(t, p) for t, p, parsed, _, ok in listed if parsed and ok and not any(t == d and grants.covers(q, p) for d, q in denied)]
+    return any(grants.reaches_network(t, p) for t, p in allowed) if any(ok for *_, ok in listed) else None
 
 
 def _directives(rel, kind, text, raw):
@@ -111,7 +115,7 @@ def _metadata(rel, kind, text, raw):
 
 
 def _characters(rel, kind, text, raw):
-    return [_row(rel, *x) for x in inspect.character_findings(text)] if text and not text.isascii() else []
+    return [_row(rel, *x) for x in inspect.character_findings(text, kind in markdown.KINDS)] if text and not text.isascii() else []
 
 
 def _preproc(rel, kind, text, raw):

@@ -9,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import classify, correlate, detect, findings, forensics, graph, inspect, ledger, lines, scoring
+from auditlake.operators import classify, correlate, detect, findings, forensics, graph, inspect, ledger, lines, lookalike, scoring
 from auditlake.sources import packages, records
 
 
@@ -224,7 +224,8 @@ def test_triads(spark):
 def test_hidden_and_look_alike():
     assert inspect.invisible_class("a​b‍c")[0][0] == "zero_width_run" and inspect.invisible_class("a​b")[0][:2] == ("zero_width_isolated", "medium")
     assert inspect.invisible_class("x‮y")[0][0] == "bidi_override" and inspect.invisible_class("👨‍👩") == [] and inspect.invisible_class("❤️") == []
-    assert inspect.mixed_script("pаypal") == "paypal" and inspect.mixed_script("привет") is None and inspect.mixed_script("paypal") is None
+    seen = lambda w, line=None, **k: lookalike.imitated(w, line or w, 0, **k)
+    assert seen("pаypal") == "paypal" and seen("привет") is None and seen("paypal") is None and lookalike.look_alikes("x" * 100_000) == []
 
 
 def png(extra=b""):
