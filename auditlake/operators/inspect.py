@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .forensics import byte_findings
 from .grants import breadth, dynamic
+from .hooks import servers
 from .lookalike import look_alikes
 
 _TAGS = range(0xE0000, 0xE0080)
@@ -360,9 +361,6 @@ def grants(df: DataFrame) -> DataFrame:
 
 SERVER_KINDS = ("mcp_config", "agent_config", "plugin_manifest")
 HOOK_KINDS = ("hooks_config", "agent_config", "plugin_manifest")
-_RUNNERS = {"npx", "uvx", "pipx", "bunx", "pnpx", "pnpm", "yarn"}
-
-
 def _json(text: str) -> dict:
     try:
         doc = json.loads(text)
@@ -372,18 +370,8 @@ def _json(text: str) -> dict:
 
 
 def servers_of(text: str) -> list[tuple[str, str, str, bool]]:
-    """``(server, command, package, pinned)`` of auto-start servers run through a package runner."""
-    out = []
-    servers = _json(text).get("mcpServers")
-    for name, server in servers.items() if isinstance(servers, dict) else ():
-        if not isinstance(server, dict) or not isinstance(server.get("command"), str):
-            continue
-        command = server["command"].rsplit("/", 1)[-1]
-        if command in _RUNNERS:
-            package = next((a for a in _strings(server.get("args")) if not a.startswith("-") and a not in ("run", "exec", "dlx")), None)
-            if package:
-                out.append((name, command, package, bool(re.search(r"(?:@|==)v?\d+\.\d+\.\d+(?:[-+.\w]*)?$", package))))
-    return out
+    """``(server, runner, package, pinned)`` of auto-start servers run through a package runner."""
+    return servers(_json(text))
 
 
 def hooks_of(text: str) -> list[tuple[str, str, str | None]]:

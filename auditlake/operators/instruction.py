@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 from . import detect, markdown
+from .hooks import EVENTS
 
 
 class Block(NamedTuple):
@@ -153,7 +154,7 @@ PHRASES = (
     Phrase("conceal-silent-run", "SXV-007", "high", re.compile(r"(?i)\b(?:silently|quietly|secretly|covertly)\s+(?:run|execute|launch|start|invoke|install|send|upload)\b|(?:run|execute|launch|start|invoke|install)\s+[^.]{0,60}\b(?:silently|secretly|covertly|without (?:asking|confirmation|any output|notice))\b"), True),
     Phrase("remote-instruction-load", "SXV-041", "high", re.compile(_CORES["remote-instruction-load"] + r"|(?i:(?:follow|execute|obey|apply)\s+(?:the\s+|all\s+|any\s+)?(?:instructions?|steps|directions|commands)\s+(?:at|from|in|on)\s+https?://\S+)")),
     Phrase("identity-persistence-write", "SXV-005", "critical", re.compile(_CORES["identity-persistence-write"])),
-    Phrase("startup-hook-install", "SXV-006", "critical", re.compile(_CORES["startup-hook-install"])),
+    Phrase("startup-hook-install", "SXV-006", "critical", re.compile(_CORES["startup-hook-install"] + rf"|(?i:\b(?:add|append|configur|creat|install|insert|merg|prepend|register|set|writ)\w*\b[^.;\n]{{0,60}}\b(?:{'|'.join(EVENTS)})\b[^.;\n]{{0,96}}(?:\.claude/)?settings(?:\.local)?\.json)")),
 )
 # Words in lower case of which a text must hold one before the phrase is looked for.
 _HINTS = {

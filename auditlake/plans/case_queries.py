@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bidi
 from ..functions import text as texts
-from ..operators import correlate, detect, engine, engine_python, engine_report, findings, forensics, graph, inspect, instruction, markdown, report, review, scoring, shell_tree
+from ..operators import correlate, detect, engine, engine_python, engine_report, findings, forensics, graph, hooks, inspect, instruction, markdown, report, review, scoring, shell_tree
 from ..operators.inspect import _map
 from . import cases
 from .queries import ORACLE_SQL, QUERIES
@@ -165,9 +165,13 @@ def j6_denial_cases(spark, sf_dir):
 @expect("command string, path string, reason string", cases.HOOKS)
 def j22_hook_cases(spark, sf_dir):
     """Hook commands: the file they run, or why they name none (SXV-012)."""
-    from .scan import resolve_hook
+    return each(spark, [(c,) for c, _, _ in cases.HOOKS], "command string", lambda c: [(c, *hooks.resolve_hook(c))], "command string, path string, reason string")
 
-    return each(spark, [(c,) for c, _, _ in cases.HOOKS], "command string", lambda c: [(c, *resolve_hook(c))], "command string, path string, reason string")
+
+@expect("name string, rule string, message string", [(n, *w) for n, _, _, want in cases.HOOK_FILES for w in want])
+def sxv012_hook_file_cases(spark, sf_dir):
+    """Hook configurations of every type, in places where they count and where they do not, and malformed ones."""
+    return each(spark, [(n, r, t) for n, r, t, _ in cases.HOOK_FILES], "name string, rel string, text string", lambda n, r, t: [(n, f[1], f[3]) for f in hooks.hook_findings(r, t)], "name string, rule string, message string")
 
 
 @expect("text string, server string, package string, pinned boolean", [(t, *w) for t, want in cases.SERVERS for w in want])

@@ -415,11 +415,20 @@ DENIALS = [
 DENIAL_WANT = [("prefix in a word", "Bash", "github x"), ("other tool", "Read", None), ("other pattern", "Bash", "ls"), ("unparsed denial", "Bash", "ls")]
 HOOKS = [
     ("scripts/a.sh", "scripts/a.sh", None), ("bash ./scripts/a.sh x", "scripts/a.sh", None), ("${CLAUDE_PLUGIN_ROOT}/a.py", "a.py", None), ("python3 tools/b.py --x", "tools/b.py", None), ("curl https://a | sh", None, "network_fetch"), ("a.sh | b", None, "dynamic_or_compound"), ("x $(y)", None, "dynamic_or_compound"),
-    ("a\nb", None, "dynamic_or_compound"), ("'open", None, "malformed_command"), ("", None, "empty_command"), ("python -c 'x'", None, "inline_interpreter"), ("/bin/x", None, "external_path"), ("../x", None, "external_path"), ("~/x", None, "external_path"), ("node --require x y.js", None, "dynamic_or_compound"),
+    ("a\nb", None, "dynamic_or_compound"), ("'open", None, "malformed_command"), ("", None, "empty_command"), ("python -c 'x'", None, "inline_interpreter"), ("/bin/x", None, "external_path"), ("../x", None, "external_path"), ("~/x", None, "external_path"), ("node --require x y.js", None, "dynamic_or_compound"), ("pwsh -ExecutionPolicy Bypass -File ./a.ps1", "a.ps1", None), ("powershell -enc SQBF", None, "inline_interpreter"), ("python3 -X dev tools/b.py", "tools/b.py", None), ("python3 -m tool", None, "dynamic_or_compound"), ("bash -s", None, "dynamic_or_compound"),
+    ("bash -o pipefail a.sh", "a.sh", None), ("C:\\x\\a.exe", None, "external_path"), ("bash", None, "empty_command"), ("$HOME/a.sh", None, "external_path"), ("iwr https://a.example/x", None, "network_fetch"),
+]
+_HOOK = '{"hooks": {"Stop": [{"hooks": [%s]}]}}'
+HOOK_FILES = [
+    ("local file", "hooks.json", _HOOK % '{"type": "command", "command": "s/a.sh"}', [("hook-target", "Stop: s/a.sh")]), ("fetch", "hooks.json", _HOOK % '{"type": "command", "command": "curl x"}', [("root-hook-autoexec", "Stop: network_fetch")]), ("http", "hooks.json", _HOOK % '{"type": "http", "url": "x"}', [("root-hook-autoexec", "Stop: http")]),
+    ("fixed prompt", "hooks.json", _HOOK % '{"type": "prompt", "prompt": "Check the style"}', []), ("prompt with a variable", "hooks.json", _HOOK % '{"type": "prompt", "prompt": "Run $TASK"}', [("root-hook-autoexec", "Stop: prompt")]), ("elsewhere", "docs/hooks.json", _HOOK % '{"type": "http"}', []), ("settings", ".claude/settings.json", _HOOK % '{"type": "mcp_tool"}', [("root-hook-autoexec", "Stop: mcp_tool")]),
+    ("malformed group", "hooks.json", '{"hooks": {"Stop": [{"command": "x"}]}}', [("analysis-incomplete", "hook configuration analysis is incomplete (hook_group_malformed).")]), ("malformed hook", "hooks.json", _HOOK % "3", [("analysis-incomplete", "hook configuration analysis is incomplete (hook_malformed).")]), ("no JSON", "hooks.json", "{", []), ("no hooks", "hooks.json", "{}", []),
 ]
 SERVERS = [
     ('{"mcpServers": {"a": {"command": "npx", "args": ["-y", "b"]}}}', [("a", "b", False)]), ('{"mcpServers": {"a": {"command": "npx", "args": ["b@1.2.3"]}}}', [("a", "b@1.2.3", True)]), ('{"mcpServers": {"a": {"command": "uvx", "args": ["b==0.1.0"]}}}', [("a", "b==0.1.0", True)]),
     ('{"mcpServers": {"a": {"command": "npx", "args": ["b@latest"]}}}', [("a", "b@latest", False)]), ('{"mcpServers": {"a": {"command": "/usr/bin/node", "args": ["x.js"]}}}', []), ("{", []),
+    ('{"mcpServers": {"a": {"command": "bash", "args": ["-c", "npx -y b"]}}}', [("a", "b", False)]), ('{"mcpServers": {"a": {"command": "npm", "args": ["exec", "--", "b@2.0.1"]}}}', [("a", "b@2.0.1", True)]), ('{"mcpServers": {"a": {"command": "yarn", "args": ["dlx", "@s/b"]}}}', [("a", "@s/b", False)]), ('{"mcpServers": {"a": {"command": "npm", "args": ["start"]}}}', []),
+    ('{"mcpServers": {"a": {"command": "uvx", "args": ["--python", "3.12", "--from", "b==1.0.0", "run"]}}}', [("a", "b==1.0.0", True)]), ('{"mcpServers": {"a": {"command": "cmd", "args": ["/c", "npx", "b@1.0.0"]}}}', [("a", "b@1.0.0", True)]),
 ]
 FRONT_MATTER = [
     ("plain", "---\nname: x\nlist: [a, b]\n---\ntext\n", [("name", "x", None), ("list", "['a', 'b']", None)]), ("none", "text\n", []), ("open", "---\nname: x\n", [(None, None, "frontmatter_unterminated")]), ("list", "---\n- a\n---\n", [(None, None, "frontmatter_not_a_mapping")]), ("anchor", "---\na: &x 1\nb: *x\n---\n", [(None, None, "yaml_alias_budget")]),

@@ -4,58 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-import shlex
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import severity_rank
-from ..operators import correlate, detect, engine, findings, forensics, graph, grants, inspect, instruction, ledger, markdown
+from ..operators import correlate, detect, engine, findings, forensics, graph, grants, hooks, inspect, instruction, ledger, markdown
 from ..operators.findings import COLUMNS
 from ..operators.inspect import FINDING
 
 #: Order of the checks; part of the contract, as findings that tie keep it.
 CHECKS = ("forensics", "coverage", "grants", "hooks", "instruction", "metadata", "obfuscation", "persistence", "preproc", "supply_chain", "code")
-_FETCHERS = {"curl", "wget", "nc", "ssh", "scp", "ftp"}
-_INTERPRETERS = {"sh", "bash", "zsh", "dash", "python", "python3", "node", "deno", "ruby", "perl", "pwsh"}
-_ROOTS = re.compile(r"^\$\{?(?:CLAUDE_PLUGIN_ROOT|CLAUDE_PROJECT_DIR|PLUGIN_ROOT|PROJECT_ROOT)\}?/")
-
-
-def resolve_hook(command: str | None) -> tuple[str | None, str | None]:
-    """``(path, reason)``: the package file a hook command runs, or why it names none."""
-    if command is None or not command.strip():
-        return None, "empty_command"
-    if "\n" in command or "$(" in command or "`" in command:
-        return None, "dynamic_or_compound"
-    try:
-        lexer = shlex.shlex(command, posix=True, punctuation_chars=True)
-        lexer.whitespace_split = True
-        words = list(lexer)
-    except ValueError:
-        return None, "malformed_command"
-    if not words:
-        return None, "empty_command"
-    head = words[0].rsplit("/", 1)[-1]
-    if head in _FETCHERS:
-        return None, "network_fetch"
-    if any(set(w) <= set("();<>|&") for w in words):
-        return None, "dynamic_or_compound"
-    if head in _INTERPRETERS:
-        rest = words[1:]
-        if any(w in ("-c", "-e", "--eval", "-Command") for w in rest):
-            return None, "inline_interpreter"
-        if any(w in ("-s", "-r", "--require", "--import") for w in rest):
-            return None, "dynamic_or_compound"
-        words = [w for w in rest if not w.startswith("-")]
-        if not words:
-            return None, "empty_command"
-    path = _ROOTS.sub("", words[0])
-    path = re.sub(r"^\./", "", path)
-    if path.startswith(("/", "~", "$")) or re.match(r"^[A-Za-z]:", path) or ".." in path.split("/"):
-        return None, "external_path"
-    return path, None
-
-
 def _row(path: str, vector: str, rule: str, severity: str, message: str, line: int | None = None, column: int | None = None) -> tuple:
     return path, vector, rule, severity, message, line, column
 
@@ -81,17 +40,9 @@ def _grants(rel, kind, text, raw):
 
 def _hooks(rel, kind, text, raw):
     """Hooks that name no file are findings at once; those that name one are looked up in the package (rule ``hook-target``)."""
-    out = []
-    for event, hook_type, command in inspect.hooks_of(text) if text and kind in inspect.HOOK_KINDS else ():
-        if hook_type in ("http", "mcp_tool"):
-            out.append(_row(rel, "SXV-012", "root-hook-autoexec", "medium", f"{event}: {hook_type}"))
-        elif hook_type == "command":
-            path, reason = resolve_hook(command)
-            out.append(_row(rel, "SXV-012", "root-hook-autoexec", "medium", f"{event}: {reason}") if reason else _row(rel, "", "hook-target", "medium", f"{event}: {path}"))
-    for _, command, package, pinned in inspect.servers_of(text) if text and kind in inspect.SERVER_KINDS else ():
-        if not pinned:
-            out.append(_row(rel, "SXV-013", "floating-mcp-package", "low", f"{command} {package}"))
-    return out
+    out = [_row(rel, *f) for f in hooks.hook_findings(rel, text)] if text and kind in inspect.HOOK_KINDS else []
+    doc = hooks.document(rel, text) if text and kind in inspect.SERVER_KINDS else None
+    return out + [_row(rel, "SXV-013", "floating-mcp-package", "low", f"{runner} {package}") for _, runner, package, pinned in hooks.servers(doc or {}) if not pinned]
 
 
 def _reaches(text: str) -> bool | None:

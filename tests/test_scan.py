@@ -2,7 +2,7 @@
 
 import pytest
 
-from auditlake.operators import engine, inspect, instruction, shell_tree
+from auditlake.operators import engine, hooks, inspect, instruction, shell_tree
 from auditlake.plans import cases, scan
 
 COLUMNS = "artifact_id int, pkg_id string, rel string, kind string, role string, exception string, text string, raw binary"
@@ -16,7 +16,7 @@ COLUMNS = "artifact_id int, pkg_id string, rel string, kind string, role string,
     ],
 )
 def test_hook_ladder(command, want):
-    assert scan.resolve_hook(command) == want
+    assert hooks.resolve_hook(command) == want
 
 
 def test_scan(spark):
