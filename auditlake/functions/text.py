@@ -43,6 +43,22 @@ def url_host(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(?:\[([^\]/?#]*)\]|([^/?#:\[]*))", 2))
 
 
+_ADDRESS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^/?#:\[]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def url_split(c: Column) -> Column:
+    """Parts of an address: scheme and host in lower case, user, port, path, query and fragment; empty parts are null, and all of them where it is none."""
+    part = lambda k: F.nullif(F.regexp_extract(c, _ADDRESS, k), F.lit(""))
+    return F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("user"), F.lower(part(3)).alias("host"), part(4).cast("int").alias("port"), part(5).alias("path"), part(6).alias("query"), part(7).alias("fragment"))
+
+
+def url_unsplit(parts: Column) -> Column:
+    """Address of its parts; null without a scheme."""
+    extra = lambda name, sign: F.coalesce(F.concat(F.lit(sign), parts[name].cast("string")), F.lit(""))
+    user = F.coalesce(F.concat(parts["user"], F.lit("@")), F.lit(""))
+    return F.concat(parts["scheme"], F.lit("://"), user, F.coalesce(parts["host"], F.lit("")), extra("port", ":"), F.coalesce(parts["path"], F.lit("")), extra("query", "?"), extra("fragment", "#"))
+
+
 def clean_source(c: Column) -> Column:
     """Address without user information, query and fragment."""
     return F.regexp_replace(F.regexp_replace(c, r"(?i)([a-z][a-z0-9+.-]*://)[^/@\s]+@", "$1"), r"[?#].*$", "")
@@ -113,6 +129,11 @@ def words(s: pd.Series) -> pd.Series:
     return _each(s, shell_words)
 
 
+@F.pandas_udf(StringType())
+def quote(s: pd.Series) -> pd.Series:
+    return _each(s, urllib.parse.quote)
+
+
 @F.pandas_udf(StringType())
 def unquote(s: pd.Series) -> pd.Series:
     return _each(s, urllib.parse.unquote)

@@ -6,7 +6,6 @@ import ast
 import json
 import re
 import shlex
-import tomllib
 import unicodedata
 import warnings
 from collections.abc import Callable, Iterator
@@ -15,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import requirements
 from .forensics import byte_findings
 from .grants import breadth, dynamic
 from .hooks import servers
@@ -208,52 +208,9 @@ def commands(df: DataFrame) -> DataFrame:
 
 # -- manifests ----------------------------------------------------------------------------------------
 
-_REQUIREMENT = re.compile(r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(\[[^\]]*\])?\s*(.*)$")
-
-
 def dependencies(rel: str, text: str) -> list[tuple[str, str, bool]]:
     """``(name, specifier, pinned)`` from requirements files, pyproject.toml and package.json."""
-    base = rel.rsplit("/", 1)[-1].lower()
-    out: list[tuple[str, str, bool]] = []
-    if base == "pyproject.toml":
-        try:
-            doc = tomllib.loads(text)
-        except (tomllib.TOMLDecodeError, RecursionError):
-            return []
-        project = doc.get("project", {}) if isinstance(doc.get("project"), dict) else {}
-        listed = [*_strings(project.get("dependencies")), *_strings((doc.get("build-system") or {}).get("requires"))]
-        for group in (project.get("optional-dependencies"), doc.get("dependency-groups")):
-            for values in (group or {}).values():
-                listed += _strings(values)
-        out += [d for x in listed if (d := requirement(x))]
-    elif base == "package.json":
-        try:
-            doc = json.loads(text)
-        except (ValueError, RecursionError):
-            return []
-        for section in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"):
-            part = doc.get(section) if isinstance(doc, dict) else None
-            if isinstance(part, dict):
-                out += [(k, v, bool(re.fullmatch(r"(?:npm:(?:@[\w.-]+/)?[\w.-]+@)?v?\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.+-]+)?", v.strip()))) for k, v in part.items() if isinstance(v, str)]
-    else:
-        for line in re.sub(r"\\\n", "", text).split("\n"):
-            line = re.sub(r"(?:^|\s)#.*$", "", line).strip()
-            line = re.split(r"\s--?\w", line, maxsplit=1)[0]
-            if line and not line.startswith("-") and (d := requirement(line)):
-                out.append(d)
-    return out
-
-
-def _strings(values: object) -> list[str]:
-    return [v for v in values if isinstance(v, str)] if isinstance(values, list) else []
-
-
-def requirement(line: str) -> tuple[str, str, bool] | None:
-    m = _REQUIREMENT.match(line.strip())
-    if not m:
-        return None
-    spec = m[3].split(";")[0].strip()
-    return m[1], spec, bool(re.fullmatch(r"===?\s*[^,*\s]+", spec))
+    return [d[:3] for d in requirements.manifest(rel, text)[0]]
 
 
 def canonical_specifiers(text: str) -> str:

@@ -47,6 +47,53 @@ def policy_summary(dispositions: DataFrame, unmatched: DataFrame) -> DataFrame:
     return dispositions.agg(F.count_if(F.col("disposition") == "suppressed").alias("suppressed"), F.count_if(F.col("disposition") == "demoted").alias("demoted")).withColumn("unmatched", F.lit(unmatched.count()))
 
 
+def locations(findings: DataFrame, texts: DataFrame) -> DataFrame:
+    """Findings with ``region`` (JSON of the place that the text of the file bears out) and ``limitation`` (why a place they name is not shown)."""
+    from .anchors import located
+
+    at = located(findings, texts)
+    region = F.to_json(F.struct(F.col("line_no").alias("startLine"), F.col("col_no").alias("startColumn")))
+    return at.withColumn("region", F.when(F.col("source_known"), region)).withColumn("limitation", F.when(F.col("line_no").isNotNull() & ~F.col("source_known"), "source-unproven"))
+
+
+LEVELS = {"error", "warning", "note", "none"}
+
+
+def validate(document: object) -> list[str]:
+    """What is wrong with a report document: its shape, rules that results name but do not list, places that are none, links between results and candidates."""
+    wrong: list[str] = []
+    if not isinstance(document, dict) or document.get("version") != "2.1.0" or not isinstance(document.get("runs"), list):
+        return ["a report has version 2.1.0 and runs"]
+    for n, run in enumerate(document["runs"]):
+        try:
+            rules = {r["id"] for r in run["tool"]["driver"].get("rules", [])}
+            results = run["results"]
+        except (KeyError, TypeError):
+            wrong.append(f"run {n}: no tool or results")
+            continue
+        for k, r in enumerate(results):
+            where = f"run {n} result {k}"
+            if not isinstance(r, dict) or not isinstance(r.get("message"), dict) or not isinstance(r["message"].get("text"), str):
+                wrong.append(f"{where}: no message")
+                continue
+            if r.get("ruleId") not in rules:
+                wrong.append(f"{where}: rule not listed")
+            if r.get("level", "warning") not in LEVELS:
+                wrong.append(f"{where}: level")
+            for place in r.get("locations", []):
+                physical = place.get("physicalLocation", {}) if isinstance(place, dict) else {}
+                uri, region = physical.get("artifactLocation", {}).get("uri"), physical.get("region", {})
+                if not isinstance(uri, str) or uri.startswith("/") or ".." in uri.split("/"):
+                    wrong.append(f"{where}: path")
+                if any(not isinstance(v, int) or isinstance(v, bool) or v < 1 for key, v in region.items() if key in ("startLine", "endLine", "startColumn", "endColumn")) or region.get("endLine", region.get("startLine", 1)) < region.get("startLine", 1):
+                    wrong.append(f"{where}: region")
+        known = {c.get("id") for c in run.get("properties", {}).get("candidates", []) if isinstance(c, dict)}
+        for link in run.get("properties", {}).get("links", []):
+            if link.get("candidate") not in known or not isinstance(link.get("result"), int) or not 0 <= link["result"] < len(results):
+                wrong.append(f"run {n}: dangling link")
+    return wrong
+
+
 def dangling(links: DataFrame, results: DataFrame, candidates: DataFrame) -> DataFrame:
     """Links whose result or candidate does not exist: ``kind, id``; a sound report has none."""
     r = links.join(results, "result_id", "left_anti").select(F.lit("result").alias("kind"), F.col("result_id").alias("id"))

@@ -162,3 +162,10 @@ def markdown_report(views: DataFrame, header: DataFrame) -> DataFrame:
 def without(hits: DataFrame, vectors: list[str]) -> DataFrame:
     """Findings without those of the named vectors."""
     return hits.where(~F.col("vector").isin(*vectors))
+
+
+def error_kinds(rows: DataFrame) -> DataFrame:
+    """Errors of a run by kind, each with the run's totals: ``records, errors, oversize, kind, n``."""
+    total = rows.agg(F.count("*").alias("records"), F.count("error").alias("errors"), F.count_if("oversize").alias("oversize"))
+    kinds = rows.where("error is not null").groupBy(error_kind(F.col("error")).alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").select("records", "errors", "oversize", "kind", "n")

@@ -11,9 +11,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bidi
+from ..functions import bidi, requirements
 from ..functions import text as texts
-from ..operators import correlate, detect, engine, engine_python, engine_report, findings, forensics, graph, hooks, inspect, instruction, markdown, report, review, scoring, shell_tree
+from ..operators import correlate, detect, engine, engine_python, engine_report, findings, forensics, graph, hooks, inspect, instruction, markdown, parsing, report, review, scoring, shell_tree
 from ..operators.inspect import _map
 from . import cases
 from .queries import ORACLE_SQL, QUERIES
@@ -124,6 +124,25 @@ def sxv044_script_cases(spark, sf_dir):
 # -- parsers ---------------------------------------------------------------------------------------------
 
 
+@expect("rel string, kind string, code string, detail string", [(r, k, *w) for r, k, _, want in cases.DIAGNOSTICS for w in want])
+def m1_diagnostic_cases(spark, sf_dir):
+    """What each parser reports of files it cannot read, with its bounds."""
+    return each(spark, [(r, k, t) for r, k, t, _ in cases.DIAGNOSTICS], "rel string, kind string, text string", lambda r, k, t: [(r, k, *d) for d in parsing.diagnostics_of(r, k, t)], "rel string, kind string, code string, detail string")
+
+
+@expect("name string, wrong string", [(n, w) for n, _, want in cases.REPORTS for w in want])
+def k3_report_check_cases(spark, sf_dir):
+    """Report documents that do not hold together (K3)."""
+    return each(spark, [(n, json.dumps(d)) for n, d, _ in cases.REPORTS], "name string, doc string", lambda n, d: [(n, w) for w in report.validate(json.loads(d))], "name string, wrong string")
+
+
+@expect("records long, errors long, oversize long, kind string, n long", [(5, 3, 1, "parse error", 1), (5, 3, 1, "timeout", 2)])
+def a15_error_header_cases(spark, sf_dir):
+    """Header of a run with errors, and its error kinds."""
+    rows = given(spark, [("a", None, False), ("b", "timeout: 5 s", False), ("c", "timeout: /x/y", False), ("d", "parse error: line 3", False), ("e", None, True)], "benchmark_id string, error string, oversize boolean")
+    return scoring.error_kinds(rows)
+
+
 @expect("name string, callee string, n_args int, literal string", [(n, *w) for n, _, want in cases.CALLS for w in want])
 def m14_call_cases(spark, sf_dir):
     """Calls of Python texts by their full names."""
@@ -149,6 +168,36 @@ def m11_dependency_cases(spark, sf_dir):
     return each(spark, [(r, t) for r, t, _ in cases.DEPENDENCIES], "rel string, text string", lambda r, t: [(r, *d) for d in inspect.dependencies(r, t)], "rel string, name string, specifier string, pinned boolean")
 
 
+@expect("line string, name string, extras string, specifiers string, url string, marker string, pinned boolean", [(x, *(want or (None,) * 6)) for x, want in cases.REQUIREMENTS])
+def f15_requirement_cases(spark, sf_dir):
+    """Requirements by their grammar; a text that is none gives nulls."""
+
+    def one(line: str) -> list[tuple]:
+        r = requirements.parse(line)
+        return [(line, *((r.name, ",".join(r.extras), ",".join(a + b for a, b in r.specifiers), r.url, r.marker, r.pinned) if r else (None,) * 6))]
+
+    return each(spark, [(x,) for x, _ in cases.REQUIREMENTS], "line string", one, "line string, name string, extras string, specifiers string, url string, marker string, pinned boolean")
+
+
+@expect("spec string, pinned boolean, from_source boolean", [("1.2.3", True, False), ("v1.2.3-rc.1", True, False), ("^1.2.3", False, False), ("npm:@a/b@1.0.0", True, False), ("*", False, False), ("github:a/b", False, True), ("git+ssh://x/y.git", False, True), ("a/b#main", False, True), ("file:../x", False, True), ("1.2", False, False)])
+def f16_npm_cases(spark, sf_dir):
+    specs = ["1.2.3", "v1.2.3-rc.1", "^1.2.3", "npm:@a/b@1.0.0", "*", "github:a/b", "git+ssh://x/y.git", "a/b#main", "file:../x", "1.2"]
+    return each(spark, [(x,) for x in specs], "spec string", lambda x: [(x, requirements.npm_pinned(x), requirements.npm_from_source(x))], "spec string, pinned boolean, from_source boolean")
+
+
+@expect("rel string, gap string", [(r, g) for r, _, gaps in cases.MANIFEST_GAPS for g in gaps])
+def m12_manifest_gap_cases(spark, sf_dir):
+    """What of a manifest is reported because it is no dependency that can be read."""
+    return each(spark, [(r, t) for r, t, _ in cases.MANIFEST_GAPS], "rel string, text string", lambda r, t: [(r, g) for g in requirements.manifest(r, t)[1]], "rel string, gap string")
+
+
+@expect("v string, quoted string, rejoined string", [("a b/c?d=é", "a%20b/c%3Fd%3D%C3%A9", None), ("HTTP://u@H.example:80/a?b#c", "HTTP%3A//u%40H.example%3A80/a%3Fb%23c", "http://u@h.example:80/a?b#c"), ("x", "x", None), ("ftp://h", "ftp%3A//h", "ftp://h"), ("http://[::1]:8/x", "http%3A//%5B%3A%3A1%5D%3A8/x", "http://[::1]:8/x")])
+def f8_url_function_cases(spark, sf_dir):
+    """Percent quoting, and addresses taken apart and put together again."""
+    vs = ["a b/c?d=é", "HTTP://u@H.example:80/a?b#c", "x", "ftp://h", "http://[::1]:8/x"]
+    return given(spark, [(v,) for v in vs], "v string").select("v", texts.quote("v").alias("quoted"), texts.url_unsplit(texts.url_split(F.col("v"))).alias("rejoined"))
+
+
 @expect("value string, tool string, pattern string, parsed boolean, breadth string", [(v, *w) for v, want in cases.GRANTS for w in want])
 def m4_grant_cases(spark, sf_dir):
     """Grants of a manifest line: split, parsed and graded (SXV-003, SXV-004)."""

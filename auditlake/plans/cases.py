@@ -401,6 +401,14 @@ DEPENDENCIES = [
     ("package.json", '{"dependencies": {"a": "1.2.3", "b": "^1.0.0"}, "devDependencies": {"c": "npm:@x/c@2.0.0"}, "peerDependencies": {"d": "*"}, "optionalDependencies": {"e": "github:x/e"}}', [("a", "1.2.3", True), ("b", "^1.0.0", False), ("c", "npm:@x/c@2.0.0", True), ("d", "*", False), ("e", "github:x/e", False)]),
     ("sub/package.json", "{", []),
 ]
+REQUIREMENTS = [
+    ("a", ("a", "", "", None, None, False)), ("A.b-c[x, y] >=1,<2", ("A.b-c", "x,y", ">=1,<2", None, None, False)), ("a==1.0; python_version > '3'", ("a", "", "==1.0", None, "python_version > '3'", True)), ("a (==2)", ("a", "", "==2", None, None, True)), ("a===x1", ("a", "", "===x1", None, None, True)),
+    ("a @ https://x.example/a.whl#sha256=" + "0" * 64, ("a", "", "", "https://x.example/a.whl#sha256=" + "0" * 64, None, True)), ("a @ git+https://x.example/a@main", ("a", "", "", "git+https://x.example/a@main", None, False)), ("a==1,!=1.5", ("a", "", "==1,!=1.5", None, None, False)), ("a>=1.*", None), ("-r x", None), ("a b", None), ("", None),
+]
+MANIFEST_GAPS = [
+    ("requirements.txt", "-e .\n-r x.txt\n--index-url https://x\na b\nc==1\n", ["line 1: editable", "line 2: included file", "line 4: unparsed"]), ("pyproject.toml", '[project]\ndynamic = ["dependencies"]\n[tool.poetry.dependencies]\na = "1"\n', ["dynamic dependencies", "poetry dependencies"]), ("package.json", '{"dependencies": {"a": 1}, "devDependencies": []}', ["dependencies.a: not a text", "devDependencies: not a mapping"]),
+    ("pyproject.toml", "[", ["not toml"]), ("package.json", "{", ["not json"]),
+]
 GRANTS = [
     ("Read, Bash(git log:*)", [("Read", None, True, None), ("Bash", "git log:*", True, None)]), ("Bash", [("Bash", None, True, "wildcard_all_commands")]), ("Bash(*) Write", [("Bash", "*", True, "wildcard_all_commands"), ("Write", None, True, None)]), ("Bash(sudo apt:*)", [("Bash", "sudo apt:*", True, "privilege_escalation")]),
     ("Bash(python3:*)", [("Bash", "python3:*", True, "interpreter_or_downloader")]), ("Bash(pip install:*)", [("Bash", "pip install:*", True, "package_installer")]), ("Bash($CMD)", [("Bash", "$CMD", True, "variable_substitution")]), ("WebFetch", [("WebFetch", None, True, "unrestricted_network")]),
@@ -517,3 +525,23 @@ REVIEWED = [
 REVIEW_WANT = [
     ("c1", "benign", "", False), ("c2", "malicious", "do bad", False), ("c3", "inconclusive", None, False), ("c4", "benign", "", True), ("c5", "not-disputable", None, False), ("c6", "incomplete", None, False), ("c7", "no-source", None, False), ("c8", "unparseable", None, False), ("c9", "truncated", None, False),
 ]
+
+
+DIAGNOSTICS = [
+    ("a.py", "script_python", "x = (\n", [("python_syntax_error", "line 1")]), ("b.py", "script_python", "x = 1\n", []), ("deep.py", "script_python", "x = " + "-" * 600 + "1\n", [("python_too_complex", None)]), ("long.py", "script_python", "#" * 524_289, [("python_too_large", None)]),
+    ("a.sh", "script_shell", "echo 'x\n", [("shell_parse_error", "line 1")]), ("pipes.sh", "script_shell", "a | " * 3001 + "b\n", [("shell_too_complex", None)]), ("a.json", "mcp_config", "{\n,", [("config_parse_error", "line 2")]), ("config.toml", "agent_config", "a = 1\n", []),
+    ("SKILL.md", "skill_manifest", "---\na: &x 1\n---\n", [("yaml_alias_budget", None)]), ("SKILL.md", "skill_manifest", "---\nallowed-tools: Bash(git\n---\n", [("grants_unparsed_shape", "Bash(git")]), ("requirements.txt", "dep_manifest", "a b\n", [("requirement_unparsed", "line 1: unparsed")]), ("x.bin", "other", "(", []),
+]
+_RUN = {"tool": {"driver": {"rules": [{"id": "r"}]}}, "results": [{"ruleId": "r", "level": "error", "message": {"text": "m"}, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a/b"}, "region": {"startLine": 2}}}]}]}
+
+
+def _changed(**more) -> dict:
+    return {"version": "2.1.0", "runs": [{**_RUN, "results": [{**_RUN["results"][0], **more}]}]}
+
+
+_PLACE = lambda uri, **region: [{"physicalLocation": {"artifactLocation": {"uri": uri}, "region": region}}]
+REPORTS = [
+    ("sound", {"version": "2.1.0", "runs": [_RUN]}, []), ("version", {"version": "2.0", "runs": []}, ["a report has version 2.1.0 and runs"]), ("rule", _changed(ruleId="q"), ["run 0 result 0: rule not listed"]), ("level", _changed(level="fatal"), ["run 0 result 0: level"]), ("message", _changed(message="m"), ["run 0 result 0: no message"]),
+    ("path", _changed(locations=_PLACE("../a", startLine=1)), ["run 0 result 0: path"]), ("region", _changed(locations=_PLACE("a", startLine=0)), ["run 0 result 0: region"]), ("turned round", _changed(locations=_PLACE("a", startLine=4, endLine=2)), ["run 0 result 0: region"]), ("no results", {"version": "2.1.0", "runs": [{}]}, ["run 0: no tool or results"]),
+    ("link", {"version": "2.1.0", "runs": [{**_RUN, "properties": {"candidates": [{"id": "c"}], "links": [{"candidate": "d", "result": 0}, {"candidate": "c", "result": 0}]}}]}, ["run 0: dangling link"]),
+]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..functions.vectors import VECTORS, severity_rank
-from ..operators import anchors, classify, correlate, detect, engine, findings, graph, inspect, ledger, lines, markdown, report, review, scoring, scripts
+from ..operators import anchors, classify, correlate, detect, engine, findings, graph, inspect, ledger, lines, markdown, parsing, report, review, scoring, scripts
 from ..operators.scale import spread
 from ..sources import packages
 
@@ -213,6 +213,13 @@ def m1_parse_diagnostics(spark, sf_dir):
     return each.groupBy(F.col("d.code").alias("code")).agg(F.count("*").alias("n"), F.countDistinct("artifact_id").alias("n_files"))
 
 
+@query()
+def m1_diagnostics(spark, sf_dir):
+    """What the parsers of this library cannot read of the files as they are now, by code (compare ``m1_parse_diagnostics`` of the older parser)."""
+    found = parsing.diagnostics(spread(artifacts(spark, sf_dir).select("artifact_id", "rel", "kind", "text"))).distinct()
+    return found.groupBy("kind", "code").agg(F.count("*").alias("n"), F.countDistinct("artifact_id").alias("n_files"))
+
+
 @query("SELECT artifact_id, max(run_no) AS run_no, arg_max(kind, run_no) AS kind FROM parse_results GROUP BY 1")
 def m1_last_parse(spark, sf_dir):
     return table(spark, sf_dir, "parse_results").groupBy("artifact_id").agg(F.max("run_no").alias("run_no"), F.max_by("kind", "run_no").alias("kind"))
@@ -916,6 +923,13 @@ def _cover_sql() -> str:
     cand AS (SELECT a.*, CASE WHEN gp.path IS NOT NULL THEN 'incomplete' ELSE 'complete' END AS coverage FROM allf a LEFT JOIN gp ON a.pkg_id = gp.pkg_id AND a.path = gp.path)"""
 
 
+@query(f"""WITH {_cover_sql()}, s AS (SELECT pkg_id, rel AS path, len(string_split(text, chr(10))) AS n FROM texts) SELECT c.pkg_id, c.path, c.rule, c.line_no::INT AS line_no, CASE WHEN c.line_no BETWEEN 1 AND n THEN '{{"startLine":' || c.line_no || '}}' END AS region,
+    CASE WHEN c.line_no IS NOT NULL AND NOT coalesce(c.line_no BETWEEN 1 AND n, false) THEN 'source-unproven' END AS limitation FROM cand c LEFT JOIN s ON c.pkg_id = s.pkg_id AND c.path = s.path""")
+def k2_locations(spark, sf_dir):
+    """The location of every result: a region that the text of its file bears out, or why there is none."""
+    return report.locations(_all_findings(spark, sf_dir), artifacts(spark, sf_dir)).select("pkg_id", "path", "rule", "line_no", "region", "limitation")
+
+
 @query(f"WITH {_cover_sql()} SELECT pkg_id, coverage, count(*) AS n, count(*) FILTER (vector <> '') AS n_vectored FROM cand GROUP BY ALL")
 def j4_candidate_coverage(spark, sf_dir):
     return correlate.candidates(_all_findings(spark, sf_dir), gaps(spark, sf_dir)).groupBy("pkg_id", "coverage").agg(F.count("*").alias("n"), F.count_if(F.col("vector") != "").alias("n_vectored"))
@@ -1028,6 +1042,12 @@ def sxv033_understated(spark, sf_dir):
 # -- text functions ----------------------------------------------------------------------------------
 
 
+@query(r"""WITH u AS (SELECT doc_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^/?#:\[]*)(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$', ['scheme', 'usr', 'host', 'port', 'path', 'query', 'fragment']) AS p FROM documents)
+    SELECT doc_id, lower(nullif(p.scheme, '')) AS scheme, lower(nullif(p.host, '')) AS host, try_cast(nullif(p.port, '') AS INT) AS port, nullif(p.path, '') AS path, nullif(p.query, '') AS query, nullif(p.fragment, '') AS fragment FROM u""")
+def f7_url_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", texts.url_split(F.col("url")).alias("u")).select("doc_id", "u.scheme", "u.host", "u.port", "u.path", "u.query", "u.fragment")
+
+
 @query(r"SELECT doc_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, regexp_replace(regexp_replace(url, '(?i)([a-z][a-z0-9+.-]*://)[^/@\s]+@', '\1'), '[?#].*$', '') AS source_url FROM documents")
 def f7_url_parts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", texts.url_host(F.col("url")).alias("host"), texts.clean_source(F.col("url")).alias("source_url"))

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import requirements
 from ..functions.vectors import severity_rank
 from ..operators import correlate, detect, engine, findings, forensics, graph, grants, hooks, inspect, instruction, ledger, markdown
 from ..operators.findings import COLUMNS
@@ -80,16 +81,17 @@ def _preproc(rel, kind, text, raw):
     return out + [_row(rel, "", "findings-capped", "low", f"preproc-{t}-bang: {k - markdown.TOKENS_KEPT} more") for t, k in seen.items() if k > markdown.TOKENS_KEPT]
 
 
-_FROM_URL = re.compile(r"(?i)^(?:@\s*)?(?:git\+|https?:|git:|ssh:|file:)|github:")
-
-
 def _dependencies(rel, kind, text, raw):
-    out = []
-    for name, spec, pinned in inspect.dependencies(rel, text) if kind == "dep_manifest" and text else ():
+    out, seen = [], set()
+    found, gaps = requirements.manifest(rel, text) if kind == "dep_manifest" and text else ([], [])
+    for name, spec, pinned, line in found:
+        if (name.lower(), spec) in seen:
+            continue
+        seen.add((name.lower(), spec))
+        url = spec.startswith("@") or rel.endswith(".json") and requirements.npm_from_source(spec)
         if not pinned:
-            url = bool(_FROM_URL.search(spec))
-            out.append(_row(rel, "SXV-016", "install-from-url" if url else "unpinned-dependency", "medium" if url else "low", f"{name} {spec}"))
-    return out
+            out.append(_row(rel, "SXV-016", "install-from-url" if url else "unpinned-dependency", "medium" if url else "low", f"{name} {spec}", line))
+    return out + [_row(rel, "", "coverage-note", "low", f"parse analysis coverage is incomplete (requirement_unparsed). {g}") for g in gaps]
 
 
 def _code(rel, kind, text, raw):
