@@ -533,6 +533,7 @@ def test_passages_against_window_search():
 
 PROSE = "The late fixture scans every section before the endpoint names it. Earlier versions kept one interface per notebook, which made it slow.\n"
 PAGES = [
+    ("#数据删除11 #脚本输出plugin45 #用户格式 #规则密钥top83 #服务检查free #用户格式 #数据删除21\n" * 4, True), ("数据删除的脚本输出用户格式。规则密钥检查服务。\n" * 4, False),
     (PROSE * 5, False), ("\n".join(f"https://a{k}.example/x/{k}" for k in range(20)), True), ("\n".join(f"- [page {k}](https://a.example/{k}): {PROSE.strip()}" for k in range(9)), False), ("tag pro, tag free, tag top, other pro, tag pro, tag free, best tag, tag pro\n" * 6, True),
     (" ".join(f"#tag{k % 5}" for k in range(60)), True), ("hook summary agent gateway summary agent gateway gateway summary agent " * 12, True), ("\n".join(f"SKU-{k} | tag | red | {k}.99 | tag" for k in range(20)), True),
     ("\n".join(f"scripts/file{k}.sh  {k}00 bytes" for k in range(30)), False), ("\n".join(f"1.{k}.0: {PROSE.strip()}" for k in range(8)), False), ("```\n" + "for f in a b c; do\n  echo $f\ndone\n" * 10 + "```\n", False), (PROSE * 6 + "\n".join(f"https://a{k}.example" for k in range(4)), False),
