@@ -34,7 +34,7 @@ def test_scan(spark):
     got = {(r.path, r.vector, r.severity, r.line_no) for r in found.collect()}
     for want in [
         ("SKILL.md", "SXV-004", "critical", None), ("SKILL.md", "SXV-034", "critical", 4), ("SKILL.md", "SXV-028", "high", 8), ("SKILL.md", "SXV-001", "critical", 12), ("SKILL.md", "SXV-009", "high", 15), ("SKILL.md", "SXV-017", "medium", 16), ("SKILL.md", "SXV-027", "high", 3),
-        ("s/run.py", "SXV-008", "critical", 2), ("s/a.sh", "SXV-010", "high", 1), ("s/a.sh", "SXV-017", "high", 3), ("hooks.json", "SXV-012", "medium", None), (".mcp.json", "SXV-013", "low", None), ("requirements.txt", "SXV-016", "low", None), ("requirements.txt", "SXV-016", "medium", None),
+        ("s/run.py", "SXV-008", "critical", 2), ("s/a.sh", "SXV-010", "high", 1), ("s/a.sh", "SXV-017", "high", 3), ("hooks.json", "SXV-012", "medium", None), (".mcp.json", "SXV-013", "low", None), ("requirements.txt", "SXV-016", "low", 2), ("requirements.txt", "SXV-016", "medium", 3),
         ("z.txt", "SXV-014", "critical", 1), ("z.txt", "SXV-015", "high", 1), ("z.txt", "SXV-035", "high", None), ("big", "", "high", None),
     ]:
         assert want in got, want
