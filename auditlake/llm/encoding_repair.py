@@ -229,7 +229,11 @@ def move(text: str, step: tuple[str, str]) -> str | None:
             continue
         data = bytes(ord(c) if c < "\x80" else 0xFF if c == "�" else table[ord(c)] for c in p)
         try:
-            out.append(data.decode(into, "replace" if lost else "strict"))
+            read = data.decode(into, "replace" if lost else "strict")
+            # one lost byte breaks the sequence it stood in, of three bytes more at most: one sign for it, not one a byte
+            if lost and read.count("\ufffd") > 4 * p.count("\ufffd"):
+                return None
+            out.append(re.sub("\ufffd{2,}", "\ufffd", read) if lost else read)
         except UnicodeDecodeError:
             if into != "utf-8":
                 return None
