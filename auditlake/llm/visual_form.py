@@ -339,11 +339,11 @@ def visual_twins(df: DataFrame, id_col: str = "artifact_id", text_col: str = "te
 def visual_classes(df: DataFrame, id_col: str = "artifact_id", text_col: str = "text") -> DataFrame:
     """One row per document and text: its class (the least id with the same visual form), the class's rows and different texts.
 
-    Counts are summed by text and then by form; the rows meet their class by
-    text key, salted, so the members of a hot form spread over tasks.
+    Counts are summed by text and then by form, so the rows of a hot form meet
+    one row of their class; the join is by equality on the form, and adaptive
+    execution splits the rows of a hot one over tasks.
     """
     keys = _kept_keys(df, id_col, text_col)
     texts = keys.groupBy("k1", "k2", "raw").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     per = texts.groupBy("k1", "k2").agg(F.min("first").alias("class_id"), F.sum("n").alias("rows_in_class"), F.count("*").alias("texts_in_class"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(15))).alias("salt")
-    return keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(per.select("*", salts), ["k1", "k2", "salt"]).select(F.col("id").alias(id_col), "class_id", "rows_in_class", "texts_in_class")
+    return keys.join(per, ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "rows_in_class", "texts_in_class")
