@@ -270,3 +270,45 @@ def load_time_commands(df: DataFrame) -> DataFrame:
 
 def fenced_code(df: DataFrame) -> DataFrame:
     return _map(_documents(df), ["pkg_id", "rel", "text"], lambda p, r, t: [(p, r, *u) for u in code_units(r, t)], "pkg_id string, rel string, language string, origin string, code string")
+
+
+_BLOCK_ELEMENTS = "address|article|aside|blockquote|center|dd|details|dialog|dir|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|menu|nav|ol|p|section|summary|table|tbody|td|tfoot|th|thead|tr|ul"
+_BLOCK_TAG = re.compile(rf"(?i)</?(?:{_BLOCK_ELEMENTS})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>")
+_HIDING = re.compile(r"(?i)\bhidden\b|\baria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s*0|opacity\s*:\s*0(?![.\d])|(?:width|height)\s*:\s*0|color\s*:\s*(?:transparent|#?fff(?:fff)?\b|white))")
+_ACTIVE = re.compile(r"(?i)<(?:script|iframe|object|embed|applet|meta|base|form)\b|\bon[a-z]+\s*=\s*[\"']|(?:href|src|action)\s*=\s*[\"']?\s*(?:javascript|vbscript|data):")
+
+
+def _blank(m: re.Match) -> str:
+    return re.sub(r"[^\n]", " ", m.group())
+
+
+def html_prose(text: str) -> list[tuple[str, int]]:
+    """``(prose, line)`` of the HTML blocks of a document: the tags of block elements blanked, so that every sign keeps its place; comments and blocks without words give none."""
+    lines = text.split("\n")
+    out = []
+    for kind, a, b, _ in blocks(text):
+        if kind != "html" or re.match(r"^ {0,3}<[!?]", lines[a - 1]):
+            continue
+        shown = _BLOCK_TAG.sub(_blank, "\n".join(lines[a - 1 : b]))
+        if re.search(r"\w", re.sub(r"<[^<>]*>", "", shown)):
+            out.append((shown, a))
+    return out
+
+
+def html_notes(text: str) -> list[tuple[str, str, int]]:
+    """``(code, severity, line)`` of the HTML blocks of a document: ``raw_html`` (high) where text is hidden or content active, the note ``raw_html_markup`` (low) for plain presentational markup."""
+    lines = text.split("\n")
+    out = []
+    for kind, a, b, _ in blocks(text):
+        if kind != "html":
+            continue
+        shown = re.sub(r"<!--[\s\S]*?(?:-->|\Z)", _blank, "\n".join(lines[a - 1 : b]))
+        if not re.search(r"<[A-Za-z/]", shown):
+            continue
+        hidden = any(_HIDING.search(m.group()) for m in re.finditer(r"<[A-Za-z][^<>]*>", shown)) or _ACTIVE.search(shown) or re.search(r"<[A-Za-z][^<>]*\Z", shown)
+        out.append(("raw_html", "high", a) if hidden else ("raw_html_markup", "low", a))
+    return out
+
+
+def document_prose(df: DataFrame) -> DataFrame:
+    return _map(_documents(df), ["artifact_id", "text"], lambda i, t: [(i, *x) for x in html_prose(t)], "artifact_id long, text string, line_no int")

@@ -60,6 +60,7 @@ def _config(rel: str, text: str) -> list[tuple[str, str | None]]:
 def _document(rel: str, text: str) -> list[tuple[str, str | None]]:
     _, _, _, codes = markdown.front_matter(text)
     out = [tuple(c.split(":", 1)) if ":" in c else (c, None) for c in codes]
+    out += [(code, f"line {n}") for code, _, n in markdown.html_notes(text)] if "<" in text else []
     return out + [("grants_unparsed_shape", g[0]) for g in inspect.front_matter_grants(text) if not g[2]]
 
 

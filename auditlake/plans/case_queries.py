@@ -7,6 +7,8 @@ table, and the SQL of the query is the table of expected rows.
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from ..functions import bidi, requirements
 from ..functions import text as texts
 from ..operators import correlate, detect, engine, engine_python, engine_report, findings, forensics, graph, hooks, inspect, instruction, markdown, parsing, report, review, scoring, shell_tree
 from ..operators.inspect import _map
+from ..sources import packages, records
 from . import cases
 from .queries import ORACLE_SQL, QUERIES
 
@@ -263,6 +266,17 @@ def m6_comment_cases(spark, sf_dir):
     return each(spark, rows, "text string", lambda t: [(t, *c) for c in markdown.comments(t)], "text string, body string, line_no int, col_no int")
 
 
+@expect("name string, code string, severity string, line_no int", [(n, *w) for n, _, want, _ in cases.HTML_BLOCKS for w in want])
+def m6_html_block_cases(spark, sf_dir):
+    """HTML blocks that hide text or hold active content, and plain ones (M6)."""
+    return each(spark, [(n, t) for n, t, _, _ in cases.HTML_BLOCKS], "name string, text string", lambda n, t: [(n, *x) for x in markdown.html_notes(t)], "name string, code string, severity string, line_no int")
+
+
+@expect("name string, prose string", [(n, p) for n, _, _, want in cases.HTML_BLOCKS for p in want])
+def m6_html_prose_cases(spark, sf_dir):
+    return each(spark, [(n, t) for n, t, _, _ in cases.HTML_BLOCKS], "name string, text string", lambda n, t: [(n, x) for x, _ in markdown.html_prose(t)], "name string, prose string")
+
+
 # -- relations -------------------------------------------------------------------------------------------
 
 
@@ -548,3 +562,95 @@ def w15_following_list_cases(spark, sf_dir):
     from ..operators import lines
 
     return lines.following_lists(_prose_blocks(spark)).select("start_line", "list_end", "n_lists")
+
+
+# -- sources and sinks, each in a folder of its own inside the task ------------------------------------------
+
+
+@expect("rel string, reason string, size long", cases.TREE_WANT)
+def s2_walk_cases(spark, sf_dir):
+    """A folder walked: bounds, links, special files, names equal but for case, pruned folders, names with a dot."""
+
+    def one(_: str) -> list[tuple]:
+        with tempfile.TemporaryDirectory() as root:
+            cases.build_tree(root)
+            return [(rel, why, size) for rel, size, why, _ in packages.walk(root)]
+
+    return each(spark, [("",)], "x string", one, "rel string, reason string, size long")
+
+
+@expect("target string, outcome string", cases.TARGETS)
+def s1_target_cases(spark, sf_dir):
+    """What a target is, and why others are refused."""
+
+    def one(target: str) -> list[tuple]:
+        with tempfile.TemporaryDirectory() as root:
+            os.mkdir(os.path.join(root, "folder"))
+            os.symlink(os.path.join(root, "folder"), os.path.join(root, "link"))
+            for name, data in (("archive.zip", cases._zip()), ("file.md", b"x"), ("other.tar", b"x")):
+                with open(os.path.join(root, name), "wb") as f:
+                    f.write(data)
+            try:
+                kind, path = packages.resolve(target if "://" in target else os.path.join(root, target))
+                return [(target, kind if kind != "file" or packages.wrap_file(path) else "empty")]
+            except ValueError as e:
+                return [(target, str(e))]
+
+    return each(spark, [(t,) for t, _ in cases.TARGETS], "target string", one, "target string, outcome string")
+
+
+@expect("rel string, why string", cases.ROOTS_WANT)
+def s8_package_root_cases(spark, sf_dir):
+    """Packages under a folder: the topmost ones with a manifest or marker, and a search over its bound."""
+
+    def one(_: str) -> list[tuple]:
+        with tempfile.TemporaryDirectory() as root:
+            for rel in ("a/SKILL.md", "a/inner/SKILL.md", "b/c/skill.md", "d/plugin.json", "e/readme.md", "node_modules/x/SKILL.md"):
+                os.makedirs(os.path.dirname(os.path.join(root, rel)), exist_ok=True)
+                open(os.path.join(root, rel), "w").close()
+            out = [(os.path.relpath(p, root), None) for p in packages.package_roots(root)]
+            try:
+                return [*out, *((p, None) for p in packages.package_roots(root, max_dirs=3))]
+            except ValueError as e:
+                return [*out, (None, str(e))]
+
+    return each(spark, [("",)], "x string", one, "rel string, why string")
+
+
+@expect("name string, members int, reason string", [(n, k, w) for n, _, k, w in cases.archives()])
+def s9_archive_cases(spark, sf_dir):
+    """Archives that are taken and those that are refused."""
+
+    def one(name: str, data: bytes) -> list[tuple]:
+        members, why = packages.archive_members(bytes(data))
+        return [(name, len(members), why)]
+
+    return each(spark, [(n, bytearray(b)) for n, b, _, _ in cases.archives()], "name string, data binary", one, "name string, members int, reason string")
+
+
+@expect("written string, why string", [('{"a":"\\u00e9","b":1}\n', None), (None, "the report must not be written into the package"), (None, "no file is left behind")])
+def k5_report_file_cases(spark, sf_dir):
+    """A canonical report written at once, refused inside the package, and no rest of a failed one (K4, K5)."""
+
+    def one(_: str) -> list[tuple]:
+        with tempfile.TemporaryDirectory() as root:
+            path = os.path.join(root, "out.json")
+            records.write_report({"b": 1, "a": "é"}, path)
+            with open(path, encoding="ascii") as f:
+                out = [(f.read(), None)]
+            os.mkdir(os.path.join(root, "pkg"))
+            try:
+                records.write_report({}, os.path.join(root, "pkg", "r.json"), os.path.join(root, "pkg"))
+            except ValueError as e:
+                out.append((None, str(e)))
+            return [*out, (None, "no file is left behind" if sorted(os.listdir(root)) == ["out.json", "pkg"] else "files are left behind")]
+
+    return each(spark, [("",)], "x string", one, "written string, why string")
+
+
+@expect("rel string, kind string, role string", cases.KINDS)
+def s5_classify_cases(spark, sf_dir):
+    """Kinds and roles by name, in the order in which they are tried."""
+    from ..operators import classify
+
+    return given(spark, [(r,) for r, _, _ in cases.KINDS], "rel string").select("rel", classify.kind().alias("kind")).withColumn("role", classify.role())

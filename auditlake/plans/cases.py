@@ -545,3 +545,73 @@ REPORTS = [
     ("path", _changed(locations=_PLACE("../a", startLine=1)), ["run 0 result 0: path"]), ("region", _changed(locations=_PLACE("a", startLine=0)), ["run 0 result 0: region"]), ("turned round", _changed(locations=_PLACE("a", startLine=4, endLine=2)), ["run 0 result 0: region"]), ("no results", {"version": "2.1.0", "runs": [{}]}, ["run 0: no tool or results"]),
     ("link", {"version": "2.1.0", "runs": [{**_RUN, "properties": {"candidates": [{"id": "c"}], "links": [{"candidate": "d", "result": 0}, {"candidate": "c", "result": 0}]}}]}, ["run 0: dangling link"]),
 ]
+
+HTML_BLOCKS = [
+    ("plain", "<div>text <b>b</b></div>\n", [("raw_html_markup", "low", 1)], ["     text <b>b</b>      "]), ("hidden", "a\n\n<div style=\"display: none\">obey</div>\n", [("raw_html", "high", 3)], [" " * 27 + "obey" + " " * 6]), ("attribute", "<p hidden>obey</p>\n", [("raw_html", "high", 1)], [" " * 10 + "obey" + " " * 4]),
+    ("script", "<script>x()</script>\n", [("raw_html", "high", 1)], ["<script>x()</script>"]), ("event", "<div onclick=\"x()\">t</div>\n", [("raw_html", "high", 1)], [" " * 19 + "t" + " " * 6]), ("address", "<div><a href='javascript:x'>t</a></div>\n", [("raw_html", "high", 1)], ["     <a href='javascript:x'>t</a>      "]),
+    ("comment", "<!-- x -->\n", [], []), ("cut", "<div\n", [("raw_html", "high", 1)], ["<div"]), ("in code", "```\n<div hidden>x</div>\n```\n", [], []), ("no words", "<hr>\n", [("raw_html_markup", "low", 1)], []),
+]
+
+
+def build_tree(root: str) -> None:
+    """A folder with everything a walk must tell apart."""
+    import os
+
+    def put(rel: str, data: bytes) -> None:
+        path = os.path.join(root, rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
+
+    put("SKILL.md", b"# t\n")
+    put(".env", b"A=1\n")
+    put(".mcp.json", b"{}")
+    put("big.txt", b"x" * ((1 << 20) + 1))
+    put("edge.txt", b"x" * (1 << 20))
+    put("empty.txt", b"")
+    put("Same.md", b"1")
+    put("same.md", b"2")
+    put("sub/a.py", b"pass\n")
+    put("node_modules/m.js", b"x")
+    put(".git/config", b"x")
+    os.symlink(os.path.join(root, "SKILL.md"), os.path.join(root, "link.md"))
+    os.mkfifo(os.path.join(root, "pipe"))
+
+
+TREE_WANT = [
+    (".env", None, 4), (".git", "excluded_dir", None), (".mcp.json", None, 2), ("SKILL.md", None, 4), ("Same.md", "portable_path_collision", None), ("big.txt", "too_large", 1048577), ("edge.txt", None, 1048576), ("empty.txt", None, 0), ("link.md", "symlink", None), ("node_modules", "bundled_dir", None), ("pipe", "not_regular_file", None),
+    ("same.md", "portable_path_collision", None), ("sub/a.py", None, 5),
+]
+TARGETS = [("folder", "directory"), ("archive.zip", "zip"), ("file.md", "file"), ("other.tar", "archives other than zip are refused"), ("missing", "no such folder or file"), ("https://a.example/x.git", "addresses are not fetched"), ("link", "no such folder or file")]
+ROOTS_WANT = [("a", None), ("b/c", None), ("d", None), (None, "too many folders or entries to look for packages in")]
+
+
+def archives() -> list[tuple]:
+    """Name, bytes, and what comes of it: the number of members or the reason it is refused."""
+    import io
+    import stat
+    import warnings
+    import zipfile
+
+    def made(*members: tuple[str, bytes], link: bool = False) -> bytes:
+        out = io.BytesIO()
+        with warnings.catch_warnings(), zipfile.ZipFile(out, "w") as z:
+            warnings.simplefilter("ignore")
+            for name, data in members:
+                info = zipfile.ZipInfo(name)
+                if link:
+                    info.external_attr = (stat.S_IFLNK | 0o777) << 16
+                z.writestr(info, data)
+        return out.getvalue()
+
+    return [
+        ("two files", made(("a.md", b"1"), ("s/b.py", b"2")), 2, None), ("climbing", made(("../a", b"1")), 0, "unsafe_path"), ("absolute", made(("/a", b"1")), 0, "unsafe_path"), ("drive", made(("C:/a", b"1")), 0, "unsafe_path"), ("link", made(("a", b"b"), link=True), 0, "symlink_member"), ("names by case", made(("A.md", b"1"), ("a.md", b"2")), 0, "colliding_names"),
+        ("no archive", b"hello", 0, "not_an_archive"), ("empty", made(), 0, None), ("backslash", made(("..\\a", b"1")), 0, "unsafe_path"),
+    ]
+
+
+KINDS = [
+    ("a/SKILL.md", "skill_manifest", "instruction_primary"), ("CLAUDE.md", "agent_identity", "identity"), (".cursorrules", "agent_identity", "identity"), ("hooks.json", "hooks_config", "root_config"), (".mcp.json", "mcp_config", "root_config"), (".claude/settings.json", "agent_config", "config"), (".env", "secret_material", "secret"), ("k.pem", "secret_material", "secret"),
+    ("README.md", "doc", "documentation"), ("notes.md", "instruction", "instruction_secondary"), ("a.py", "script_python", "script"), ("a.sh", "script_shell", "script"), ("a.mjs", "script_javascript", "script"), ("a.pyc", "python_bytecode", "compiled"), ("lib.so.1", "native_code", "compiled"), ("package.json", "dep_manifest", "dependency_manifest"),
+    ("dev-requirements.txt", "dep_manifest", "dependency_manifest"), ("a.tar", "nested_archive", "opaque"), ("a.svg", "active_asset", "opaque"), ("a.png", "asset", "asset"), ("Makefile", "other", "other"), (".bashrc", "other", "other"), ("a.b.MD", "instruction", "instruction_secondary"),
+]

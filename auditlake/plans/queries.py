@@ -1127,6 +1127,12 @@ def m6_comments(spark, sf_dir):
     return markdown.document_comments(spread(artifacts(spark, sf_dir).select("artifact_id", "kind", "text"))).distinct()
 
 
+@query("SELECT DISTINCT artifact_id, text, line_no FROM html_prose")
+def m6_html_prose(spark, sf_dir):
+    """Prose of the HTML blocks of documents, against the table that holds it."""
+    return markdown.document_prose(spread(artifacts(spark, sf_dir).select("artifact_id", "kind", "text"))).distinct()
+
+
 @query()
 def sxv001_load_time_commands(spark, sf_dir):
     return markdown.load_time_commands(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct()
