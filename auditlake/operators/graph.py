@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import posixpath
 import re
 import unicodedata
@@ -63,18 +64,27 @@ def references(artifacts: DataFrame) -> DataFrame:
     return named.join(there, ["pkg_id", "target"]).select("pkg_id", "source", "target")
 
 
+#: Rounds of a reach whose findings are kept apart before they are written as one.
+TOGETHER = 16
+
+
 def reach(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes ``pkg_id, rel`` reachable from ``roots`` over ``edges``, roots included.
 
-    Each round joins only what the last one found, until it finds nothing new,
-    so a chain of any length is followed to its end; the reached set is cut by
-    a checkpoint in the shared folder so that the plan does not grow.
+    Each round joins only what the last one found, until it finds nothing new, so
+    a chain of any length is followed to its end.  What a round finds is written
+    once to the checkpoint folder; the rounds are put together in one file set
+    every ``TOGETHER`` rounds, so that neither the plan nor the writing grows with
+    the length of a chain times its files.
     """
-    reached = roots.select("pkg_id", "rel").distinct().checkpoint()
-    front = reached
+    front = roots.select("pkg_id", "rel").distinct().checkpoint()
+    parts = [front]
     while True:
         step = front.select("pkg_id", F.col("rel").alias("source")).join(edges, ["pkg_id", "source"]).select("pkg_id", F.col("target").alias("rel")).distinct()
+        reached = functools.reduce(DataFrame.unionByName, parts)
         front = step.join(reached, ["pkg_id", "rel"], "left_anti").checkpoint()
         if front.isEmpty():
             return reached
-        reached = reached.unionByName(front).checkpoint()
+        parts.append(front)
+        if len(parts) > TOGETHER:
+            parts = [functools.reduce(DataFrame.unionByName, parts).checkpoint()]

@@ -30,6 +30,10 @@ _MARKS = set("‎‏؜")
 FINDING = "pkg_id string, path string, vector string, rule string, severity string, message string, line_no int, col_no int"
 
 
+#: Bytes of input that a check takes out of an Arrow batch at once.
+PART_BYTES = 4 << 20
+
+
 def _map(df: DataFrame, columns: list[str], fn: Callable, schema: str) -> DataFrame:
     """``fn(*values of a row) -> tuples`` over Arrow batches.
 
@@ -52,9 +56,13 @@ def _map(df: DataFrame, columns: list[str], fn: Callable, schema: str) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for args in zip(*(c.to_pylist() for c in batch.columns)) for r in each(args)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+            # as many rows at once as hold about PART_BYTES, so that neither values nor output of a whole batch are held
+            step = max(1, batch.num_rows * PART_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                rows = [r for args in zip(*(c.to_pylist() for c in part.columns)) for r in each(args)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
