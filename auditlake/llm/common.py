@@ -67,9 +67,13 @@ def map_rows(df: DataFrame, fn: Callable, schema: str, columns: list[str]) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row for args in zip(*(c.to_pylist() for c in batch.columns)) for row in fn(*args)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+            # as many rows at once as hold about SLICE_BYTES, so that neither values nor output of a whole batch are held
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                rows = [row for args in zip(*(c.to_pylist() for c in part.columns)) for row in fn(*args)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
