@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.vectors import severity_rank
+from . import grants as grant_rules
+from . import inspect
 from . import ledger as coverage_ledger
 
 
@@ -85,11 +89,27 @@ def axis_of(rule: str = "rule") -> Column:
     return F.when(F.col(rule).contains("network"), "network").otherwise("execution")
 
 
+@F.pandas_udf(BooleanType())
+def _reaches(tool: pd.Series, pattern: pd.Series) -> pd.Series:
+    return pd.Series([grant_rules.reaches_network(t, p) for t, p in zip(tool, pattern)], dtype=bool)
+
+
 def declarations(grants: DataFrame) -> DataFrame:
-    """Declared state of each axis for the manifests that allow any tool: ``pkg_id, manifest, side, axis, state``."""
+    """Declared state of each axis for the manifests that list tools: ``pkg_id, manifest, side, axis, state``.
+
+    Grants that a denial covers do not count.  An axis is present if an effective
+    grant reaches it, unknown if a grant could not be parsed, else denied.
+    """
+    key = ["pkg_id", "manifest"]
+    named = grants.withColumn("manifest", F.col("rel"))
+    listed = named.groupBy(*key).agg(F.bool_or(~F.col("parsed")).alias("unparsed"), F.bool_or("allowed").alias("lists")).where("lists")
     tool = F.lower("tool")
-    by = grants.where("allowed").groupBy("pkg_id", F.col("rel").alias("manifest")).agg(F.bool_or(tool.isin("bash", "shell", "execute", "*")).alias("execution"), F.bool_or(tool.isin("webfetch", "websearch", "fetch", "*", "bash")).alias("network"))
-    return by.select("pkg_id", "manifest", F.lit("declared").alias("side"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.when(F.col(a), "present").otherwise("denied").alias("state")) for a in AXES])).alias("x")).select("pkg_id", "manifest", "side", "x.axis", "x.state")
+    reached = inspect.effective_grants(grants).where("parsed").groupBy("pkg_id", F.col("rel").alias("manifest")).agg(
+        F.bool_or(tool.isin(*grant_rules.EXECUTION_TOOLS, "*")).alias("execution"), F.bool_or(_reaches("tool", "pattern")).alias("network")
+    )
+    state = lambda axis: F.when(F.coalesce(F.col(axis), F.lit(False)), "present").when(F.col("unparsed"), "unknown").otherwise("denied")
+    both = listed.join(reached, key, "left")
+    return both.select(*key, F.lit("declared").alias("side"), F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), state(a).alias("state")) for a in AXES])).alias("x")).select(*key, "side", "x.axis", "x.state")
 
 
 def triads(manifests: DataFrame, claims: DataFrame, observed: DataFrame, gaps: DataFrame) -> DataFrame:

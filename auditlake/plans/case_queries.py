@@ -303,6 +303,14 @@ def x8_claim_cases(spark, sf_dir):
     return report.manifest_claims(given(spark, rows, "pkg_id string, rel string, kind string, text string")).select(F.col("pkg_id").alias("name"), "side", "axis", "state")
 
 
+@expect("name string, axis string, state string", cases.DECLARED)
+def x9_declaration_cases(spark, sf_dir):
+    """Axes that the grants of a manifest reach, after its denials; an unparsed grant leaves what is not reached unknown."""
+    rows = [("p", n, t, p, ok, None, allowed) for n, listed in cases.DECLARATIONS for t, p, ok, allowed in listed]
+    g = given(spark, rows, "pkg_id string, rel string, tool string, pattern string, parsed boolean, breadth string, allowed boolean")
+    return correlate.declarations(g).select(F.col("manifest").alias("name"), "axis", "state")
+
+
 @expect("pkg_id string, axis string, claimed string, declared string, observed string, understated boolean", cases.TRIAD_WANT)
 def x10_triad_cases(spark, sf_dir):
     """Claimed, declared and observed capabilities with conflicts and gaps (A8, J7, J23, X9, X10, SXV-033)."""

@@ -615,3 +615,13 @@ KINDS = [
     ("README.md", "doc", "documentation"), ("notes.md", "instruction", "instruction_secondary"), ("a.py", "script_python", "script"), ("a.sh", "script_shell", "script"), ("a.mjs", "script_javascript", "script"), ("a.pyc", "python_bytecode", "compiled"), ("lib.so.1", "native_code", "compiled"), ("package.json", "dep_manifest", "dependency_manifest"),
     ("dev-requirements.txt", "dep_manifest", "dependency_manifest"), ("a.tar", "nested_archive", "opaque"), ("a.svg", "active_asset", "opaque"), ("a.png", "asset", "asset"), ("Makefile", "other", "other"), (".bashrc", "other", "other"), ("a.b.MD", "instruction", "instruction_secondary"),
 ]
+
+
+DECLARATIONS = [
+    ("read only", [("Read", None, True, True)]), ("all commands", [("Bash", None, True, True)]), ("one command", [("Bash", "ls:*", True, True)]), ("a fetcher", [("Bash", "curl:*", True, True)]), ("web", [("WebFetch", None, True, True)]), ("denied again", [("Bash", None, True, True), ("Bash", None, True, False)]),
+    ("unparsed", [("Read", None, True, True), ("Bash(git", None, False, True)]), ("only denials", [("Bash", None, True, False)]), ("everything", [("*", None, True, True)]),
+]
+DECLARED = [
+    ("read only", "execution", "denied"), ("read only", "network", "denied"), ("all commands", "execution", "present"), ("all commands", "network", "present"), ("one command", "execution", "present"), ("one command", "network", "denied"), ("a fetcher", "execution", "present"), ("a fetcher", "network", "present"), ("web", "execution", "denied"), ("web", "network", "present"),
+    ("denied again", "execution", "denied"), ("denied again", "network", "denied"), ("unparsed", "execution", "unknown"), ("unparsed", "network", "unknown"), ("everything", "execution", "present"), ("everything", "network", "present"),
+]

@@ -363,13 +363,13 @@ def w15_following_lists(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_TEXTS}, {_LINES}, w AS (SELECT pkg_id, rel, line_no, regexp_extract(line, '^[ \t]*([A-Za-z_][A-Za-z0-9_-]*)', 1) AS word FROM lines WHERE kind = 'script_shell'),
+    f"""WITH {_TEXTS}, {_LINES}, w AS (SELECT pkg_id, rel, line_no, regexp_extract(line, '^[ \t]*([A-Za-z_][A-Za-z0-9_-]*)', 1) AS word FROM lines),
     f AS (SELECT pkg_id, rel, word, min(line_no) AS first_at FROM w WHERE word <> '' GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY pkg_id, rel ORDER BY first_at, word)::INT AS seen_no FROM f"""
 )
 def w16_first_words(spark, sf_dir):
-    """First words of the lines of shell scripts, in the order in which they are first seen."""
+    """First words of the lines of each file, in the order in which they are first seen."""
     word = F.regexp_extract("line", r"^[ \t]*([A-Za-z_][A-Za-z0-9_-]*)", 1)
-    return lines.first_seen(_lines(spark, sf_dir).where("kind = 'script_shell'").withColumn("word", word).where("word <> ''"), ["word"])
+    return lines.first_seen(_lines(spark, sf_dir).withColumn("word", word).where("word <> ''"), ["word"])
 
 
 @query(

@@ -1,11 +1,14 @@
 """Documents, text functions, flows and reports on small cases."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as texts
 from auditlake.operators import markdown, report
 from auditlake.plans import scan
+from auditlake.sources import records
 
 
 def test_front_matter():
@@ -68,3 +71,24 @@ def test_reports(spark):
     assert r.n_results == 2 and r.report == '{"rules":["q","r"],"results":[{"ruleId":"q","level":"high","uri":"a"},{"ruleId":"r","level":"low","uri":"b","startLine":2}]}'
     links = spark.createDataFrame([("1", "x"), ("2", "y")], "result_id string, candidate_id string")
     assert report.dangling(links, links.select("result_id"), links.select("candidate_id").where("candidate_id = 'x'")).collect()[0].asDict() == {"kind": "candidate", "id": "y"}
+
+
+def test_merged_reports_and_policy_files(spark, tmp_path):
+    rows = [("b", '{"rules":["r"],"results":[{"ruleId":"r"}]}'), ("a", '{"rules":[],"results":[]}'), ("c", None)]
+    df = spark.createDataFrame(rows, "pkg_id string, report string")
+    assert records.write_merged(df, str(tmp_path / "all.json")) == 2
+    doc = json.loads((tmp_path / "all.json").read_text())
+    assert [r["automationDetails"]["id"] for r in doc["runs"]] == ["a", "b"] and doc["runs"][1]["results"] == [{"ruleId": "r"}] and doc["version"] == "2.1.0"
+    assert records.write_merged(df.where("false"), str(tmp_path / "none.json")) == 0 and json.loads((tmp_path / "none.json").read_text())["runs"] == []
+    with pytest.raises(ValueError):
+        records.encode({"a": "x" * (records.MAX_REPORT + 1)})
+    policy = tmp_path / "policy.json"
+    policy.write_text(json.dumps({"version": "1", "decisions": []}))
+    assert report.read_policy(str(policy)) == []
+    (tmp_path / "link.json").symlink_to(policy)
+    for path, outside in ((tmp_path / "link.json", None), (tmp_path, None), (policy, str(tmp_path))):
+        with pytest.raises(ValueError):
+            report.read_policy(str(path), outside)
+    policy.write_text(" " * (513 << 10))
+    with pytest.raises(ValueError):
+        report.read_policy(str(policy))
