@@ -41,7 +41,7 @@ _RUN_VALUE = re.compile(r"(?is)(?<![A-Za-z0-9_.-])powershell(?:\.exe)?\b[^\n;&|]
 DEPTH = 6
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Value:
     marks: frozenset = frozenset()
     text: str | None = None

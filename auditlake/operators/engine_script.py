@@ -44,18 +44,24 @@ class Call(NamedTuple):
 
 def tokens(text: str) -> list[Token]:
     out: list[Token] = []
-    at, line = 0, 1
-    while at < len(text):
+    at, line, n = 0, 1, len(text)
+    match, add = _TOKEN.match, out.append
+    while at < n:
         if text[at] == "/" and (not out or out[-1].kind == "sign" and out[-1].value not in (")", "]", "}") or out[-1].value in ("return", "typeof", "case")) and (m := _REGEX.match(text, at)):
-            out.append(Token("regex", m.group(), line))
+            add(Token("regex", m.group(), line))
+            at = m.end()
+            continue
+        m = match(text, at)
+        if not m:
+            at += 1
+            continue
+        kind = m.lastgroup
+        if kind == "ws" or kind == "comment":
+            line += m.group().count("\n")
         else:
-            m = _TOKEN.match(text, at)
-            if not m:
-                at += 1
-                continue
-            if m.lastgroup not in ("ws", "comment"):
-                out.append(Token(m.lastgroup, m.group(), line))
-        line += text.count("\n", at, m.end())
+            add(Token(kind, m.group(), line))
+            if kind == "template" or kind == "string":
+                line += m.group().count("\n")
         at = m.end()
     return out
 

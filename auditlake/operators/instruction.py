@@ -265,12 +265,16 @@ def egress_url(lines: list[str], n: int) -> str | None:
     return None
 
 
+_CREDENTIAL_WORDS = (".aws", ".ssh", ".netrc", ".npmrc", ".pypirc", ".git-credentials", ".kube", ".docker", ".config/gcloud", ".gnupg", ".azure", ".env", "access_key", "_token", "api_key", "shadow", "security find", "id_rsa")
+
+
 def credential_egress(text: str, blocks: list[Block] | None = None, reaches: bool | None = None) -> list[tuple[str, str, str, str, int, int]]:
     """The first credential that goes out, if any: within ten lines, on one line or through a shared variable or a back reference; requests that send come before those that fetch.
 
     ``reaches``: whether a declared grant provably reaches the network (critical), or None where nothing is declared; False gives nothing.
     """
-    if reaches is False or not CREDENTIALS.search(text):
+    low = text.lower()
+    if reaches is False or not any(x in low for x in _CREDENTIAL_WORDS) or not CREDENTIALS.search(text):
         return []
     lines = text.split("\n")
     credentials = [n for n, s in enumerate(lines) if CREDENTIALS.search(s) and not _negated_line(lines, n)]
@@ -370,11 +374,14 @@ def comment_shape(body: str) -> str | None:
 ENGINES = (("phrases", phrases), ("bundled", bundled_runs), ("egress", credential_egress), ("exfiltration", exfiltration))
 
 
-def directives(text: str) -> Iterator[tuple[str, str, str, str, int | None, int | None]]:
-    """``(vector, rule, severity, message, line, column)`` of a document; an engine that fails gives a ``check-error`` and the others go on."""
+def directives(text: str, reaches: bool | None = None) -> Iterator[tuple[str, str, str, str, int | None, int | None]]:
+    """``(vector, rule, severity, message, line, column)`` of a document; an engine that fails gives a ``check-error`` and the others go on.
+
+    ``reaches``: whether the grants of the document reach the network, see ``credential_egress``.
+    """
     blocks = prose_blocks(text)
     for name, engine in ENGINES:
         try:
-            yield from engine(text, blocks)
+            yield from engine(text, blocks, reaches) if engine is credential_egress else engine(text, blocks)
         except Exception as e:
             yield ("", "check-error", "high", f"{name} failed: {type(e).__name__}", None, None)

@@ -57,9 +57,7 @@ def _reaches(text: str) -> bool | None:
 def _directives(rel, kind, text, raw):
     if not text or kind not in markdown.KINDS:
         return []
-    out = [x for x in instruction.directives(text) if x[0] != "SXV-011"]
-    out += instruction.credential_egress(text, None, _reaches(text) if kind == "skill_manifest" else None)
-    return [_row(rel, *x) for x in out]
+    return [_row(rel, *x) for x in instruction.directives(text, _reaches(text) if kind == "skill_manifest" else None)]
 
 
 def _metadata(rel, kind, text, raw):
