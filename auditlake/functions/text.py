@@ -60,8 +60,10 @@ def url_unsplit(parts: Column) -> Column:
 
 
 def clean_source(c: Column) -> Column:
-    """Address without user information, query and fragment."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?i)([a-z][a-z0-9+.-]*://)[^/@\s]+@", "$1"), r"[?#].*$", "")
+    """Address without user information, query and fragment; a text that is no address loses what stands behind its first ? or #."""
+    parts = url_split(c)
+    bare = F.concat(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1), F.regexp_extract(c, _ADDRESS, 3), F.coalesce(F.concat(F.lit(":"), F.nullif(F.regexp_extract(c, _ADDRESS, 4), F.lit(""))), F.lit("")), F.regexp_extract(c, _ADDRESS, 5))
+    return F.when(parts["scheme"].isNotNull(), bare).otherwise(F.regexp_replace(c, r"[?#].*$", ""))
 
 
 def privacy(c: Column) -> Column:
