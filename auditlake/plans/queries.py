@@ -1107,7 +1107,12 @@ def m2_front_matter_bounds(spark, sf_dir):
     return a.where(F.rtrim(F.get("ls", F.lit(0))) == "---").select("pkg_id", "rel", F.get(marks, F.lit(0)).alias("end_line")).where("end_line is not null").distinct()
 
 
-@query()
+@query(
+    f"""WITH {_TEXTS}, {_LINES}, d AS (SELECT * FROM lines WHERE kind IN ('skill_manifest', 'instruction', 'agent_identity', 'doc')), e AS (SELECT pkg_id, rel, min(line_no) AS end_line FROM d WHERE line_no > 1 AND rtrim(line) IN ('---', '...') GROUP BY 1, 2), o AS (SELECT pkg_id, rel FROM d WHERE line_no = 1 AND rtrim(line) = '---'),
+    r AS (SELECT d.pkg_id, d.rel, line, regexp_extract(line, '^([A-Za-z_][A-Za-z0-9_-]*):', 1) AS key FROM d JOIN o USING (pkg_id, rel) JOIN e ON d.pkg_id = e.pkg_id AND d.rel = e.rel AND d.line_no > 1 AND d.line_no < end_line),
+    bad AS (SELECT pkg_id, rel, bool_or(regexp_matches(line, '[\\x{{80}}-\\x{{84}}\\x{{86}}-\\x{{9F}}]')) AS bad FROM r GROUP BY 1, 2), k AS (SELECT r.*, bad FROM r JOIN bad USING (pkg_id, rel))
+    SELECT key, NULL::VARCHAR AS code, count(*) AS n, count(DISTINCT pkg_id) AS n_packages FROM k WHERE key <> '' AND NOT bad GROUP BY 1 UNION ALL SELECT '', 'yaml_error', count(*), count(DISTINCT pkg_id) FROM bad WHERE bad HAVING count(*) > 0"""
+)
 def m3_front_matter_keys(spark, sf_dir):
     return markdown.document_keys(spread(artifacts(spark, sf_dir).select("pkg_id", "rel", "kind", "text"))).distinct().groupBy("key", "code").agg(F.count("*").alias("n"), F.countDistinct("pkg_id").alias("n_packages"))
 
