@@ -106,6 +106,8 @@ def look_alikes(text: str, document: bool = False) -> list[tuple[str, str, str,
         if line.isascii() or not _ANY.search(line):
             continue
         governed = keys.get(n) in GOVERNED
+        near = (x for x in (*lines[max(0, n - 3) : n - 1], *lines[n : n + 2]) if not x.isascii())
+        native = any(c.isalpha() and ord(c) > 0x24F and c not in ASCII_LIKE for x in near for c in x)
         for m in _WORD.finditer(line):
             if m.group().isascii() or not _ANY.search(m.group()):
                 continue
@@ -115,8 +117,6 @@ def look_alikes(text: str, document: bool = False) -> list[tuple[str, str, str,
                 word = _UNSEEN.sub("", p.group())
                 if word.isascii():
                     continue
-                near = [x for x in (*lines[max(0, n - 3) : n - 1], *lines[n : n + 2])]
-                native = any(c.isalpha() and ord(c) > 0x24F and c not in ASCII_LIKE for x in near for c in x)
                 seen = imitated(word, line, m.start() + lead + p.start(), governed, not document, "." in token, native)
                 if seen:
                     out.append(("SXV-015", "mixed_script_token", "critical" if governed else "high", f"imitates {seen}", n, m.start() + lead + p.start() + 1))
