@@ -8,6 +8,7 @@ bound to something else is no longer what it was imported as.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from typing import NamedTuple
 
 from .code_values import CREDENTIAL_PATH, metadata_host
@@ -19,6 +20,8 @@ _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
 _CONTROL = {"if", "for", "while", "switch", "catch", "return", "typeof", "function", "with", "await", "in", "of", "case"}
 PROCESS_CALLS = {"exec", "execSync", "execFile", "execFileSync", "spawn", "spawnSync", "fork"}
+EVALUATES = {"eval", "Function", "vm.runInThisContext", "vm.runInNewContext", "vm.runInContext"}
+_READS = re.compile(r"(?:fs\.|fs/promises\.|fs\.promises\.)?(?:readFileSync|readFile|createReadStream)")
 FETCHES = {"fetch", "axios", "got", "https.get", "http.get"}
 _CODE_NAMES = re.compile(r"(?i)^(?:node|nodejs|deno|bun|python[0-9.]*|perl|ruby|php)$")
 _SHELL = re.compile(r"(?i)^(?:/usr)?(?:/bin/)?(?:sh|bash|zsh|dash|ksh|fish|cmd(?:\.exe)?|powershell(?:\.exe)?|pwsh|python[0-9.]*)$")
@@ -73,6 +76,7 @@ def literal(t: Token) -> str | None:
 class _Script:
     def __init__(self, text: str) -> None:
         self.t = tokens(text)
+        self.process = [i for i, t in enumerate(self.t) if "process" in t.value]
         self.pair: dict[int, int] = {}
         stack: list[int] = []
         for i, t in enumerate(self.t):
@@ -300,9 +304,12 @@ class _Script:
         full = self.resolve(c.callee)
         last = full.rsplit(".", 1)[-1]
         hit = lambda rule: self.found.add((rule, c.line))
-        args = [self.marks_of(a) for a in c.args]
-        texts = [self.text_of(a) for a in c.args]
         process = full.startswith("child_process.") and last in PROCESS_CALLS
+        asks = full in ("fetch", "axios", "got", "http.get", "https.get", "http.request", "https.request") or full.split(".")[0] == "axios"
+        evaluates, reads = full in EVALUATES, _READS.fullmatch(full)
+        # arguments of an outer call hold those of its inner calls: they are read only where a rule looks at them
+        args = [self.marks_of(a) for a in c.args] if process or evaluates else []
+        texts = [self.text_of(a) for a in c.args] if process or evaluates or asks or reads else []
         runs: list[tuple[set[str], str | None]] = []
         if full == "eval" and c.args:
             runs.append((args[0], texts[0]))
@@ -338,15 +345,15 @@ class _Script:
             if text and _PIPED.search(text):
                 hit("E71")
         self._sockets(c, full, last, hit)
-        if re.fullmatch(r"(?:fs\.|fs/promises\.|fs\.promises\.)?(?:readFileSync|readFile|createReadStream)", full) and texts and texts[0] and CREDENTIAL_PATH.search(texts[0]):
+        if reads and texts and texts[0] and CREDENTIAL_PATH.search(texts[0]):
             hit("E67")
-        whole = "".join(t.value for t in self.t[c.open : c.close])
+        k = bisect(self.process, c.open)
+        whole = "".join(t.value for t in self.t[c.open : c.close]) if k < len(self.process) and self.process[k] < c.close else ""
         dumped = re.search(r"(?<![\w.])process\.env(?![\w.\[])", whole)
         if dumped and (full == "fetch" and "JSON.stringify(" in whole or full.split(".")[0] == "axios" and "." in full or last in ("write", "end") and "JSON.stringify(process.env" in whole or full == "btoa" and "JSON.stringify(process.env" in whole):
             hit("E68")
         if dumped and full == "Buffer.from" and "JSON.stringify(process.env" in whole and re.match(r"\)\.toString\([\"']base64", "".join(t.value for t in self.t[c.close : c.close + 5])):
             hit("E68")
-        asks = full in ("fetch", "axios", "got", "http.get", "https.get", "http.request", "https.request") or full.split(".")[0] == "axios"
         if asks and texts and texts[0] and metadata_host(texts[0]):
             hit("E70")
         if process or full == "eval" or full == "Function" and c.new or re.fullmatch(r"vm\.run\w*", full):
@@ -356,14 +363,13 @@ class _Script:
         self._callbacks(c, full, last)
 
     def _sockets(self, c: Call, full: str, last: str, hit) -> None:
-        words = [t.value for t in self.t[c.open : c.close]]
-        head = c.callee.split(".")[0]
-        inside = self._connect_callback(c.at)
         if last == "pipe" and c.args:
+            head, inside = c.callee.split(".")[0], self._connect_callback(c.at)
             target = self.t[c.args[0][0]].value
             if (head in self.sockets or head == "this" and inside) and target in self.shells or head in self.shells and (target in self.sockets or target == "this" and inside):
                 hit("E66")
-        if last == "spawn" and "stdio" in words and any(w in self.sockets for w in words) and c.args and _SHELL_WORD.search(self.text_of(c.args[0]) or ""):
+        words = [t.value for t in self.t[c.open : c.close]] if last == "spawn" else []
+        if "stdio" in words and any(w in self.sockets for w in words) and c.args and _SHELL_WORD.search(self.text_of(c.args[0]) or ""):
             hit("E66")
 
     def _connect_callback(self, at: int) -> bool:
