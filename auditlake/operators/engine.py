@@ -144,7 +144,7 @@ def _shell(commands: list[Command], text: str) -> Iterator[tuple[str, int]]:
             else:
                 remote.discard(name)
             values[name] = value
-        argv = [values.get(a[1:], a) if re.fullmatch(r"\$\w+", a) and k == 0 else a for k, a in enumerate(c.argv)]
+        argv = [values.get(a[1:], a) if k == 0 and re.fullmatch(r"\$\w+", a) else a for k, a in enumerate(c.argv)]
         aliased = bool(c.argv) and argv[0] != c.argv[0]
         run, wrappers = unwrapped(argv)
         name, rest = name_of(run), run[1:]

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from .code_values import CREDENTIAL_PATH, metadata_host
 
 _TOKEN = re.compile(
-    r"""(?P<ws>\s+)|(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<template>`(?:\\[\s\S]|[^`\\])*`)|(?P<string>"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|\?\.|===|!==|==|!=|<=|>=|\+=|\.\.\.|&&|\|\||\?\?|[{}()\[\];,<>+\-*/%&|^!~?:=.@\#\\])"""
+    r"""(?:(?P<ws>\s)|(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<template>`(?:\\[\s\S]|[^`\\])*`)|(?P<string>"(?:\\[\s\S]|[^"\\\n])*"|'(?:\\[\s\S]|[^'\\\n])*')|(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<sign>=>|\?\.|===|!==|==|!=|<=|>=|\+=|\.\.\.|&&|\|\||\?\?|[{}()\[\];,<>+\-*/%&|^!~?:=.@\#\\]))\s*"""
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, {")", "]", "}"}
@@ -58,14 +58,11 @@ def tokens(text: str) -> list[Token]:
         if not m:
             at += 1
             continue
-        kind = m.lastgroup
-        if kind == "ws" or kind == "comment":
-            line += m.group().count("\n")
-        else:
-            add(Token(kind, m.group(), line))
-            if kind == "template" or kind == "string":
-                line += m.group().count("\n")
-        at = m.end()
+        kind, end = m.lastgroup, m.end()
+        if kind != "ws" and kind != "comment":
+            add(Token(kind, m[kind], line))
+        line += text.count("\n", at, end)
+        at = end
     return out
 
 
