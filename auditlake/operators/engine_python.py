@@ -135,59 +135,60 @@ class _Module:
                     mine[name] = a | b if a and b else Value((a or b).marks, (a or b).text, (a or b).dotted, (a or b).kind, (a or b).items, node=(a or b).node)
 
     def statement(self, s: ast.stmt) -> None:
-        if isinstance(s, ast.Assign):
+        kind = type(s)
+        if kind is ast.Assign:
             v = self.value(s.value)
             for t in s.targets:
                 self.bind(t, v)
-        elif isinstance(s, ast.AnnAssign):
+        elif kind is ast.AnnAssign:
             if s.value is not None:
                 self.bind(s.target, self.value(s.value))
-        elif isinstance(s, ast.AugAssign):
+        elif kind is ast.AugAssign:
             v = self.value(ast.BinOp(self.load(s.target), s.op, s.value, lineno=s.lineno, col_offset=0))
             self.bind(s.target, v)
-        elif isinstance(s, ast.Expr):
+        elif kind is ast.Expr:
             self.value(s.value)
-        elif isinstance(s, ast.Return):
+        elif kind is ast.Return:
             self.returns.append(self.value(s.value) if s.value else UNKNOWN)
-        elif isinstance(s, (ast.Import, ast.ImportFrom)):
+        elif kind in (ast.Import, ast.ImportFrom):
             self.imported(s)
-        elif isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        elif kind in (ast.FunctionDef, ast.AsyncFunctionDef):
             for d in s.decorator_list:
                 self.value(d)
             self.bind(ast.Name(s.name), Value(kind="function", node=s))
             self.queue.append(s)
-        elif isinstance(s, ast.ClassDef):
+        elif kind is ast.ClassDef:
             self.bind(ast.Name(s.name), _SHADOW)
             for x in s.body:
                 if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
                     self.queue.append(x)
                 elif isinstance(x, (ast.Assign, ast.Expr)):
                     self.value(x.value)
-        elif isinstance(s, ast.Delete):
+        elif kind is ast.Delete:
             for t in s.targets:
                 if isinstance(t, ast.Name):
                     for scope in reversed(self.scopes):
                         if scope.pop(t.id, None):
                             break
-        elif isinstance(s, ast.Global):
+        elif kind is ast.Global:
             self.globals[-1].update(s.names)
-        elif isinstance(s, ast.If):
+        elif kind is ast.If:
             self.value(s.test)
             fixed = s.test.value if isinstance(s.test, ast.Constant) else None
             if fixed is None:
                 self.branches(s.body, s.orelse)
             else:
                 self.block(s.body if fixed else s.orelse)
-        elif isinstance(s, (ast.For, ast.AsyncFor)):
+        elif kind in (ast.For, ast.AsyncFor):
             v = self.value(s.iter)
             self.bind(s.target, v.items[0] if v.items else Value(v.marks))
             self.branches([*s.body, *s.body], [])
             self.block(s.orelse)
-        elif isinstance(s, ast.While):
+        elif kind is ast.While:
             self.value(s.test)
             self.branches([*s.body, *s.body], [])
             self.block(s.orelse)
-        elif isinstance(s, (ast.With, ast.AsyncWith)):
+        elif kind in (ast.With, ast.AsyncWith):
             for item in s.items:
                 v = self.value(item.context_expr)
                 if item.optional_vars is not None:
@@ -196,7 +197,7 @@ class _Module:
         elif isinstance(s, (ast.Try, getattr(ast, "TryStar", ast.Try))):
             self.branches([*s.body, *s.orelse], *[h.body for h in s.handlers])
             self.block(s.finalbody)
-        elif isinstance(s, ast.Match):
+        elif kind is ast.Match:
             v = self.value(s.subject)
             for case in s.cases:
                 for x in ast.walk(case.pattern):
@@ -235,15 +236,16 @@ class _Module:
     def value(self, e: ast.expr | None) -> Value:
         if e is None:
             return UNKNOWN
-        if isinstance(e, ast.Constant):
+        kind = type(e)
+        if kind is ast.Constant:
             return Value(text=e.value) if isinstance(e.value, str) else Value(kind=repr(e.value)) if isinstance(e.value, (bool, int)) else UNKNOWN
-        if isinstance(e, ast.Name):
+        if kind is ast.Name:
             return self.lookup(e.id)
-        if isinstance(e, ast.Attribute):
+        if kind is ast.Attribute:
             return self.attribute(e)
-        if isinstance(e, ast.Call):
+        if kind is ast.Call:
             return self.call(e)
-        if isinstance(e, ast.Subscript):
+        if kind is ast.Subscript:
             v = self.value(e.value)
             self.value(e.slice)
             if v.named and isinstance(e.slice, ast.Constant):
@@ -251,7 +253,7 @@ class _Module:
             if v.items and isinstance(e.slice, ast.Constant) and isinstance(e.slice.value, int) and -len(v.items) <= e.slice.value < len(v.items):
                 return v.items[e.slice.value]
             return Value(v.marks - {"environ"} | ({"local"} if v.dotted == "os.environ" else set()))
-        if isinstance(e, ast.BinOp):
+        if kind is ast.BinOp:
             a, b = self.value(e.left), self.value(e.right)
             marks = a.marks | b.marks
             if isinstance(e.op, ast.Div) and (a.kind == "path" or b.kind == "path"):
@@ -261,31 +263,31 @@ class _Module:
                     return Value(marks, items=a.items + b.items)
                 return Value(marks, None if a.text is None and b.text is None else (a.text or "{}") + (b.text or "{}"))
             return Value(marks, a.text if isinstance(e.op, ast.Mod) else None)
-        if isinstance(e, ast.JoinedStr):
+        if kind is ast.JoinedStr:
             parts = [self.value(x.value if isinstance(x, ast.FormattedValue) else x) for x in e.values]
             return Value(frozenset().union(*(p.marks for p in parts)), "".join("{}" if p.text is None else p.text for p in parts))
-        if isinstance(e, (ast.List, ast.Tuple, ast.Set)):
+        if kind in (ast.List, ast.Tuple, ast.Set):
             items = tuple(self.value(x) for x in e.elts)
             return Value(frozenset().union(*(x.marks for x in items)), items=items, kind="list")
-        if isinstance(e, ast.Dict):
+        if kind is ast.Dict:
             pairs = tuple((k.value, self.value(v)) for k, v in zip(e.keys, e.values) if isinstance(k, ast.Constant))
             rest = [self.value(v) for k, v in zip(e.keys, e.values) if not isinstance(k, ast.Constant)]
             return Value(frozenset().union(*(v.marks for _, v in pairs), *(v.marks for v in rest)), named=pairs)
-        if isinstance(e, ast.IfExp):
+        if kind is ast.IfExp:
             self.value(e.test)
             return self.value(e.body) | self.value(e.orelse)
-        if isinstance(e, ast.BoolOp):
+        if kind is ast.BoolOp:
             out = self.value(e.values[0])
             for x in e.values[1:]:
                 out = out | self.value(x)
             return out
-        if isinstance(e, ast.NamedExpr):
+        if kind is ast.NamedExpr:
             v = self.value(e.value)
             self.bind(e.target, v)
             return v
-        if isinstance(e, ast.Lambda):
+        if kind is ast.Lambda:
             return Value(kind="function", node=e)
-        if isinstance(e, (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp)):
+        if kind in (ast.ListComp, ast.SetComp, ast.GeneratorExp, ast.DictComp):
             self.scopes.append({})
             self.globals.append(set())
             for g in e.generators:
@@ -293,13 +295,13 @@ class _Module:
                 self.bind(g.target, v.items[0] if v.items else Value(v.marks))
                 for c in g.ifs:
                     self.value(c)
-            out = self.value(e.value if isinstance(e, ast.DictComp) else e.elt)
+            out = self.value(e.value if kind is ast.DictComp else e.elt)
             self.scopes.pop()
             self.globals.pop()
             return Value(out.marks)
-        if isinstance(e, (ast.Await, ast.Starred, ast.YieldFrom)):
+        if kind in (ast.Await, ast.Starred, ast.YieldFrom):
             return self.value(e.value)
-        if isinstance(e, (ast.Compare, ast.UnaryOp)):
+        if kind in (ast.Compare, ast.UnaryOp):
             for x in ast.iter_child_nodes(e):
                 if isinstance(x, ast.expr):
                     self.value(x)

@@ -212,6 +212,9 @@ def bundled_runs(text: str, blocks: list[Block] | None = None) -> list[tuple[str
         return []
 
     def close() -> None:
+        if not any(_BUNDLED.search(b.text) for b in section):
+            section.clear()
+            return
         covert = any(_COVERT.search(b.text) and not guarded(b, (m := _COVERT.search(b.text)).start(), m.end(), False, False) for b in section)
         cues = {k for b in section for k, c in enumerate(_COERCED) if c.search(b.text)}
         for b in section:
