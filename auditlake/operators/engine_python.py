@@ -83,7 +83,7 @@ class _Module:
         self.entered: set[int] = set()
         self.queue: list[ast.AST] = []
         self.connected = False
-        self.cuts = 0  # calls not followed because of depth or recursion
+        self.cuts = 0  # calls not followed because they recur
         self.followed: dict[tuple, tuple] = {}
         self.downloads: set[str] = set()
         self.returns: list[Value] = []
@@ -411,7 +411,9 @@ class _Module:
         """Follow a function of the module with the values it is given."""
         self.entered.add(id(node))
         every = frozenset().union(*(a.marks for a in args), *(a.marks for a in named.values()))
-        if self.depth >= DEPTH or any(n is node for n in self.active):
+        if self.depth >= DEPTH:  # as deep in every repetition: the key holds the depth
+            return Value(every)
+        if any(n is node for n in self.active):
             self.cuts += 1
             return Value(every)
         key = (id(node), self.depth, tuple(map(_key, args)), tuple((k, _key(v)) for k, v in sorted(named.items(), key=lambda x: x[0])))

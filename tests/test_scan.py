@@ -104,3 +104,19 @@ def test_shell_tree():
     assert shell_tree.unwrapped(["sudo", "-u", "x", "env", "A=1", "timeout", "5s", "bash", "-s"]) == (["bash", "-s"], ["sudo", "env", "timeout"])
     with pytest.raises(shell_tree.ShellError):
         shell_tree.parse("echo 'open\n")
+
+
+def test_python_chains_and_repeated_calls_are_followed_once():
+    """A chain of 200 calls and functions that call all later ones keep their findings and end at once."""
+    import time
+
+    from auditlake.operators.engine_python import python_findings
+
+    chain = "import os\nx = input()" + ".strip()" * 200 + "\nos.system(x)\n"
+    calls = "import os\n" + "".join(f"def f{i}(v):\n" + "".join(f"    f{j}(v)\n" for j in range(i + 1, 40)) + "    os.system(v)\n" for i in range(40)) + "f0(input())\n"
+    short = "import os\nx = input()\nos.system(x)\n"
+    start = time.time()
+    found = python_findings(chain)
+    assert [r for r, _ in found] == [r for r, _ in python_findings(short)] != []
+    assert {r for r, _ in python_findings(calls)} == {"E02", "E60"} and len(python_findings(calls)) == 80
+    assert time.time() - start < 10
