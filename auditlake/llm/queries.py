@@ -161,8 +161,7 @@ def p7_removal_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return spam_pages.page_labels(spread(pages), model=spam_pages.fit_model(pages))
+    return spam_pages.fitted_labels(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ its own words and from the page's word repetition; a five-state model
 Viterbi for a whole slice of pages at once, and a page is spam when more than
 half of its words lie on lines labelled keywords, links or tags.
 
-The probabilities of the model are fitted by Baum-Welch on a bounded sample of
-the pages themselves (``SAMPLE_PAGES`` ids, the least by hash), without labels;
-the table in this module is the starting point and, ``PRIOR`` times as heavy as
-the sample, the prior that keeps the states what their names say.
+The probabilities of the model are fitted by Baum-Welch on all the pages
+themselves, without labels; the table in this module is the starting point and,
+``PRIOR`` times as heavy as the pages, the prior that keeps the states what
+their names say.
 
 Code blocks, file lists, tables of contents with page text, logs and front
 matter are neutral: they count as words of the page but never as spam.
@@ -19,9 +19,10 @@ repeated rows get the same answer.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpoint_dir, slices
 
 STATES = ("prose", "keywords", "links", "tags", "neutral")
 SYMBOLS = ("sentence", "text", "short", "soup", "items", "repeat", "bare_link", "link_text", "hash", "row", "menu", "code", "file", "blank")
@@ -50,8 +51,10 @@ STAY = 0.86
 MOVE = np.log(np.full((5, 5), (1 - STAY) / 4) + np.eye(5) * (STAY - (1 - STAY) / 4))
 START = np.log(np.array([0.6, 0.1, 0.1, 0.1, 0.1]))
 THRESHOLD = 0.5
-#: Pages the model is fitted on, weight of the prior against them, and the change of a probability at which fitting ends.
-SAMPLE_PAGES, PRIOR, SETTLED = 2000, 3.0, 1e-4
+#: Weight of the prior against the pages, and the change of a probability at which fitting ends.
+PRIOR, SETTLED = 3.0, 1e-4
+#: Parts that an expected count is rounded to, and the lines that are counted at once: so many sums of parts are exact.
+UNIT, SLICE_LINES = 2.0**30, 1 << 18
 
 
 class Model(NamedTuple):
@@ -166,90 +169,147 @@ def line_symbol(line: _Line, hot_words: set[str]) -> int:
 
 
 class _Stack:
-    """Symbol sequences longest first, so that the pages still running at step t are a prefix; each line with its weight.
+    """Lines of many pages by their place in the page: first lines, second lines and so on, each time those of longer pages first.
 
+    The pages that have a line ``t`` are then the first ``running[t]`` of ``order``, and their lines one slice.
     A line counts as one observation for every fifteen words, eight at most: a
     paragraph of stuffed text on one line must outweigh the cost of leaving prose.
     """
 
-    def __init__(self, observed: list[np.ndarray], words: list[np.ndarray]) -> None:
-        self.order = sorted((i for i in range(len(observed)) if len(observed[i])), key=lambda i: -len(observed[i]))
-        self.size = np.array([len(observed[i]) for i in self.order], np.int64)
-        self.flat = np.concatenate([observed[i] for i in self.order]) if self.order else np.zeros(0, np.int64)
-        self.weight = 1 + np.minimum(np.concatenate([words[i] for i in self.order]) / 15, 7) if self.order else np.zeros(0)
-        self.first = np.cumsum(self.size) - self.size
-        self.steps = int(self.size[0]) if self.order else 0
-
-    def at(self, t: int) -> np.ndarray:
-        """Places of line t of the pages that have one."""
-        return self.first[: int(np.searchsorted(-self.size, -t, side="left"))] + t
-
-    def emitted(self, model: Model) -> np.ndarray:
-        return model.emit[:, self.flat].T * self.weight[:, None]
-
-
-def decode(observed: list[np.ndarray], words: list[np.ndarray], model: Model = PRIOR_MODEL) -> list[np.ndarray]:
-    """Viterbi paths of many symbol sequences at once; one array step a line of the longest."""
-    s = _Stack(observed, words)
-    out = [np.zeros(0, np.int8) for _ in observed]
+    #: Weight of a line by its number of words, the last for any more.
+    WEIGHT = 1 + np.minimum(np.arange(106) / 15, 7)
+
+    def __init__(self, symbols: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> None:
+        """``symbols`` and ``words`` of the lines of all pages one after the other, ``sizes`` lines a page."""
+        self.pages = len(sizes)
+        self.order = np.argsort(-sizes, kind="stable")[: np.count_nonzero(sizes)]
+        size = sizes[self.order]
+        self.steps = int(size[0]) if len(size) else 0
+        self.running = np.searchsorted(-size, -np.arange(self.steps), side="left")
+        self.begin = np.cumsum(self.running) - self.running
+        line = np.repeat(np.arange(self.steps), self.running)
+        rank = np.arange(len(line)) - self.begin[line]
+        self.page = self.order[rank]
+        #: place in ``symbols`` of each line
+        self.source = (np.cumsum(sizes) - sizes)[self.page] + line
+        self.symbol = symbols[self.source].astype(np.int64)
+        self.words = words[self.source]
+        self.kind = self.symbol * len(self.WEIGHT) + np.minimum(self.words, len(self.WEIGHT) - 1)
+
+    @classmethod
+    def of(cls, observed: list[np.ndarray], words: list[np.ndarray]) -> _Stack:
+        none = np.zeros(0, np.int64)
+        return cls(np.concatenate([none, *observed]), np.concatenate([none, *words]), np.array([len(x) for x in observed], np.int64))
+
+    @classmethod
+    def packed(cls, symbols: pa.Array, sizes: pa.Array) -> _Stack:
+        """From two columns of ``page_lines``."""
+        bytes_ = symbols.to_pylist()
+        flat = np.frombuffer(b"".join(bytes_), np.uint8), np.frombuffer(b"".join(sizes.to_pylist()), "<i4").astype(np.int64)
+        return cls(*flat, np.array([len(x) for x in bytes_], np.int64))
+
+    def at(self, t: int, pages: int | None = None) -> slice:
+        """Lines ``t`` of the pages that have one, or of the first ``pages``."""
+        return slice(self.begin[t], self.begin[t] + (self.running[t] if pages is None else pages))
+
+    def kinds(self, model: Model) -> np.ndarray:
+        """Logarithm of P(line | state) by state and kind of line."""
+        return (model.emit[:, :, None] * self.WEIGHT).reshape(len(STATES), -1)
+
+
+def _path(s: _Stack, model: Model) -> np.ndarray:
+    """Viterbi states of the lines of a stack; one array step a line of the longest page."""
+    path = np.zeros(len(s.kind), np.int8)
     if not s.steps:
-        return out
-    emitted = s.emitted(model)
-    back = np.zeros((len(s.flat), 5), np.int8)
+        return path
+    emitted = s.kinds(model).T[s.kind]
+    back = np.zeros((len(s.kind), 5), np.int8)
     score = model.start + emitted[s.at(0)]
     for t in range(1, s.steps):
-        at = s.at(t)
-        step = score[: len(at), :, None] + model.move
+        at, k = s.at(t), s.running[t]
+        step = score[:k, :, None] + model.move
         best = step.argmax(1)
         back[at] = best
-        score[: len(at)] = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + emitted[at]
-    path = np.zeros(len(s.flat), np.int8)
+        score[:k] = np.take_along_axis(step, best[:, None, :], 1)[:, 0] + emitted[at]
     state = score.argmax(1)
     for t in range(s.steps - 1, -1, -1):
-        at = s.at(t)
-        path[at] = state[: len(at)]
-        state[: len(at)] = back[at, state[: len(at)]]
-    for k, i in enumerate(s.order):
-        out[i] = path[s.first[k] : s.first[k] + s.size[k]]
+        at, k = s.at(t), s.running[t]
+        path[at] = state[:k]
+        state[:k] = np.take_along_axis(back[at], state[:k, None], 1)[:, 0]
+    return path
+
+
+def decode(observed: list[np.ndarray], words: list[np.ndarray], model: Model = PRIOR_MODEL) -> list[np.ndarray]:
+    """Viterbi paths of many symbol sequences at once."""
+    s = _Stack.of(observed, words)
+    path = np.zeros(len(s.kind), np.int8)
+    path[s.source] = _path(s, model)
+    return np.split(path, np.cumsum([len(x) for x in observed])[:-1]) if observed else []
+
+
+def _through(move: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Sum over i of move[i, j] * a[i], added in the same order however many pages there are (a product of matrices is not)."""
+    out = move[0][:, None] * a[0]
+    for i in range(1, len(move)):
+        out += move[i][:, None] * a[i]
     return out
 
 
-def expected(observed: list[np.ndarray], words: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected emissions, moves and first states of all sequences (forward-backward, scaled), and their log-likelihood."""
-    s = _Stack(observed, words)
-    n = model.emit.shape[1]
+def _counts(s: _Stack, model: Model) -> tuple[np.ndarray, float]:
+    """Expected emissions, moves and first states of a stack (forward-backward, scaled) one after the other, and its log-likelihood.
+
+    Counts are whole numbers of 1 / ``UNIT``, rounded line by line and page by
+    page: their sums are the same whatever pages are counted together.
+    """
+    states, n = model.emit.shape
     if not s.steps:
-        return np.zeros((5, n)), np.zeros((5, 5)), np.zeros(5), 0.0
-    emitted = s.emitted(model)
-    top = emitted.max(1, keepdims=True)
-    emitted = np.exp(emitted - top)
-    move = np.exp(model.move)
-    ahead, scale = np.zeros((len(s.flat), 5)), np.zeros(len(s.flat))
+        return np.zeros(states * (n + states + 1), np.int64), 0.0
+    kinds = s.kinds(model)
+    top = kinds.max(0)
+    emitted = np.exp(kinds - top)[:, s.kind]
+    move, moving = np.exp(model.move), np.exp(model.move.T)
+    ahead, scale = np.zeros_like(emitted), np.zeros(len(s.kind))
     for t in range(s.steps):
         at = s.at(t)
-        now = (ahead[at - 1] @ move if t else np.exp(model.start)) * emitted[at]
-        scale[at] = now.sum(1)
-        ahead[at] = now / scale[at][:, None]
-    moves, behind, state = np.zeros((5, 5)), np.ones((len(s.size), 5)), np.zeros_like(ahead)
+        now = _through(move, ahead[:, s.at(t - 1, s.running[t])]) if t else np.exp(model.start)[:, None]
+        now = now * emitted[:, at]
+        scale[at] = functools.reduce(np.add, now)
+        ahead[:, at] = now / scale[at]
+    moves, behind, state = np.zeros((states, states, len(s.order))), np.ones((states, len(s.order))), np.zeros_like(ahead)
     for t in range(s.steps - 1, -1, -1):
-        at = s.at(t)
-        k = len(at)
-        state[at] = ahead[at] * behind[:k]
+        at, k = s.at(t), s.running[t]
+        state[:, at] = ahead[:, at] * behind[:, :k]
         if t:
-            given = emitted[at] * behind[:k] / scale[at][:, None]
-            moves += np.einsum("ni,ij,nj->ij", ahead[at - 1], move, given)
-            behind[:k] = given @ move.T
-    seen = np.stack([np.bincount(s.flat, state[:, j] * s.weight, n) for j in range(5)])
-    return seen, moves, state[s.first].sum(0), float(np.log(scale).sum() + top.sum())
+            given = emitted[:, at] * behind[:, :k] / scale[at]
+            moves[:, :, :k] += ahead[:, None, s.at(t - 1, k)] * given
+            behind[:, :k] = _through(moving, given)
+    weighed = np.rint(state * s.WEIGHT[s.kind % len(s.WEIGHT)] * UNIT)
+    seen = np.stack([np.bincount(s.symbol, x, n) for x in weighed])
+    moved = np.rint(moves * move[:, :, None] * UNIT).sum(2)
+    first = np.rint(state[:, s.at(0)] * UNIT).sum(1)
+    return np.concatenate([seen.ravel(), moved.ravel(), first]).astype(np.int64), float(np.log(scale).sum() + top[s.kind].sum())
 
 
-def fit(observed: list[np.ndarray], words: list[np.ndarray], prior: Model = PRIOR_MODEL, weight: float = PRIOR) -> Model:
+def _tables(counts: np.ndarray, symbols: int = len(SYMBOLS)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emissions, moves and first states from what ``_counts`` gives."""
+    seen, moves, first = np.split(counts / UNIT, [5 * symbols, 5 * symbols + 25])
+    return seen.reshape(5, symbols), moves.reshape(5, 5), first
+
+
+def expected(observed: list[np.ndarray], words: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected emissions, moves and first states of all sequences, and their log-likelihood."""
+    counts, log = _counts(_Stack.of(observed, words), model)
+    return *_tables(counts, model.emit.shape[1]), log
+
+
+def _settle(count: Callable[[Model], np.ndarray], prior: Model, weight: float) -> Model:
     """Baum-Welch until no probability changes by more than ``SETTLED``; ``prior`` counts ``weight`` times as much as the sequences."""
     model = prior
-    if not any(map(len, observed)):
-        return model
     while True:
-        seen, moves, first, _ = expected(observed, words, model)
+        counts = count(model)
+        if not counts.any():
+            return prior
+        seen, moves, first = _tables(counts, prior.emit.shape[1])
         seen = seen + np.exp(prior.emit) * seen.sum() / 5 * weight
         moves = moves + np.exp(prior.move) * moves.sum() / 5 * weight + np.exp(prior.move) * 1e-9
         first = first + np.exp(prior.start) * first.sum() * weight
@@ -260,52 +320,83 @@ def fit(observed: list[np.ndarray], words: list[np.ndarray], prior: Model = PRIO
             return model
 
 
-def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages: int = SAMPLE_PAGES) -> Model:
-    """The model fitted on ``pages`` of the ids of ``df``, those with the least hash: the same ones however the table is stored.
+def fit(observed: list[np.ndarray], words: list[np.ndarray], prior: Model = PRIOR_MODEL, weight: float = PRIOR) -> Model:
+    """The model fitted on sequences at hand."""
+    s = _Stack.of(observed, words)
+    return _settle(lambda model: _counts(s, model)[0], prior, weight)
 
-    Only ids are ordered; texts of the chosen pages are read in a second pass
-    and reach the driver as a symbol and a word count a line.
-    """
+
+def page_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per page: id, symbols of its lines (a byte each) and their numbers of words (four bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 both = [page_symbols(t) if t else ([], []) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array([list(x[k]) for x in both], pa.list_(pa.int32())) for k in (0, 1))], ["id", "symbols", "sizes"])
-
-    chosen = df.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(pages)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col)).join(F.broadcast(chosen), "id", "left_semi")
-    got = sorted(tuple(r) for r in texts.mapInArrow(run, "id long, symbols array<int>, sizes array<int>").collect())
-    return fit([np.array(x, np.int64) for _, x, _ in got], [np.array(x, np.int64) for _, _, x in got])
-
-
-def page_shares(texts: list[str | None], model: Model = PRIOR_MODEL) -> np.ndarray:
-    """For each page: words by label."""
-    seen, sizes = [], []
-    for text in texts:
-        symbols, size = page_symbols(text) if text else ([], [])
-        seen.append(np.array(symbols, np.int64))
-        sizes.append(np.array(size, np.int64))
-    out = np.zeros((len(texts), 5), np.int64)
-    for i, (path, size) in enumerate(zip(decode(seen, sizes, model), sizes)):
-        if len(path):
-            out[i] = np.bincount(path, size, 5)
-    return out
+                packed = [bytes(x) for x, _ in both], [np.array(x, "<i4").tobytes() for _, x in both]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["id", "symbols", "sizes"])
 
+    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, "id long, symbols binary, sizes binary")
 
-def page_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model = PRIOR_MODEL) -> DataFrame:
-    """One row per page: words by label (prose, keywords, links, tags, neutral), share of spam words and the flag."""
+
+def fit_lines(lines: DataFrame) -> Model:
+    """The model fitted on all pages of ``lines`` (see ``page_lines``), which each round of Baum-Welch reads once.
+
+    A task counts its own pages and gives one row of counts, so the driver
+    gets a hundred numbers a task and round.
+    """
+
+    def count(model: Model) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = sum(_counts(_Stack.packed(*part.columns), model)[0] for batch in batches for part in slices(batch, "symbols", SLICE_LINES))
+            if isinstance(total, np.ndarray):
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.int64()))], ["counts"])
+
+        got = lines.select("symbols", "sizes").mapInArrow(run, "counts array<long>").collect()
+        return np.array([float(sum(x)) for x in zip(*(r[0] for r in got))])
+
+    return _settle(count, PRIOR_MODEL, PRIOR)
+
+
+def fit_model(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pages: int | None = None) -> Model:
+    """The model fitted on all pages of ``df``, the same one however the table is stored.
+
+    Texts are read once; their symbols are written to the checkpoint folder.
+    Only a caller that names a number of ``pages`` has it fitted on so many ids, those with the least hash.
+    """
+    if pages is not None:
+        chosen = df.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(pages)
+        df = df.select(F.col(id_col).alias("id"), F.col(text_col)).join(F.broadcast(chosen), "id", "left_semi").withColumnRenamed("id", id_col)
+    checkpoint_dir(df.sparkSession)
+    return fit_lines(page_lines(df, id_col, text_col).checkpoint())
+
+
+def line_labels(lines: DataFrame, id_col: str = "doc_id", model: Model = PRIOR_MODEL) -> DataFrame:
+    """One row per page of ``lines``: words by label (prose, keywords, links, tags, neutral), share of spam words and the flag."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
-                n = page_shares(part.column(1).to_pylist(), model)
+            for part in slices(batch, "symbols", SLICE_LINES):
+                s = _Stack.packed(*part.columns[1:])
+                n = np.bincount(s.page * 5 + _path(s, model), s.words, s.pages * 5).astype(np.int64).reshape(-1, 5)
                 total = n.sum(1)
                 share = np.where(total > 0, n[:, 1:4].sum(1) / np.maximum(total, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), *(pa.array(n[:, k]) for k in range(5)), pa.array(share), pa.array(share > THRESHOLD)],
+                    [part.column(0), *(pa.array(n[:, k]) for k in range(5)), pa.array(share), pa.array(share > THRESHOLD)],
                     ["id", *(f"{s}_words" for s in STATES), "spam_share", "is_spam"],
                 )
 
     schema = "id long, " + ", ".join(f"{s}_words long" for s in STATES) + ", spam_share double, is_spam boolean"
-    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return lines.select("id", "symbols", "sizes").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def page_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model = PRIOR_MODEL) -> DataFrame:
+    """The labels of ``line_labels`` by a model at hand."""
+    return line_labels(page_lines(df, id_col, text_col), id_col, model)
+
+
+def fitted_labels(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The labels of ``line_labels`` by the model fitted on all pages of ``df``; texts are read once for both."""
+    checkpoint_dir(df.sparkSession)
+    lines = page_lines(df, id_col, text_col).checkpoint()
+    return line_labels(lines, id_col, fit_lines(lines))

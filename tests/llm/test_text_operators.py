@@ -586,6 +586,33 @@ def test_sample_is_the_same_however_the_table_is_stored(spark):
     assert all(np.array_equal(a, b) for a, b in zip(*models))
 
 
+def test_model_is_fitted_on_every_page(spark):
+    """More pages than any bounded part of them, ids missing and rows repeated: the model is that of all the lines, however they are stored."""
+    data = [(k, PAGES[k * k % len(PAGES)][0] if k < 40 else f"{PROSE}tag{k}, free, top\n" * (k % 3)) for k in range(2400)]
+    data += [(None, PAGES[0][0]), (7, None), (8, data[8][1]), (2, "a\n" * 3000)]
+    both = [spam_pages.page_symbols(t) if t else ([], []) for _, t in data]
+    want = spam_pages.fit([np.array(a, np.int64) for a, _ in both], [np.array(b, np.int64) for _, b in both])
+    for parts in (1, 7):
+        got = spam_pages.fit_model(spark.createDataFrame(data, "doc_id long, text string").repartition(parts))
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_pages_counted_apart_add_up_to_pages_counted_together():
+    rng = np.random.default_rng(3)
+    seen = [rng.integers(0, 14, n) for n in rng.integers(0, 30, 300)]
+    sizes = [rng.integers(0, 200, len(x)) for x in seen]
+    count = lambda pick: spam_pages._counts(spam_pages._Stack.of([seen[i] for i in pick], [sizes[i] for i in pick]), spam_pages.PRIOR_MODEL)[0]
+    order = rng.permutation(300)
+    assert np.array_equal(sum(count(x) for x in np.split(order, [1, 2, 9, 100])), count(range(300)))
+
+
+def test_labels_by_the_fitted_model(spark):
+    df = spark.createDataFrame([(i, t, 1, True) for i, (t, _) in enumerate(PAGES * 2)], "doc_id long, text string, id int, is_spam boolean")
+    want = rows(spam_pages.page_labels(df, model=spam_pages.fit_model(df)))
+    assert rows(spam_pages.fitted_labels(df.repartition(3))) == want and len(want) == 2 * len(PAGES)
+    assert spam_pages.fitted_labels(df.where("false")).count() == 0
+
+
 def test_viterbi_matches_brute_force():
     import itertools
 
